@@ -40,9 +40,15 @@ def load_table(spark: SparkSession, path: str, schema: StructType | str | None =
     raise ValueError(f"cannot load {path!r}: the file must be .csv, .xlsx or .parquet")
 
 
-def read_csv(spark: SparkSession, path: str, schema: StructType | str | None = None) -> DataFrame:
-    """CSV with a header line; quoted cells may span lines."""
-    reader = spark.read.option("header", True).option("multiLine", True).option("escape", '"')
+def read_csv(
+    spark: SparkSession, path: str, schema: StructType | str | None = None, multi_line: bool = False
+) -> DataFrame:
+    """CSV with a header line.
+
+    ``multi_line`` allows line breaks inside quoted cells, but makes Spark read
+    each file in a single task, so it is off unless asked for.
+    """
+    reader = spark.read.option("header", True).option("multiLine", multi_line).option("escape", '"')
     if schema is not None:
         return missing_to_null(reader.schema(schema).csv(path))
     return missing_to_null(reader.option("inferSchema", True).csv(path))
