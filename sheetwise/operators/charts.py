@@ -22,8 +22,9 @@ def chart_line(df: DataFrame, x: str, y: str, key: Sequence[str] = (), bins: int
     points = df.select(F.col(x).alias("x"), F.col(y).alias("y"), *key).filter("x is not null")
     if bins is None:
         return points.orderBy("x", *key).select("x", "y")
+    ends = _ends(points, "x") or (0.0, 1.0)
     return (
-        points.withColumn("bin", _bin_of(points, "x", bins))
+        points.withColumn("bin", _bin_of("x", ends, bins))
         .groupBy("bin")
         .agg(F.avg("x").alias("x"), F.avg("y").alias("y"))
         .orderBy("bin")
@@ -69,10 +70,7 @@ def _edge(lo: float, hi: float, bins: int, i: Column) -> Column:
     return F.when(i >= bins, F.lit(hi)).otherwise(F.lit(lo) + i.cast("double") * F.lit((hi - lo) / bins))
 
 
-def _bin_of(df: DataFrame, col: str, bins: int) -> Column:
-    ends = _ends(df, col)
-    if ends is None:
-        return F.lit(None).cast("int")
+def _bin_of(col: str, ends: tuple[float, float], bins: int) -> Column:
     lo, hi = ends
     v = F.col(col).cast("double")
     guess = F.floor((v - F.lit(lo)) * F.lit(bins) / F.lit(hi - lo)).cast("int")
@@ -86,7 +84,7 @@ def chart_hist(df: DataFrame, col: str, bins: int = 10) -> DataFrame:
     """``(bin, low, high, n)``: equal-width bins, the last one closed, empty ones kept."""
     present = df.select(col).filter(F.col(col).isNotNull())
     ends = _ends(present, col) or (0.0, 1.0)
-    counts = present.groupBy(_bin_of(present, col, bins).alias("bin")).agg(F.count("*").alias("n"))
+    counts = present.groupBy(_bin_of(col, ends, bins).alias("bin")).agg(F.count("*").alias("n"))
     spine = df.sparkSession.range(bins).select(F.col("id").cast("int").alias("bin"))
     low, high = _edge(*ends, bins, F.col("bin")), _edge(*ends, bins, F.col("bin") + 1)
     # counts has at most one row per bin
