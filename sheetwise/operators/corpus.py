@@ -22,8 +22,7 @@ EXAMPLE_PROMPT = (
 def page_links(pages: DataFrame, suffix: str, base: str, html: str = "html") -> DataFrame:
     """One row per link whose target ends in ``suffix``, as a full address."""
     found = F.regexp_extract_all(F.col(html), F.lit(r"""(?i)<a\s[^>]*?href\s*=\s*["']([^"']*)["']"""), 1)
-    links = pages.drop(html).select("*") if html not in pages.columns else pages
-    rows = links.select(*[c for c in pages.columns if c != html], F.explode(found).alias("href"))
+    rows = pages.select(*[c for c in pages.columns if c != html], F.explode(found).alias("href"))
     rows = rows.withColumn("href", text.decode_entities("href")).filter(F.col("href").endswith(suffix))
     return rows.withColumn("full_url", F.concat(F.lit(base), F.col("href")))
 

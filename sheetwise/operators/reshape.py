@@ -48,7 +48,7 @@ def crosstab(df: DataFrame, a: str, b: str, column_values=None) -> DataFrame:
     """Counts of ``a`` by ``b``, 0 where a pair does not occur."""
     kept = df.dropna(subset=[a, b])
     found = categories(kept, b) if column_values is None else list(column_values)
-    return kept.groupBy(a).pivot(b, found).agg(F.count("*")).na.fill(0)
+    return kept.groupBy(a).pivot(b, found).agg(F.count(F.lit(1))).na.fill(0)
 
 
 def get_dummies(df: DataFrame, col: str, column_values=None, as_int: bool = False) -> DataFrame:
