@@ -148,11 +148,11 @@ def _(spark, d):
 
 @query(
     "best_by",
-    """SELECT p_partkey, p_name, p_retailprice / p_size AS score FROM part WHERE p_retailprice >= 1000 AND p_size <> 0
+    """SELECT p_partkey, p_name, p_retailprice / p_size AS score FROM part WHERE p_retailprice >= 950 AND p_size <> 0
     ORDER BY score DESC, p_partkey LIMIT 1""",
 )
 def _(spark, d):
-    dear = table(spark, d, "part").filter("p_retailprice >= 1000")
+    dear = table(spark, d, "part").filter("p_retailprice >= 950")
     best = stats.best_by(dear, F.try_divide("p_retailprice", "p_size"), ["p_partkey"])
     return best.select("p_partkey", "p_name", "score")
 
