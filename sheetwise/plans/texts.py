@@ -249,9 +249,9 @@ _BODY = f"""CASE WHEN doc_id % 3 = 0 THEN text ELSE {cat("'import x'", NL, "'  d
 @query(
     "body_after_solve",
     rf"""WITH l AS (SELECT doc_id, string_split({_BODY}, {NL}) AS lines FROM documents),
-    p AS (SELECT doc_id, lines, coalesce(list_position(list_transform(lines, lambda x: starts_with(ltrim(x), 'def solve(df):')), true), 0) AS at FROM l)
+    p AS (SELECT doc_id, lines, coalesce(list_position(list_transform(lines, lambda x: starts_with(ltrim(x), 'def solve(df):')), true), 0) AS pos FROM l)
     SELECT doc_id, {cat(TICKS, "'python'", NL, "'def solve(df):'", NL)} || array_to_string(
-      list_filter(lines[at + 1:], lambda x: NOT contains(x, 'print(solve(df))')), {NL}) || {NL} || {TICKS} AS code FROM p""",
+      list_filter(lines[pos + 1:], lambda x: NOT contains(x, 'print(solve(df))')), {NL}) || {NL} || {TICKS} AS code FROM p""",
 )
 def _(spark, d):
     docs = table(spark, d, "documents").select("doc_id", sql(_BODY).alias("s"))
