@@ -9,7 +9,7 @@ Python's ``re`` would cut it.
 from __future__ import annotations
 
 import re
-from collections.abc import Sequence
+from collections.abc import Callable, Sequence
 
 from pyspark.sql import Column
 from pyspark.sql import functions as F
@@ -52,6 +52,18 @@ def _col(c: Column | str) -> Column:
     return F.col(c) if isinstance(c, str) else c
 
 
+def _once(c: Column | str, fn: Callable[[Column], Column]) -> Column:
+    """Apply ``fn``, which uses its input several times, computing the input once.
+
+    A plain column (given by name) needs no care. An expression is bound to a
+    lambda variable, so that a chain of such functions does not evaluate its
+    first steps again and again.
+    """
+    if isinstance(c, str):
+        return fn(F.col(c))
+    return F.get(F.transform(F.array(c), fn), F.lit(0))
+
+
 def _swap(c: Column, old: str, new: str) -> Column:
     return F.replace(c, F.lit(old), F.lit(new))
 
@@ -79,10 +91,15 @@ def cut_after_first_end(c: Column | str) -> Column:
     The return line must be indented. If the kept part holds a fence, it is
     closed again.
     """
-    c = _col(c)
-    kept = F.regexp_extract(c, rf"(?Umd)\A([\s\S]*?{_END})", 1)
-    closed = F.when(kept.contains(FENCE), F.concat(kept, F.lit("\n" + FENCE))).otherwise(kept)
-    return F.when(kept == "", c).otherwise(closed)
+
+    def cut(c: Column) -> Column:
+        kept = F.regexp_extract(c, rf"(?Umd)\A([\s\S]*?{_END})", 1)
+        return _once(
+            kept,
+            lambda k: F.when(k == "", c).when(k.contains(FENCE), F.concat(k, F.lit("\n" + FENCE))).otherwise(k),
+        )
+
+    return _once(c, cut)
 
 
 def fenced_blocks(c: Column | str, lang_required: bool = True) -> Column:
@@ -92,33 +109,42 @@ def fenced_blocks(c: Column | str, lang_required: bool = True) -> Column:
     is taken to be code as a whole. Otherwise any fence counts. If nothing is
     found, ``[PYTHON]`` tags are tried.
     """
-    c = _col(c)
-    if lang_required:
-        c = F.when(c.contains(PYTHON_FENCE), c).otherwise(F.concat(F.lit(PYTHON_FENCE + "\n"), c, F.lit("\n" + FENCE)))
-        pattern = r"(?Us)```python\s*(.*?)\s*```"
-    else:
-        pattern = r"(?Us)```(?:python\s*)?(.*?)\s*```"
-    blocks = F.regexp_extract_all(c, F.lit(pattern), 1)
-    tagged = F.regexp_extract_all(c, F.lit(r"(?s)\[PYTHON\](.*?)\[/PYTHON\]"), 1)
-    return F.when(F.size(blocks) > 0, blocks).otherwise(tagged)
+    pattern = r"(?Us)```python\s*(.*?)\s*```" if lang_required else r"(?Us)```(?:python\s*)?(.*?)\s*```"
+
+    def wrapped(c: Column) -> Column:
+        whole = F.concat(F.lit(PYTHON_FENCE + "\n"), c, F.lit("\n" + FENCE))
+        return F.when(c.contains(PYTHON_FENCE), c).otherwise(whole)
+
+    def found(c: Column) -> Column:
+        tagged = F.regexp_extract_all(c, F.lit(r"(?s)\[PYTHON\](.*?)\[/PYTHON\]"), 1)
+        return _once(
+            F.regexp_extract_all(c, F.lit(pattern), 1), lambda blocks: F.when(F.size(blocks) > 0, blocks).otherwise(tagged)
+        )
+
+    return _once(_once(c, wrapped) if lang_required else c, found)
 
 
 def dedent(block: Column | str) -> Column:
     """Remove the white space that all non-empty lines of a block start with."""
-    lines = F.split(_col(block), "\n")
-    depth = F.array_min(
-        F.transform(
-            F.filter(lines, lambda x: x.rlike(r"(?U)\S")),
-            lambda x: F.length(F.regexp_extract(x, r"(?U)^(\s*)", 1)),
+
+    def cut(lines: Column) -> Column:
+        # blank lines have no depth, and array_min passes over missing values
+        depths = F.transform(lines, lambda x: F.when(lstrip(x) != "", F.length(x) - F.length(lstrip(x))))
+        return _once(
+            F.coalesce(F.array_min(depths), F.lit(0)),
+            lambda depth: F.array_join(F.transform(lines, lambda x: F.substr(x, depth + 1)), "\n"),
         )
-    )
-    cut = F.transform(lines, lambda x: F.substr(x, F.coalesce(depth, F.lit(0)) + 1))
-    return F.array_join(cut, "\n")
+
+    return _once(F.split(_col(block), "\n"), cut)
 
 
 def join_blocks(blocks: Column) -> Column:
-    """Trim and dedent every block and put them below one another."""
-    return lstrip(F.array_join(F.transform(blocks, lambda b: dedent(strip(b))), "\n"))
+    """Trim every block and put them below one another.
+
+    A trimmed block starts at column zero, so there is no common indentation
+    left that ``dedent`` could remove.
+    """
+    return lstrip(F.array_join(F.transform(blocks, strip), "\n"))
 
 
 def strip_table_reload(c: Column | str) -> Column:
@@ -128,15 +154,17 @@ def strip_table_reload(c: Column | str) -> Column:
 
 def protect_table_name(c: Column | str) -> Column:
     """Keep code from making its own table: ``data`` is renamed, a new ``df`` is commented out."""
-    c = _col(c)
-    renamed = F.when(c.contains("data=pd."), F.regexp_replace(c, r"(?U)\bdata\b", "df")).otherwise(c)
+    renamed = _once(c, lambda x: F.when(x.contains("data=pd."), F.regexp_replace(x, r"(?U)\bdata\b", "df")).otherwise(x))
     return F.regexp_replace(renamed, r"(?Ud)(?<![a-zA-Z0-9_-])df\s*=\s*pd\.DataFrame\((.*?)\)", TABLE_DEFINED)
 
 
 def drop_interactive_show(c: Column | str) -> Column:
     """Remove every ``plt.show()`` if one of them stands outside backticks."""
-    c = _col(c)
-    return F.when(c.rlike(r"(?<!`)plt\.show\(\)(?!`)"), _swap(c, "plt.show()", "")).otherwise(c)
+
+    def drop(c: Column) -> Column:
+        return F.when(c.rlike(r"(?<!`)plt\.show\(\)(?!`)"), _swap(c, "plt.show()", "")).otherwise(c)
+
+    return _once(c, drop)
 
 
 def comment_forbidden(c: Column | str) -> Column:
@@ -166,11 +194,14 @@ def extract_code(
 
 def prepend_imports(c: Column | str) -> Column:
     """Add the import block unless the required imports are all there."""
-    c = _col(c)
-    ready = F.lit(True)
-    for line in REQUIRED_IMPORTS:
-        ready = ready & c.contains(line)
-    return F.when(ready, c).otherwise(F.concat(F.lit("\n".join(IMPORT_LINES) + "\n\n"), c))
+
+    def add(c: Column) -> Column:
+        ready = F.lit(True)
+        for line in REQUIRED_IMPORTS:
+            ready = ready & c.contains(line)
+        return F.when(ready, c).otherwise(F.concat(F.lit("\n".join(IMPORT_LINES) + "\n\n"), c))
+
+    return _once(c, add)
 
 
 def append_result_call(c: Column | str) -> Column:

@@ -14,9 +14,12 @@ from __future__ import annotations
 import math
 from collections.abc import Sequence
 
-from pyspark.sql import DataFrame
+from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
+from sheetwise.operators.scale import small_side
+from sheetwise.session import settle
+
 GROUP_ROWS = 1_000_000
 BINS = 2048
 
@@ -93,33 +96,99 @@ def exact_quantiles(
     present = _present(df, col)
     picks = [F.percentile(col, F.lit(float(p))).alias(n) for p, n in zip(probs, names)]
     sizes = present.groupBy(*by).agg(F.count("*").alias("n"), F.min(col).alias("lo"), F.max(col).alias("hi"))
-    large = sizes.filter(F.col("n") > group_rows).collect()  # at most rows / group_rows groups
-    if not large:
+    large = sizes.filter(F.col("n") > group_rows)
+    if not by:
+        whole = large.first()
+        return present.agg(*picks) if whole is None else _whole_table(present, col, probs, names, whole)
+    large = settle(large)
+    if not large.take(1):
         return present.groupBy(*by).agg(*picks)
+    narrowed = _narrow_groups(present, col, probs, names, list(by), large)
+    rest = _with_keys(present, small_side(large.select(*by)), list(by), "left_anti")
+    return rest.groupBy(*by).agg(*picks).unionByName(narrowed)
 
-    spark = df.sparkSession
-    rows = []
-    for group in large:
-        chosen = present
-        for k in by:
-            chosen = chosen.filter(F.col(k).eqNullSafe(F.lit(group[k])))
-        spots = [p * (group["n"] - 1) for p in probs]
-        wanted = [r for s in spots for r in (math.floor(s), math.ceil(s))]
-        at = rank_values(chosen.select(F.col(col).alias("v")), wanted, group["lo"], group["hi"])
-        values = []
-        for s in spots:
-            lower, upper = float(at[math.floor(s)]), float(at[math.ceil(s)])
-            values.append(lower + (upper - lower) * (s - math.floor(s)))
-        rows.append([group[k] for k in by] + values)
-    kinds = dict(df.dtypes)
-    schema = ", ".join([f"`{k}` {kinds[k]}" for k in by] + [f"`{n}` double" for n in names])
-    narrowed = spark.createDataFrame(rows, schema)
-    if not by:
-        return narrowed
-    keys = F.broadcast(narrowed.select(*by))
-    condition = None
+
+def _spots(probs: Sequence[float], n: int) -> list[float]:
+    return [p * (n - 1) for p in probs]
+
+
+def _whole_table(present: DataFrame, col: str, probs: Sequence[float], names: Sequence[str], ends) -> DataFrame:
+    spots = _spots(probs, ends["n"])
+    wanted = [r for s in spots for r in (math.floor(s), math.ceil(s))]
+    at = rank_values(present.select(F.col(col).alias("v")), wanted, ends["lo"], ends["hi"])
+    row = []
+    for s in spots:
+        lower, upper = float(at[math.floor(s)]), float(at[math.ceil(s)])
+        row.append(lower + (upper - lower) * (s - math.floor(s)))
+    return present.sparkSession.createDataFrame([row], ", ".join(f"`{n}` double" for n in names))
+
+
+def _with_keys(df: DataFrame, keys: DataFrame, by: list[str], how: str) -> DataFrame:
+    """Join on the group key, where a missing key is a group like any other."""
+    renamed = keys.withColumnsRenamed({k: f"__k_{k}" for k in by})
+    condition = F.lit(True)
     for k in by:
-        same = F.col(f"__l.{k}").eqNullSafe(F.col(f"__r.{k}"))
-        condition = same if condition is None else condition & same
-    rest = present.alias("__l").join(keys.alias("__r"), condition, "left_anti")
-    return rest.groupBy(*by).agg(*picks).unionByName(narrowed)
+        condition = condition & df[k].eqNullSafe(renamed[f"__k_{k}"])
+    joined = df.join(renamed, condition, how)
+    return joined.drop(*[f"__k_{k}" for k in by]) if how == "inner" else joined
+
+
+def _narrow_groups(
+    present: DataFrame,
+    col: str,
+    probs: Sequence[float],
+    names: Sequence[str],
+    by: list[str],
+    large: DataFrame,
+    bins: int = BINS,
+) -> DataFrame:
+    """Quantiles of large groups, all groups together in every pass.
+
+    ``open_ranks`` has one row per group and wanted rank: the range the rank's
+    value lies in and the number of rows below that range.
+    """
+    values = present.select(*by, F.col(col).alias("__v"))
+    spots = F.array(*[F.lit(float(p)) * (F.col("n") - 1) for p in probs])
+    ranks = F.array_distinct(F.flatten(F.transform(spots, lambda s: F.array(F.floor(s), F.ceil(s)))))
+    open_ranks = large.select(*by, F.explode(ranks).alias("rank"), "lo", "hi", F.lit(0).cast("long").alias("below"))
+    found = None
+    while True:
+        open_ranks = settle(open_ranks)
+        done = open_ranks.filter("lo = hi").select(*by, "rank", F.col("lo").cast("double").alias("__at"))
+        found = done if found is None else found.unionByName(done)
+        open_ranks = open_ranks.filter("lo < hi")
+        if not open_ranks.take(1):
+            break
+        # the ranges of a group are the same or do not touch, so a value meets at most one
+        ranges = small_side(open_ranks.select(*by, "lo", "hi", "below").distinct())
+        near = _with_keys(values, ranges, by, "inner").filter(F.col("__v").between(F.col("lo"), F.col("hi")))
+        width = (F.col("hi").cast("double") - F.col("lo").cast("double")) / F.lit(bins)
+        place = F.floor(F.try_divide(F.col("__v").cast("double") - F.col("lo").cast("double"), width)).cast("int")
+        cell = (
+            F.when(F.col("__v") == F.col("lo"), F.lit(-1))
+            .when(F.col("__v") == F.col("hi"), F.lit(bins + 1))
+            .otherwise(F.least(F.greatest(F.coalesce(place, F.lit(0)), F.lit(0)), F.lit(bins)))
+        )
+        counts = near.groupBy(*by, "lo", "hi", "below", cell.alias("cell")).agg(
+            F.count("*").alias("n"), F.min("__v").alias("cell_lo"), F.max("__v").alias("cell_hi")
+        )
+        # one window partition holds the cells of one range: at most bins + 3 rows
+        order = Window.partitionBy(*by, "lo").orderBy("cell")
+        start = F.col("below") + F.sum("n").over(order) - F.col("n")
+        cells = counts.withColumn("start", start).select(
+            *by, F.col("lo").alias("from_lo"), "start", (F.col("start") + F.col("n")).alias("stop"), "cell_lo", "cell_hi"
+        )
+        hit = _with_keys(open_ranks, cells, by, "inner").filter(
+            (F.col("from_lo") == F.col("lo")) & (F.col("rank") >= F.col("start")) & (F.col("rank") < F.col("stop"))
+        )
+        open_ranks = hit.select(
+            *by, "rank", F.col("cell_lo").alias("lo"), F.col("cell_hi").alias("hi"), F.col("start").alias("below")
+        )
+    at = found.groupBy(*by).agg(F.map_from_entries(F.collect_list(F.struct("rank", "__at"))).alias("at"))
+    picked = _with_keys(large.select(*by, "n"), at, by, "inner")
+    out = []
+    for p, name in zip(probs, names):
+        s = F.lit(float(p)) * (F.col("n") - 1)
+        lower, upper = F.element_at("at", F.floor(s)), F.element_at("at", F.ceil(s))
+        out.append((lower + (upper - lower) * (s - F.floor(s))).alias(name))
+    return picked.select(*by, *out)
