@@ -26,18 +26,37 @@ def filled_sql(template: str, values: dict[str, str]) -> str:
 
 # ---- profiles and prompts ----
 
-_SAMPLES = """WITH f AS (SELECT * FROM customer ORDER BY c_custkey LIMIT 2)
-SELECT 'customer' AS table_name, * FROM (
-  SELECT 'c_custkey' AS column_name, 0 AS position, 'bigint' AS data_type, string_agg(CAST(c_custkey AS VARCHAR), '|' ORDER BY c_custkey) AS samples FROM f
-  UNION ALL SELECT 'c_name', 1, 'string', string_agg(c_name, '|' ORDER BY c_custkey) FROM f
-  UNION ALL SELECT 'c_nationkey', 2, 'int', string_agg(CAST(c_nationkey AS VARCHAR), '|' ORDER BY c_custkey) FROM f
-  UNION ALL SELECT 'c_acctbal', 3, 'double', string_agg(CAST(c_acctbal AS VARCHAR), '|' ORDER BY c_custkey) FROM f
-  UNION ALL SELECT 'c_mktsegment', 4, 'string', string_agg(c_mktsegment, '|' ORDER BY c_custkey) FROM f)"""
+TABLES = {
+    "customer": {"c_custkey": "bigint", "c_name": "string", "c_nationkey": "int", "c_acctbal": "double", "c_mktsegment": "string"},
+    "supplier": {"s_suppkey": "bigint", "s_name": "string", "s_nationkey": "int", "s_acctbal": "double"},
+}
+
+
+def _samples_sql(name: str) -> str:
+    columns = TABLES[name]
+    key = next(iter(columns))
+    first = f"(SELECT * FROM {name} ORDER BY {key} LIMIT 2)"
+    return " UNION ALL ".join(
+        f"""SELECT '{name}' AS table_name, '{c}' AS column_name, {i} AS position, '{t}' AS data_type,
+        string_agg(CAST({c} AS VARCHAR), '|' ORDER BY {key}) AS samples FROM {first}"""
+        for i, (c, t) in enumerate(columns.items())
+    )
+
+
+_SAMPLES = " UNION ALL ".join(_samples_sql(name) for name in TABLES)
+
+
+def _profile_rows(spark, d):
+    out = None
+    for name, columns in TABLES.items():
+        found = profile.profile_table(table(spark, d, name), name, 2, list(columns)[:1])
+        out = found if out is None else out.unionByName(found)
+    return out
 
 
 @query("profile_table", _SAMPLES)
 def _(spark, d):
-    found = profile.profile_table(table(spark, d, "customer"), "customer", 2, ["c_custkey"])
+    found = _profile_rows(spark, d)
     return found.withColumn("sample_values", F.array_join("sample_values", "|")).withColumnRenamed("sample_values", "samples")
 
 
@@ -47,32 +66,41 @@ _PROFILE_JSON = f"""SELECT table_name, '[' || string_agg('{{"column_name":"' ||
 
 @query("profile_json", _PROFILE_JSON)
 def _(spark, d):
-    return profile.profile_json(profile.profile_table(table(spark, d, "customer"), "customer", 2, ["c_custkey"]))
+    return profile.profile_json(_profile_rows(spark, d))
+
+
+_HEAD = "(" + " UNION ALL ".join(
+    f"""SELECT '{name}' AS table_name, '{" | ".join(columns)}' || chr(10) ||
+    string_agg(concat_ws(' | ', {", ".join(columns)}), chr(10) ORDER BY {next(iter(columns))}) AS head_text
+    FROM (SELECT * FROM {name} ORDER BY {next(iter(columns))} LIMIT 2)"""
+    for name, columns in TABLES.items()
+) + ")"
 
 
-_HEAD = """(SELECT 'c_custkey | c_name | c_nationkey | c_acctbal | c_mktsegment' || chr(10) ||
-  string_agg(concat_ws(' | ', c_custkey, c_name, c_nationkey, c_acctbal, c_mktsegment), chr(10) ORDER BY c_custkey) AS head_text
-  FROM (SELECT * FROM customer ORDER BY c_custkey LIMIT 2))"""
+def _heads(spark, d):
+    out = None
+    for name, columns in TABLES.items():
+        head = profile.head_text(table(spark, d, name), 2, list(columns)[:1]).withColumn("table_name", F.lit(name))
+        out = head if out is None else out.unionByName(head)
+    return out
 
 
 @query("head_text", f"SELECT * FROM {_HEAD}")
 def _(spark, d):
-    return profile.head_text(table(spark, d, "customer"), 2, ["c_custkey"])
+    return _heads(spark, d)
 
 
 def _profiles(spark, d):
-    """What is known of the customer table, as one row."""
-    customer = table(spark, d, "customer")
-    columns = profile.profile_json(profile.profile_table(customer, "customer", 2, ["c_custkey"]))
-    head = profile.head_text(customer, 2, ["c_custkey"]).withColumn("table_name", F.lit("customer"))
-    return columns.join(head, "table_name")
+    """What is known of the two tables, as a row each."""
+    return profile.profile_json(_profile_rows(spark, d)).join(_heads(spark, d), "table_name")
 
 
 # questions of all kinds: the user turns, some of them worded as wishes for a plot
 _WORDED = """CASE conv_id % 4 WHEN 0 THEN 'Plot ' || text WHEN 1 THEN text || ' as a barplot'
   WHEN 2 THEN 'average depth in the "Plot" column ' || text ELSE text END"""
+_ABOUT = "CASE WHEN turn % 3 = 1 THEN 'customer' ELSE 'supplier' END"
 _KIND = "CASE WHEN conv_id % 4 < 2 THEN 'plot' ELSE 'general' END"
-_QUESTIONS = f"""(SELECT conv_id * 1000 + turn AS query_id, 'customer' AS table_name, {_WORDED} AS user_query,
+_QUESTIONS = f"""(SELECT conv_id * 1000 + turn AS query_id, {_ABOUT} AS table_name, {_WORDED} AS user_query,
   {_KIND} AS tagged_query_type, 'plots/' || conv_id || '.png' AS plot_filename, 'return df' AS code, conv_id FROM conversations WHERE role = 'user')"""
 
 
@@ -80,7 +108,7 @@ def questions(spark, d):
     talk = table(spark, d, "conversations").filter("role = 'user'")
     return talk.select(
         (F.col("conv_id") * 1000 + F.col("turn")).alias("query_id"),
-        F.lit("customer").alias("table_name"),
+        sql(_ABOUT).alias("table_name"),
         sql(_WORDED).alias("user_query"),
         sql(_KIND).alias("tagged_query_type"),
         sql("'plots/' || conv_id || '.png'").alias("plot_filename"),
@@ -90,7 +118,7 @@ def questions(spark, d):
 
 
 _KNOWN = {"question": "user_query", "head": "head_text", "columns": "column_text", "annotation": "''", "plan": "plan", "plot": "plot_filename"}
-_JOINED = f"{_QUESTIONS} q, ({_PROFILE_JSON}) p, {_HEAD} h"
+_JOINED = f"{_QUESTIONS} q JOIN ({_PROFILE_JSON}) p USING (table_name) JOIN {_HEAD} h USING (table_name)"
 
 
 @query(

@@ -156,7 +156,7 @@ def test_text_work_stays_in_the_jvm(spark, name):
     assert not [w for w in ("EvalPython", "InPandas", "InArrow", "PythonUDF") if w in plan]
 
 
-@pytest.mark.parametrize("name", sorted(set(QUERIES) - {"render_prompts"}))
+@pytest.mark.parametrize("name", sorted(QUERIES))
 def test_no_cross_joins_or_whole_table_windows(spark, name):
     plan = plan_of(QUERIES[name](spark, SMALL))
     assert "CartesianProduct" not in plan
