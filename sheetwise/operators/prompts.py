@@ -86,7 +86,7 @@ def code_template(strategy: str, mode: str) -> str:
 def _docstring_template(mode: str, infill: bool) -> str:
     """Code that stops inside ``solve``; the table is described in its docstring."""
     head = "\n".join([text.PYTHON_FENCE, *text.IMPORT_LINES, "", "", "def solve(df: pd.DataFrame):"])
-    doc = '\n    """ Answers the question: \'{question}\'.\n\n{head}\n{columns}\n    {annotation}\n    """\n    '
+    doc = '\n    """ Answers the question: \'{question}\'.\n\n{head}\n{columns}\n    {annotation}\n\n    ' + _FUNCTION_GOAL[mode] + '\n    """\n    '
     if infill:
         return head + doc + text.FILL_MARK + "\n    " + _DOC_END[mode] + "\n" + text.FENCE + "\n"
     return head + doc
