@@ -64,6 +64,11 @@ def _once(c: Column | str, fn: Callable[[Column], Column]) -> Column:
     return F.get(F.transform(F.array(c), fn), F.lit(0))
 
 
+def _ascii(c: Column) -> Column:
+    """Whether a text is plain ASCII, for which the cheaper ASCII classes do."""
+    return F.octet_length(c) == F.length(c)
+
+
 def _swap(c: Column, old: str, new: str) -> Column:
     return F.replace(c, F.lit(old), F.lit(new))
 
@@ -99,7 +104,8 @@ def cut_after_first_end(c: Column | str) -> Column:
             lambda k: F.when(k == "", c).when(k.contains(FENCE), F.concat(k, F.lit("\n" + FENCE))).otherwise(k),
         )
 
-    return _once(c, cut)
+    # a plain search first: most texts are spared the pattern
+    return _once(c, lambda x: F.when(any_of(x, ("return", "plt.show(", "plt.savefig(")), cut(x)).otherwise(x))
 
 
 def fenced_blocks(c: Column | str, lang_required: bool = True) -> Column:
@@ -109,17 +115,24 @@ def fenced_blocks(c: Column | str, lang_required: bool = True) -> Column:
     is taken to be code as a whole. Otherwise any fence counts. If nothing is
     found, ``[PYTHON]`` tags are tried.
     """
-    pattern = r"(?Us)```python\s*(.*?)\s*```" if lang_required else r"(?Us)```(?:python\s*)?(.*?)\s*```"
 
     def wrapped(c: Column) -> Column:
         whole = F.concat(F.lit(PYTHON_FENCE + "\n"), c, F.lit("\n" + FENCE))
         return F.when(c.contains(PYTHON_FENCE), c).otherwise(whole)
 
+    # the text between two fences is taken whole and trimmed after: the engine
+    # then looks for the closing fence alone, not for white space before it
+    def body(block: Column) -> Column:
+        bare = F.when(block.startswith("python"), lstrip(F.substr(block, F.lit(7)))).otherwise(block)
+        return F.rtrim(bare, F.lit(WHITE_SPACE))
+
     def found(c: Column) -> Column:
+        if lang_required:
+            blocks = F.transform(F.regexp_extract_all(c, F.lit(r"(?s)```python(.*?)```"), 1), strip)
+        else:
+            blocks = F.transform(F.regexp_extract_all(c, F.lit(r"(?s)```(.*?)```"), 1), body)
         tagged = F.regexp_extract_all(c, F.lit(r"(?s)\[PYTHON\](.*?)\[/PYTHON\]"), 1)
-        return _once(
-            F.regexp_extract_all(c, F.lit(pattern), 1), lambda blocks: F.when(F.size(blocks) > 0, blocks).otherwise(tagged)
-        )
+        return _once(blocks, lambda x: F.when(F.size(x) > 0, x).otherwise(tagged))
 
     return _once(_once(c, wrapped) if lang_required else c, found)
 
@@ -149,27 +162,53 @@ def join_blocks(blocks: Column) -> Column:
 
 def strip_table_reload(c: Column | str) -> Column:
     """Delete a call that reads the table from a file again."""
-    return F.regexp_replace(_col(c), r"(?Ud)df\s*=\s*pd\.read_csv\((.*?)\)", "")
+
+    def drop(c: Column) -> Column:
+        return F.when(c.contains("pd.read_csv("), F.regexp_replace(c, r"(?Ud)df\s*=\s*pd\.read_csv\((.*?)\)", "")).otherwise(c)
+
+    return _once(c, drop)
 
 
 def protect_table_name(c: Column | str) -> Column:
     """Keep code from making its own table: ``data`` is renamed, a new ``df`` is commented out."""
     renamed = _once(c, lambda x: F.when(x.contains("data=pd."), F.regexp_replace(x, r"(?U)\bdata\b", "df")).otherwise(x))
-    return F.regexp_replace(renamed, r"(?Ud)(?<![a-zA-Z0-9_-])df\s*=\s*pd\.DataFrame\((.*?)\)", TABLE_DEFINED)
+    pattern = r"(?Ud)(?<![a-zA-Z0-9_-])df\s*=\s*pd\.DataFrame\((.*?)\)"
+    return _once(
+        renamed, lambda x: F.when(x.contains("pd.DataFrame("), F.regexp_replace(x, pattern, TABLE_DEFINED)).otherwise(x)
+    )
 
 
 def drop_interactive_show(c: Column | str) -> Column:
     """Remove every ``plt.show()`` if one of them stands outside backticks."""
 
     def drop(c: Column) -> Column:
-        return F.when(c.rlike(r"(?<!`)plt\.show\(\)(?!`)"), _swap(c, "plt.show()", "")).otherwise(c)
+        bare = c.contains("plt.show()") & c.rlike(r"(?<!`)plt\.show\(\)(?!`)")
+        return F.when(bare, _swap(c, "plt.show()", "")).otherwise(c)
 
     return _once(c, drop)
 
 
+def _one_of(words: Sequence[str]) -> str:
+    """A pattern for any of the words; words with the same first letter share a branch."""
+    firsts = sorted({w[0] for w in words})
+    return "|".join(f"{a}(?:{'|'.join(w[1:] for w in words if w[0] == a)})" for a in firsts)
+
+
 def comment_forbidden(c: Column | str) -> Column:
-    """Comment out each line that holds a forbidden name as a whole word."""
-    return F.regexp_replace(_col(c), rf"(?Umd)^(.*\b(?:{'|'.join(FORBIDDEN)})\b.*)$", f"{NOT_ALLOWED}$1")
+    """Comment out each line that holds a forbidden name as a whole word.
+
+    Texts without such a name, usually nearly all, are searched once and left.
+    """
+    word = rf"(?U)\b(?:{_one_of(FORBIDDEN)})\b"
+
+    def mark(line: Column) -> Column:
+        return F.when(line.rlike(word), F.concat(F.lit(NOT_ALLOWED), line)).otherwise(line)
+
+    def marked(c: Column) -> Column:
+        lines = F.array_join(F.transform(F.split(c, "\n"), mark), "\n")
+        return F.when(c.rlike(word), lines).otherwise(c)
+
+    return _once(c, marked)
 
 
 def extract_code(
@@ -295,7 +334,8 @@ def escape_repr(c: Column | str) -> Column:
         )
         return F.when(x.rlike(_UNPRINTABLE), written).otherwise(x)
 
-    body = F.when(body.rlike(_UNPRINTABLE), F.array_join(F.transform(F.split(body, ""), shown), "")).otherwise(body)
+    odd = body.rlike("[^ -~]") & body.rlike(_UNPRINTABLE)
+    body = F.when(odd, F.array_join(F.transform(F.split(body, ""), shown), "")).otherwise(body)
     quote = F.when(double, F.lit('"')).otherwise(F.lit("'"))
     return F.concat(quote, body, quote)
 
@@ -365,7 +405,9 @@ def close_fence(c: Column | str) -> Column:
 
 def token_count(c: Column | str) -> Column:
     """Estimated tokens: runs of word characters and single other marks."""
-    return F.regexp_count(_col(c), F.lit(r"(?U)\w+|[^\w\s]"))
+    c = _col(c)
+    plain, wide = F.lit(r"\w+|[^\w\s]"), F.lit(r"(?U)\w+|[^\w\s]")
+    return F.when(_ascii(c), F.regexp_count(c, plain)).otherwise(F.regexp_count(c, wide))
 
 
 def strip_tags(html: Column | str) -> Column:

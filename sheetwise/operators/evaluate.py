@@ -21,7 +21,8 @@ def tag_question(c: Column | str) -> Column:
     see one. This is a word rule, not a model.
     """
     c = F.col(c) if isinstance(c, str) else c
-    bare = F.regexp_replace(c, _QUOTED, "$1 $2")
+    quoted = c.contains("'") | c.contains('"')
+    bare = F.when(quoted, F.regexp_replace(c, _QUOTED, "$1 $2")).otherwise(c)
     return F.when(bare.rlike(_DRAWING), F.lit("plot")).otherwise(F.lit("general"))
 
 
@@ -59,9 +60,16 @@ _DATE = r"\d{4}-\d{2}-\d{2}"
 _NUMBER = r"-?\d+(?:\.\d+)?"
 
 
+def _dates_in(c: Column) -> Column:
+    """The different dates of a text in order."""
+    none = F.array().cast("array<string>")
+    found = F.array_sort(F.array_distinct(F.regexp_extract_all(c, F.lit(_DATE), 0)))
+    return F.when(c.contains("-"), found).otherwise(none)
+
+
 def numbers_in(c: Column) -> Column:
     """All numbers of a text; dates do not count as numbers."""
-    bare = F.regexp_replace(c, _DATE, " ")
+    bare = F.when(c.contains("-"), F.regexp_replace(c, _DATE, " ")).otherwise(c)
     return F.transform(F.regexp_extract_all(bare, F.lit(_NUMBER), 0), lambda x: x.try_cast("double"))
 
 
@@ -79,24 +87,38 @@ def tolerant_match(correct: Column | str, answer: Column | str, eps: float = 0.0
     order. For a table, an answer that is a list of numbers must consist of
     numbers of the table. Without numbers, one text must contain the other.
     """
-    a = text.strip(correct)
-    b = F.coalesce(text.strip(answer), F.lit(""))
-    dates_a = F.array_sort(F.array_distinct(F.regexp_extract_all(a, F.lit(_DATE), 0)))
-    dates_b = F.array_sort(F.array_distinct(F.regexp_extract_all(b, F.lit(_DATE), 0)))
-    na, nb = numbers_in(a), numbers_in(b)
-    worded_a, worded_b = a.rlike("[A-Za-z]{2,}"), b.rlike("[A-Za-z]{2,}")
-    by_number = F.when(~worded_a, _each_near(na, nb, eps)).otherwise(
-        ~worded_b & (F.size(nb) > 0) & _each_near(nb, na, eps)
+    texts = F.struct(
+        text.strip(correct).alias("a"), F.coalesce(text.strip(answer), F.lit("")).alias("b")
     )
-    low_a, low_b = F.lower(a), F.lower(b)
-    by_text = (a != "") & (b != "") & (F.contains(low_b, low_a) | F.contains(low_a, low_b))
-    agree = (
-        F.when(a == b, F.lit(True))
-        .when(F.size(dates_a) > 0, dates_a == dates_b)
-        .when(F.size(na) > 0, by_number | (worded_a & by_text))
-        .otherwise(by_text)
-    )
-    return F.coalesce(agree, F.lit(False)).cast("int")
+
+    def judged(t: Column) -> Column:
+        parts = F.struct(
+            t["a"].alias("a"),
+            t["b"].alias("b"),
+            _dates_in(t["a"]).alias("dates_a"),
+            _dates_in(t["b"]).alias("dates_b"),
+            numbers_in(t["a"]).alias("na"),
+            numbers_in(t["b"]).alias("nb"),
+        )
+        return F.when(t["a"] == t["b"], F.lit(True)).otherwise(F.get(F.transform(F.array(parts), agree), F.lit(0)))
+
+    def agree(p: Column) -> Column:
+        a, b, na, nb = p["a"], p["b"], p["na"], p["nb"]
+        worded_a, worded_b = a.rlike("[A-Za-z]{2,}"), b.rlike("[A-Za-z]{2,}")
+        by_number = F.when(~worded_a, _each_near(na, nb, eps)).otherwise(
+            ~worded_b & (F.size(nb) > 0) & _each_near(nb, na, eps)
+        )
+        low_a, low_b = F.lower(a), F.lower(b)
+        by_text = (a != "") & (b != "") & (F.contains(low_b, low_a) | F.contains(low_a, low_b))
+        return (
+            F.when(F.size(p["dates_a"]) > 0, p["dates_a"] == p["dates_b"])
+            .when(F.size(na) > 0, by_number | (worded_a & by_text))
+            .otherwise(by_text)
+        )
+
+    # bound once: strip, dates and numbers are read by several rules
+    result = F.get(F.transform(F.array(texts), judged), F.lit(0))
+    return F.coalesce(result, F.lit(False)).cast("int")
 
 
 def score_tolerant(pairs: DataFrame, eps: float = 0.01) -> DataFrame:

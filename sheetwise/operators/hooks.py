@@ -75,9 +75,11 @@ def solve_groups(
     """
     keyed = df.dropna(subset=[key])
     large = hot_keys(keyed, [key], max_rows)
+    # Python time does not follow the bytes, so the partitions must not be merged by size
+    parts = int(df.sparkSession.conf.get("spark.sql.shuffle.partitions"))
     if large is None:
-        return keyed.groupBy(key).applyInPandas(solve, schema)
+        return keyed.repartition(parts, key).groupBy(key).applyInPandas(solve, schema)
     if spark_solve is None:
         raise ValueError(f"some tables have more than {max_rows} rows; give spark_solve for them")
-    small = keyed.join(large, key, "left_anti").groupBy(key).applyInPandas(solve, schema)
+    small = keyed.join(large, key, "left_anti").repartition(parts, key).groupBy(key).applyInPandas(solve, schema)
     return small.unionByName(spark_solve(keyed.join(large, key, "left_semi")))

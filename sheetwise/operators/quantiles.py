@@ -20,7 +20,8 @@ from pyspark.sql import functions as F
 from sheetwise.operators.scale import small_side
 from sheetwise.session import settle
 
-GROUP_ROWS = 1_000_000
+#: rows a group may have before its values are narrowed instead of held in memory
+GROUP_ROWS = 100_000
 BINS = 2048
 
 

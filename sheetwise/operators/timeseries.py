@@ -11,6 +11,7 @@ from collections.abc import Sequence
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from sheetwise.operators.quantiles import GROUP_ROWS as QUANTILE_ROWS
 from sheetwise.operators.quantiles import exact_quantiles
 from sheetwise.operators.scale import BLOCK_ROWS, GROUP_ROWS, block_window, framed
 
@@ -118,7 +119,7 @@ def resample(df: DataFrame, ts: str, rule: str, col: str, agg: str = "mean", nam
 
 
 def resample_quantile(
-    df: DataFrame, ts: str, rule: str, col: str, q: float, name: str = "value", group_rows: int = 1_000_000
+    df: DataFrame, ts: str, rule: str, col: str, q: float, name: str = "value", group_rows: int = QUANTILE_ROWS
 ) -> DataFrame:
     """Quantile of ``col`` per calendar bin that has rows."""
     binned = df.select(_bin(ts, rule).alias("bin"), col).filter(F.col("bin").isNotNull())
