@@ -12,7 +12,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from sheetwise.operators import stats
-from sheetwise.operators.ordering import bottom_k, top_k
+from sheetwise.operators.ordering import bottom_k, first_by_hash, top_k
 from sheetwise.operators.quantiles import exact_quantiles
 from sheetwise.operators.scale import hash_order
 
@@ -168,7 +168,8 @@ def bootstrap_stats(
     if pool < size:
         raise ValueError("the pool must not be smaller than a draw")
     present = df.select(F.col(col).cast("double").alias("v"), *key).filter("v is not null")
-    few = present.orderBy(hash_order(seed, key), *key).limit(pool)
+    inside = first_by_hash(present, pool, seed, key)
+    few = present if inside is None else present.filter(inside)
     drawn = few.withColumn("sample", F.explode(F.sequence(F.lit(1), F.lit(samples)))).withColumn(
         "luck", F.xxhash64(F.lit(seed), "sample", *key)
     )

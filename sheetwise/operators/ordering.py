@@ -68,40 +68,48 @@ def seeded_shuffle(df: DataFrame, seed: int, key: Sequence[str]) -> DataFrame:
     return df.orderBy(hash_order(seed, key), *key)
 
 
-def split_train_validation(
-    df: DataFrame, ratio: float, seed: int, key: Sequence[str]
-) -> tuple[DataFrame, DataFrame]:
-    """Disjoint (training, validation) parts with exactly ``int(n * ratio)`` validation rows.
+def first_by_hash(df: DataFrame, n: int, seed: int, key: Sequence[str]) -> Column | None:
+    """A predicate that picks exactly ``n`` rows by the hash of their key; None picks all.
 
-    A row's side follows from its key's hash. The hash that ends the
-    validation part is found by counting (``rank_values``), so no rows are
-    sorted or collected.
+    The hash that ends the picked part is found by counting (``rank_values``),
+    so no rows are sorted, collected or sent to one task.
     """
     h = hash_order(seed, key)
     hashes = df.select(h.alias("v"))
     ends = hashes.agg(F.count("*").alias("n"), F.min("v").alias("lo"), F.max("v").alias("hi")).first()
-    wanted = int(ends["n"] * ratio)
-    if wanted == 0:
-        return df, df.limit(0)
-    edge = rank_values(hashes, [wanted - 1], ends["lo"], ends["hi"])[wanted - 1]
+    if n <= 0:
+        return F.lit(False)
+    if n >= ends["n"]:
+        return None
+    edge = rank_values(hashes, [n - 1], ends["lo"], ends["hi"])[n - 1]
     at = hashes.agg(
         F.count_if(F.col("v") < F.lit(edge)).alias("below"), F.count_if(F.col("v") == F.lit(edge)).alias("equal")
     ).first()
-    inside = h <= F.lit(edge)
-    spare = at["below"] + at["equal"] - wanted
-    if spare:
-        # several keys share the last hash: their own order decides
-        tied = df.filter(h == F.lit(edge)).select(*key).orderBy(*key)
-        if at["equal"] > 1000:
-            raise ValueError("the key does not identify rows")
-        keys = tied.collect()[: wanted - at["below"]]
-        chosen = F.lit(False)
-        for row in keys:
-            same = F.lit(True)
-            for k in key:
-                same = same & F.col(k).eqNullSafe(F.lit(row[k]))
-            chosen = chosen | same
-        inside = (h < F.lit(edge)) | ((h == F.lit(edge)) & chosen)
+    if at["below"] + at["equal"] == n:
+        return h <= F.lit(edge)
+    # several keys share the last hash: their own order decides
+    if at["equal"] > 1000:
+        raise ValueError("the key does not identify rows")
+    chosen = F.lit(False)
+    for row in df.filter(h == F.lit(edge)).select(*key).orderBy(*key).collect()[: n - at["below"]]:
+        same = F.lit(True)
+        for k in key:
+            same = same & F.col(k).eqNullSafe(F.lit(row[k]))
+        chosen = chosen | same
+    return (h < F.lit(edge)) | ((h == F.lit(edge)) & chosen)
+
+
+def split_train_validation(
+    df: DataFrame, ratio: float, seed: int, key: Sequence[str]
+) -> tuple[DataFrame, DataFrame]:
+    """Disjoint (training, validation) parts with exactly ``int(n * ratio)`` validation rows.
+
+    A row's side follows from its key's hash, so both parts are plain filters
+    of the table.
+    """
+    inside = first_by_hash(df, int(df.count() * ratio), seed, key)
+    if inside is None:
+        return df.limit(0), df
     return df.filter(~inside), df.filter(inside)
 
 

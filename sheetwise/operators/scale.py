@@ -10,9 +10,10 @@ block carrying the few neighbouring rows its frames reach.
 
 from __future__ import annotations
 
+import itertools
 from collections.abc import Callable, Sequence
 
-from pyspark.sql import Column, DataFrame, SparkSession, Window, WindowSpec
+from pyspark.sql import Column, DataFrame, Window, WindowSpec
 from pyspark.sql import functions as F
 
 from sheetwise.session import settle
@@ -72,13 +73,13 @@ def row_index(df: DataFrame, order: Sequence[str], name: str = "row_index") -> D
         .withColumn("__place", F.monotonically_increasing_id().bitwiseAND(F.lit((1 << 33) - 1)))
     )
     placed = settle(placed)
-    counts = {r["__part"]: r["count"] for r in placed.groupBy("__part").count().collect()}
-    starts, total = [], 0
-    for part in range(max(counts, default=-1) + 1):
-        starts.append(total)
-        total += counts.get(part, 0)
-    start = F.element_at(F.array(*[F.lit(s).cast("long") for s in starts or [0]]), F.col("__part") + 1)
-    return placed.withColumn(name, start + F.col("__place")).drop("__part", "__place")
+    counts = sorted(tuple(r) for r in placed.groupBy("__part").count().collect())
+    starts = itertools.accumulate((n for _, n in counts), initial=0)
+    rows = [(part, start) for (part, _), start in zip(counts, starts)]
+    # one row per partition
+    offsets = F.broadcast(df.sparkSession.createDataFrame(rows, "__part int, __start long"))
+    at = (F.col("__start") + F.col("__place")).alias(name)
+    return placed.join(offsets, "__part").select(*[F.col(f"`{c}`") for c in df.columns], at)
 
 
 def block_window(
@@ -141,8 +142,3 @@ def framed(
 def hash_order(seed: int, key: Sequence[str]) -> Column:
     """A repeatable pseudo-random order that depends on the row's key only."""
     return F.xxhash64(F.lit(seed), *[F.col(k) for k in key])
-
-
-def local_rows(spark: SparkSession, rows: list, schema: str) -> DataFrame:
-    """A DataFrame from a few driver rows."""
-    return spark.createDataFrame(rows, schema)

@@ -8,12 +8,13 @@ from __future__ import annotations
 
 from collections.abc import Sequence
 
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from sheetwise.operators.quantiles import GROUP_ROWS as QUANTILE_ROWS
 from sheetwise.operators.quantiles import exact_quantiles
 from sheetwise.operators.scale import BLOCK_ROWS, GROUP_ROWS, block_window, framed
+from sheetwise.session import settle
 
 #: calendar rules: the unit whose start is a bin's label
 RULES = {"s": "SECOND", "min": "MINUTE", "h": "HOUR", "D": "DAY", "MS": "MONTH", "QS": "QUARTER", "YS": "YEAR"}
@@ -85,32 +86,42 @@ def lag_pairs(df: DataFrame, col: str, lag: int, order: Sequence[str], by: Seque
     return paired.filter(F.col("__has").isNotNull()).select(*by, *order, F.col(col).alias("y"), "y_lagged")
 
 
-def _bin(ts: str, rule: str):
+def _bin(ts: str, rule: str) -> Column:
+    """Start of the calendar bin, in wall-clock time: no time zone takes part."""
     if rule not in RULES:
         raise ValueError(f"unknown rule {rule!r}; known: {', '.join(RULES)}")
-    return F.date_trunc(RULES[rule], F.col(ts)).cast("timestamp_ntz")
+    t = F.col(ts)
+    day = F.to_date(t)
+    if rule in ("s", "min", "h"):
+        zero = F.lit(0)
+        minute = zero if rule == "h" else F.minute(t)
+        second = F.floor(F.second(t)) if rule == "s" else zero
+        return day.cast("timestamp_ntz") + F.make_dt_interval(zero, F.hour(t), minute, second)
+    if rule != "D":
+        day = F.trunc(day, RULES[rule])
+    return day.cast("timestamp_ntz")
 
 
 def resample(df: DataFrame, ts: str, rule: str, col: str, agg: str = "mean", name: str = "value") -> DataFrame:
     """One row per calendar bin: ``(bin_index, bin, value)``.
 
     Bins without rows are present, with a missing value (0 for sum and
-    count). The bins come from ``spark.range`` between the first and the last
-    one, so they are spread over tasks too, and ``bin_index`` is dense.
+    count). The table is read once; its bins are settled. The full calendar
+    comes from ``spark.range`` between the first and the last bin, so it is
+    spread over tasks too, and ``bin_index`` is dense.
     """
-    binned = df.filter(F.col(ts).isNotNull()).groupBy(_bin(ts, rule).alias("bin")).agg(AGGREGATES[agg](col).alias(name))
+    timed = df.filter(F.col(ts).isNotNull())
+    binned = settle(timed.groupBy(_bin(ts, rule).alias("bin")).agg(AGGREGATES[agg](col).alias(name)))
     unit = RULES[rule]
     ends = (
-        df.agg(F.min(ts).alias("a"), F.max(ts).alias("b"))
-        .select(F.date_trunc(unit, "a").cast("timestamp_ntz").alias("a"), F.date_trunc(unit, "b").cast("timestamp_ntz").alias("b"))
+        binned.agg(F.min("bin").alias("a"), F.max("bin").alias("b"))
         .select("a", F.timestamp_diff(unit, F.col("a"), F.col("b")).alias("n"))
         .first()
     )
-    spark = df.sparkSession
     n = 0 if ends["a"] is None else ends["n"] + 1
     step = F.expr(f"timestampadd({unit}, bin_index, start)")
     spine = (
-        spark.range(n)
+        df.sparkSession.range(n)
         .select(F.col("id").alias("bin_index"), F.lit(ends["a"]).cast("timestamp_ntz").alias("start"))
         .select("bin_index", step.alias("bin"))
     )

@@ -462,4 +462,4 @@ def _(spark, d):
 
 @query("bootstrap_stats")
 def _(spark, d):
-    return charts.bootstrap_stats(table(spark, d, "lineitem"), "l_extendedprice", ["l_orderkey", "l_linenumber", "l_partkey", "l_suppkey"], samples=100)
+    return charts.bootstrap_stats(table(spark, d, "orders"), "o_totalprice", ["o_orderkey"], samples=100)
