@@ -61,7 +61,7 @@ def set_index(df: DataFrame, key: str) -> DataFrame:
 
 def head(df: DataFrame, n: int, order: Sequence[str | Column]) -> DataFrame:
     """First ``n`` rows in the given order."""
-    return df.orderBy(*order).limit(n)
+    return scale.first_rows(df, n, order)
 
 
 def row_index(df: DataFrame, order: Sequence[str], name: str = "row_index") -> DataFrame:

@@ -8,7 +8,7 @@ import pandas as pd
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from sheetwise.operators.scale import hot_keys
+from sheetwise.operators.scale import hot_keys, with_keys
 
 Complete = Callable[[list[str]], list[str]]
 
@@ -73,7 +73,7 @@ def solve_groups(
     compute the same from a DataFrame that may hold several tables; without
     it they are an error.
     """
-    keyed = df.dropna(subset=[key])
+    keyed = with_keys(df, [key])
     large = hot_keys(keyed, [key], max_rows)
     # Python time does not follow the bytes, so the partitions must not be merged by size
     parts = int(df.sparkSession.conf.get("spark.sql.shuffle.partitions"))

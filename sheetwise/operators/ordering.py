@@ -8,7 +8,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from sheetwise.operators.quantiles import rank_values
-from sheetwise.operators.scale import hash_order
+from sheetwise.operators.scale import first_rows, hash_order
 
 
 def _missing_last(col: str, ascending: bool) -> Column:
@@ -52,7 +52,7 @@ def first_samples(df: DataFrame, n: int, order: Sequence[str | Column]) -> DataF
 
     ``n`` is a handful: the rows are cut to ``n`` before anything is gathered.
     """
-    few = df.orderBy(*order).limit(n).select(*[F.col(f"`{c}`").cast("string").alias(c) for c in df.columns])
+    few = first_rows(df, n, order).select(*[F.col(f"`{c}`").cast("string").alias(c) for c in df.columns])
     gathered = few.agg(*[F.collect_list(F.coalesce(F.col(f"`{c}`"), F.lit("null"))).alias(c) for c in df.columns])
     cells = [
         F.struct(

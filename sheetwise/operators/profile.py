@@ -8,6 +8,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from sheetwise.operators.ordering import first_samples
+from sheetwise.operators.scale import first_rows
 
 PROFILE = "table_name string, column_name string, position int, data_type string, sample_values array<string>"
 
@@ -55,7 +56,7 @@ def head_text(df: DataFrame, n: int, order: Sequence[str | Column], name: str =
     if n <= 0:
         return spark.createDataFrame([("",)], f"{name} string")
     cells = [F.coalesce(F.col(f"`{c}`").cast("string"), F.lit("NaN")) for c in df.columns]
-    lines = df.orderBy(*order).limit(n).select(F.concat_ws(" | ", *cells).alias("line"))
+    lines = first_rows(df, n, order).select(F.concat_ws(" | ", *cells).alias("line"))
     # n lines in order: a limit of an ordered table keeps its order
     body = F.array_join(F.collect_list("line"), "\n")
     return lines.agg(F.concat(F.lit(" | ".join(df.columns) + "\n"), body).alias(name))

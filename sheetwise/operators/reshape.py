@@ -12,12 +12,13 @@ from collections.abc import Mapping, Sequence
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from sheetwise.operators.scale import with_keys
 from sheetwise.operators.stats import multi_agg, named_aggregate
 
 
 def categories(df: DataFrame, col: str, max_values: int = 1000) -> list:
     """The sorted different values of a column."""
-    rows = df.select(col).dropna().distinct().take(max_values + 1)
+    rows = with_keys(df.select(col), [col]).distinct().take(max_values + 1)
     if len(rows) > max_values:
         raise ValueError(f"{col!r} has more than {max_values} values; group by it instead of making columns of it")
     return sorted(r[0] for r in rows)
@@ -27,7 +28,7 @@ def pivot_table(
     df: DataFrame, index: Sequence[str], columns: str, values: str, aggfunc: str = "mean", column_values=None
 ) -> DataFrame:
     """One row per index key, one column per category; missing keys are left out."""
-    kept = df.dropna(subset=[*index, columns])
+    kept = with_keys(df, [*index, columns])
     found = categories(kept, columns) if column_values is None else list(column_values)
     return kept.groupBy(*index).pivot(columns, found).agg(named_aggregate(aggfunc, values))
 
@@ -46,7 +47,7 @@ def melt(
 
 def crosstab(df: DataFrame, a: str, b: str, column_values=None) -> DataFrame:
     """Counts of ``a`` by ``b``, 0 where a pair does not occur."""
-    kept = df.dropna(subset=[a, b])
+    kept = with_keys(df, [a, b])
     found = categories(kept, b) if column_values is None else list(column_values)
     return kept.groupBy(a).pivot(b, found).agg(F.count(F.lit(1))).na.fill(0)
 

@@ -42,6 +42,32 @@ def small_side(df: DataFrame, rows: int = SMALL_ROWS) -> DataFrame:
     return F.broadcast(df) if is_small(df, rows) else df
 
 
+def with_keys(df: DataFrame, keys: Sequence[str]) -> DataFrame:
+    """Rows whose key cells are all present; the null test reaches the scan."""
+    kinds = dict(df.dtypes)
+    for k in keys:
+        df = df.filter(F.col(f"`{k}`").isNotNull())
+        if kinds[k] in ("double", "float"):
+            df = df.filter(~F.isnan(F.col(f"`{k}`")))
+    return df
+
+
+def first_rows(df: DataFrame, n: int, order: Sequence[str | Column]) -> DataFrame:
+    """The first ``n`` rows of a table.
+
+    When the order starts with a plain column, its n-th smallest value is
+    looked up from that column alone, and the rows are then read with a filter
+    that lets Parquet skip whole row groups.
+    """
+    lead = order[0]
+    if n > 0 and isinstance(lead, str) and len(df.columns) > 1:
+        edge = [r[0] for r in df.select(lead).orderBy(lead).take(n)]
+        if len(edge) == n:
+            c = F.col(lead)
+            df = df.filter(c.isNull() if edge[-1] is None else c.isNull() | (c <= F.lit(edge[-1])))
+    return df.orderBy(*order).limit(n)
+
+
 def hot_keys(df: DataFrame, by: Sequence[str], limit: int = GROUP_ROWS) -> DataFrame | None:
     """The keys that hold more than ``limit`` rows, or None when there are none.
 
@@ -130,7 +156,7 @@ def framed(
 
     if not by:
         return in_blocks(df)
-    keyed = df.dropna(subset=list(by))
+    keyed = with_keys(df, by)
     hot = hot_keys(keyed, by, group_rows)
     if hot is None:
         return build(keyed, Window.partitionBy(*by).orderBy(*order))

@@ -13,6 +13,7 @@ from pyspark.sql import functions as F
 
 from sheetwise.functions.text import token_count
 from sheetwise.operators.quantiles import exact_quantiles
+from sheetwise.operators.scale import with_keys
 
 #: functions that may be named in ``multi_agg`` and the reshape operators
 NAMED = {
@@ -83,13 +84,13 @@ def corr_matrix(df: DataFrame, cols: Sequence[str]) -> DataFrame:
 
 def group_stat(df: DataFrame, by: Sequence[str], cols: Sequence[str], fn: str) -> DataFrame:
     """One statistic per group and column; rows without a group key are left out."""
-    return df.dropna(subset=list(by)).groupBy(*by).agg(*[named_aggregate(fn, c).alias(f"{c}_{fn}") for c in cols])
+    return with_keys(df, by).groupBy(*by).agg(*[named_aggregate(fn, c).alias(f"{c}_{fn}") for c in cols])
 
 
 def multi_agg(df: DataFrame, spec: Mapping[str, Sequence[str]], by: Sequence[str] = ()) -> DataFrame:
     """Several statistics at once, named ``column_function``."""
     if by:
-        df = df.dropna(subset=list(by))
+        df = with_keys(df, by)
     return df.groupBy(*by).agg(*[named_aggregate(fn, c).alias(f"{c}_{fn}") for c, fns in spec.items() for fn in fns])
 
 
@@ -105,7 +106,7 @@ def summary(df: DataFrame, cols: Sequence[str], fns: Sequence[str] = ("max", "mi
 
 
 def value_counts(df: DataFrame, col: str, name: str = "count") -> DataFrame:
-    return df.dropna(subset=[col]).groupBy(col).agg(F.count("*").alias(name))
+    return with_keys(df, [col]).groupBy(col).agg(F.count("*").alias(name))
 
 
 def count_where(df: DataFrame, predicate: Column, name: str = "count") -> DataFrame:
@@ -147,7 +148,7 @@ def group_members(df: DataFrame, key: str, label: str, chunk: int = 65_536) -> D
     if dict(df.dtypes)[label] not in ("tinyint", "smallint", "int", "bigint"):
         raise ValueError(f"{label!r} is not a whole number; number the rows with row_index first")
     part = F.floor(F.col(label) / F.lit(chunk)).alias("chunk")
-    return df.dropna(subset=[key]).groupBy(key, part).agg(F.sort_array(F.collect_list(label)).alias("members"))
+    return with_keys(df, [key]).groupBy(key, part).agg(F.sort_array(F.collect_list(label)).alias("members"))
 
 
 def shape(df: DataFrame) -> DataFrame:

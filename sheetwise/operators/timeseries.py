@@ -171,7 +171,8 @@ def seasonal_decompose(
             total = total + (F.lag("observed", half).over(w) + F.lead("observed", half).over(w)) / 2
         return part.withColumn("trend", F.when(full, total / period))
 
-    trended = (
+    # read three times below, so settled
+    trended = settle(
         block_window(series, "bin_index", half, half, build, block_rows=block_rows)
         .withColumn("phase", F.pmod("bin_index", F.lit(period)))
         .withColumn("__rest", F.col("observed") - F.col("trend"))

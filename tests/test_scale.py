@@ -176,3 +176,22 @@ def test_filters_and_columns_reach_the_scan(small):
 def test_chained_text_functions_use_their_input_once(spark):
     df = spark.range(1).select(text.extract_code(F.concat(F.lit("x"), F.col("id").cast("string")), "local").alias("c"))
     assert plan_of(df).count("cast(id#") <= 1
+
+
+def test_first_rows(spark):
+    rows = [(3, "c"), (1, "b"), (None, "n"), (1, "a"), (2, "d")]
+    df = spark.createDataFrame(rows, "i int, s string")
+    for n in range(7):
+        expected = [tuple(r) for r in df.orderBy("i", "s").collect()][:n]
+        assert [tuple(r) for r in scale.first_rows(df, n, ["i", "s"]).collect()] == expected
+    assert [r["i"] for r in scale.first_rows(df, 2, [F.col("i").desc()]).collect()] == [3, 2]
+
+
+def test_head_filter_reaches_the_scan(small):
+    plan = scale.first_rows(small("orders"), 3, ["o_orderkey"])._jdf.queryExecution().executedPlan().toString()
+    assert "LessThanOrEqual(o_orderkey" in plan
+
+
+def test_missing_keys(spark):
+    df = spark.createDataFrame([(1.0,), (None,), (float("nan"),)], "k double")
+    assert rows_of(scale.with_keys(df, ["k"])) == [(1.0,)]
