@@ -233,11 +233,11 @@ def _(spark, d):
 
 @query(
     "pct_change",
-    f"SELECT event_id, user_id, round(value / nullif(lag(value, 1) {_W}, 0) - 1, 6) AS pct_change FROM events",
+    f"SELECT event_id, user_id, value / nullif(lag(value, 1) {_W}, 0) - 1 AS pct_change FROM events",
 )
 def _(spark, d):
     out = timeseries.pct_change(_events(spark, d), "value", ["ts", "event_id"], ["user_id"])
-    return rounded(out, 6, "pct_change").select("event_id", "user_id", "pct_change")
+    return out.select("event_id", "user_id", "pct_change")
 
 
 def _bins_sql(unit: str, agg: str, value: str, where: str = "") -> str:
