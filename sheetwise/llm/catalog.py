@@ -1,4 +1,4 @@
 """All queries of this subpackage; importing a module registers its query."""
 
-from sheetwise.llm import contamination, lines  # noqa: F401
+from sheetwise.llm import contamination, lines, simhash  # noqa: F401
 from sheetwise.llm.registry import ORACLES, QUERIES  # noqa: F401
