@@ -105,7 +105,7 @@ def near_links(values: DataFrame, radius: int, bucket_rows: int = 2_048) -> Data
         children = [(signed(m), signed(c)) for m in masks for c in finer(m, radius)]
         split = F.broadcast(spark.createDataFrame(children, "mask long, child long"))  # a few masks per level
         level = level.join(big, ["mask", "value"]).join(split, "mask")
-        level = settle(level.select("fp", F.col("child").alias("mask"), F.col("fp").bitwiseAND("child").alias("value")))
+        level = settle(level.select("fp", F.col("child").alias("mask"), F.col("fp").bitwiseAND(F.col("child")).alias("value")))
         masks = sorted({c for m in masks for c in finer(m, radius)})
     rows = functools.reduce(DataFrame.unionByName, parts)
     ordered = rows.repartition("mask", "value").sortWithinPartitions("mask", "value", "fp")
