@@ -70,7 +70,7 @@ def cell_sizes(rows: int, shards: int, cells: int) -> np.ndarray:
     return np.concatenate([even(int(n), cells) for n in even(rows, shards)]).astype(np.int64)
 
 
-def shuffle_into_shards(df: DataFrame, shards: int = 8, seed: int = 42, cell_rows: int = 32_768) -> DataFrame:
+def shuffle_into_shards(df: DataFrame, shards: int = 8, seed: int = 42, cell_rows: int = 16_384) -> DataFrame:
     """All rows of ``df`` in uniformly random order, with ``shard`` and a gapless ``slot`` from 0 in each.
 
     Shard sizes differ by one row at most. Each shard is cut into cells of up to ``cell_rows`` rows of exact
