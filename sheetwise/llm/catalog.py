@@ -1,4 +1,4 @@
 """All queries of this subpackage; importing a module registers its query."""
 
-from sheetwise.llm import archives, contamination, lines, packing, quality, sharding, simhash  # noqa: F401
+from sheetwise.llm import archives, contamination, lines, packing, passages, quality, sharding, simhash  # noqa: F401
 from sheetwise.llm.registry import ORACLES, QUERIES  # noqa: F401
