@@ -6,6 +6,7 @@ from dataclasses import dataclass
 
 import numpy as np
 import pyarrow as pa
+import xxhash
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
@@ -155,7 +156,7 @@ def apply_rules(
 
     ``base_failed``: fewer than 10 words, or more than a fifth of the words in repeated windows of five.
     An isolation forest over rates of the statistics scores the rest. It is fitted on at most ``trees`` *
-    ``subsample`` labelled rows, those with the smallest hash of their id; this bound is the only sample.
+    ``subsample`` labelled rows, chosen by a hash of their id; this bound is the only sample.
     The threshold is set on all labelled rows that pass the base rules: the score that maximises the share
     of bad rows (``quality`` 0) rejected less ``caution`` times the share of good rows rejected. A document is
     kept if it passes the base rules and scores below the threshold. Counts by score step and label are all
@@ -171,11 +172,14 @@ def apply_rules(
     marked = labels.filter(F.col(id_col).isNotNull() & F.col("quality").isin(0, 1)).select(F.col(id_col).cast("long").alias("id"), "quality")
     known = docs.select(row_id(id_col).alias("id"), statistics_of(text).alias("stats")).join(marked, "id").filter(~_failed(F.col("stats")))
     known = settle(known)
-    picked = known.orderBy(F.xxhash64(F.lit(seed), "id"), "id", *[f"stats.{f}" for f in FIELDS]).limit(trees * subsample).select("stats.*").collect()
+    bound = trees * subsample
+    share = min(1.0, 1.2 * bound / max(1, known.count()))
+    drawn = known.filter(F.pmod(F.xxhash64(F.lit(seed), "id"), F.lit(1 << 30)) < int(share * (1 << 30))).select("id", "stats.*").limit(2 * bound)
+    picked = [tuple(r)[1:] for r in sorted(drawn.collect(), key=lambda r: (xxhash.xxh64_intdigest(str(r["id"])), tuple(r)))][:bound]
     tagged = docs.select(*[F.col(f"`{c}`") for c in names], statistics_of(text).alias("stats")).withColumn("base_failed", _failed(F.col("stats")))
     if not picked:
         return tagged.withColumns({"score_step": F.lit(None).cast("int"), "kept": ~F.col("base_failed")})
-    forest = Forest.fit(features(np.array([tuple(r) for r in picked], np.float64)), trees, subsample, seed)
+    forest = Forest.fit(features(np.array(picked, np.float64)), trees, subsample, seed)
     step = _scorer(forest)
     counts = np.zeros((2, STEPS + 2))
     for r in known.groupBy(step("stats").alias("step"), "quality").count().collect():
