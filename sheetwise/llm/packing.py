@@ -8,6 +8,7 @@ from collections.abc import Iterator
 import numpy as np
 import public_tokenizers
 import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark import TaskContext
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
@@ -15,6 +16,8 @@ from pyspark.sql import functions as F
 from sheetwise.llm.registry import query, table
 from sheetwise.llm.tokens import Encoder
 
+#: characters encoded at once
+ENCODE_CHARS = 2_000_000
 PIECE = "doc_id long, start long, length long, doc_tokens long, sequence_id long, offset long, ids binary"
 
 
@@ -136,9 +139,9 @@ def pack_documents(
         ids, tokens, held = [], [], 0
         for batch in batches:
             column, texts, low = batch.column(0).to_pylist(), batch.column(1), 0
-            sizes = np.cumsum(np.array([len(t) for t in texts.to_pylist()]))
-            while low < len(column):  # some millions of characters at once
-                high = max(low + 1, int(np.searchsorted(sizes, (sizes[low - 1] if low else 0) + 8_000_000, side="right")))
+            sizes = np.cumsum(pc.utf8_length(texts).to_numpy(zero_copy_only=False))
+            while low < len(column):
+                high = max(low + 1, int(np.searchsorted(sizes, (sizes[low - 1] if low else 0) + ENCODE_CHARS, side="right")))
                 for i, found in zip(column[low:high], encoder.encode(texts.slice(low, high - low))):
                     ids.append(i)
                     tokens.append(np.append(found, np.uint32(end_id)))
