@@ -41,22 +41,33 @@ def record(kind: str, fields: list[tuple[str, str]], block: bytes) -> bytes:
     return gzip.compress(raw, 6, mtime=0)
 
 
-def page_record(page: int, url: str | None, payload: bytes, first: int | None, date: str) -> bytes:
-    name = lambda p, digest: f"<urn:uuid:{uuid.uuid5(SPACE, f'{p} {digest}')}>"
-    digest = digest32(payload)
-    http = f"HTTP/1.1 200 OK\r\nContent-Type: text/html; charset=utf-8\r\nContent-Length: {len(payload)}\r\n\r\n".encode()
-    fields = [("WARC-Record-ID", name(page, digest)), ("WARC-Date", date)]
+def _page_fields(page: int, url: str | None, digest: str, date: str) -> list[tuple[str, str]]:
+    fields = [("WARC-Record-ID", _name(page, digest)), ("WARC-Date", date)]
     if url is not None:
         fields.append(("WARC-Target-URI", re.sub(r"[\x00-\x20\x7f]", lambda m: f"%{ord(m[0]):02X}", url)))
     if page != NO_ID:
         fields.append(("X-Page-ID", str(page)))
-    fields += [("Content-Type", "application/http; msgtype=response"), ("WARC-Payload-Digest", f"sha1:{digest}")]
-    if first is None:
-        return record("response", fields, http + payload)
-    fields += [("WARC-Refers-To", name(first, digest)), ("WARC-Profile", "http://netpreserve.org/warc/1.1/revisit/identical-payload-digest")]
+    return [*fields, ("Content-Type", "application/http; msgtype=response"), ("WARC-Payload-Digest", f"sha1:{digest}")]
+
+
+def _name(page: int, digest: str) -> str:
+    return f"<urn:uuid:{uuid.uuid5(SPACE, f'{page} {digest}')}>"
+
+
+def _http(size: int) -> bytes:
+    return f"HTTP/1.1 200 OK\r\nContent-Type: text/html; charset=utf-8\r\nContent-Length: {size}\r\n\r\n".encode()
+
+
+def response_record(page: int, url: str | None, payload: bytes, date: str) -> bytes:
+    return record("response", _page_fields(page, url, digest32(payload), date), _http(len(payload)) + payload)
+
+
+def revisit_record(page: int, url: str | None, digest: str, size: int, first: int, date: str) -> bytes:
+    fields = _page_fields(page, url, digest, date)
+    fields += [("WARC-Refers-To", _name(first, digest)), ("WARC-Profile", "http://netpreserve.org/warc/1.1/revisit/identical-payload-digest")]
     if first != NO_ID:
         fields.append(("X-Refers-To-Page-ID", str(first)))
-    return record("revisit", fields, http)
+    return record("revisit", fields, _http(size))
 
 
 def write_archives(
@@ -95,10 +106,22 @@ def write_archives(
     again = narrow.select("page", "digest").join(firsts, "digest").filter(F.col("page") > F.col("first")).select("page", "digest", "first").distinct()
     total = narrow.agg(F.coalesce(F.sum("size"), F.lit(0))).first()[0]
     parts = max(1, math.ceil(total / part_bytes))
-    tagged = rows.join(again, ["page", "digest"], "left").select("page", "url", "payload", "first", "digest")
+
+    def compress(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            for start in range(0, batch.num_rows, 256):
+                part = batch.slice(start, 256)
+                page, url, body = (part.column(c).to_pylist() for c in ("page", "url", "payload"))
+                members = pa.array([response_record(*r, date) for r in zip(page, url, body)], pa.binary())
+                size = pa.array([len(b) for b in body], pa.int64())
+                yield pa.RecordBatch.from_arrays([part.column("page"), part.column("url"), part.column("digest"), size, members], names=["page", "url", "digest", "size", "member"])
+
+    # only compressed records are shuffled
+    ready = rows.mapInArrow(compress, "page long, url string, digest string, size long, member binary")
+    tagged = ready.join(again, ["page", "digest"], "left")
     order = ["page", "digest", F.coalesce("url", F.lit(""))]
     placed = tagged.repartitionByRange(parts, *order).sortWithinPartitions(*order)
-    numbered = placed.select(F.spark_partition_id().alias("part"), "page", "url", "payload", "first")
+    numbered = placed.select(F.spark_partition_id().alias("part"), "page", "url", "digest", "size", "member", "first")
 
     def write(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         system, path = store(folder)
@@ -110,7 +133,7 @@ def write_archives(
             done.append((name, temporary, records, size, seen.hexdigest()))
 
         for batch in batches:
-            for part, page, url, body, first in zip(*(c.to_pylist() for c in batch.columns)):
+            for part, page, url, digest, length, member, first in zip(*(c.to_pylist() for c in batch.columns)):
                 if out is None:
                     name = f"part-{part:06d}-{len(done):06d}.warc.gz"
                     temporary = f"_temporary/{uuid.uuid4()}.warc.gz"
@@ -119,7 +142,8 @@ def write_archives(
                     out.write(info)
                     seen.update(info)
                     size += len(info)
-                member = page_record(page, url, body, first, date)
+                if first is not None:
+                    member = revisit_record(page, url, base64.b32encode(bytes.fromhex(digest)).decode(), length, first, date)
                 out.write(member)
                 seen.update(member)
                 records, size = records + 1, size + len(member)
