@@ -11,7 +11,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from sheetwise.llm.registry import query, table
-from sheetwise.llm.text import LOWER, UPPER
+from sheetwise.llm.text import LOWER, UPPER, rows_kept
 from sheetwise.session import settle
 
 #: every ASCII byte that is no letter or digit ends a word; A-Z become a-z
@@ -19,6 +19,7 @@ WORD_BYTES = bytes(
     c if c >= 0x80 or 0x30 <= c <= 0x39 or 0x61 <= c <= 0x7A else LOWER.encode()[UPPER.encode().index(c)] if 0x41 <= c <= 0x5A else 0x20
     for c in range(256)
 )
+MADE = ["n_words", "n_hit", "hit_spans", "items", "contaminated"]
 FOUND = "struct<n_words:bigint,spans:array<struct<start:bigint,end:bigint>>,items:array<string>>"
 FOUND_ARROW = pa.struct(
     [("n_words", pa.int64()), ("spans", pa.list_(pa.struct([("start", pa.int64()), ("end", pa.int64())]))), ("items", pa.list_(pa.string()))]
@@ -137,8 +138,7 @@ def find_contamination(
     windows = settle(item_windows(benchmark, window, item_col, item_text_col))
     blocks = max(1, math.ceil(windows.count() / block_windows))
     windows = windows.withColumn("block", F.pmod(F.xxhash64("window", "item"), F.lit(blocks)))
-    made = ["n_words", "n_hit", "hit_spans", "items", "contaminated"]
-    names = [c for c in docs.columns if c.lower() not in made]
+    names = [c for c in docs.columns if c.lower() not in MADE]
     rows = docs.select(*[F.col(f"`{c}`") for c in names], F.lit(None).cast(FOUND).alias("__found"))
     for block in range(blocks):
         pairs = [tuple(r) for r in windows.filter(F.col("block") == block).select("window", "item").collect()]
@@ -160,8 +160,7 @@ def find_contamination(
 
 def drop_contaminated(docs: DataFrame, benchmark: DataFrame, **kw) -> DataFrame:
     """The documents in which no test string occurs, with the columns they came with."""
-    tagged = find_contamination(docs.withColumn("__row", F.struct(*[F.col(f"`{c}`") for c in docs.columns])), benchmark, **kw)
-    return tagged.filter(~F.col("contaminated")).select("__row.*")
+    return rows_kept(docs, lambda d: find_contamination(d, benchmark, **kw).filter(~F.col("contaminated")), MADE)
 
 
 CONTAMINATION_SQL = r"""

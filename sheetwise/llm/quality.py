@@ -11,7 +11,7 @@ from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from sheetwise.llm.registry import query, table
-from sheetwise.llm.text import SPACE, row_id
+from sheetwise.llm.text import SPACE, row_id, rows_kept
 from sheetwise.session import settle
 
 # What counts as a symbol, and the ASCII punctuation.
@@ -23,6 +23,7 @@ NOT_COUNTED = SPACE.encode() + bytes(range(0x80, 0xC0))
 BASE = ["n_words", "word_chars", "n_symbols", "n_dup_lines", "n_repeat_words"]
 FIELDS = [*BASE, "n_punctuation", "n_distinct_words"]
 STATS = f"struct<{','.join(f'{f}:bigint' for f in FIELDS)}>"
+MADE = ["stats", "base_failed", "score_step", "kept"]
 #: words whose windows are repeated are found in windows of so many
 WINDOW = 5
 
@@ -166,8 +167,7 @@ def apply_rules(
     document count each; without labelled rows of both kinds only the base rules decide; repeated rows are
     judged alike; input columns named like a result are replaced.
     """
-    made = ["stats", "base_failed", "score_step", "kept"]
-    names = [c for c in docs.columns if c.lower() not in made]
+    names = [c for c in docs.columns if c.lower() not in MADE]
     text = F.col(f"`{text_col}`")
     marked = labels.filter(F.col(id_col).isNotNull() & F.col("quality").isin(0, 1)).select(F.col(id_col).cast("long").alias("id"), "quality")
     known = docs.select(row_id(id_col).alias("id"), statistics_of(text).alias("stats")).join(marked, "id").filter(~_failed(F.col("stats")))
@@ -195,8 +195,7 @@ def apply_rules(
 
 def keep_good(docs: DataFrame, labels: DataFrame, **kw) -> DataFrame:
     """The documents that the rules keep, with the columns they came with."""
-    row = docs.withColumn("__row", F.struct(*[F.col(f"`{c}`") for c in docs.columns]))
-    return apply_rules(row, labels, **kw).filter("kept").select("__row.*")
+    return rows_kept(docs, lambda d: apply_rules(d, labels, **kw).filter("kept"), MADE)
 
 
 @query("op3_quality_forest")

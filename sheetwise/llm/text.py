@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+from collections.abc import Callable, Sequence
+
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
@@ -27,3 +29,11 @@ def without(df: DataFrame, *names: str) -> list[Column]:
     """The columns of ``df`` that do not carry one of these names (in any case)."""
     taken = {n.lower() for n in names}
     return [F.col(f"`{c}`") for c in df.columns if c.lower() not in taken]
+
+
+def rows_kept(docs: DataFrame, judge: Callable[[DataFrame], DataFrame], made: Sequence[str]) -> DataFrame:
+    """The rows that ``judge`` keeps with the columns they came with, also those named like a result in ``made``."""
+    clash = [c for c in docs.columns if c.lower() in made]
+    carried = docs.withColumn("__row", F.struct(*[F.col(f"`{c}`") for c in clash])) if clash else docs
+    same = [F.col(f"__row.`{c}`").alias(c) if c in clash else F.col(f"`{c}`") for c in docs.columns]
+    return judge(carried).select(*same)
