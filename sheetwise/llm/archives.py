@@ -106,34 +106,26 @@ def write_archives(
     again = narrow.select("page", "digest").join(firsts, "digest").filter(F.col("page") > F.col("first")).select("page", "digest", "first").distinct()
     total = narrow.agg(F.coalesce(F.sum("size"), F.lit(0))).first()[0]
     parts = max(1, math.ceil(total / part_bytes))
-
-    def compress(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in batches:
-            for start in range(0, batch.num_rows, 256):
-                part = batch.slice(start, 256)
-                page, url, body = (part.column(c).to_pylist() for c in ("page", "url", "payload"))
-                members = pa.array([response_record(*r, date) for r in zip(page, url, body)], pa.binary())
-                size = pa.array([len(b) for b in body], pa.int64())
-                yield pa.RecordBatch.from_arrays([part.column("page"), part.column("url"), part.column("digest"), size, members], names=["page", "url", "digest", "size", "member"])
-
-    # only compressed records are shuffled
-    ready = rows.mapInArrow(compress, "page long, url string, digest string, size long, member binary")
-    tagged = ready.join(again, ["page", "digest"], "left")
-    order = ["page", "digest", F.coalesce("url", F.lit(""))]
-    placed = tagged.repartitionByRange(parts, *order).sortWithinPartitions(*order)
-    numbered = placed.select(F.spark_partition_id().alias("part"), "page", "url", "digest", "size", "member", "first")
+    # a page that revisits another is preceded by a row that says so: it lies in the same range
+    role = again.select("page", "digest", F.lit(0).alias("kind"), "first", F.lit(None).cast("string").alias("url"), F.lit(None).cast("binary").alias("payload"))
+    page = rows.select("page", "digest", F.lit(1).alias("kind"), F.lit(None).cast("long").alias("first"), "url", "payload")
+    placed = role.unionByName(page).repartitionByRange(parts, "page", "digest").sortWithinPartitions("page", "digest", "kind", "url")
+    numbered = placed.select(F.spark_partition_id().alias("part"), "page", "digest", "kind", "first", "url", "payload")
 
     def write(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         system, path = store(folder)
         system.create_dir(f"{path}/_temporary", recursive=True)
-        done, out, seen = [], None, None
+        done, out, seen, revisit = [], None, None, None
 
         def close():
             out.close()
             done.append((name, temporary, records, size, seen.hexdigest()))
 
         for batch in batches:
-            for part, page, url, digest, length, member, first in zip(*(c.to_pylist() for c in batch.columns)):
+            for part, page, digest, kind, first, url, payload in zip(*(c.to_pylist() for c in batch.columns)):
+                if kind == 0:
+                    revisit = page, digest, first
+                    continue
                 if out is None:
                     name = f"part-{part:06d}-{len(done):06d}.warc.gz"
                     temporary = f"_temporary/{uuid.uuid4()}.warc.gz"
@@ -142,8 +134,10 @@ def write_archives(
                     out.write(info)
                     seen.update(info)
                     size += len(info)
-                if first is not None:
-                    member = revisit_record(page, url, base64.b32encode(bytes.fromhex(digest)).decode(), length, first, date)
+                if revisit and revisit[:2] == (page, digest):
+                    member = revisit_record(page, url, digest32(payload), len(payload), revisit[2], date)
+                else:
+                    member = response_record(page, url, payload, date)
                 out.write(member)
                 seen.update(member)
                 records, size = records + 1, size + len(member)
