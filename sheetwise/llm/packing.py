@@ -17,7 +17,7 @@ from sheetwise.llm.registry import query, table
 from sheetwise.llm.tokens import Encoder
 
 #: characters encoded at once
-ENCODE_CHARS = 2_000_000
+ENCODE_CHARS = 1_000_000
 PIECE = "doc_id long, start long, length long, doc_tokens long, sequence_id long, offset long, ids binary"
 
 
@@ -150,6 +150,7 @@ def pack_documents(
                         yield packed(ids, tokens)
                         ids, tokens, held = [], [], 0
                 low = high
+                pa.default_memory_pool().release_unused()
         if ids:
             yield packed(ids, tokens)
 

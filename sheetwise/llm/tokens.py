@@ -3,6 +3,8 @@
 from __future__ import annotations
 
 import base64
+import functools
+import json
 
 import numpy as np
 import pyarrow as pa
@@ -25,14 +27,20 @@ class Encoder:
     """
 
     def __init__(self, tokenizer_path: str, ranks_path: str, pattern: str):
-        self.tokenizer = Tokenizer.from_file(tokenizer_path)
-        self.special = [t.content for t in self.tokenizer.get_added_tokens_decoder().values()]
+        self.path = tokenizer_path
+        with open(tokenizer_path, encoding="utf-8") as file:
+            self.special = [t["content"] for t in json.load(file)["added_tokens"]]
         ranks = {base64.b64decode(a): int(b) for a, b in map(bytes.split, open(ranks_path, "rb"))}
         self.fast = tiktoken.Encoding("pieces", pat_str=pattern, mergeable_ranks=ranks, special_tokens={})
         self.width = np.zeros(max(ranks.values()) + 1, np.int64)
         for token, i in ranks.items():
             self.width[i] = len(token)
 
+    @functools.cached_property
+    def tokenizer(self) -> Tokenizer:
+        """Read when a text needs it: it takes up much memory."""
+        return Tokenizer.from_file(self.path)
+
     def _distinct(self, pieces: pa.Array) -> tuple[np.ndarray, np.ndarray]:
         """The ids of the distinct pieces one after another, and where each begins (and the last ends)."""
         joined = pc.and_(pc.starts_with(pieces, " "), pc.invert(pc.match_substring_regex(pieces, SPACE)))
