@@ -64,10 +64,13 @@ def statistics(text: str | None) -> tuple[int, ...]:
     )
 
 
-@F.arrow_udf(STATS)
-def statistics_of(texts: pa.Array) -> pa.Array:
-    rows = [statistics(t.as_py()) for t in texts]
-    return pa.StructArray.from_arrays([pa.array([r[i] for r in rows], pa.int64()) for i in range(len(FIELDS))], names=FIELDS)
+def statistics_of(text: Column) -> Column:
+    @F.arrow_udf(STATS)
+    def each(texts: pa.Array) -> pa.Array:
+        rows = [statistics(t.as_py()) for t in texts]
+        return pa.StructArray.from_arrays([pa.array([r[i] for r in rows], pa.int64()) for i in range(len(FIELDS))], names=FIELDS)
+
+    return each(text)
 
 
 def features(stats: np.ndarray) -> np.ndarray:
