@@ -119,6 +119,17 @@ def find_runs(docs: DataFrame, window: int, wider: int) -> DataFrame:
     return docs.mapInArrow(cut, RUN_ROW)
 
 
+def texts_of(docs: DataFrame, spans: DataFrame, few: int = 500_000) -> DataFrame:
+    """The documents that have ``spans``, joined to them.
+
+    Up to ``few`` of them (counted) are first sought by a broadcast of their two numbers, so that
+    only their texts are shuffled.
+    """
+    if spans.count() <= few:
+        docs = docs.join(F.broadcast(spans.select("id", "hash")), ["id", "hash"], "left_semi")
+    return docs.join(spans, ["id", "hash"])
+
+
 def shared_runs(docs: DataFrame, window: int, route_bodies: int) -> tuple[DataFrame, DataFrame]:
     """The runs whose route leads to more than one document, and their different bodies with ``kinds`` per route.
 
@@ -128,7 +139,9 @@ def shared_runs(docs: DataFrame, window: int, route_bodies: int) -> tuple[DataFr
     todo, runs, bodies = docs, [], []
     for wider in WIDER:
         all_runs = stored(find_runs(todo, window, wider))
-        several = all_runs.groupBy("route").agg(F.min("id").alias("low"), F.max("id").alias("high")).filter("low < high").select("route")
+        ends = all_runs.groupBy("route").agg(F.min("id").alias("low"), F.max("id").alias("high"))
+        # written first: a join of two plain exchanges can be split where one route is hot
+        several = stored(ends.filter("low < high").select("route"))
         level = stored(all_runs.join(several, "route", "left_semi"))
         first = F.min(F.struct("id", "hash", "at", "n")).alias("first")
         kinds = stored(level.groupBy("route", "body").agg(first))
@@ -141,7 +154,7 @@ def shared_runs(docs: DataFrame, window: int, route_bodies: int) -> tuple[DataFr
         runs.append(level.join(crowded, "route", "left_anti"))
         bodies.append(kinds.join(routes.join(crowded, "route", "left_anti"), "route"))
         spans = level.join(crowded, "route", "left_semi").groupBy("id", "hash").agg(F.collect_set(F.struct("at", "n")).alias("spans"))
-        todo = docs.join(spans, ["id", "hash"])
+        todo = texts_of(docs, stored(spans))
     out = runs[0], bodies[0]
     for pair in zip(runs[1:], bodies[1:]):
         out = tuple(a.unionByName(b) for a, b in zip(out, pair))
@@ -166,7 +179,7 @@ def smallest_holders(docs: DataFrame, bodies: DataFrame, window: int, shard_word
                     rows.append((s["route"], s["body"], owner, b" ".join(words[s["at"] : s["at"] + s["n"] + window - 1])))
             yield pa.RecordBatch.from_arrays([pa.array([r[i] for r in rows], pa.binary() if i == 3 else pa.int64()) for i in range(4)], names=names)
 
-    cuts = docs.join(spans, ["id", "hash"]).select("id", "text", "spans").mapInArrow(cut, "route long, body long, owner long, words binary")
+    cuts = texts_of(docs, stored(spans)).select("id", "text", "spans").mapInArrow(cut, "route long, body long, owner long, words binary")
 
     def search(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         def index(rows: list[tuple]) -> pa.RecordBatch:
