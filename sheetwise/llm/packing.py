@@ -14,7 +14,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from sheetwise.llm.registry import query, table
-from sheetwise.llm.tokens import Encoder
+from sheetwise.llm.tokens import encoder_of_process
 
 #: characters encoded at once
 ENCODE_CHARS = 1_000_000
@@ -118,7 +118,7 @@ def pack_documents(
     rows = rows.withColumn("key", F.xxhash64("id", "text"))
 
     def pack(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        encoder = Encoder(tokenizer_path, ranks_path, pattern)
+        encoder = encoder_of_process(tokenizer_path, ranks_path, pattern)
         sequence, at = TaskContext.get().partitionId() << 33, 0
         names = [c.split()[0] for c in PIECE.split(", ")]
 
@@ -127,7 +127,7 @@ def pack_documents(
             out: list[tuple] = []
             for d in chain(tokens, length, length - at):
                 mine, start = tokens[d], 0
-                raw = memoryview(mine.astype("<u4").tobytes())
+                raw = mine.astype("<u4").tobytes()  # bytes: arrays of memoryviews are never freed by Arrow
                 while start < len(mine):
                     n = min(length - at, len(mine) - start)
                     out.append((ids[d], start, n, len(mine), sequence, at, raw[4 * start : 4 * (start + n)]))

@@ -5,6 +5,7 @@ from __future__ import annotations
 import base64
 import functools
 import json
+import sys
 
 import numpy as np
 import pyarrow as pa
@@ -89,3 +90,14 @@ class Encoder:
         for i, low, high in zip(np.flatnonzero(plain).tolist(), cuts[:-1].tolist(), cuts[1:].tolist()):
             out[i] = flat[low:high]
         return out
+
+
+def encoder_of_process(*files: str) -> Encoder:
+    """The encoder of this process: one for all tasks that a Python worker runs.
+
+    It hangs on the ``sys`` module, since a task brings its own copy of this one.
+    """
+    made = sys.__dict__.setdefault("_sheetwise_encoders", {})
+    if files not in made:
+        made[files] = Encoder(*files)
+    return made[files]
