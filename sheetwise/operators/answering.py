@@ -8,15 +8,18 @@ jobs; text is never executed as Python.
 from __future__ import annotations
 
 import itertools
+import uuid
 from collections.abc import Callable, Iterable, Sequence
+from concurrent.futures import ThreadPoolExecutor
 
 from pyspark.errors import PySparkException
 from pyspark.sql import DataFrame, Row
 from pyspark.sql import functions as F
 
 from sheetwise.functions import text
+from sheetwise.operators.cleaning import non_blank_queries
 from sheetwise.operators.evaluate import tag_question
-from sheetwise.session import settle
+from sheetwise.session import checkpoint_folder, settle
 from sheetwise.sources.registry import TableRegistry
 from sheetwise.sources.results import DETAIL, write_results
 
@@ -31,15 +34,50 @@ def _plan_of(registry: TableRegistry, table: str, candidate: Candidate) -> DataF
 
 
 def _message(e: Exception) -> str:
-    """Kind and first line of an error."""
+    """Kind and whole text of an error, which a repair needs."""
     words = e.getMessage() if isinstance(e, PySparkException) else str(e)
-    lines = (words or "").strip().split("\n")
-    return f"{type(e).__name__}: {lines[0]}"
+    return f"{type(e).__name__}: {(words or '').strip()}"
 
 
-def preview(df: DataFrame, rows: int = 20) -> str:
-    """The first rows of a result as JSON lines."""
-    return "\n".join(r[0] for r in df.select(F.to_json(F.struct("*"))).take(rows))
+ANSWER_ROWS = "run_id string, query_id long, row long, line string"
+
+#: bytes of an answer that are kept in its detail row; the answer table has all of it
+DETAIL_BYTES = 1 << 20
+
+
+def answer_lines(result: DataFrame, run_id: str, query_id: int | None) -> DataFrame:
+    """A result as rows ``(run_id, query_id, row, line)``: every row as a JSON line, numbered in the result's order."""
+    placed = result.select(F.to_json(F.struct("*"), {"ignoreNullFields": "false"}).alias("line")).withColumns(
+        {"part": F.spark_partition_id(), "place": F.monotonically_increasing_id()}
+    )
+    sizes = [tuple(r) for r in placed.groupBy("part").count().orderBy("part").collect()]  # one row per partition
+    starts = itertools.accumulate((n for _, n in sizes), initial=0)
+    offsets = result.sparkSession.createDataFrame([(p, s) for (p, _), s in zip(sizes, starts)], "part int, start long")
+    row = F.col("start") + F.col("place").bitwiseAND(F.lit((1 << 33) - 1))
+    numbered = placed.join(F.broadcast(offsets), "part")
+    return numbered.select(F.lit(run_id).alias("run_id"), F.lit(query_id).cast("long").alias("query_id"), row.alias("row"), "line")
+
+
+def answer_text(lines: DataFrame) -> str:
+    """The lines as one text; beyond ``DETAIL_BYTES`` it says how many more rows the answer table has."""
+    out, held, n = [], 0, 0
+    size = lines.agg(F.count("*").alias("n"), F.sum(F.octet_length("line") + 1).alias("bytes")).first()
+    whole = (size["bytes"] or 0) <= DETAIL_BYTES
+    for r in (lines if whole else lines.filter(F.col("row") < 1000)).orderBy("row").toLocalIterator():
+        if held + len(r["line"]) > DETAIL_BYTES:
+            break
+        out.append(r["line"])
+        held, n = held + len(r["line"]) + 1, n + 1
+    return "\n".join(out) + ("" if n == size["n"] else f"\n... {size['n'] - n} more rows in the answer table")
+
+
+def shown(candidate: Candidate) -> str:
+    return candidate if isinstance(candidate, str) else getattr(candidate, "__name__", "function")
+
+
+def repair_prompt(question: str, candidate: Candidate, error: str) -> str:
+    """What a model would be asked after a failed candidate."""
+    return f"To answer '{question}' this was run:\n{shown(candidate)}\nIt failed:\n{error}\nReturn the whole corrected work.\n"
 
 
 def detail_record(
@@ -60,10 +98,6 @@ def detail_record(
     Errors are listed only if the last attempt failed as well; the plot path
     is kept for plots only.
     """
-
-    def shown(c: Candidate) -> str:
-        return c if isinstance(c, str) else getattr(c, "__name__", "function")
-
     left = [] if ok else list(errors)
     return {
         "query_id": query_id,
@@ -94,11 +128,17 @@ def answer(
     plot_path: str | None = None,
     collect_only: bool = False,
     coder_prompt: str | None = None,
+    planner_prompt: str | None = None,
+    answers: str | None = None,
+    run_id: str = "run",
 ) -> tuple[DataFrame | str | None, dict | None]:
     """Answer one question: ``(result, detail)``.
 
-    Candidates are tried in order, at most ``max_retry`` after the first. The
-    result of the first that runs is settled, so it is computed once. Without
+    Candidates are tried in order, at most ``max_retry`` after the first. An
+    error, and an empty result of a question that asks for text, go to the next
+    one; the detail has the prompt that would ask for this repair. The
+    result of the first that runs is settled, so it is computed once; with
+    ``answers`` all its rows are added to that table as ``ANSWER_ROWS``. Without
     a result the answer is ``"ERROR"``; if the call itself fails, for instance
     because the table cannot be read, it is ``(None, None)``. With
     ``collect_only`` nothing runs and the prompt is handed back.
@@ -107,29 +147,39 @@ def answer(
         return coder_prompt, None
     try:
         spark = registry.spark
-        tag = fixed_type or spark.range(1).select(tag_question(F.lit(query))).first()[0]
-        if plot_path is None:
-            plot_path = spark.range(1).select(text.plot_path(F.lit(table), F.lit(query_id or 0))).first()[0]
+        tag = fixed_type
+        if tag is None or plot_path is None:
+            rule, path = tag_question(F.lit(query)), text.plot_path(F.lit(table), F.lit(query_id or 0))
+            found = spark.range(1).select(rule, path).first()
+            tag, plot_path = tag or found[0], plot_path or found[1]
         registry.get(table)
         tried: list[Candidate] = []
         errors: list[str] = []
-        result = None
+        result, last_prompt = None, None
         for candidate in itertools.islice(candidates, max_retry + 1):
             tried.append(candidate)
             try:
                 result = settle(_plan_of(registry, table, candidate))
-                break
+                if tag == "plot" or not result.isEmpty():
+                    break
+                errors.append(EMPTY_ANSWER)
             except Exception as e:  # any failure of a candidate is its error
+                result = None
                 errors.append(_message(e))
-        shown = "ERROR" if result is None else preview(result)
+            last_prompt = repair_prompt(query, candidate, errors[-1])
+        empty = result is not None and tag == "general" and result.isEmpty()
+        shown = "ERROR"
+        if result is not None:
+            lines = answer_lines(result, run_id, query_id)
+            if answers is not None:
+                lines.write.mode("append").partitionBy("run_id").parquet(answers)
+            shown = answer_text(lines)
         detail = detail_record(
-            query_id, tag, tried, errors, result is not None, shown, plan, coder_prompt, None, None, plot_path
+            query_id, tag, tried, errors, result is not None, shown, plan, coder_prompt, planner_prompt, last_prompt, plot_path
         )
         if result is None:
             return "ERROR", detail
-        if shown == "" and tag == "general":
-            return EMPTY_ANSWER, detail
-        return result, detail
+        return (EMPTY_ANSWER if empty else result), detail
     except Exception as e:
         print(f"the question could not be answered: {_message(e)}")
         return None, None
@@ -143,51 +193,56 @@ def answer_batch(
     run_id: str = "run",
     max_retry: int = 2,
     save_every: int = 100,
+    answers: str | None = None,
+    workers: int = 4,
 ) -> DataFrame:
     """Answer a sheet of questions; one bad row does not stop the run.
 
-    Questions are taken one after the other, since each is a Spark job of its
-    own over a whole table; only the question rows pass the driver. Details
-    are appended to ``path`` every ``save_every`` questions. A question whose
-    call failed has no detail row.
+    Each question is a Spark job of its own over a whole table; ``workers`` of
+    them run at a time, so that small jobs fill the cluster. Tags and plot
+    paths are found for the whole sheet in one plan; only the question rows pass the driver,
+    ``save_every`` at a time, and so many details are appended to ``path``
+    (a new table in the checkpoint folder unless given), the rows of the results to
+    ``answers``. A question whose call failed has no detail row.
     """
     spark = queries.sparkSession
-    done: list[dict] = []
-    batch: list[dict] = []
-
-    def save():
-        if path is not None and batch:
-            write_results(spark.createDataFrame([tuple(d.values()) for d in batch], DETAIL), path, run_id)
-            batch.clear()
-
-    for row in queries.toLocalIterator():
+    path = path or f"{checkpoint_folder(spark)}/details-{uuid.uuid4()}"
+    tag, plot = (F.col(c) if c in queries.columns else F.lit(None).cast("string") for c in ("tagged_query_type", "plot_filename"))
+    sheet = non_blank_queries(queries).withColumns(
+        {
+            "tagged_query_type": F.coalesce(tag, tag_question("user_query")),
+            "plot_filename": F.coalesce(plot, text.plot_path("table_name", "query_id")),
+        }
+    )
+
+    def one(row: Row) -> dict | None:
         asked = row.asDict()
-        question = asked.get("user_query")
-        if question is None or question.strip().lower() in ("", "nan"):
-            continue
         try:
-            _, detail = answer(
+            return answer(
                 registry,
                 asked["table_name"],
-                question,
+                asked["user_query"],
                 candidates_for(row),
                 max_retry=max_retry,
                 query_id=asked["query_id"],
-                fixed_type=asked.get("tagged_query_type"),
+                fixed_type=asked["tagged_query_type"],
                 plan=asked.get("plan"),
-                plot_path=asked.get("plot_filename"),
-            )
+                plot_path=asked["plot_filename"],
+                planner_prompt=asked.get("prompt_user_for_planner"),
+                answers=answers,
+                run_id=run_id,
+            )[1]
         except Exception as e:
             print(f"question {asked.get('query_id')} is skipped: {_message(e)}")
-            continue
-        if detail is not None:
-            (batch if path is not None else done).append(detail)
-            if len(batch) >= save_every:
-                save()
-    save()
-    if path is not None:
-        try:
-            return spark.read.parquet(path).filter(F.col("run_id") == run_id).drop("run_id")
-        except PySparkException:
-            return spark.createDataFrame([], DETAIL)
-    return spark.createDataFrame([tuple(d.values()) for d in done], DETAIL)
+            return None
+
+    rows = sheet.toLocalIterator()
+    with ThreadPoolExecutor(workers) as pool:
+        while some := list(itertools.islice(rows, save_every)):
+            details = [d for d in pool.map(one, some) if d is not None]
+            if details:
+                write_results(spark.createDataFrame([tuple(d.values()) for d in details], DETAIL), path, run_id)
+    try:
+        return spark.read.parquet(path).filter(F.col("run_id") == run_id).drop("run_id")
+    except PySparkException:
+        return spark.createDataFrame([], DETAIL)

@@ -8,18 +8,18 @@ from __future__ import annotations
 
 from collections.abc import Sequence
 
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from sheetwise.operators import stats
-from sheetwise.operators.ordering import bottom_k, first_by_hash, top_k
+from sheetwise.operators.ordering import bottom_k, top_k
 from sheetwise.operators.quantiles import exact_quantiles
-from sheetwise.operators.scale import hash_order
+from sheetwise.operators.scale import hash_order, present, row_index
 
 
 def chart_line(df: DataFrame, x: str, y: str, key: Sequence[str] = (), bins: int | None = None) -> DataFrame:
     """Points ``(x, y)`` in x order, or the mean per equal-width x bin."""
-    points = df.select(F.col(x).alias("x"), F.col(y).alias("y"), *key).filter("x is not null")
+    points = df.select(present(df, x).alias("x"), present(df, y).alias("y"), *key).filter("x is not null")
     if bins is None:
         return points.orderBy("x", *key).select("x", "y")
     ends = _ends(points, "x") or (0.0, 1.0)
@@ -31,6 +31,19 @@ def chart_line(df: DataFrame, x: str, y: str, key: Sequence[str] = (), bins: int
     )
 
 
+def chart_line_mean(df: DataFrame, x: str, y: str, reach: float = 1.96) -> DataFrame:
+    """``(x, n, mean, low, high)``: the mean of ``y`` per x, and ``reach`` standard errors around it.
+
+    An x with a single value has no band (null).
+    """
+    value = present(df, y)
+    rows = df.select(present(df, x).alias("x"), value.cast("double").alias("y")).filter("x is not null and y is not null")
+    grouped = rows.groupBy("x").agg(F.count("*").alias("n"), F.avg("y").alias("mean"), F.stddev_samp("y").alias("s"))
+    width = F.lit(reach) * F.col("s") / F.sqrt(F.col("n"))
+    band = F.when(F.col("n") > 1, width)
+    return grouped.select("x", "n", "mean", (F.col("mean") - band).alias("low"), (F.col("mean") + band).alias("high")).orderBy("x")
+
+
 def chart_bar(df: DataFrame, col: str) -> DataFrame:
     """``(category, value)``: how often each value occurs."""
     return stats.value_counts(df, col, "value").withColumnRenamed(col, "category").orderBy(F.col("value").desc(), "category")
@@ -82,9 +95,9 @@ def _bin_of(col: str, ends: tuple[float, float], bins: int) -> Column:
 
 def chart_hist(df: DataFrame, col: str, bins: int = 10) -> DataFrame:
     """``(bin, low, high, n)``: equal-width bins, the last one closed, empty ones kept."""
-    present = df.select(col).filter(F.col(col).isNotNull())
-    ends = _ends(present, col) or (0.0, 1.0)
-    counts = present.groupBy(_bin_of(col, ends, bins).alias("bin")).agg(F.count("*").alias("n"))
+    rows = df.select(present(df, col).alias(col)).filter(F.col(col).isNotNull())
+    ends = _ends(rows, col) or (0.0, 1.0)
+    counts = rows.groupBy(_bin_of(col, ends, bins).alias("bin")).agg(F.count("*").alias("n"))
     spine = df.sparkSession.range(bins).select(F.col("id").cast("int").alias("bin"))
     low, high = _edge(*ends, bins, F.col("bin")), _edge(*ends, bins, F.col("bin") + 1)
     # counts has at most one row per bin
@@ -100,7 +113,7 @@ def chart_box(df: DataFrame, cols: Sequence[str]) -> DataFrame:
         if q["q1"] is None:
             continue
         reach = 1.5 * (q["q3"] - q["q1"])
-        v = F.col(c)
+        v = present(df, c)
         inside = v.between(F.lit(q["q1"] - reach), F.lit(q["q3"] + reach))
         row = df.agg(
             F.min(F.when(inside, v)).cast("double").alias("whisker_low"),
@@ -141,43 +154,55 @@ def chart_scatter_matrix(df: DataFrame, cols: Sequence[str], bins: int = 10) ->
     out = stats.corr_matrix(df, cols).select(
         F.lit("corr").alias("kind"), "column_a", "column_b", F.lit(-1).alias("bin"), F.col("corr").alias("value")
     )
+    # all ends from one scan, all histograms from another
+    numbers = df.select(*[present(df, c).cast("double").alias(c) for c in cols])
+    seen = numbers.agg(*[f(c).alias(f"{n}_{c}") for c in cols for n, f in (("lo", F.min), ("hi", F.max))]).first()
+    ends = {}
     for c in cols:
-        counts = chart_hist(df, c, bins)
-        out = out.unionByName(
-            counts.select(
-                F.lit("hist").alias("kind"),
-                F.lit(c).alias("column_a"),
-                F.lit(c).alias("column_b"),
-                "bin",
-                F.col("n").cast("double").alias("value"),
-            )
-        )
-    return out
+        lo, hi = (0.0, 1.0) if seen[f"lo_{c}"] is None else (seen[f"lo_{c}"], seen[f"hi_{c}"])
+        ends[c] = (lo - 0.5, hi + 0.5) if lo == hi else (lo, hi)
+    placed = [F.struct(F.lit(c).alias("column_a"), _bin_of(c, ends[c], bins).alias("bin"), F.col(c).isNotNull().alias("has")) for c in cols]
+    counts = numbers.select(F.inline(F.array(*placed))).filter("has").groupBy("column_a", "bin").agg(F.count("*").alias("n"))
+    names = F.explode(F.array(*map(F.lit, cols)))
+    spine = df.sparkSession.range(bins).select(F.col("id").cast("int").alias("bin"), names.alias("column_a"))
+    # one row per column and bin
+    hist = spine.join(F.broadcast(counts), ["column_a", "bin"], "left").select(
+        F.lit("hist").alias("kind"),
+        "column_a",
+        F.col("column_a").alias("column_b"),
+        "bin",
+        F.coalesce("n", F.lit(0)).cast("double").alias("value"),
+    )
+    return out.unionByName(hist)
 
 
 def bootstrap_stats(
-    df: DataFrame, col: str, key: Sequence[str], size: int = 50, samples: int = 500, seed: int = 0, pool: int = 5000
+    df: DataFrame, col: str, key: Sequence[str], size: int = 50, samples: int = 500, seed: int = 0
 ) -> DataFrame:
-    """Mean, median and mid-range of ``samples`` random draws of ``size`` values.
+    """Mean, median and mid-range of ``samples`` random draws of ``size`` values of the whole column.
 
-    Draws are without replacement. They are taken from a random pool of
-    ``pool`` rows (the whole table when it is smaller), chosen by hash, so the
-    result is repeatable and the work after the first scan does not grow with
-    the table.
+    Draws are without replacement (all values if there are fewer). The rows
+    are numbered in the order of ``key``; a sample takes different positions
+    that follow from an MD5 sum of seed, sample and turn, and only these
+    positions are joined to the rows. The result is repeatable.
     """
-    if pool < size:
-        raise ValueError("the pool must not be smaller than a draw")
-    present = df.select(F.col(col).cast("double").alias("v"), *key).filter("v is not null")
-    inside = first_by_hash(present, pool, seed, key)
-    few = present if inside is None else present.filter(inside)
-    drawn = few.withColumn("sample", F.explode(F.sequence(F.lit(1), F.lit(samples)))).withColumn(
-        "luck", F.xxhash64(F.lit(seed), "sample", *key)
-    )
-    # at most `pool` rows per sample
-    picked = drawn.groupBy("sample").agg(
-        F.slice(F.sort_array(F.collect_list(F.struct("luck", *key, "v"))), 1, size).alias("p")
-    )
-    values = picked.select("sample", F.explode("p.v").alias("v"))
-    return values.groupBy("sample").agg(
-        F.avg("v").alias("mean"), F.median("v").alias("median"), ((F.min("v") + F.max("v")) / 2).alias("midrange")
+    rows = df.select(present(df, col).cast("double").alias("v"), *key).filter("v is not null")
+    numbered = row_index(rows, key, "__at").select("__at", "v")
+    n = numbered.count()
+    turns = df.sparkSession.range(samples).select((F.col("id") + 1).alias("sample"))
+    if n > 4 * size:
+        # more turns than needed: some positions come up twice
+        at = F.pmod(hash_order(seed, ["sample", "turn"]), F.lit(n))
+        turns = turns.withColumn("turn", F.explode(F.sequence(F.lit(1), F.lit(3 * size)))).withColumn("__at", at)
+        turns = turns.groupBy("sample", "__at").agg(F.min("turn").alias("luck"))
+    else:
+        turns = turns.withColumn("__at", F.explode(F.sequence(F.lit(0), F.lit(n - 1)))) if n else turns.withColumn("__at", F.lit(0))
+        turns = turns.withColumn("luck", hash_order(seed, ["sample", "__at"]))
+    # a few hundred positions per sample
+    first = Window.partitionBy("sample").orderBy("luck", "__at")
+    picked = turns.withColumn("__rank", F.row_number().over(first)).filter(F.col("__rank") <= size)
+    return (
+        picked.join(numbered, "__at")
+        .groupBy("sample")
+        .agg(F.avg("v").alias("mean"), F.median("v").alias("median"), ((F.min("v") + F.max("v")) / 2).alias("midrange"))
     )

@@ -11,7 +11,7 @@ from sheetwise.functions import text
 from sheetwise.operators.cleaning import general_only, non_blank_queries
 
 _QUOTED = r"""(^|[^\w])(?:'[^'\n]*'|"[^"\n]*")([^\w]|$)"""
-_DRAWING = r"(?i)(?:plot|chart)(?:s|ed|ted|ing|ting)?\b|\bgraphs?\b|\bvisuali[sz]"
+_DRAWING = r"(?i)(?:plot|chart)(?:s|ed|ted|ing|ting)?\b|\bgraphs?\b|\bvisuali[sz]|\bhistograms?\b|\bscatter|\bfigures?\b|\bdiagrams?\b|\bdraw(?:s|n|ing)?\b"
 
 
 def tag_question(c: Column | str) -> Column:
@@ -57,7 +57,8 @@ def score_exact(pairs: DataFrame) -> DataFrame:
 
 
 _DATE = r"\d{4}-\d{2}-\d{2}"
-_NUMBER = r"-?\d+(?:\.\d+)?"
+#: a sign counts at the start or after a separator only; thousands may be grouped, an exponent may follow
+_NUMBER = r"(?:(?<![\w.)\]])-)?(?:\d{1,3}(?:,\d{3})+(?![\d])|\d+)(?:\.\d+)?(?:[eE][+-]?\d+)?"
 
 
 def _dates_in(c: Column) -> Column:
@@ -70,13 +71,29 @@ def _dates_in(c: Column) -> Column:
 def numbers_in(c: Column) -> Column:
     """All numbers of a text; dates do not count as numbers."""
     bare = F.when(c.contains("-"), F.regexp_replace(c, _DATE, " ")).otherwise(c)
-    return F.transform(F.regexp_extract_all(bare, F.lit(_NUMBER), 0), lambda x: x.try_cast("double"))
+    return F.transform(F.regexp_extract_all(bare, F.lit(_NUMBER), 0), lambda x: F.replace(x, F.lit(","), F.lit("")).try_cast("double"))
 
 
 def _each_near(inner: Column, outer: Column, eps: float) -> Column:
-    """Every number of ``inner`` lies within ``eps`` of one of ``outer``."""
-    slack = F.lit(eps + 1e-9)
-    return F.forall(inner, lambda x: F.exists(outer, lambda y: F.abs(x - y) <= slack))
+    """Every number of ``inner`` has one of ``outer`` of its own within ``eps``.
+
+    Both are sorted and ``outer`` is run through once: a number takes the first
+    that is near enough; one that is passed by fails for good (-1).
+    """
+    slack = eps + 1e-9
+
+    def run(pair: Column) -> Column:
+        small, large = pair["small"], pair["large"]
+
+        def step(at: Column, y: Column) -> Column:
+            x = F.get(small, at)
+            near = F.when(y < x - slack, at).when(y <= x + slack, at + 1).otherwise(F.lit(-1))
+            return F.when((at < 0) | (at >= F.size(small)), at).otherwise(near)
+
+        return F.aggregate(large, F.lit(0), step) == F.size(small)
+
+    pair = F.struct(F.array_sort(inner).alias("small"), F.array_sort(outer).alias("large"))
+    return F.get(F.transform(F.array(pair), run), F.lit(0))
 
 
 def tolerant_match(correct: Column | str, answer: Column | str, eps: float = 0.01) -> Column:
@@ -84,7 +101,7 @@ def tolerant_match(correct: Column | str, answer: Column | str, eps: float = 0.0
 
     Equal texts agree. Dates must be the same set. A single number must occur
     in the answer, within ``eps``. Several bare numbers must all occur, in any
-    order. For a table, an answer that is a list of numbers must consist of
+    order and as often. For a table, an answer that is a list of numbers must consist of
     numbers of the table. Without numbers, one text must contain the other.
     """
     texts = F.struct(

@@ -8,13 +8,10 @@ import pandas as pd
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from sheetwise.operators.scale import hot_keys, with_keys
+from sheetwise.operators.scale import with_keys
 
 Complete = Callable[[list[str]], list[str]]
 
-#: rows one ``solve`` call may be handed
-SOLVE_ROWS = 1_000_000
-
 
 def completion_for(model: str, known: Mapping[str, Callable[[], Complete]]) -> Callable[[], Complete]:
     """The completion factory whose name is the longest prefix of ``model``."""
@@ -61,25 +58,24 @@ def map_completions(
 def solve_groups(
     df: DataFrame,
     key: str,
-    solve: Callable[[pd.DataFrame], pd.DataFrame],
+    solve: Callable[[Iterator[pd.DataFrame]], Iterator[pd.DataFrame]] | None,
     schema: str,
     spark_solve: Callable[[DataFrame], DataFrame] | None = None,
-    max_rows: int = SOLVE_ROWS,
 ) -> DataFrame:
-    """Run ``solve`` on each of many small tables kept in one DataFrame.
+    """Run ``solve`` on each of many tables kept in one DataFrame.
 
-    A pandas call needs its table in one task, so only tables of up to
-    ``max_rows`` rows go there. Larger ones go to ``spark_solve``, which must
-    compute the same from a DataFrame that may hold several tables; without
-    it they are an error.
+    ``solve`` gets a table as an iterator of pandas batches and yields result
+    batches, so a table may be of any size as long as the function keeps
+    little of it. A function that works on DataFrames holding several tables
+    is given as ``spark_solve`` instead and is then the only route.
     """
     keyed = with_keys(df, [key])
-    large = hot_keys(keyed, [key], max_rows)
+    if spark_solve is not None:
+        return spark_solve(keyed)
     # Python time does not follow the bytes, so the partitions must not be merged by size
     parts = int(df.sparkSession.conf.get("spark.sql.shuffle.partitions"))
-    if large is None:
-        return keyed.repartition(parts, key).groupBy(key).applyInPandas(solve, schema)
-    if spark_solve is None:
-        raise ValueError(f"some tables have more than {max_rows} rows; give spark_solve for them")
-    small = keyed.join(large, key, "left_anti").repartition(parts, key).groupBy(key).applyInPandas(solve, schema)
-    return small.unionByName(spark_solve(keyed.join(large, key, "left_semi")))
+
+    def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        yield from solve(batches)
+
+    return keyed.repartition(parts, key).groupBy(key).applyInPandas(run, schema)

@@ -21,7 +21,8 @@ def merge(
     """Inner equi-join on columns of the same name.
 
     Other columns that both sides have get the suffixes ``_x`` and ``_y``.
-    ``match_nulls`` lets missing keys meet each other. Spark's adaptive
+    ``match_nulls`` lets missing keys meet each other (give ``salts`` if many
+    keys are missing). Spark's adaptive
     execution splits skewed partitions by itself; ``salts > 1`` does it in the
     plan instead: rows of a key with more than ``hot_rows`` left rows are
     spread over that many parts and only those keys of the right side are
@@ -68,7 +69,14 @@ def _flag(df: DataFrame, hot: DataFrame, on: list[str]) -> DataFrame:
 def concat_columns(
     left: DataFrame, right: DataFrame, left_order: Sequence[str], right_order: Sequence[str]
 ) -> DataFrame:
-    """Paste two tables side by side by row position; the shorter one ends in nulls."""
+    """Paste two tables side by side by row position; the shorter one ends in nulls.
+
+    Columns that both have get the suffixes ``_x`` and ``_y``, as in ``merge``.
+    """
+    both = [c for c in left.columns if c in right.columns]
+    left_order, right_order = ([f"{c}{s}" if c in both else c for c in o] for o, s in ((left_order, "_x"), (right_order, "_y")))
+    left = left.withColumnsRenamed({c: f"{c}_x" for c in both})
+    right = right.withColumnsRenamed({c: f"{c}_y" for c in both})
     a = scale.row_index(left, left_order)
     b = scale.row_index(right, right_order)
     return a.join(b, "row_index", "full_outer")
@@ -107,6 +115,6 @@ def overlay_details(queries: DataFrame, details: DataFrame, key: str = "query_id
 def attach_table(queries: DataFrame, profiles: DataFrame, key: str = "table_name") -> DataFrame:
     """Each question with the profile rows of its own table.
 
-    Profiles are broadcast when they are checked to be few.
+    Adaptive execution broadcasts the profiles if their real size allows it.
     """
-    return queries.join(scale.small_side(profiles), key, "left")
+    return queries.join(profiles, key, "left")

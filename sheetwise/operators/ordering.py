@@ -7,12 +7,12 @@ from collections.abc import Sequence
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from sheetwise.operators.quantiles import rank_values
-from sheetwise.operators.scale import first_rows, hash_order
+from sheetwise.operators.scale import first_rows, hash_order, present
 
 
-def _missing_last(col: str, ascending: bool) -> Column:
-    return F.col(col).asc_nulls_last() if ascending else F.col(col).desc_nulls_last()
+def _missing_last(df: DataFrame, col: str, ascending: bool) -> Column:
+    value = present(df, col)
+    return value.asc_nulls_last() if ascending else value.desc_nulls_last()
 
 
 def sort_by(
@@ -24,18 +24,18 @@ def sort_by(
     value that very many rows share.
     """
     up = [ascending] * len(cols) if isinstance(ascending, bool) else list(ascending)
-    return df.orderBy(*[_missing_last(c, a) for c, a in zip(cols, up)], *key)
+    return df.orderBy(*[_missing_last(df, c, a) for c, a in zip(cols, up)], *key)
 
 
 def top_k(df: DataFrame, col: str, k: int, key: Sequence[str], columns: Sequence[str] | None = None) -> DataFrame:
     """The ``k`` largest values; ``key`` breaks ties."""
-    found = df.filter(F.col(col).isNotNull()).orderBy(F.col(col).desc(), *key).limit(k)
+    found = df.filter(present(df, col).isNotNull()).orderBy(F.col(col).desc(), *key).limit(k)
     return found.select(*columns) if columns else found
 
 
 def bottom_k(df: DataFrame, col: str, k: int, key: Sequence[str], columns: Sequence[str] | None = None) -> DataFrame:
     """The ``k`` smallest values; ``key`` breaks ties."""
-    found = df.filter(F.col(col).isNotNull()).orderBy(F.col(col).asc(), *key).limit(k)
+    found = df.filter(present(df, col).isNotNull()).orderBy(F.col(col).asc(), *key).limit(k)
     return found.select(*columns) if columns else found
 
 
@@ -68,35 +68,36 @@ def seeded_shuffle(df: DataFrame, seed: int, key: Sequence[str]) -> DataFrame:
     return df.orderBy(hash_order(seed, key), *key)
 
 
-def first_by_hash(df: DataFrame, n: int, seed: int, key: Sequence[str]) -> Column | None:
+#: a hash has 60 bits; rows are first counted by the upper ones
+_COARSE = 44
+
+
+def first_by_hash(df: DataFrame, n: int, seed: int, key: Sequence[str], total: int | None = None) -> Column | None:
     """A predicate that picks exactly ``n`` rows by the hash of their key; None picks all.
 
-    The hash that ends the picked part is found by counting (``rank_values``),
-    so no rows are sorted, collected or sent to one task.
+    Hashes are spread evenly. One pass counts the rows by the upper bits of
+    their hash, a second one looks only at the rows that share the bits where
+    the picked part ends. What follows from the counts are two numbers; the
+    driver sees 65,536 counts and the edge. Keys that share the last hash are
+    told apart by their own order, inside Spark.
     """
-    h = hash_order(seed, key)
-    hashes = df.select(h.alias("v"))
-    ends = hashes.agg(F.count("*").alias("n"), F.min("v").alias("lo"), F.max("v").alias("hi")).first()
     if n <= 0:
         return F.lit(False)
-    if n >= ends["n"]:
+    h = hash_order(seed, key)
+    coarse = F.shiftright(h, _COARSE)
+    counts = sorted((r[0], r[1]) for r in df.groupBy(coarse.alias("c")).count().collect())
+    below = 0
+    for part, size in counts:
+        if below + size >= n:
+            break
+        below += size
+    else:
         return None
-    edge = rank_values(hashes, [n - 1], ends["lo"], ends["hi"])[n - 1]
-    at = hashes.agg(
-        F.count_if(F.col("v") < F.lit(edge)).alias("below"), F.count_if(F.col("v") == F.lit(edge)).alias("equal")
-    ).first()
-    if at["below"] + at["equal"] == n:
-        return h <= F.lit(edge)
-    # several keys share the last hash: their own order decides
-    if at["equal"] > 1000:
-        raise ValueError("the key does not identify rows")
-    chosen = F.lit(False)
-    for row in df.filter(h == F.lit(edge)).select(*key).orderBy(*key).collect()[: n - at["below"]]:
-        same = F.lit(True)
-        for k in key:
-            same = same & F.col(k).eqNullSafe(F.lit(row[k]))
-        chosen = chosen | same
-    return (h < F.lit(edge)) | ((h == F.lit(edge)) & chosen)
+    if below + size == n:
+        return coarse <= part
+    near = df.filter(coarse == part).select(h.alias("h"), F.struct(*key).alias("k"))
+    edge = near.orderBy("h", "k").limit(n - below).agg(F.max(F.struct("h", "k"))).scalar()
+    return (coarse < part) | ((coarse == part) & (F.struct(h.alias("h"), F.struct(*key).alias("k")) <= edge))
 
 
 def split_train_validation(

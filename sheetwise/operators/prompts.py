@@ -100,8 +100,8 @@ _DEBUG = {
         "Return the whole corrected code between ```python and ```.\n"
     ),
     "completion": (
-        "# Question: '{question}'\n## Code with a mistake:\n```python\n{code}\n```\n"
-        '## Message: "{error}"\n## Correct it without trying it out.\n{initial_prompt}\n'
+        "# An earlier attempt at '{question}' stopped with \"{error}\":\n"
+        "```python\n{code}\n```\n# Written anew, so that it runs to its end:\n{initial_prompt}\n"
     ),
 }
 

@@ -17,6 +17,7 @@ from collections.abc import Sequence
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
+from sheetwise.operators.scale import present as present_value
 from sheetwise.operators.scale import small_side
 from sheetwise.session import settle
 
@@ -91,10 +92,11 @@ def exact_quantiles(
 ) -> DataFrame:
     """Linear-interpolated quantiles per group, one column per probability.
 
-    Without ``by`` the result is one row. Groups with no value are absent;
-    an ungrouped table with no value gives nulls.
+    Without ``by`` the result is one row. A group, or an ungrouped table,
+    without a value gives nulls.
     """
     present = _present(df, col)
+    values = df.select(*by, present_value(df, col).alias(col))
     picks = [F.percentile(col, F.lit(float(p))).alias(n) for p, n in zip(probs, names)]
     sizes = present.groupBy(*by).agg(F.count("*").alias("n"), F.min(col).alias("lo"), F.max(col).alias("hi"))
     large = sizes.filter(F.col("n") > group_rows)
@@ -103,9 +105,9 @@ def exact_quantiles(
         return present.agg(*picks) if whole is None else _whole_table(present, col, probs, names, whole)
     large = settle(large)
     if not large.take(1):
-        return present.groupBy(*by).agg(*picks)
+        return values.groupBy(*by).agg(*picks)
     narrowed = _narrow_groups(present, col, probs, names, list(by), large)
-    rest = _with_keys(present, small_side(large.select(*by)), list(by), "left_anti")
+    rest = _with_keys(values, small_side(large.select(*by)), list(by), "left_anti")
     return rest.groupBy(*by).agg(*picks).unionByName(narrowed)
 
 
@@ -120,7 +122,8 @@ def _whole_table(present: DataFrame, col: str, probs: Sequence[float], names: Se
     row = []
     for s in spots:
         lower, upper = float(at[math.floor(s)]), float(at[math.ceil(s)])
-        row.append(lower + (upper - lower) * (s - math.floor(s)))
+        # the arithmetic of Spark's ``percentile``, so that both routes agree to the last bit
+        row.append(lower if lower == upper else (math.ceil(s) - s) * lower + (s - math.floor(s)) * upper)
     return present.sparkSession.createDataFrame([row], ", ".join(f"`{n}` double" for n in names))
 
 
@@ -191,5 +194,6 @@ def _narrow_groups(
     for p, name in zip(probs, names):
         s = F.lit(float(p)) * (F.col("n") - 1)
         lower, upper = F.element_at("at", F.floor(s)), F.element_at("at", F.ceil(s))
-        out.append((lower + (upper - lower) * (s - F.floor(s))).alias(name))
+        between = (F.ceil(s) - s) * lower + (s - F.floor(s)) * upper
+        out.append(F.when(lower == upper, lower).otherwise(between).alias(name))
     return picked.select(*by, *out)

@@ -1,8 +1,8 @@
 """Wide and long forms.
 
-A wide result has one column per category, so the categories must be few.
-They are given by the caller or looked up; above ``max_values`` the operators
-refuse and name the long form, which has no limit.
+A wide result has one column per category. The categories are given by the
+caller or looked up; whoever asks for the wide form gets it. The long form
+(``pivot_long``) has the same cells as rows and suits any number of categories.
 """
 
 from __future__ import annotations
@@ -16,12 +16,17 @@ from sheetwise.operators.scale import with_keys
 from sheetwise.operators.stats import multi_agg, named_aggregate
 
 
-def categories(df: DataFrame, col: str, max_values: int = 1000) -> list:
-    """The sorted different values of a column."""
-    rows = with_keys(df.select(col), [col]).distinct().take(max_values + 1)
-    if len(rows) > max_values:
-        raise ValueError(f"{col!r} has more than {max_values} values; group by it instead of making columns of it")
-    return sorted(r[0] for r in rows)
+def categories(df: DataFrame, col: str) -> list:
+    """The sorted different values of a column: as many as the wide form has columns."""
+    return sorted(r[0] for r in with_keys(df.select(col), [col]).distinct().toLocalIterator())
+
+
+def pivot_long(
+    df: DataFrame, index: Sequence[str], columns: str, values: str, aggfunc: str = "mean", name: str = "value"
+) -> DataFrame:
+    """The cells of ``pivot_table`` as rows: index key, category, value."""
+    kept = with_keys(df, [*index, columns])
+    return kept.groupBy(*index, columns).agg(named_aggregate(kept, aggfunc, values).alias(name))
 
 
 def pivot_table(
@@ -30,7 +35,8 @@ def pivot_table(
     """One row per index key, one column per category; missing keys are left out."""
     kept = with_keys(df, [*index, columns])
     found = categories(kept, columns) if column_values is None else list(column_values)
-    return kept.groupBy(*index).pivot(columns, found).agg(named_aggregate(aggfunc, values))
+    # given values are not counted again by Spark, so its own limit does not apply
+    return kept.groupBy(*index).pivot(columns, found).agg(named_aggregate(kept, aggfunc, values))
 
 
 def pivot_multi(df: DataFrame, index: Sequence[str], spec: Mapping[str, Sequence[str]]) -> DataFrame:

@@ -42,6 +42,12 @@ def small_side(df: DataFrame, rows: int = SMALL_ROWS) -> DataFrame:
     return F.broadcast(df) if is_small(df, rows) else df
 
 
+def present(df: DataFrame, col: str) -> Column:
+    """The column with NaN as NULL: a missing number counts as missing in every statistic and order."""
+    c = F.col(col)
+    return F.when(~F.isnan(c), c) if dict(df.dtypes).get(col.strip("`")) in ("double", "float") else c
+
+
 def with_keys(df: DataFrame, keys: Sequence[str]) -> DataFrame:
     """Rows whose key cells are all present; the null test reaches the scan."""
     kinds = dict(df.dtypes)
@@ -57,14 +63,13 @@ def first_rows(df: DataFrame, n: int, order: Sequence[str | Column]) -> DataFram
 
     When the order starts with a plain column, its n-th smallest value is
     looked up from that column alone, and the rows are then read with a filter
-    that lets Parquet skip whole row groups.
+    that lets Parquet skip whole row groups. The value stays in Spark (a scalar
+    subquery), so it does not depend on the driver's time zone.
     """
     lead = order[0]
     if n > 0 and isinstance(lead, str) and len(df.columns) > 1:
-        edge = [r[0] for r in df.select(lead).orderBy(lead).take(n)]
-        if len(edge) == n:
-            c = F.col(lead)
-            df = df.filter(c.isNull() if edge[-1] is None else c.isNull() | (c <= F.lit(edge[-1])))
+        edge = df.select(lead).orderBy(lead).limit(n).agg(F.max(lead)).scalar()
+        df = df.filter(F.col(lead).isNull() | (F.col(lead) <= edge))
     return df.orderBy(*order).limit(n)
 
 
@@ -165,6 +170,11 @@ def framed(
     return build(calm, Window.partitionBy(*by).orderBy(*order)).unionByName(in_blocks(busy))
 
 
-def hash_order(seed: int, key: Sequence[str]) -> Column:
-    """A repeatable pseudo-random order that depends on the row's key only."""
-    return F.xxhash64(F.lit(seed), *[F.col(k) for k in key])
+def hash_order(seed: int, key: Sequence[str | Column]) -> Column:
+    """A repeatable pseudo-random order that depends on the row's key only: 60 bits of an MD5 sum."""
+    text = F.concat_ws("|", F.lit(seed), *[_as_text(k) for k in key])
+    return F.conv(F.substring(F.md5(text), 1, 15), 16, 10).cast("long")
+
+
+def _as_text(key: str | Column) -> Column:
+    return F.coalesce((key if isinstance(key, Column) else F.col(key)).cast("string"), F.lit(""))

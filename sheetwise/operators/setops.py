@@ -48,6 +48,39 @@ def frame_diff(a: DataFrame, b: DataFrame, check_types: bool = True) -> DataFram
     return net.select(*names, side.alias("side"), F.abs("__d").alias("times"))
 
 
+def frame_close(
+    a: DataFrame, b: DataFrame, key: Sequence[str], rel: float = 1e-5, abs_: float = 1e-8
+) -> DataFrame:
+    """Cells that differ between two tables with the same key: ``(key, column, left, right)``.
+
+    Numbers may differ by ``abs_ + rel * |right|``; missing cells are equal to each
+    other. A row that only one table has differs in the column ``"__row"``.
+    """
+    if sorted(a.columns) != sorted(b.columns):
+        raise ValueError(f"columns differ: {a.columns} and {b.columns}")
+    kinds, rest = dict(b.dtypes), [c for c in a.columns if c not in key]
+    left = a.select(*key, F.struct(F.lit(True).alias("__has"), *rest).alias("__a"))
+    right = b.select(*key, F.struct(F.lit(True).alias("__has"), *rest).alias("__b"))
+    both = left.join(right, list(key), "full_outer")
+    cells = []
+    for c in rest:
+        x, y = F.col(f"__a.`{c}`"), F.col(f"__b.`{c}`")
+        same = x.eqNullSafe(y)
+        if kinds[c] in ("double", "float") or kinds[c].startswith("decimal"):
+            u, v = x.cast("double"), y.cast("double")
+            same = same | F.coalesce(F.abs(u - v) <= F.lit(abs_) + F.lit(rel) * F.abs(v), F.lit(False))
+        cells.append((c, x, y, ~same))
+    alone = F.col("__a").isNull() | F.col("__b").isNull()
+    shown = [F.when(~alone & bad, F.struct(F.lit(c).alias("column"), x.cast("string").alias("left"), y.cast("string").alias("right"))) for c, x, y, bad in cells]
+    row = F.struct(
+        F.lit("__row").alias("column"),
+        F.when(F.col("__a").isNotNull(), "present").alias("left"),
+        F.when(F.col("__b").isNotNull(), "present").alias("right"),
+    )
+    found = F.filter(F.array(F.when(alone, row), *shown), lambda s: s.isNotNull())
+    return both.select(*key, F.inline(found))
+
+
 def assert_frame_equal(a: DataFrame, b: DataFrame, check_types: bool = True) -> None:
     """Raise AssertionError with a few differing rows unless the tables hold the same rows."""
     try:

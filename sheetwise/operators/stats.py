@@ -13,7 +13,7 @@ from pyspark.sql import functions as F
 
 from sheetwise.functions.text import token_count
 from sheetwise.operators.quantiles import exact_quantiles
-from sheetwise.operators.scale import with_keys
+from sheetwise.operators.scale import present, with_keys
 
 #: functions that may be named in ``multi_agg`` and the reshape operators
 NAMED = {
@@ -24,27 +24,40 @@ NAMED = {
     "count": F.count,
     "std": F.stddev_samp,
     "nunique": F.count_distinct,
-    "first": F.first,
-    "last": F.last,
 }
 
+#: functions that need an order of the rows
+ORDERED = {"first": F.min_by, "last": F.max_by}
 
-def named_aggregate(fn: str, col: str) -> Column:
-    """An aggregate by its name; ``median`` is left to ``median``, which scales."""
+
+def named_aggregate(df: DataFrame, fn: str, col: str, order: Sequence[str] = ()) -> Column:
+    """An aggregate by its name over the present values; ``median`` is left to ``median``, which scales.
+
+    ``first`` and ``last`` are the present values at the ends of ``order``.
+    """
+    value = present(df, col)
+    if fn in ORDERED:
+        if not order:
+            raise ValueError(f"{fn!r} needs an order of the rows")
+        return ORDERED[fn](value, F.when(value.isNotNull(), F.struct(*order)))
     if fn not in NAMED:
-        raise ValueError(f"unknown aggregate {fn!r}; known: {', '.join(sorted(NAMED))}")
-    return NAMED[fn](F.col(col))
+        raise ValueError(f"unknown aggregate {fn!r}; known: {', '.join(sorted([*NAMED, *ORDERED]))}")
+    return NAMED[fn](value)
 
 
 def column_stat(df: DataFrame, col: str, fn: str, name: str | None = None) -> DataFrame:
     """One statistic of one column as a one-row table; missing values are skipped."""
-    return df.agg(named_aggregate(fn, col).alias(name or f"{col}_{fn}"))
+    return df.agg(named_aggregate(df, fn, col).alias(name or f"{col}_{fn}"))
 
 
 def median(df: DataFrame, col: str, by: Sequence[str] = (), approx: bool = False, name: str = "median") -> DataFrame:
-    """Median with interpolation; ``approx`` gives a one-pass approximation."""
+    """Median with interpolation; ``approx`` gives a one-pass approximation.
+
+    Rows without a group key are left out; a group without a value has a null median.
+    """
+    df = with_keys(df, by)
     if approx:
-        return df.groupBy(*by).agg(F.percentile_approx(col, 0.5, 10_000).alias(name))
+        return df.groupBy(*by).agg(F.percentile_approx(present(df, col), 0.5, 10_000).alias(name))
     return exact_quantiles(df, col, [0.5], [name], by)
 
 
@@ -54,23 +67,30 @@ def unique(df: DataFrame, col: str) -> DataFrame:
 
 def nunique(df: DataFrame, col: str, approx: bool = False, name: str = "nunique") -> DataFrame:
     """Number of different values, missing ones not counted."""
-    return df.agg((F.approx_count_distinct(col) if approx else F.count_distinct(F.col(col))).alias(name))
+    value = present(df, col)
+    return df.agg((F.approx_count_distinct(value) if approx else F.count_distinct(value)).alias(name))
+
+
+def _complete(df: DataFrame, a: str, b: str) -> tuple[Column, Column]:
+    """Both columns as numbers where both are present, else null."""
+    x, y = present(df, a), present(df, b)
+    both = x.isNotNull() & y.isNotNull()
+    return F.when(both, x.cast("double")), F.when(both, y.cast("double"))
 
 
-def _complete_corr(a: str, b: str) -> Column:
-    both = F.col(a).isNotNull() & F.col(b).isNotNull()
-    return F.corr(F.when(both, F.col(a).cast("double")), F.when(both, F.col(b).cast("double")))
+def _complete_corr(df: DataFrame, a: str, b: str) -> Column:
+    return F.corr(*_complete(df, a, b))
 
 
 def corr(df: DataFrame, a: str, b: str, name: str = "corr") -> DataFrame:
     """Pearson correlation over the rows where both values are present."""
-    return df.agg(_complete_corr(a, b).alias(name))
+    return df.agg(_complete_corr(df, a, b).alias(name))
 
 
 def corr_matrix(df: DataFrame, cols: Sequence[str]) -> DataFrame:
     """All pairwise correlations as ``(column_a, column_b, corr)``, from one scan."""
     pairs = [(a, b) for i, a in enumerate(cols) for b in cols[i:]]
-    wide = df.agg(*[_complete_corr(a, b).alias(f"{a}|{b}") for a, b in pairs])
+    wide = df.agg(*[_complete_corr(df, a, b).alias(f"{a}|{b}") for a, b in pairs])
     cells = []
     for a, b in pairs:
         for left, right in {(a, b), (b, a)}:
@@ -84,19 +104,21 @@ def corr_matrix(df: DataFrame, cols: Sequence[str]) -> DataFrame:
 
 def group_stat(df: DataFrame, by: Sequence[str], cols: Sequence[str], fn: str) -> DataFrame:
     """One statistic per group and column; rows without a group key are left out."""
-    return with_keys(df, by).groupBy(*by).agg(*[named_aggregate(fn, c).alias(f"{c}_{fn}") for c in cols])
+    return with_keys(df, by).groupBy(*by).agg(*[named_aggregate(df, fn, c).alias(f"{c}_{fn}") for c in cols])
 
 
-def multi_agg(df: DataFrame, spec: Mapping[str, Sequence[str]], by: Sequence[str] = ()) -> DataFrame:
-    """Several statistics at once, named ``column_function``."""
+def multi_agg(
+    df: DataFrame, spec: Mapping[str, Sequence[str]], by: Sequence[str] = (), order: Sequence[str] = ()
+) -> DataFrame:
+    """Several statistics at once, named ``column_function``; ``first`` and ``last`` follow ``order``."""
     if by:
         df = with_keys(df, by)
-    return df.groupBy(*by).agg(*[named_aggregate(fn, c).alias(f"{c}_{fn}") for c, fns in spec.items() for fn in fns])
+    return df.groupBy(*by).agg(*[named_aggregate(df, fn, c, order).alias(f"{c}_{fn}") for c, fns in spec.items() for fn in fns])
 
 
 def summary(df: DataFrame, cols: Sequence[str], fns: Sequence[str] = ("max", "min", "mean")) -> DataFrame:
     """``(column, stat, value)`` rows from one scan."""
-    wide = df.agg(*[named_aggregate(fn, c).cast("double").alias(f"{c}|{fn}") for c in cols for fn in fns])
+    wide = df.agg(*[named_aggregate(df, fn, c).cast("double").alias(f"{c}|{fn}") for c in cols for fn in fns])
     cells = [
         F.struct(F.lit(c).alias("column"), F.lit(fn).alias("stat"), F.col(f"`{c}|{fn}`").alias("value"))
         for c in cols
@@ -120,19 +142,20 @@ def mean_and_members(df: DataFrame, predicate: Column, col: str, member: str, na
     names can be as long as the table. The mean is a scalar subquery.
     """
     chosen = df.filter(predicate).select(member, col)
-    return chosen.select(member, chosen.agg(F.avg(col)).scalar().alias(name))
+    return chosen.select(member, chosen.agg(F.avg(present(df, col))).scalar().alias(name))
 
 
 def best_by(df: DataFrame, score: Column, tie: Sequence[str], largest: bool = True, name: str = "score") -> DataFrame:
     """The row with the best score; equal scores go to the smallest tie key."""
-    scored = df.withColumn(name, score).filter(F.col(name).isNotNull())
+    scored = df.withColumn(name, score)
+    scored = scored.filter(present(scored, name).isNotNull())
     order = F.col(name).desc() if largest else F.col(name).asc()
     return scored.orderBy(order, *tie).limit(1)
 
 
 def trend_line(df: DataFrame, y: str, x: str) -> DataFrame:
     """Least-squares line of ``y`` on ``x``: slope, intercept and r2."""
-    a, b = F.col(y).cast("double"), F.col(x).cast("double")
+    a, b = _complete(df, y, x)
     return df.agg(
         F.regr_slope(a, b).alias("slope"), F.regr_intercept(a, b).alias("intercept"), F.regr_r2(a, b).alias("r2")
     )

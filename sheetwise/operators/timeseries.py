@@ -13,7 +13,7 @@ from pyspark.sql import functions as F
 
 from sheetwise.operators.quantiles import GROUP_ROWS as QUANTILE_ROWS
 from sheetwise.operators.quantiles import exact_quantiles
-from sheetwise.operators.scale import BLOCK_ROWS, GROUP_ROWS, block_window, framed
+from sheetwise.operators.scale import BLOCK_ROWS, GROUP_ROWS, block_window, framed, present
 from sheetwise.session import settle
 
 #: calendar rules: the unit whose start is a bin's label
@@ -111,11 +111,12 @@ def resample(df: DataFrame, ts: str, rule: str, col: str, agg: str = "mean", nam
     spread over tasks too, and ``bin_index`` is dense.
     """
     timed = df.filter(F.col(ts).isNotNull())
-    binned = settle(timed.groupBy(_bin(ts, rule).alias("bin")).agg(AGGREGATES[agg](col).alias(name)))
+    binned = settle(timed.groupBy(_bin(ts, rule).alias("bin")).agg(AGGREGATES[agg](present(df, col)).alias(name)))
     unit = RULES[rule]
+    # the start passes the driver as text: a time would be read in the driver's zone
     ends = (
         binned.agg(F.min("bin").alias("a"), F.max("bin").alias("b"))
-        .select("a", F.timestamp_diff(unit, F.col("a"), F.col("b")).alias("n"))
+        .select(F.col("a").cast("string").alias("a"), F.timestamp_diff(unit, F.col("a"), F.col("b")).alias("n"))
         .first()
     )
     n = 0 if ends["a"] is None else ends["n"] + 1

@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import functions as F
 
 from sheetwise.operators import charts, stats, timeseries
-from sheetwise.plans.registry import SPARSE_EVENTS, query, rounded, sparse_events, table
+from sheetwise.plans.registry import SPARSE_EVENTS, hash_sql, in_place, nan_events, query, rounded, sparse_events, table
 
 # ---- statistics ----
 
@@ -254,10 +254,9 @@ def _(spark, d):
     return rounded(timeseries.resample(table(spark, d, "events"), "ts", "D", "value"), 6, "value")
 
 
-@query("resample_hour_sparse", _bins_sql("hour", "sum", "round(coalesce(v, 0), 4)", "WHERE user_id = 8"))
+@query("resample_hour_sparse", _bins_sql("minute", "sum", "round(coalesce(v, 0), 4)"))
 def _(spark, d):
-    one = table(spark, d, "events").filter("user_id = 8")
-    return rounded(timeseries.resample(one, "ts", "h", "value", "sum"), 4, "value")
+    return rounded(timeseries.resample(table(spark, d, "events"), "ts", "min", "value", "sum"), 4, "value")
 
 
 @query(
@@ -279,10 +278,13 @@ def _(spark, d):
     return timeseries.to_datetime(orders, "written", "yyyy/MM/dd")
 
 
-@query("index_by_time", "SELECT o_orderdate, o_orderkey, o_totalprice FROM orders ORDER BY o_orderdate")
+@query(
+    "index_by_time",
+    "SELECT o_orderdate, o_orderkey, o_totalprice, row_number() OVER (ORDER BY o_orderdate, o_orderkey) - 1 AS row_index FROM orders",
+)
 def _(spark, d):
     few = table(spark, d, "orders").select("o_orderkey", "o_totalprice", "o_orderdate")
-    return timeseries.index_by_time(few, "o_orderdate", key=["o_orderkey"])
+    return in_place(timeseries.index_by_time(few, "o_orderdate", key=["o_orderkey"]))
 
 
 def _decompose_sql(period: int) -> str:
@@ -392,7 +394,7 @@ def _hist_sql(source: str, col: str, bins: int) -> str:
     FROM (SELECT CAST(unnest(range({bins})) AS INTEGER) AS bin) b
     CROSS JOIN (SELECT min({col}) AS lo, max({col}) AS hi FROM {source}) e
     LEFT JOIN (SELECT least(CAST(floor(({col} - lo) * {bins} / (hi - lo)) AS INTEGER), {bins - 1}) AS bin, count(*) AS n
-               FROM {source}, (SELECT min({col}) AS lo, max({col}) AS hi FROM {source}) GROUP BY 1) c ON b.bin = c.bin"""
+               FROM {source}, (SELECT min({col}) AS lo, max({col}) AS hi FROM {source}) WHERE {col} IS NOT NULL GROUP BY 1) c ON b.bin = c.bin"""
 
 
 @query("chart_hist", f"SELECT bin, round(low, 6) AS low, round(high, 6) AS high, n FROM ({_hist_sql('orders', 'o_totalprice', 10)})")
@@ -425,7 +427,10 @@ def _(spark, d):
     return charts.chart_scatter(table(spark, d, "lineitem"), "l_quantity", "l_extendedprice")
 
 
-@query("chart_scatter_sample")
+@query(
+    "chart_scatter_sample",
+    f"SELECT o_custkey AS x, o_totalprice AS y FROM orders WHERE {hash_sql(7, 'o_orderkey')} % 1000000 < 100000",
+)
 def _(spark, d):
     return charts.chart_scatter(table(spark, d, "orders"), "o_custkey", "o_totalprice", 0.1, 7, ["o_orderkey"])
 
@@ -460,6 +465,83 @@ def _(spark, d):
     return rounded(charts.chart_scatter_matrix(table(spark, d, "orders"), _PAIR), 6, "value")
 
 
-@query("bootstrap_stats")
+@query(
+    "bootstrap_stats",
+    f"""WITH t AS (SELECT sample, place, min(turn) AS luck FROM
+      (SELECT sample, turn, {hash_sql(0, 'sample', 'turn')} % (SELECT count(*) FROM orders) AS place
+       FROM range(1, 101) a(sample), range(1, 151) b(turn)) GROUP BY sample, place),
+    p AS (SELECT sample, place FROM (SELECT *, row_number() OVER (PARTITION BY sample ORDER BY luck, place) AS r FROM t) WHERE r <= 50),
+    o AS (SELECT o_totalprice AS v, row_number() OVER (ORDER BY o_orderkey) - 1 AS place FROM orders)
+    SELECT sample, round(avg(v), 4) AS mean, round(median(v), 4) AS median, round((min(v) + max(v)) / 2, 4) AS midrange
+    FROM p JOIN o USING (place) GROUP BY sample""",
+)
+def _(spark, d):
+    drawn = charts.bootstrap_stats(table(spark, d, "orders"), "o_totalprice", ["o_orderkey"], samples=100)
+    return rounded(drawn, 4, "mean", "median", "midrange")
+
+
+@query(
+    "chart_line_mean",
+    """SELECT l_quantity AS x, count(*) AS n, round(avg(l_extendedprice), 3) AS mean,
+    round(avg(l_extendedprice) - 1.96 * stddev_samp(l_extendedprice) / sqrt(count(*)), 3) AS low,
+    round(avg(l_extendedprice) + 1.96 * stddev_samp(l_extendedprice) / sqrt(count(*)), 3) AS high FROM lineitem GROUP BY l_quantity""",
+)
+def _(spark, d):
+    line = charts.chart_line_mean(table(spark, d, "lineitem"), "l_quantity", "l_extendedprice")
+    return rounded(line, 3, "mean", "low", "high")
+
+
+# ---- missing numbers held as NaN ----
+
+for _fn, _expr in {
+    "max": "max(value)",
+    "mean": "round(avg(value), 6)",
+    "sum": "round(sum(value), 2)",
+    "count": "count(value)",
+    "std": "round(stddev_samp(value), 4)",
+    "nunique": "count(DISTINCT value)",
+}.items():
+
+    @query(f"agg_{_fn}_nan", f"SELECT {_expr} AS value_{_fn} FROM {SPARSE_EVENTS}")
+    def _(spark, d, fn=_fn):
+        found = stats.column_stat(nan_events(spark, d), "value", fn)
+        return rounded(found, {"mean": 6, "sum": 2, "std": 4}[fn], f"value_{fn}") if fn in ("mean", "sum", "std") else found
+
+
+@query("agg_median_nan", f"SELECT round(median(value), 4) AS median FROM {SPARSE_EVENTS}")
+def _(spark, d):
+    return rounded(stats.median(nan_events(spark, d), "value"), 4, "median")
+
+
+@query(
+    "group_median_nan",
+    f"""SELECT CASE WHEN k % 5 = 0 THEN 'none' ELSE event_type END AS kind, round(median(value), 4) AS median
+    FROM {SPARSE_EVENTS} GROUP BY 1""",
+)
+def _(spark, d):
+    kind = F.when(F.col("k") % 5 == 0, "none").otherwise(F.col("event_type"))
+    return rounded(stats.median(nan_events(spark, d).withColumn("kind", kind), "value", ["kind"]), 4, "median")
+
+
+@query("corr_pair_nan", f"SELECT round(corr(value, k), 6) AS corr FROM {SPARSE_EVENTS}")
+def _(spark, d):
+    return rounded(stats.corr(nan_events(spark, d), "value", "k"), 6, "corr")
+
+
+@query(
+    "trend_line_nan",
+    f"""SELECT round(regr_slope(value, k), 6) AS slope, round(regr_intercept(value, k), 6) AS intercept,
+    round(regr_r2(value, k), 6) AS r2 FROM {SPARSE_EVENTS}""",
+)
+def _(spark, d):
+    return rounded(stats.trend_line(nan_events(spark, d), "value", "k"), 6, "slope", "intercept", "r2")
+
+
+@query("chart_hist_nan", f"SELECT bin, round(low, 6) AS low, round(high, 6) AS high, n FROM ({_hist_sql(SPARSE_EVENTS, 'value', 10)})")
+def _(spark, d):
+    return rounded(charts.chart_hist(nan_events(spark, d), "value"), 6, "low", "high")
+
+
+@query("chart_box_nan", _BOX.format(c="value", t=SPARSE_EVENTS))
 def _(spark, d):
-    return charts.bootstrap_stats(table(spark, d, "orders"), "o_totalprice", ["o_orderkey"], samples=100)
+    return rounded(charts.chart_box(nan_events(spark, d), ["value"]), 4, "q1", "median", "q3")

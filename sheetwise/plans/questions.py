@@ -3,17 +3,22 @@
 from __future__ import annotations
 
 import re
+import uuid
+from collections.abc import Iterator
 
 import pandas as pd
 from pyspark.sql import functions as F
 
 from sheetwise.functions import text
 from sheetwise.operators import corpus, evaluate, hooks, joins, profile, prompts
-from sheetwise.operators.answering import answer
+from sheetwise.operators.answering import ANSWER_ROWS, EMPTY_ANSWER, answer, answer_batch
 from sheetwise.plans.flagship import correlation_answer
 from sheetwise.plans.registry import query, rounded, sql, table
 from sheetwise.plans.tables import PAIRS, answer_sheets
+from sheetwise.session import checkpoint_folder
+from sheetwise.sources import tables
 from sheetwise.sources.registry import TableRegistry
+from sheetwise.sources.results import DETAIL, write_report, write_results
 
 
 def filled_sql(template: str, values: dict[str, str]) -> str:
@@ -204,7 +209,7 @@ def _(spark, d):
 # ---- tagging, scoring, answering ----
 
 _BARE = r"""regexp_replace({0}, '(^|[^\w])(?:''[^''\n]*''|"[^"\n]*")([^\w]|$)', '\1 \2', 'g')"""
-_TAG = rf"""CASE WHEN regexp_matches({_BARE}, '(?i)(?:plot|chart)(?:s|ed|ted|ing|ting)?\b|\bgraphs?\b|\bvisuali[sz]') THEN 'plot' ELSE 'general' END"""
+_TAG = rf"""CASE WHEN regexp_matches({_BARE}, '(?i)(?:plot|chart)(?:s|ed|ted|ing|ting)?\b|\bgraphs?\b|\bvisuali[sz]|\bhistograms?\b|\bscatter|\bfigures?\b|\bdiagrams?\b|\bdraw(?:s|n|ing)?\b') THEN 'plot' ELSE 'general' END"""
 
 
 @query("tag_queries", f"SELECT query_id, {_TAG.format('user_query')} AS tagged_query_type FROM {_QUESTIONS}")
@@ -237,7 +242,7 @@ _NUMERIC = """(SELECT l_orderkey AS query_id, 'general' AS tagged_query_type, CA
 )
 def _(spark, d):
     number = "CAST({} AS STRING)".format
-    items = table(spark, d, "lineitem").filter(F.lit(True)).select(
+    items = table(spark, d, "lineitem").select(
         F.lit("general").alias("tagged_query_type"),
         sql(number("CAST(l_extendedprice AS DECIMAL(18, 2))")).alias("correct"),
         sql(
@@ -419,15 +424,158 @@ def _(spark, d):
     return hooks.map_completions(table(spark, d, "documents").select("doc_id", "text"), "text", make).drop("text")
 
 
-def solve(pdf: pd.DataFrame) -> pd.DataFrame:
-    return pd.DataFrame({"user_id": [pdf["user_id"].iloc[0]], "n": [len(pdf)], "best": [pdf["value"].max()]})
-
-
-def solve_large(df):
-    return df.groupBy("user_id").agg(F.count("*").alias("n"), F.max("value").alias("best"))
+def solve(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+    user, n, best = None, 0, None
+    for pdf in batches:
+        user, n, top = pdf["user_id"].iloc[0], n + len(pdf), pdf["value"].max()
+        best = top if best is None else max(best, top)
+    yield pd.DataFrame({"user_id": [user], "n": [n], "best": [best]})
 
 
 @query("solve_groups", "SELECT user_id, count(*) AS n, max(value) AS best FROM events GROUP BY user_id")
 def _(spark, d):
     events = table(spark, d, "events").select("user_id", "value")
-    return hooks.solve_groups(events, "user_id", solve, "user_id long, n long, best double", solve_large)
+    return hooks.solve_groups(events, "user_id", solve, "user_id long, n long, best double")
+
+
+# ---- answers and scores with content ----
+
+
+def _scored(df, correct: str, answer: str):
+    pairs = df.select(sql(correct).alias("correct"), sql(answer).alias("answer"), F.lit("general").alias("tagged_query_type"), "key")
+    return pairs.select("key", evaluate.tolerant_match("correct", "answer").alias("score"))
+
+
+@query("score_dates", "SELECT o_orderkey AS key, CASE WHEN o_orderkey % 3 = 0 THEN 0 ELSE 1 END AS score FROM orders")
+def _(spark, d):
+    orders = table(spark, d, "orders").withColumn("key", F.col("o_orderkey")).withColumn("day", F.to_date("o_orderdate"))
+    other = "CAST(date_add(day, CASE WHEN key % 3 = 0 THEN 2 ELSE 1 END) AS STRING)"
+    first, second = "CAST(day AS STRING)", "CAST(date_add(day, 1) AS STRING)"
+    return _scored(orders, f"'[' || {first} || ', ' || {second} || ']'", f"'0    ' || {other} || '\n1    ' || {first}")
+
+
+@query(
+    "score_lists",
+    """SELECT l_orderkey * 10 + l_linenumber AS key,
+    CASE l_linenumber % 3 WHEN 0 THEN 1 WHEN 1 THEN CASE WHEN abs(l_quantity - l_tax) <= 0.01 THEN 1 ELSE 0 END ELSE 1 END AS score FROM lineitem""",
+)
+def _(spark, d):
+    items = table(spark, d, "lineitem").withColumn("key", F.col("l_orderkey") * 10 + F.col("l_linenumber"))
+    q, t = "CAST(l_quantity AS STRING)", "CAST(l_tax AS STRING)"
+    given = f"""CASE l_linenumber % 3 WHEN 0 THEN '[' || {t} || ', ' || {q} || ', ' || {q} || ']'
+      WHEN 1 THEN '[' || {q} || ', ' || {t} || ', ' || {t} || ']' ELSE '[' || {q} || ', ' || {t} || ', 77, ' || {q} || ']' END"""
+    return _scored(items, f"'[' || {q} || ', ' || {q} || ', ' || {t} || ']'", given)
+
+
+@query("score_text", "SELECT p_partkey AS key, CASE WHEN p_partkey % 2 = 0 THEN 1 ELSE 0 END AS score FROM part")
+def _(spark, d):
+    parts = table(spark, d, "part").withColumn("key", F.col("p_partkey"))
+    kind = "translate(p_type, '0123456789', 'abcdefghij')"
+    return _scored(parts, kind, f"CASE WHEN p_partkey % 2 = 0 THEN 'It is ' || upper({kind}) || '.' ELSE 'zz' END")
+
+
+@query("score_sci", "SELECT p_partkey AS key, CASE WHEN p_partkey % 2 = 0 THEN 1 ELSE 0 END AS score FROM part")
+def _(spark, d):
+    parts = table(spark, d, "part").withColumn("key", F.col("p_partkey"))
+    grouped = "CASE WHEN p_partkey % 2 = 0 THEN format_number(p_partkey * 1000 + 0.5, 1) ELSE '5-' || CAST(p_partkey AS STRING) END"
+    plain = "CASE WHEN p_partkey % 2 = 0 THEN CAST(p_partkey * 1000 + 0.5 AS STRING) ELSE '-' || CAST(p_partkey AS STRING) END"
+    return _scored(parts, plain, grouped)
+
+
+def _checkpointed(spark, name: str) -> str:
+    return f"{checkpoint_folder(spark)}/{name}-{uuid.uuid4()}"
+
+
+@query("answer_rows", "SELECT 7 AS query_id, row_number() OVER (ORDER BY c_custkey) - 1 AS row, c_custkey, c_name FROM customer")
+def _(spark, d):
+    registry, path = TableRegistry(spark), _checkpointed(spark, "answers")
+    registry.register("customer", f"{d}/customer.parquet")
+    answer(registry, "customer", "Who are the customers?", ["SELECT c_custkey, c_name FROM customer ORDER BY c_custkey"], query_id=7, answers=path)
+    lines = spark.read.schema(ANSWER_ROWS).parquet(path)
+    fields = F.from_json("line", "c_custkey long, c_name string")
+    return lines.select("query_id", "row", fields.alias("f")).select("query_id", "row", "f.*")
+
+
+@query(
+    "detail_row",
+    """SELECT CAST(3 AS BIGINT) AS query_id, 'general' AS tagged_query_type, 2 AS count_of_fixing_errors, true AS successful_code_execution,
+    'plan it' AS prompt_user_for_planner, '' AS plot_filename, '' AS code_errors,
+    '{"n":' || CAST(count(*) AS VARCHAR) || '}' AS result_repl_stdout, true AS repaired FROM nation""",
+)
+def _(spark, d):
+    registry = TableRegistry(spark)
+    registry.register("nation", f"{d}/nation.parquet")
+    tried = ["SELECT count(*) AS n FROM nations_of_old", "SELECT n_name FROM nation WHERE n_nationkey < 0", "SELECT count(*) AS n FROM nation"]
+    _, detail = answer(registry, "nation", "How many nations?", tried, query_id=3, planner_prompt="plan it")
+    row = spark.createDataFrame([tuple(detail.values())], DETAIL)
+    repaired = F.col("last_debug_prompt").contains(EMPTY_ANSWER) & F.col("last_debug_prompt").contains(tried[1])
+    kept = ["query_id", "tagged_query_type", "count_of_fixing_errors", "successful_code_execution", "prompt_user_for_planner"]
+    return row.select(*kept, "plot_filename", "code_errors", "result_repl_stdout", repaired.alias("repaired"))
+
+
+@query(
+    "answer_batch",
+    """SELECT CAST(r_regionkey AS BIGINT) AS query_id, CASE WHEN r_regionkey % 2 = 0 THEN 'plot' ELSE 'general' END AS tagged_query_type,
+    '{"n":' || CAST((SELECT count(*) FROM nation WHERE n_regionkey = r_regionkey) AS VARCHAR) || '}' AS result_repl_stdout FROM region""",
+)
+def _(spark, d):
+    registry = TableRegistry(spark)
+    registry.register("nation", f"{d}/nation.parquet")
+    asked = sql("CASE WHEN r_regionkey % 2 = 0 THEN 'Draw a histogram of the nations' ELSE 'How many nations?' END")
+    sheet = table(spark, d, "region").select(F.col("r_regionkey").cast("long").alias("query_id"), F.lit("nation").alias("table_name"), asked.alias("user_query"))
+    found = answer_batch(sheet, registry, lambda r: [f"SELECT count(*) AS n FROM nation WHERE n_regionkey = {r['query_id']}"])
+    return found.select("query_id", "tagged_query_type", "result_repl_stdout")
+
+
+@query(
+    "prompt_errors",
+    """SELECT doc_id AS query_id, CASE WHEN doc_id % 2 = 0 AND doc_id % 3 = 0 THEN 'a plot that is saved needs a path' END AS error
+    FROM documents""",
+)
+def _(spark, d):
+    sheet = table(spark, d, "documents").select(
+        F.col("doc_id").alias("query_id"),
+        F.col("source").alias("user_query"),
+        sql("CASE WHEN doc_id % 2 = 0 THEN 'plot' ELSE 'general' END").alias("tagged_query_type"),
+        sql("CASE WHEN doc_id % 3 = 0 THEN '' ELSE 'a.png' END").alias("plot_filename"),
+    )
+    return prompts.render_prompts(sheet, None, "coder_only_simple").select("query_id", "error")
+
+
+@query("csv_round_trip", "SELECT c_custkey, c_name, c_acctbal FROM customer")
+def _(spark, d):
+    path = _checkpointed(spark, "csv")
+    few = table(spark, d, "customer").select("c_custkey", "c_name", "c_acctbal")
+    tables.write_csv(few, path)
+    return tables.read_csv(spark, path, few.schema)
+
+
+@query("jsonl_round_trip", "SELECT doc_id, text FROM documents")
+def _(spark, d):
+    path = _checkpointed(spark, "jsonl")
+    few = table(spark, d, "documents").select("doc_id", "text")
+    tables.write_jsonl(few, path)
+    return tables.read_jsonl(spark, path, few.schema)
+
+
+@query("results_round_trip", "SELECT doc_id AS query_id, source AS plan, 'r1' AS run_id FROM documents")
+def _(spark, d):
+    path = _checkpointed(spark, "results")
+    rows = table(spark, d, "documents").select(F.col("doc_id").alias("query_id"), F.col("source").alias("plan"))
+    write_results(rows, path, "r1")
+    return spark.read.parquet(path).select("query_id", "plan", "run_id")
+
+
+@query(
+    "report_round_trip",
+    """SELECT r_name || ': ' || CAST((SELECT count(*) FROM nation WHERE n_regionkey = r_regionkey) AS VARCHAR) || ' questions' AS value
+    FROM region""",
+)
+def _(spark, d):
+    path = _checkpointed(spark, "report")
+    counted = table(spark, d, "region").join(table(spark, d, "nation"), F.col("r_regionkey") == F.col("n_regionkey")).groupBy("r_name")
+    metrics = counted.agg(F.count("*").alias("n_queries")).select(
+        F.col("r_name").alias("cohort"), "n_queries", F.col("n_queries").alias("n_executable"), F.lit(1.0).alias("rate")
+    )
+    write_report(metrics, path)
+    return spark.read.text(path).filter(F.col("value").endswith(" questions"))

@@ -2,11 +2,14 @@
 
 from __future__ import annotations
 
+import itertools
 from collections.abc import Callable
 
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from sheetwise.session import settle
+
 Query = Callable[[SparkSession, str], DataFrame]
 
 QUERIES: dict[str, Query] = {}
@@ -58,6 +61,28 @@ def sparse_events(spark: SparkSession, sf_dir: str) -> DataFrame:
     )
 
 
+def hash_sql(seed: int | str, *keys: str) -> str:
+    """The number of ``scale.hash_order`` in DuckDB."""
+    text = " || '|' || ".join([f"'{seed}'", *[f"coalesce(CAST({k} AS VARCHAR), '')" for k in keys]])
+    return f"CAST('0x' || substr(md5({text}), 1, 15) AS BIGINT)"
+
+
+def nan_events(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """``sparse_events`` with NaN where it has NULL: what a table holds whose missing numbers are NaN."""
+    return sparse_events(spark, sf_dir).withColumn("value", F.coalesce("value", F.lit(float("nan"))))
+
+
 def sql(text: str) -> Column:
     """An expression that is written the same way in both engines."""
     return F.expr(text)
+
+
+def in_place(df: DataFrame) -> DataFrame:
+    """Rows with their position in the result's own order, so that the order can be compared."""
+    placed = df.withColumns({"part": F.spark_partition_id(), "place": F.monotonically_increasing_id()})
+    placed = settle(placed)
+    sizes = sorted(tuple(r) for r in placed.groupBy("part").count().collect())
+    starts = itertools.accumulate((n for _, n in sizes), initial=0)
+    offsets = F.broadcast(df.sparkSession.createDataFrame([(p, s) for (p, _), s in zip(sizes, starts)], "part int, start long"))
+    at = F.col("start") + F.col("place").bitwiseAND(F.lit((1 << 33) - 1))
+    return placed.join(offsets, "part").withColumn("row_index", at).drop("part", "place", "start")

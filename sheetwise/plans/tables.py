@@ -7,7 +7,7 @@ from pyspark.sql import functions as F
 
 from sheetwise.operators import cleaning, joins, ordering, reshape, setops
 from sheetwise.operators.corpus import SNIPPET_WORDS
-from sheetwise.plans.registry import SPARSE_EVENTS, query, rounded, sparse_events, table
+from sheetwise.plans.registry import SPARSE_EVENTS, hash_sql, in_place, nan_events, query, rounded, sparse_events, table
 from sheetwise.sources.registry import TableRegistry
 from sheetwise.sources.tables import cast_all_string, from_sql, load_table
 
@@ -286,9 +286,10 @@ def _(spark, d):
 # ---- order ----
 
 
-@query("sort_by", "SELECT * FROM customer ORDER BY c_mktsegment, c_acctbal DESC, c_custkey")
+@query("sort_by", "SELECT *, row_number() OVER (ORDER BY c_mktsegment, c_acctbal DESC, c_custkey) - 1 AS row_index FROM customer")
 def _(spark, d):
-    return ordering.sort_by(table(spark, d, "customer"), ["c_mktsegment", "c_acctbal"], [True, False], ["c_custkey"])
+    placed = ordering.sort_by(table(spark, d, "customer"), ["c_mktsegment", "c_acctbal"], [True, False], ["c_custkey"])
+    return in_place(placed)
 
 
 @query("top_k", "SELECT o_orderkey, o_totalprice FROM orders ORDER BY o_totalprice DESC, o_orderkey LIMIT 10")
@@ -324,9 +325,9 @@ def _(spark, d):
     return found.select("column_name", "position", F.array_join("sample_values", "|").alias("samples"))
 
 
-@query("seeded_shuffle", "SELECT * FROM orders")
+@query("seeded_shuffle", f"SELECT *, row_number() OVER (ORDER BY {hash_sql(228, 'o_orderkey')}, o_orderkey) - 1 AS row_index FROM orders")
 def _(spark, d):
-    return ordering.seeded_shuffle(table(spark, d, "orders"), 228, ["o_orderkey"])
+    return in_place(ordering.seeded_shuffle(table(spark, d, "orders"), 228, ["o_orderkey"]))
 
 
 @query(
@@ -342,13 +343,18 @@ def _(spark, d):
     return both.groupBy("split").agg(F.count("*").alias("n_rows"), F.count_distinct("o_orderkey").alias("n_keys"))
 
 
-@query("split_rows", "SELECT * FROM orders")
+@query(
+    "split_rows",
+    f"""SELECT o_orderkey, CASE WHEN p <= floor(n * 0.05) THEN 'validation' ELSE 'train' END AS split FROM
+    (SELECT o_orderkey, row_number() OVER (ORDER BY {hash_sql(1337, 'o_orderkey')}, o_orderkey) AS p, count(*) OVER () AS n FROM orders)""",
+)
 def _(spark, d):
-    train, validation = ordering.split_train_validation(table(spark, d, "orders"), 0.05, 1337, ["o_orderkey"])
-    return train.unionByName(validation)
+    orders = table(spark, d, "orders").select("o_orderkey")
+    train, validation = ordering.split_train_validation(orders, 0.05, 1337, ["o_orderkey"])
+    return train.withColumn("split", F.lit("train")).unionByName(validation.withColumn("split", F.lit("validation")))
 
 
-@query("probe_set")
+@query("probe_set", f"SELECT * FROM orders ORDER BY {hash_sql(1337, 'o_orderkey')}, o_orderkey LIMIT 20")
 def _(spark, d):
     _, validation = ordering.split_train_validation(table(spark, d, "orders"), 0.05, 1337, ["o_orderkey"])
     return ordering.select_first(validation, 20, 1337, ["o_orderkey"])
@@ -489,3 +495,68 @@ def _(spark, d):
 def _(spark, d):
     few = table(spark, d, "lineitem").select("l_orderkey", "l_linenumber", "l_returnflag")
     return reshape.get_dummies(few, "l_returnflag", as_int=True)
+
+
+@query("pivot_wide", "SELECT c_nationkey, c_custkey, c_acctbal AS value FROM customer")
+def _(spark, d):
+    customers = table(spark, d, "customer")
+    wide = reshape.pivot_table(customers, ["c_nationkey"], "c_custkey", "c_acctbal", "max")
+    names = [c for c in wide.columns if c != "c_nationkey"]
+    long = reshape.melt(wide, ["c_nationkey"], names, "c_custkey", "value").filter("value is not null")
+    return long.withColumn("c_custkey", F.col("c_custkey").cast("long"))
+
+
+@query("pivot_long", "SELECT user_id, event_type, round(avg(value), 6) AS value FROM events GROUP BY user_id, event_type")
+def _(spark, d):
+    return rounded(reshape.pivot_long(table(spark, d, "events"), ["user_id"], "event_type", "value"), 6, "value")
+
+
+@query(
+    "pivot_nan",
+    f"""SELECT user_id % 7 AS shard, round(avg(value) FILTER (event_type = 'click'), 6) AS click,
+    round(avg(value) FILTER (event_type = 'view'), 6) AS "view" FROM {SPARSE_EVENTS} GROUP BY user_id % 7""",
+)
+def _(spark, d):
+    events = nan_events(spark, d).withColumn("shard", F.col("user_id") % 7)
+    wide = reshape.pivot_table(events, ["shard"], "event_type", "value", column_values=["click", "view"])
+    return rounded(wide, 6, "click", "view")
+
+
+@query("top_k_nan", f"SELECT event_id, value FROM {SPARSE_EVENTS} WHERE value IS NOT NULL ORDER BY value DESC, event_id LIMIT 10")
+def _(spark, d):
+    return ordering.top_k(nan_events(spark, d), "value", 10, ["event_id"], ["event_id", "value"])
+
+
+@query(
+    "sort_by_nan",
+    f"SELECT event_id, row_number() OVER (ORDER BY value DESC NULLS LAST, event_id) - 1 AS row_index FROM {SPARSE_EVENTS}",
+)
+def _(spark, d):
+    few = nan_events(spark, d).select("event_id", "value")
+    return in_place(ordering.sort_by(few, ["value"], False, ["event_id"])).select("event_id", "row_index")
+
+
+@query(
+    "concat_same_names",
+    """SELECT row_index, key_x, name_x, key_y, name_y FROM
+    (SELECT c_custkey AS key_x, c_name AS name_x, row_number() OVER (ORDER BY c_custkey) - 1 AS row_index FROM customer)
+    FULL JOIN (SELECT s_suppkey AS key_y, s_name AS name_y, row_number() OVER (ORDER BY s_suppkey) - 1 AS row_index FROM supplier)
+    USING (row_index)""",
+)
+def _(spark, d):
+    a = table(spark, d, "customer").select(F.col("c_custkey").alias("key"), F.col("c_name").alias("name"))
+    b = table(spark, d, "supplier").select(F.col("s_suppkey").alias("key"), F.col("s_name").alias("name"))
+    return joins.concat_columns(a, b, ["key"], ["key"])
+
+
+@query(
+    "frame_close",
+    """SELECT o_orderkey, 'o_totalprice' AS "column", o_orderkey % 10 = 0 AS far FROM orders WHERE o_orderkey % 10 = 0
+    UNION ALL SELECT o_orderkey, '__row', false FROM orders WHERE o_orderkey % 97 = 1 AND o_orderkey % 10 <> 0""",
+)
+def _(spark, d):
+    a = table(spark, d, "orders").select("o_orderkey", "o_totalprice", "o_orderstatus")
+    moved = F.when(F.col("o_orderkey") % 10 == 0, F.col("o_totalprice") * 1.001).otherwise(F.col("o_totalprice") * (1 + 1e-9))
+    b = a.filter("o_orderkey % 97 <> 1 or o_orderkey % 10 = 0").withColumn("o_totalprice", moved)
+    found = setops.frame_close(a, b, ["o_orderkey"])
+    return found.select("o_orderkey", "column", (F.col("column") == "o_totalprice").alias("far"))

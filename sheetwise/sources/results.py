@@ -29,20 +29,20 @@ def write_results(details: DataFrame, path: str, run_id: str, mode: str = "appen
 def report_lines(metrics: DataFrame) -> DataFrame:
     """Cohort metrics ``(cohort, n_queries, n_executable, rate)`` as text lines."""
     name, n, ok, rate = (F.col(c) for c in ("cohort", "n_queries", "n_executable", "rate"))
-    lines = F.when(n == 0, F.array(F.format_string("No queries from %s", name))).otherwise(
+    lines = F.when(n == 0, F.array(F.format_string("%s: no questions", name))).otherwise(
         F.array(
-            F.format_string("Number of queries from %s: %d", name, n),
-            F.format_string("Number of executable queries from %s: %d", name, ok),
+            F.format_string("%s: %d questions", name, n),
+            F.format_string("%s: %d of them ran", name, ok),
         )
     )
-    share = F.concat(F.lit("Percentage of queries from "), name, F.lit(" that are executable: "), rate.cast("string"))
+    share = F.concat(name, F.lit(": share that ran "), rate.cast("string"))
     return metrics.select("cohort", F.concat(lines, F.array(share)).alias("lines"))
 
 
 def write_report(metrics: DataFrame, path: str, mode: str = "overwrite") -> None:
     """Write the report as one text file; the metrics are one row per cohort."""
     numbered = report_lines(metrics).select("cohort", F.posexplode("lines").alias("part", "value"))
-    is_rate = F.col("value").startswith("Percentage")
+    is_rate = F.col("value").contains(": share that ran ")
     rule = numbered.sparkSession.createDataFrame([("----------",)], "value string")
     ordered = (
         numbered.select(is_rate.cast("int").alias("section"), "cohort", "part", "value")

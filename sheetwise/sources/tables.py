@@ -12,29 +12,36 @@ from pyspark.sql.types import DoubleType, FloatType, StringType, StructType
 from sheetwise.sources.workbooks import read_workbook
 
 
-def missing_to_null(df: DataFrame) -> DataFrame:
-    """Turn NaN numbers and the texts '' and 'nan' into NULL."""
+def missing_to_null(df: DataFrame, texts: bool = True) -> DataFrame:
+    """Turn NaN numbers and, with ``texts``, the texts '' and 'nan' into NULL."""
     out = []
     for field in df.schema.fields:
         c = F.col(f"`{field.name}`")
         if isinstance(field.dataType, (DoubleType, FloatType)):
             c = F.when(~F.isnan(c), c)
-        elif isinstance(field.dataType, StringType):
+        elif texts and isinstance(field.dataType, StringType):
             c = F.when(~F.lower(F.trim(c)).isin("", "nan"), c)
         out.append(c.alias(field.name))
     return df.select(*out)
 
 
-def load_table(spark: SparkSession, path: str, schema: StructType | str | None = None) -> DataFrame:
+def load_table(
+    spark: SparkSession, path: str, schema: StructType | str | None = None, nan_is_missing: bool = True
+) -> DataFrame:
     """Read a table, choosing the reader by the file extension.
 
     CSV and XLSX types are inferred unless a schema is given; give one for
     large CSV tables, since inference reads the file an extra time.
+
+    NaN numbers of a Parquet table become NULL, too. A comparison on such a
+    column is then not pushed into the scan; ``nan_is_missing=False`` keeps it
+    there for tables that are known to hold no NaN.
     """
     if path.endswith(".csv"):
         return read_csv(spark, path, schema)
     if path.endswith(".parquet"):
-        return spark.read.parquet(path)
+        read = spark.read.parquet(path)
+        return missing_to_null(read, texts=False) if nan_is_missing else read
     if path.endswith(".xlsx"):
         return read_workbook(spark, path, schema)
     raise ValueError(f"cannot load {path!r}: the file must be .csv, .xlsx or .parquet")

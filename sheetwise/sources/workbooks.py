@@ -8,6 +8,7 @@ workbook always fits in one task; many workbooks spread over the cluster.
 
 from __future__ import annotations
 
+import datetime
 import io
 import re
 import zipfile
@@ -30,7 +31,30 @@ def _column_number(reference: str) -> int:
     return number - 1
 
 
-def _cell_text(cell, shared: list[str]) -> str | None:
+def _date_styles(book: zipfile.ZipFile) -> set[int]:
+    """Numbers of the cell styles that show a number as a date or time."""
+    if "xl/styles.xml" not in book.namelist():
+        return set()
+    root = ElementTree.fromstring(book.read("xl/styles.xml"))
+    # fixed values: the built-in formats of dates and times
+    dates = {*range(14, 23), *range(27, 37), *range(45, 48), *range(50, 59)}
+    for form in root.iter(_MAIN + "numFmt"):
+        bare = re.sub(r'"[^"]*"|\\.|\[[^\]]*\]', "", form.get("formatCode", ""))
+        if re.search(r"[ymdhs]", bare, re.I):
+            dates.add(int(form.get("numFmtId")))
+    styles = root.find(_MAIN + "cellXfs")
+    return {i for i, x in enumerate(styles if styles is not None else []) if int(x.get("numFmtId", 0)) in dates}
+
+
+def _date_text(value: str, from_1904: bool) -> str:
+    """A serial number as date, or date and time."""
+    start = datetime.datetime(1904, 1, 1) if from_1904 else datetime.datetime(1899, 12, 30)
+    seconds = round(float(value) * 86_400)
+    moment = start + datetime.timedelta(seconds=seconds)
+    return moment.date().isoformat() if seconds % 86_400 == 0 else moment.isoformat(sep=" ")
+
+
+def _cell_text(cell, shared: list[str], dates: set[int] = frozenset(), from_1904: bool = False) -> str | None:
     kind = cell.get("t")
     if kind == "inlineStr":
         return "".join(t.text or "" for t in cell.iter(_MAIN + "t"))
@@ -41,6 +65,8 @@ def _cell_text(cell, shared: list[str]) -> str | None:
         return shared[int(value.text)]
     if kind == "b":
         return "true" if value.text == "1" else "false"
+    if kind in (None, "n") and int(cell.get("s", -1)) in dates:
+        return _date_text(value.text, from_1904)
     return value.text
 
 
@@ -64,6 +90,9 @@ def _sheet_rows(content: bytes) -> Iterator[list[str | None]]:
         if "xl/sharedStrings.xml" in book.namelist():
             for item in ElementTree.fromstring(book.read("xl/sharedStrings.xml")).iter(_MAIN + "si"):
                 shared.append("".join(t.text or "" for t in item.iter(_MAIN + "t")))
+        dates = _date_styles(book)
+        kind = ElementTree.fromstring(book.read("xl/workbook.xml")).find(_MAIN + "workbookPr")
+        from_1904 = kind is not None and kind.get("date1904") in ("1", "true")
         with book.open(_first_sheet(book)) as sheet:
             for _, node in ElementTree.iterparse(sheet):
                 if node.tag != _MAIN + "row":
@@ -72,21 +101,24 @@ def _sheet_rows(content: bytes) -> Iterator[list[str | None]]:
                 for place, cell in enumerate(node.findall(_MAIN + "c")):
                     column = _column_number(cell.get("r")) if cell.get("r") else place
                     cells += [None] * (column + 1 - len(cells))
-                    cells[column] = _cell_text(cell, shared)
+                    cells[column] = _cell_text(cell, shared, dates, from_1904)
                 yield cells
                 node.clear()
 
 
 def workbook_header(spark: SparkSession, path: str) -> list[str]:
-    """Column names of the first matching workbook (read by one task)."""
+    """Column names of all matching workbooks, each at its earliest place (one distributed pass)."""
 
     def header(batches):
         for batch in batches:
-            for content in batch["content"]:
-                yield pd.DataFrame({"names": [[str(c) for c in next(_sheet_rows(content), []) if c is not None]]})
-
-    files = spark.read.format("binaryFile").load(path).orderBy("path").limit(1).select("content")
-    return files.mapInPandas(header, "names array<string>").first()["names"]
+            for where, content in zip(batch["path"], batch["content"]):
+                names = [str(c) for c in next(_sheet_rows(content), []) if c is not None]
+                yield pd.DataFrame({"path": where, "place": range(len(names)), "name": names})
+
+    files = spark.read.format("binaryFile").load(path).select("path", "content")
+    found = files.mapInPandas(header, "path string, place int, name string")
+    first = found.groupBy("name").agg(F.min(F.struct("place", "path")).alias("at"))
+    return [r["name"] for r in first.orderBy("at", "name").collect()]
 
 
 def read_xlsx_dir(spark: SparkSession, glob: str, schema: StructType | str | None = None) -> DataFrame:

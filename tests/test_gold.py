@@ -178,8 +178,8 @@ def test_reshape(spark):
     dummies = reshape.get_dummies(df.select("i", "c"), "c", as_int=True)
     assert dummies.columns == ["i", "c_x", "c_y"]
     assert rows_of(dummies) == [("a", 1, 0), ("a", 1, 0), ("b", 0, 0), ("b", 0, 1)]
-    with pytest.raises(ValueError):
-        reshape.categories(df, "i", max_values=1)
+    long = reshape.pivot_long(df, ["i"], "c", "v")
+    assert rows_of(long) == [("a", "x", 2.0), ("b", "y", 5.0)]
 
 
 def test_frame_diff_counts_repeats(spark):
@@ -327,3 +327,30 @@ def test_reuse_plans_flags_half_a_plan(spark):
         "query_id long, plan string, tagged_query_type string, prompt_user_for_planner string, plot_filename string",
     )
     assert [r["error"] is None for r in evaluate.reuse_plans(sheet, former).orderBy("query_id").collect()] == [True, False]
+
+
+@pytest.mark.parametrize(
+    "correct, given, score",
+    [("1000000", "1e6", 1), ("1234.5", "1,234.5", 1), ("-3", "5-3", 0), ("[1, 1, 2]", "[1, 2, 2]", 0), ("[2, 1, 2]", "[1, 2, 2]", 1)],
+)
+def test_numbers_are_read_as_printed(spark, correct, given, score):
+    df = spark.createDataFrame([(correct, given)], "a string, b string")
+    assert df.select(evaluate.tolerant_match("a", "b")).first()[0] == score
+
+
+def test_drawing_words(spark):
+    asked = ["Draw a histogram of age", "make a figure", "scatter of a vs b", "a diagram please", "mean of 'Figure'"]
+    df = spark.createDataFrame([(q,) for q in asked], "q string")
+    assert [r[0] for r in df.select(evaluate.tag_question("q")).collect()] == ["plot"] * 4 + ["general"]
+
+
+def test_first_and_last_follow_an_order(spark):
+    df = spark.createDataFrame([(1, None), (2, 5.0), (3, float("nan")), (4, 7.0), (5, None)], "k int, v double")
+    assert tuple(stats.multi_agg(df, {"v": ["first", "last"]}, order=["k"]).first()) == (5.0, 7.0)
+    with pytest.raises(ValueError):
+        stats.multi_agg(df, {"v": ["first"]})
+
+
+def test_group_median_keeps_groups_without_a_value(spark):
+    df = spark.createDataFrame([("a", 1.0), ("a", float("nan")), ("b", None), (None, 2.0)], "g string, v double")
+    assert rows_of(stats.median(df, "v", ["g"])) == [("a", 1.0), ("b", None)]

@@ -1,5 +1,9 @@
 """Same rows whatever the partitioning and skew; plans without single-task steps."""
 
+import os
+import subprocess
+import sys
+
 import pytest
 from conftest import SMALL, rows_of
 from pyspark.sql import functions as F
@@ -107,8 +111,8 @@ def test_shuffle_is_repeatable(small):
 
 def test_bootstrap_does_not_depend_on_partitions(small):
     orders = small("orders")
-    a = charts.bootstrap_stats(orders, "o_totalprice", ["o_orderkey"], samples=20, pool=200)
-    b = charts.bootstrap_stats(orders.repartition(8), "o_totalprice", ["o_orderkey"], samples=20, pool=200)
+    a = charts.bootstrap_stats(orders, "o_totalprice", ["o_orderkey"], samples=20)
+    b = charts.bootstrap_stats(orders.repartition(8), "o_totalprice", ["o_orderkey"], samples=20)
     assert rows_of(a) == rows_of(b)
 
 
@@ -126,15 +130,32 @@ def test_hot_keys(skewed):
     assert scale.hot_keys(skewed, ["user_id"], 10_000) is None
 
 
-def test_solve_groups_hands_large_tables_to_spark(skewed):
-    from sheetwise.plans.questions import solve, solve_large
+def test_solve_groups_takes_batches(skewed):
+    from sheetwise.plans.questions import solve
 
     schema = "user_id long, n long, best double"
-    small_only = hooks.solve_groups(skewed, "user_id", solve, schema)
-    mixed = hooks.solve_groups(skewed, "user_id", solve, schema, solve_large, max_rows=50)
-    assert rows_of(small_only) == rows_of(mixed)
-    with pytest.raises(ValueError):
-        hooks.solve_groups(skewed, "user_id", solve, schema, max_rows=50)
+    got = hooks.solve_groups(skewed, "user_id", solve, schema)
+    own = hooks.solve_groups(skewed, "user_id", None, schema, lambda df: df.groupBy("user_id").agg(F.count("*").alias("n"), F.max("value").alias("best")))
+    assert rows_of(got) == rows_of(own)
+
+
+@pytest.mark.parametrize("zone", ["Asia/Tokyo", "America/New_York"])
+def test_the_drivers_time_zone_does_not_matter(zone):
+    code = """
+import sys; sys.path.insert(0, %r)
+from sheetwise.session import local_session
+from __spark_entry__ import queries
+from sheetwise.operators.scale import first_rows
+spark = local_session(2)
+d = "/root/testdata/sf0.001"
+events = spark.read.parquet(d + "/events.parquet")
+print(first_rows(events, 10, ["ts"]).count(), events.count())
+for name in ("head_n", "resample_day", "seasonal_decompose"):
+    df = queries()[name](spark, d)
+    print(name, df.selectExpr("count(*)", "bit_xor(xxhash64(" + ",".join(f"cast(`{c}` as string)" for c in sorted(df.columns)) + "))").first())
+""" % os.path.dirname(os.path.dirname(os.path.abspath(__file__)))
+    said = [subprocess.run([sys.executable, "-c", code], env=os.environ | {"TZ": z}, capture_output=True, text=True, timeout=250).stdout for z in ("UTC", zone)]
+    assert said[0].startswith("10 ") and said[0] == said[1]
 
 
 def test_small_side_hint_depends_on_size(spark):
