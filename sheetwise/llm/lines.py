@@ -6,6 +6,7 @@ from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from sheetwise.llm.registry import query, table
+from sheetwise.llm.stored import stored
 from sheetwise.llm.text import SPACE, lower_ascii, row_id, without
 
 
@@ -53,6 +54,8 @@ def dedup_lines(
         .filter(F.col("__docs") >= min_docs)
         .drop("__docs")
     )
+    # written first: a join of two plain exchanges can be split where one line is very common
+    shared = stored(shared)
     drops = (
         lines.join(shared, ["__k1", "__k2"])
         .filter(F.col("__id") != F.col("__keeper"))
