@@ -230,6 +230,7 @@ def remove_repeats(
     runs, bodies = shared_runs(rows, window, route_bodies)
     holders = smallest_holders(rows, bodies, window, shard_words)
     known = bodies.select("route", "body", F.col("first.id").alias("least")).join(holders, ["route", "body"], "left")
+    known = stored(known)
     places = F.sequence(F.lit(0).cast("long"), F.col("n") - 1)
     hit = F.when(F.col("owners").isNull(), F.when(F.col("least") < F.col("id"), places).otherwise(F.array().cast("array<long>")))
     hit = hit.otherwise(F.filter(places, lambda i: F.get("owners", i.cast("int")) < F.col("id")))
