@@ -22,6 +22,8 @@ def local_session(cpus: int | str = 8, name: str = "sheetwise") -> SparkSession:
         .config("spark.ui.enabled", "false")
         .config("spark.ui.showConsoleProgress", "false")
         .config("spark.sql.execution.arrow.pyspark.enabled", "true")
+        .config("spark.checkpoint.dir", tempfile.mkdtemp(prefix=f"{name}-checkpoint-"))
+        .config("spark.cleaner.referenceTracking.cleanCheckpoints", "true")
         .getOrCreate()
     )
     spark.sparkContext.setLogLevel("ERROR")
@@ -31,10 +33,10 @@ def local_session(cpus: int | str = 8, name: str = "sheetwise") -> SparkSession:
 def checkpoint_folder(spark: SparkSession) -> str:
     """The shared checkpoint folder of this session.
 
-    A cluster names it in ``spark.checkpoint.dir``. A local session that
-    names none gets a fresh temporary folder; a cluster session without one
-    is refused, because a folder on one machine would not survive the loss of
-    an executor.
+    It is named in ``spark.checkpoint.dir``. Only a session whose executors are
+    the driver's own process (a ``local`` master) may leave it out and then
+    gets a fresh temporary folder; a cluster session without one is refused,
+    because a folder on one machine would not survive the loss of an executor.
     """
     context = spark.sparkContext
     current = context.getCheckpointDir()
