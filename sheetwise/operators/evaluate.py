@@ -92,8 +92,10 @@ def _each_near(inner: Column, outer: Column, eps: float) -> Column:
 
         return F.aggregate(large, F.lit(0), step) == F.size(small)
 
-    pair = F.struct(F.array_sort(inner).alias("small"), F.array_sort(outer).alias("large"))
-    return F.get(F.transform(F.array(pair), run), F.lit(0))
+    pair = F.struct(F.sort_array(inner).alias("small"), F.sort_array(outer).alias("large"))
+    several = F.get(F.transform(F.array(pair), run), F.lit(0))
+    one = F.exists(outer, lambda y: F.abs(y - F.get(inner, F.lit(0))) <= slack)
+    return F.when(F.size(inner) == 1, one).otherwise(several)
 
 
 def tolerant_match(correct: Column | str, answer: Column | str, eps: float = 0.01) -> Column:
