@@ -14,45 +14,64 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from sheetwise.llm.registry import query, table
+from sheetwise.llm.stored import stored
 from sheetwise.llm.tokens import encoder_of_process
 
 #: characters encoded at once
 ENCODE_CHARS = 1_000_000
+#: tokens in a batch of pieces that is handed on
+OUT_TOKENS = 1_000_000
+#: terms in more than one of so many documents of an index are kept as rows
+FREQUENT = 12
+#: places of the word vectors by which documents are dealt, most cells, and documents the cells are learnt from (a cell)
+PLACES, CELLS, LEARNT = 2_048, 512, 16
+CODED = "id long, key long, size long, cell long, narrow boolean, tokens binary"
 PIECE = "doc_id long, start long, length long, doc_tokens long, sequence_id long, offset long, ids binary"
 
 
 class Bm25:
-    """An inverted index of the documents of one block; terms are token ids."""
+    """An inverted index of documents; terms are token ids, and a document is looked up by all of its own."""
 
-    def __init__(self, docs: list[np.ndarray], k1: float = 1.2, b: float = 0.75, query_terms: int = 12):
+    def __init__(self, docs: list[np.ndarray], k1: float = 1.2, b: float = 0.75):
         self.n = len(docs)
         found = [np.unique(d, return_counts=True) for d in docs]
         sizes = [len(t) for t, _ in found]
         terms = np.concatenate([t for t, _ in found]) if found else np.empty(0, np.uint32)
-        counts = np.concatenate([c for _, c in found]) if found else np.empty(0)
-        doc = np.repeat(np.arange(self.n), sizes)
+        counts = np.concatenate([c.astype(np.float32) for _, c in found]) if found else np.empty(0, np.float32)
+        del found
+        doc = np.repeat(np.arange(self.n, dtype=np.int32), sizes)
         length = np.array([len(d) for d in docs], float)
-        norm = k1 * (1 - b + b * length / max(1.0, length.mean() if self.n else 1.0))
+        norm = (k1 * (1 - b + b * length / max(1.0, length.mean() if self.n else 1.0))).astype(np.float32)
         order = np.argsort(terms, kind="stable")
-        self.doc, terms = doc[order].astype(np.int32), terms[order]
-        first = np.flatnonzero(np.diff(terms, prepend=-1)) if len(terms) else np.empty(0, int)
+        terms, counts, self.doc = terms[order], counts[order], doc[order]
+        first = np.flatnonzero(np.diff(terms.astype(np.int64), prepend=-1))
         held = np.diff(np.append(first, len(terms)))
-        idf = np.log1p((self.n - held + 0.5) / (held + 0.5))
-        weight = counts[order] * (k1 + 1) / (counts[order] + norm[self.doc])
-        self.weight = (weight * np.repeat(idf, held)).astype(np.float32)
+        idf = np.log1p((self.n - held + 0.5) / (held + 0.5)).astype(np.float32)
+        self.weight = counts * np.float32(k1 + 1) / (counts + norm[self.doc]) * np.repeat(idf, held)
         self.start, self.end = first.tolist(), (first + held).tolist()
-        # the terms a document is looked up by: its rarest that another document also holds
-        rank = np.repeat(np.arange(len(first)), held)
-        shared = np.repeat(held, held) > 1
-        by_doc = np.lexsort((rank[shared], np.repeat(held, held)[shared], self.doc[shared]))
-        who, what = self.doc[shared][by_doc], rank[shared][by_doc]
-        begins = np.searchsorted(who, np.arange(self.n + 1))
-        self.looked = [what[lo : min(hi, lo + query_terms)].tolist() for lo, hi in zip(begins[:-1].tolist(), begins[1:].tolist())]
-
-    def neighbours(self, seed: int, used: np.ndarray, most: int = 8) -> list[int]:
-        """Unused documents by descending score (ties by position); empty if none shares a looked-up term."""
+        # the terms of each document that another one also holds
+        rank = np.empty(len(terms), np.int32)
+        rank[order] = np.repeat(np.arange(len(first), dtype=np.int32), held)
+        shared = held[rank] > 1
+        self.terms, ends = rank[shared], np.cumsum(np.bincount(doc[shared], minlength=self.n))
+        self.begins = [0, *ends.tolist()]
+        # frequent terms also as rows over all documents, which are added faster than postings
+        frequent = np.flatnonzero(held * FREQUENT > self.n)
+        self.row = np.full(len(first), -1, np.int32)
+        self.row[frequent] = np.arange(len(frequent))
+        self.rows = np.zeros((len(frequent), self.n), np.float32)
+        for i, t in enumerate(frequent.tolist()):
+            lo, hi = self.start[t], self.end[t]
+            self.rows[i, self.doc[lo:hi]] = self.weight[lo:hi]
+
+    def neighbours(self, seed: int, used: np.ndarray, most: int = 64) -> list[int]:
+        """Unused documents by descending score (ties by position); empty if none shares a term."""
         score = np.zeros(self.n, np.float32)
-        for t in self.looked[seed]:
+        terms = self.terms[self.begins[seed] : self.begins[seed + 1]]
+        rows = self.row[terms]
+        for i in rows[rows >= 0].tolist():
+            score += self.rows[i]
+        for t in terms[rows < 0].tolist():
             lo, hi = self.start[t], self.end[t]
             score[self.doc[lo:hi]] += self.weight[lo:hi]
         score[used] = 0
@@ -62,7 +81,7 @@ class Bm25:
 
 
 def chain(docs: list[np.ndarray], length: int, room: int) -> Iterator[int]:
-    """The order in which the documents of a block fill windows of ``length`` tokens, ``room`` of the first being left.
+    """The order in which the documents of a shard fill windows of ``length`` tokens, ``room`` of the first being left.
 
     The document that begins a window is its seed; its unused neighbours fill the window in order of
     score, and the last, cut off at the window's end, seeds the next one.
@@ -86,13 +105,65 @@ def chain(docs: list[np.ndarray], length: int, room: int) -> Iterator[int]:
         yield doc
 
 
+def word_vector(ids: np.ndarray) -> np.ndarray:
+    """Logarithms of term counts; terms are hashed to ``PLACES`` places."""
+    return np.log1p(np.bincount((ids * np.uint32(2_654_435_761)) >> np.uint32(21), minlength=PLACES)).astype(np.float32)
+
+
+def centres_of(vectors: np.ndarray, cells: int, rounds: int = 8) -> tuple[np.ndarray, np.ndarray]:
+    """Spherical k-means: the weights of the places and unit centres (columns), each beside one that is like it."""
+    idf = np.log1p(len(vectors) / (1 + (vectors > 0).sum(0))).astype(np.float32)
+    x = vectors * idf
+    x /= np.maximum(1e-9, np.linalg.norm(x, axis=1, keepdims=True))
+    cells = min(cells, len(x))
+    chosen, near = [0], x @ x[0]
+    while len(chosen) < cells:  # begins with documents that are unlike each other
+        chosen.append(int(near.argmin()))
+        near = np.maximum(near, x @ x[chosen[-1]])
+    centres = x[chosen]
+    for _ in range(rounds):
+        at = (x @ centres.T).argmax(1)
+        for c in np.unique(at).tolist():
+            mean = x[at == c].sum(0)
+            centres[c] = mean / max(1e-9, np.linalg.norm(mean))
+    like, order, left = centres @ centres.T, [0], set(range(1, cells))
+    while left:
+        order.append(max(left, key=lambda c: (like[order[-1], c], -c)))
+        left.remove(order[-1])
+    return idf, np.round(centres[order], 4).T.copy()
+
+
+def cells_of(vectors: np.ndarray, idf: np.ndarray, centres: np.ndarray) -> np.ndarray:
+    """The nearest centre and, within it, the second nearest."""
+    like = (vectors * idf) @ centres
+    if like.shape[1] < 2:
+        return np.zeros(len(vectors), np.int64)
+    two = np.argsort(-like, axis=1, kind="stable")[:, :2].astype(np.int64)
+    return two[:, 0] * like.shape[1] + two[:, 1]
+
+
+def places_of(sizes: dict[int, int], shard_bytes: int) -> tuple[list[tuple[int, int, int]], int]:
+    """``(cell, first shard, shards)`` in the order of cells, and the number of shards.
+
+    Cells follow each other in a shard as long as they fit; one above ``shard_bytes`` has shards of its own.
+    """
+    out, shard, held = [], 0, 0
+    for cell, size in sorted(sizes.items()):
+        if held and held + size > shard_bytes:
+            shard, held = shard + 1, 0
+        parts = max(1, math.ceil(size / shard_bytes))
+        out.append((cell, shard, parts))
+        shard, held = (shard + parts, 0) if parts > 1 else (shard, held + size)
+    return out, shard + (held > 0)
+
+
 def pack_documents(
     docs: DataFrame,
     length: int = 1024,
     end_id: int = 0,
     shard_bytes: int = 24 << 20,
-    block_docs: int = 1_024,
-    block_tokens: int = 4_000_000,
+    block_docs: int | None = None,
+    block_tokens: int | None = None,
     tokenizer_path: str | None = None,
     ranks_path: str | None = None,
     id_col: str = "doc_id",
@@ -100,31 +171,78 @@ def pack_documents(
 ) -> DataFrame:
     """The pieces ``(doc_id, start, length, doc_tokens, sequence_id, offset, ids)`` of sequences of ``length`` tokens.
 
-    A document is the ids of its whole text and ``end_id``. Documents are dealt over shards by a hash of id and
-    text, whose number follows from the bytes of all texts. A shard is packed in blocks of at most
-    ``block_docs`` documents (or ``block_tokens`` tokens): a BM25 index of the block returns unused
-    neighbours for the document that seeds a window, and these fill it. Documents are cut where a window ends,
-    so every sequence is full but the last of a shard. ``ids`` are little-endian 32-bit numbers.
+    A document is the ids of its whole text and ``end_id``. Documents are dealt over shards of about
+    ``shard_bytes`` of text by their words: cells of like documents, learnt from up to ``CELLS * LEARNT`` of them, go
+    to one shard whole; only a cell above ``shard_bytes`` is dealt over several, by a hash of id and text. A BM25
+    index of the whole shard, looked up with all terms of the document that seeds a window, returns unused
+    neighbours, and these fill it. Neighbours in another shard are not seen. ``block_docs`` and ``block_tokens``
+    cut a shard into several indexes if given. Documents are cut where a window ends, so every sequence is full
+    but the last of a shard. ``ids`` are little-endian 32-bit numbers.
 
-    Texts are shuffled once and encoded after it; a task holds one block. Cases: a null or empty text is the end
-    id alone; a missing id stays missing; repeated rows are packed each; an empty table gives no piece.
+    Texts are encoded once; their ids are written to the checkpoint folder and shuffled once; a task holds one
+    shard. Cases: a null or empty text is the end id alone; a missing id stays missing; repeated rows are packed
+    each; an empty table gives no piece.
     """
-    tokenizer_path = tokenizer_path or public_tokenizers.path("byte_bpe_50k.json")
-    ranks_path = ranks_path or public_tokenizers.path("byte_bpe_50k.tiktoken")
-    pattern = public_tokenizers.PATTERN
+    spark = docs.sparkSession
+    files = (tokenizer_path or public_tokenizers.path("byte_bpe_50k.json"), ranks_path or public_tokenizers.path("byte_bpe_50k.tiktoken"), public_tokenizers.PATTERN)
     rows = docs.select(F.col(f"`{id_col}`").cast("long").alias("id"), F.coalesce(F.col(f"`{text_col}`"), F.lit("")).alias("text"))
-    total = rows.agg(F.coalesce(F.sum(F.octet_length("text")), F.lit(0))).first()[0]
-    shards = max(1, math.ceil(total / shard_bytes))
     rows = rows.withColumn("key", F.xxhash64("id", "text"))
+    count, total = rows.agg(F.count("*"), F.coalesce(F.sum(F.octet_length("text")), F.lit(0))).first()
+
+    def encoded(texts: pa.Array) -> Iterator[tuple[int, list[np.ndarray]]]:
+        """The ids of the texts in runs of about ``ENCODE_CHARS``, with the place each run begins at."""
+        encoder, low = encoder_of_process(*files), 0
+        sizes = np.cumsum(pc.utf8_length(texts).to_numpy(zero_copy_only=False))
+        while low < len(texts):
+            high = max(low + 1, int(np.searchsorted(sizes, (sizes[low - 1] if low else 0) + ENCODE_CHARS, side="right")))
+            yield low, encoder.encode(texts.slice(low, high - low))
+            low = high
+            pa.default_memory_pool().release_unused()
+
+    def vectors(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            for low, found in encoded(batch.column("text")):
+                raw = [word_vector(d).astype("<f2").tobytes() for d in found]
+                yield pa.RecordBatch.from_arrays([batch.column("key").slice(low, len(raw)), pa.array(raw, pa.binary())], names=["key", "vector"])
+
+    model = None
+    if total > shard_bytes:
+        cells = min(CELLS, 2 * math.ceil(total / shard_bytes))
+        some = rows.filter(F.pmod("key", F.lit(max(1, count // (cells * LEARNT)))) == 0).groupBy("key").agg(F.first("text").alias("text"))
+        learnt = sorted(tuple(r) for r in some.mapInArrow(vectors, "key long, vector binary").collect())
+        if learnt:
+            known = np.frombuffer(b"".join(v for _, v in learnt), "<f2").reshape(-1, PLACES).astype(np.float32)
+            model = spark.sparkContext.broadcast(centres_of(known, cells))
+
+    def code(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            bytes_of = pc.cast(pc.binary_length(batch.column("text")), pa.int64())
+            for low, found in encoded(batch.column("text")):
+                n = len(found)
+                cell = cells_of(np.stack([word_vector(d) for d in found]), *model.value) if model else np.zeros(n, np.int64)
+                narrow = [not len(d) or int(d.max()) < 1 << 16 for d in found]
+                raw = [d.astype("<u2" if small else "<u4").tobytes() for d, small in zip(found, narrow)]
+                columns = [batch.column("id").slice(low, n), batch.column("key").slice(low, n), bytes_of.slice(low, n)]
+                yield pa.RecordBatch.from_arrays([*columns, pa.array(cell), pa.array(narrow), pa.array(raw, pa.binary())], names=[c.split()[0] for c in CODED.split(", ")])
+
+    coded = stored(rows.mapInArrow(code, CODED))
+    # at most CELLS squared rows reach the driver
+    sizes = {r[0]: r[1] for r in coded.groupBy("cell").agg(F.sum("size")).collect()}
+    places, shards = places_of(sizes, shard_bytes)
+    dealt = spark.createDataFrame(places or [(0, 0, 1)], "cell long, first int, parts int")
+    shard = (F.col("first") + F.pmod("key", F.col("parts").cast("long"))).cast("int")
+    placed = coded.join(F.broadcast(dealt), "cell").select("id", "key", "narrow", "tokens", shard.alias("shard"))
 
     def pack(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        encoder = encoder_of_process(tokenizer_path, ranks_path, pattern)
         sequence, at = TaskContext.get().partitionId() << 33, 0
         names = [c.split()[0] for c in PIECE.split(", ")]
 
-        def packed(ids: list[int | None], tokens: list[np.ndarray]) -> pa.RecordBatch:
+        def batch_of(out: list[tuple]) -> pa.RecordBatch:
+            return pa.RecordBatch.from_arrays([pa.array(c, pa.binary() if i == 6 else pa.int64()) for i, c in enumerate(zip(*out))], names=names)
+
+        def packed(ids: list[int | None], tokens: list[np.ndarray]) -> Iterator[pa.RecordBatch]:
             nonlocal sequence, at
-            out: list[tuple] = []
+            out, made = [], 0
             for d in chain(tokens, length, length - at):
                 mine, start = tokens[d], 0
                 raw = mine.astype("<u4").tobytes()  # bytes: arrays of memoryviews are never freed by Arrow
@@ -134,28 +252,26 @@ def pack_documents(
                     start, at = start + n, at + n
                     if at == length:
                         sequence, at = sequence + 1, 0
-            return pa.RecordBatch.from_arrays([pa.array(c, pa.binary() if i == 6 else pa.int64()) for i, c in enumerate(zip(*out))], names=names)
+                made += len(mine)
+                if made >= OUT_TOKENS:
+                    yield batch_of(out)
+                    out, made = [], 0
+            if out:
+                yield batch_of(out)
 
         ids, tokens, held = [], [], 0
         for batch in batches:
-            column, texts, low = batch.column(0).to_pylist(), batch.column(1), 0
-            sizes = np.cumsum(pc.utf8_length(texts).to_numpy(zero_copy_only=False))
-            while low < len(column):
-                high = max(low + 1, int(np.searchsorted(sizes, (sizes[low - 1] if low else 0) + ENCODE_CHARS, side="right")))
-                for i, found in zip(column[low:high], encoder.encode(texts.slice(low, high - low))):
-                    ids.append(i)
-                    tokens.append(np.append(found, np.uint32(end_id)))
-                    held += len(tokens[-1])
-                    if len(ids) >= block_docs or held >= block_tokens:
-                        yield packed(ids, tokens)
-                        ids, tokens, held = [], [], 0
-                low = high
-                pa.default_memory_pool().release_unused()
+            for i, small, raw in zip(*(batch.column(c).to_pylist() for c in ("id", "narrow", "tokens"))):
+                ids.append(i)
+                tokens.append(np.append(np.frombuffer(raw, "<u2" if small else "<u4").astype(np.uint32), np.uint32(end_id)))
+                held += len(tokens[-1])
+                if len(ids) >= (block_docs or math.inf) or held >= (block_tokens or math.inf):
+                    yield from packed(ids, tokens)
+                    ids, tokens, held = [], [], 0
         if ids:
-            yield packed(ids, tokens)
+            yield from packed(ids, tokens)
 
-    placed = rows.repartition(shards, "key").sortWithinPartitions("key", "id", "text").select("id", "text")
-    return placed.mapInArrow(pack, PIECE)
+    return placed.repartitionById(max(1, shards), "shard").sortWithinPartitions("key", "id").select("id", "narrow", "tokens").mapInArrow(pack, PIECE)
 
 
 def pieces_with_digests(pieces: DataFrame) -> DataFrame:

@@ -431,6 +431,30 @@ def test_neighbours_share_words():
     assert sorted(packing.chain(docs, 8, 8)) == [0, 1, 2, 3, 4]
 
 
+def test_neighbours_by_all_terms():
+    # document 1 shares forty terms with the seed, the next ones its twelve rarest alone
+    docs = [np.arange(52), np.arange(12, 52), *(np.array([i, 900 + i]) for i in range(12)), np.arange(12, 32), np.arange(32, 52)]
+    index = packing.Bm25([d.astype(np.uint32) for d in docs])
+    assert index.neighbours(0, np.arange(len(docs)) == 0)[0] == 1
+
+
+def test_near_copies_meet_in_a_shard(spark):
+    rng = np.random.default_rng(5)
+    words = np.array(["".join(rng.choice(list("abcdefghijklmnopqrstuvwxyz"), 6)) for _ in range(4_000)])
+    texts = [" ".join(rng.choice(words, 80)) for _ in range(300)]
+    docs = spark.createDataFrame([(1_000 * copy + i, t + f" {copy}") for i, t in enumerate(texts) for copy in (0, 1)], "doc_id long, text string")
+    size = sum(2 * len(t) + 4 for t in texts)
+    got = packing.pack_documents(docs, length=256, shard_bytes=size // 6).select("doc_id", "sequence_id").collect()
+    shard = {r["doc_id"]: r["sequence_id"] >> 33 for r in got}
+    assert len(shard) == 600 and len(set(shard.values())) >= 6
+    assert sum(shard[i] == shard[1_000 + i] for i in range(300)) >= 240  # dealt by hash, about 50 met
+
+
+def test_cells_fill_shards():
+    assert packing.places_of({0: 4, 1: 4, 2: 4, 3: 25, 4: 1}, 10) == ([(0, 0, 1), (1, 0, 1), (2, 1, 1), (3, 2, 3), (4, 5, 1)], 6)
+    assert packing.places_of({0: 0}, 10) == ([(0, 0, 1)], 0) and packing.places_of({}, 10) == ([], 0)
+
+
 # ---- decontamination ----
 
 
