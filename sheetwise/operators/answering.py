@@ -8,6 +8,7 @@ jobs; text is never executed as Python.
 from __future__ import annotations
 
 import itertools
+import threading
 import uuid
 from collections.abc import Callable, Iterable, Sequence
 from concurrent.futures import ThreadPoolExecutor
@@ -17,6 +18,7 @@ from pyspark.sql import DataFrame, Row
 from pyspark.sql import functions as F
 
 from sheetwise.functions import text
+from sheetwise.operators import joins
 from sheetwise.operators.cleaning import non_blank_queries
 from sheetwise.operators.evaluate import tag_question
 from sheetwise.session import checkpoint_folder, settle
@@ -41,9 +43,12 @@ def _message(e: Exception) -> str:
 
 ANSWER_ROWS = "run_id string, query_id long, row long, line string"
 
-#: bytes of an answer that are kept in its detail row; the answer table has all of it
+#: bytes of an answer that are handed to the driver; the answer table has all of it
 DETAIL_BYTES = 1 << 20
 
+#: appends to one table at a time: the commit of one job removes what others have not committed
+_APPENDING = threading.Lock()
+
 
 def answer_lines(result: DataFrame, run_id: str, query_id: int | None) -> DataFrame:
     """A result as rows ``(run_id, query_id, row, line)``: every row as a JSON line, numbered in the result's order."""
@@ -58,8 +63,8 @@ def answer_lines(result: DataFrame, run_id: str, query_id: int | None) -> DataFr
     return numbered.select(F.lit(run_id).alias("run_id"), F.lit(query_id).cast("long").alias("query_id"), row.alias("row"), "line")
 
 
-def answer_text(lines: DataFrame) -> str:
-    """The lines as one text; beyond ``DETAIL_BYTES`` it says how many more rows the answer table has."""
+def answer_text(lines: DataFrame, answers: str) -> tuple[str, bool]:
+    """The lines as one text, and whether that is all; beyond ``DETAIL_BYTES`` it says how many more rows ``answers`` has."""
     out, held, n = [], 0, 0
     size = lines.agg(F.count("*").alias("n"), F.sum(F.octet_length("line") + 1).alias("bytes")).first()
     whole = (size["bytes"] or 0) <= DETAIL_BYTES
@@ -68,7 +73,7 @@ def answer_text(lines: DataFrame) -> str:
             break
         out.append(r["line"])
         held, n = held + len(r["line"]) + 1, n + 1
-    return "\n".join(out) + ("" if n == size["n"] else f"\n... {size['n'] - n} more rows in the answer table")
+    return "\n".join(out) + ("" if n == size["n"] else f"\n... {size['n'] - n} more rows in the answer table {answers}"), n == size["n"]
 
 
 def shown(candidate: Candidate) -> str:
@@ -116,7 +121,7 @@ def detail_record(
     }
 
 
-def answer(
+def _answer(
     registry: TableRegistry,
     table: str,
     query: str,
@@ -131,20 +136,10 @@ def answer(
     planner_prompt: str | None = None,
     answers: str | None = None,
     run_id: str = "run",
-) -> tuple[DataFrame | str | None, dict | None]:
-    """Answer one question: ``(result, detail)``.
-
-    Candidates are tried in order, at most ``max_retry`` after the first. An
-    error, and an empty result of a question that asks for text, go to the next
-    one; the detail has the prompt that would ask for this repair. The
-    result of the first that runs is settled, so it is computed once; with
-    ``answers`` all its rows are added to that table as ``ANSWER_ROWS``. Without
-    a result the answer is ``"ERROR"``; if the call itself fails, for instance
-    because the table cannot be read, it is ``(None, None)``. With
-    ``collect_only`` nothing runs and the prompt is handed back.
-    """
+) -> tuple[DataFrame | str | None, dict | None, DataFrame | None]:
+    """As ``answer``, and the lines of an answer whose detail has only the first of them."""
     if collect_only:
-        return coder_prompt, None
+        return coder_prompt, None, None
     try:
         spark = registry.spark
         tag = fixed_type
@@ -168,21 +163,40 @@ def answer(
                 errors.append(_message(e))
             last_prompt = repair_prompt(query, candidate, errors[-1])
         empty = result is not None and tag == "general" and result.isEmpty()
-        shown = "ERROR"
+        shown, rest = "ERROR", None
         if result is not None:
+            answers = answers or f"{checkpoint_folder(spark)}/answers-{uuid.uuid4()}"
             lines = answer_lines(result, run_id, query_id)
-            if answers is not None:
+            with _APPENDING:
                 lines.write.mode("append").partitionBy("run_id").parquet(answers)
-            shown = answer_text(lines)
+            shown, whole = answer_text(lines, answers)
+            rest = None if whole else lines
         detail = detail_record(
             query_id, tag, tried, errors, result is not None, shown, plan, coder_prompt, planner_prompt, last_prompt, plot_path
         )
         if result is None:
-            return "ERROR", detail
-        return (EMPTY_ANSWER if empty else result), detail
+            return "ERROR", detail, None
+        return (EMPTY_ANSWER if empty else result), detail, rest
     except Exception as e:
         print(f"the question could not be answered: {_message(e)}")
-        return None, None
+        return None, None, None
+
+
+def answer(*args, **options) -> tuple[DataFrame | str | None, dict | None]:
+    """Answer one question: ``(result, detail)``; the parameters are those of ``_answer``.
+
+    Candidates are tried in order, at most ``max_retry`` after the first. An
+    error, and an empty result of a question that asks for text, go to the next
+    one; the detail has the prompt that would ask for this repair. The
+    result of the first that runs is settled, so it is computed once, and all its
+    rows are added as ``ANSWER_ROWS`` to the table ``answers`` (a new one in the
+    checkpoint folder unless given). The detail has the whole answer up to
+    ``DETAIL_BYTES``; beyond, it names that table, from which ``pair_answers`` scores. Without
+    a result the answer is ``"ERROR"``; if the call itself fails, for instance
+    because the table cannot be read, it is ``(None, None)``. With
+    ``collect_only`` nothing runs and the prompt is handed back.
+    """
+    return _answer(*args, **options)[:2]
 
 
 def answer_batch(
@@ -201,12 +215,14 @@ def answer_batch(
     Each question is a Spark job of its own over a whole table; ``workers`` of
     them run at a time, so that small jobs fill the cluster. Tags and plot
     paths are found for the whole sheet in one plan; only the question rows pass the driver,
-    ``save_every`` at a time, and so many details are appended to ``path``
-    (a new table in the checkpoint folder unless given), the rows of the results to
-    ``answers``. A question whose call failed has no detail row.
+    ``save_every`` at a time, and so many details are appended to ``path``, the rows of the
+    results to ``answers`` (new tables in the checkpoint folder unless given). A detail row has
+    the whole answer; one above ``DETAIL_BYTES`` is put together by an executor. A question whose
+    call failed has no detail row.
     """
     spark = queries.sparkSession
     path = path or f"{checkpoint_folder(spark)}/details-{uuid.uuid4()}"
+    answers = answers or f"{checkpoint_folder(spark)}/answers-{uuid.uuid4()}"
     tag, plot = (F.col(c) if c in queries.columns else F.lit(None).cast("string") for c in ("tagged_query_type", "plot_filename"))
     sheet = non_blank_queries(queries).withColumns(
         {
@@ -215,10 +231,10 @@ def answer_batch(
         }
     )
 
-    def one(row: Row) -> dict | None:
+    def one(row: Row) -> tuple[dict | None, DataFrame | None]:
         asked = row.asDict()
         try:
-            return answer(
+            return _answer(
                 registry,
                 asked["table_name"],
                 asked["user_query"],
@@ -231,17 +247,23 @@ def answer_batch(
                 planner_prompt=asked.get("prompt_user_for_planner"),
                 answers=answers,
                 run_id=run_id,
-            )[1]
+            )[1:]
         except Exception as e:
             print(f"question {asked.get('query_id')} is skipped: {_message(e)}")
-            return None
+            return None, None
 
     rows = sheet.toLocalIterator()
     with ThreadPoolExecutor(workers) as pool:
         while some := list(itertools.islice(rows, save_every)):
-            details = [d for d in pool.map(one, some) if d is not None]
+            details = [(d, lines) for d, lines in pool.map(one, some) if d is not None]
             if details:
-                write_results(spark.createDataFrame([tuple(d.values()) for d in details], DETAIL), path, run_id)
+                rows_of = lambda ds: spark.createDataFrame([tuple(d.values()) for d in ds], DETAIL)
+                found = rows_of([d for d, lines in details if lines is None])
+                for d, lines in details:
+                    if lines is not None:
+                        text_of = joins.answers_as_text(lines.withColumn("query_id", F.lit(0))).select(F.col("answer").alias("result_repl_stdout"))
+                        found = found.unionByName(rows_of([d]).drop("result_repl_stdout").crossJoin(text_of))
+                write_results(found, path, run_id)
     try:
         return spark.read.parquet(path).filter(F.col("run_id") == run_id).drop("run_id")
     except PySparkException:

@@ -82,13 +82,23 @@ def concat_columns(
     return a.join(b, "row_index", "full_outer")
 
 
-def pair_answers(correct: DataFrame, agent: DataFrame, strict: bool = False) -> DataFrame:
+def answers_as_text(lines: DataFrame) -> DataFrame:
+    """Whole answers ``(query_id, answer)`` from the rows ``(query_id, row, line)`` of one run."""
+    held = F.array_sort(F.collect_list(F.struct("row", "line")))
+    return lines.groupBy("query_id").agg(F.array_join(F.transform(held, lambda x: x["line"]), "\n").alias("answer"))
+
+
+def pair_answers(correct: DataFrame, agent: DataFrame, strict: bool = False, answers: DataFrame | None = None) -> DataFrame:
     """Answers side by side per question: ``query_id, correct, answer`` plus the sheet's columns.
 
+    With ``answers``, the answer table of one run, an answer is all its rows there and not the text of its detail.
     A question the agent did not answer has a null answer, or is an error
     when ``strict``.
     """
     given = agent.select("query_id", F.col("result_repl_stdout").alias("answer"), F.lit(True).alias("__answered"))
+    if answers is not None:
+        whole = answers_as_text(answers).withColumnRenamed("answer", "__whole")
+        given = given.join(whole, "query_id", "left").select("query_id", F.coalesce("__whole", "answer").alias("answer"), "__answered")
     pairs = correct.withColumnRenamed("result_repl_stdout", "correct").join(given, "query_id", "left")
     if strict:
         missing = pairs.filter(F.col("__answered").isNull()).select("query_id").take(1)

@@ -5,9 +5,9 @@ from conftest import rows_of
 from pyspark.sql import functions as F
 
 from sheetwise.operators import corpus, hooks, prompts
-from sheetwise.operators.answering import EMPTY_ANSWER, answer, answer_batch, detail_record
-from sheetwise.operators.evaluate import executable_rate
-from sheetwise.operators.joins import overlay_details
+from sheetwise.operators.answering import ANSWER_ROWS, EMPTY_ANSWER, answer, answer_batch, detail_record
+from sheetwise.operators.evaluate import executable_rate, score_exact
+from sheetwise.operators.joins import overlay_details, pair_answers
 from sheetwise.operators.profile import annotation_json, head_text, profile_json, profile_table
 from sheetwise.sources.registry import TableRegistry
 from sheetwise.sources.tables import read_jsonl
@@ -215,6 +215,23 @@ def test_batch_goes_on_after_a_bad_row(spark, registry, tmp_path):
     assert tuple(rate) == ("all", 4, 1, 0.25)
 
 
+def test_large_answers_are_stored_and_scored_whole(spark, registry, tmp_path):
+    work = "SELECT id, repeat('x', 60) AS filler FROM range(20000) ORDER BY id"
+    whole = "\n".join(f'{{"id":{i},"filler":"{"x" * 60}"}}' for i in range(20_000))
+    rows = [(1, "countries", "Which?", "general"), (2, "countries", "Which?", "general"), (3, "countries", "Largest gdp?", "general")]
+    sheet = spark.createDataFrame(rows, "query_id long, table_name string, user_query string, tagged_query_type string")
+    gold = spark.createDataFrame([(1, "general", whole), (2, "general", whole)], "query_id long, tagged_query_type string, result_repl_stdout string")
+    path = str(tmp_path / "details")
+    details = answer_batch(sheet, registry, lambda r: [GOOD if r["query_id"] == 3 else work], path)
+    assert rows_of(details, "query_id", "result_repl_stdout") == [(1, whole), (2, whole), (3, '{"top":19294482071552}')]
+    assert tuple(score_exact(pair_answers(gold, spark.read.parquet(path))).first()) == (2, 1.0)
+    _, detail = answer(registry, "countries", "Which?", [work], query_id=1)  # its rows go to a table that it names
+    lines = spark.read.schema(ANSWER_ROWS).parquet(detail["result_repl_stdout"].split()[-1])
+    assert lines.count() == 20_000
+    given = spark.createDataFrame([(1, detail["result_repl_stdout"])], "query_id long, result_repl_stdout string")
+    assert tuple(score_exact(pair_answers(gold.filter("query_id = 1"), given, answers=lines)).first()) == (1, 1.0)
+
+
 def test_detail_record_without_attempts():
     detail = detail_record(1, "general", [], ["x"], False, "ERROR")
     assert detail["count_of_fixing_errors"] == 0 and detail["code_errors"] == '0. "x"'
