@@ -7,11 +7,23 @@ import re
 import unicodedata
 from collections.abc import Iterator
 
+from sheetwise.llm.styles import Styles, screen_meets
+
 # Kinds of elements in HTML.
 VOID = set("area base br col embed hr img input link meta param source track wbr".split())
 RAW = set("script style textarea title xmp iframe noembed noframes".split())
 UNSEEN = set(
-    "head script style template noscript title meta link base datalist rp audio video canvas object iframe noembed noframes svg math".split()
+    "head script style template noscript title meta link base datalist rp audio video canvas object iframe noembed noframes".split()
+)
+#: elements in svg and math that are not drawn, whose text is drawn, that hold HTML, and whose children stand apart
+UNDRAWN = set("desc metadata defs symbol clippath mask pattern marker annotation annotation-xml mphantom".split())
+DRAWN = set("text foreignobject mi mn mo ms mtext".split())
+HOLDS_HTML = set("foreignobject desc title mi mn mo ms mtext annotation-xml".split())
+APART = set("mfrac mroot mtable mtr mlabeledtr".split())
+#: start tags that end an open svg or math
+ENDS_FOREIGN = set(
+    "b big blockquote body br center code dd div dl dt em embed h1 h2 h3 h4 h5 h6 head hr i img li listing menu meta nobr ol p pre ruby s small "
+    "span strong strike sub sup table tt u ul var".split()
 )
 #: blocks with a blank line before and after, and those that only begin a new line
 SPACED = set("p h1 h2 h3 h4 h5 h6 ul ol dl menu dir blockquote pre figure table fieldset hr xmp listing".split())
@@ -46,9 +58,6 @@ START = re.compile(r"<([a-zA-Z][^\s/>]*)((?:[^>\"']|\"[^\"]*\"|'[^']*')*+)>")
 LOOSE = re.compile(r"<([a-zA-Z][^\s/>]*)([^>]*)>")
 END = re.compile(r"</([a-zA-Z][^\s/>]*)[^>]*>")
 ATTRIBUTE = re.compile(r"([^\s=/\"'<>]+)(?:\s*=\s*(?:\"([^\"]*)\"|'([^']*)'|([^\s>]+)))?")
-RULE = re.compile(r"([^{}]+)\{([^{}]*)\}")
-GONE = re.compile(r"(?:^|;)\s*(?:display\s*:\s*none|opacity\s*:\s*0*(?:\.0*)?(?:%|\s|;|!|$))", re.I)
-VISIBILITY = re.compile(r"(?:^|;)\s*visibility\s*:\s*(\w+)", re.I)
 WHITE = re.compile(r"[ \t\n\f\r]+")
 
 #: nesting that is still indented, tables in tables that are still laid out, and the widest padded column
@@ -218,21 +227,22 @@ class Table:
 
 
 class Element:
-    __slots__ = ("tag", "shown", "none", "number", "prefix")
+    __slots__ = ("tag", "shown", "none", "number", "prefix", "foreign", "drawn")
 
-    def __init__(self, tag: str, shown: bool, none: bool, number: int = 0, prefix: bool = False):
+    def __init__(self, tag: str, shown: bool, none: bool, number: int = 0, prefix: bool = False, foreign: bool = False, drawn: bool = True):
         self.tag, self.shown, self.none, self.number, self.prefix = tag, shown, none, number, prefix
+        self.foreign, self.drawn = foreign, drawn  # in svg or math; whether its own text is drawn there
 
 
 class Renderer:
     """Builds the open elements as tags come and writes what is visible."""
 
-    def __init__(self):
+    def __init__(self, styles: Styles | None = None):
         self.open: list[Element] = [Element("#page", True, False)]
         self.out = [Lines()]
         self.tables: list[Table | None] = []
         self.cells: list[tuple[int, int]] = []
-        self.rules: dict[str, bool] = {}
+        self.styles = styles or Styles()
         self.kept = 0  # open elements that keep white space
         self.depth: dict[str, int] = {}
 
@@ -260,6 +270,11 @@ class Renderer:
         return best
 
     def start(self, tag: str, text: str) -> None:
+        if self.open[-1].foreign and tag in ENDS_FOREIGN:
+            i = len(self.open) - 1
+            while self.open[i - 1].foreign:
+                i -= 1
+            self._close_to(i)
         if self.open[-1].tag == "head" and tag not in UNSEEN:
             self._close_to(len(self.open) - 1)  # the head ends where something else begins
         if tag in CLOSES and (i := self._find(*CLOSES[tag])) > 0:
@@ -270,36 +285,39 @@ class Renderer:
             self.start("tr", "")
         given = attributes(text) if text.strip() else {}
         above = self.open[-1]
-        style = given.get("style", "")
-        none = above.none or tag in UNSEEN or "hidden" in given or bool(GONE.search(style)) or self._ruled_out(tag, given)
-        none = none or tag == "dialog" and "open" not in given
+        inside = above.foreign or tag in ("svg", "math")
+        said = self.styles.decided(tag, given) if self.styles.rules or "style" in given else {}
+        display = said.get("display", "revert")
+        # what browsers hide by default is shown by a rule of the page
+        absent = "hidden" in given or tag == "dialog" and "open" not in given
+        none = above.none or tag in UNSEEN or inside and tag in UNDRAWN
+        none = none or display == "none" or absent and display.startswith("revert") or said.get("opacity") == "0"
         none = none or above.tag == "details" and above.number == 0 and tag != "summary"
         none = none or tag == "input"
-        said = VISIBILITY.search(style)
-        shown = said[1].lower() == "visible" if said else above.shown
+        visibility = said.get("visibility", "inherit")
+        shown = above.shown if visibility in ("inherit", "unset") or visibility.startswith("revert") else visibility in ("visible", "initial")
         e = Element(tag, shown, none, number=int("open" in given) if tag == "details" else 0)
+        e.foreign = inside and tag not in HOLDS_HTML
+        e.drawn = tag in DRAWN or above.drawn and tag not in ("svg", "math") if inside else above.drawn
+        if inside and (tag == "text" or above.tag in APART):
+            self.out[-1].space = True
         if tag == "ol":
             e.number = int(given["start"]) - 1 if re.fullmatch(r"-?\d{1,9}", given.get("start", "")) else 0
         if tag == "body" and self.depth.get("body") or tag == "html" and self.depth.get("html"):
             return
         if not none:
             self._begin(e, given)
-        if tag not in VOID:
+        if tag not in VOID and not (inside and text.rstrip().endswith("/")):
             self._close_to(DEEPEST)  # deeper elements become siblings, as in browsers
             self._push(e)
 
-    def _ruled_out(self, tag: str, given: dict[str, str]) -> bool:
-        if not self.rules:
-            return False
-        return any(self.rules.get(s) for s in (tag, f"#{given.get('id', '')}", *(f".{c}" for c in given.get("class", "").split())))
-
     def _begin(self, e: Element, given: dict[str, str]) -> None:
         tag, out = e.tag, self.out[-1]
         if tag == "br":
             out.line(True)
         elif tag in BLOCK:
             out.block(1 if tag in SPACED and not (tag in ("ul", "ol") and self.depth.get("li")) else 0)
-        if tag == "hr":
+        if tag == "hr" and e.shown:
             out.write("---")
             out.block(1)
         elif tag == "li":
@@ -310,7 +328,7 @@ class Renderer:
                 mark = f"{over.number}. "
             e.prefix = True
             out.prefixes.append(" " * len(mark))
-            out.marker = mark if len(out.prefixes) <= INDENTS else None
+            out.marker = mark if e.shown and len(out.prefixes) <= INDENTS else None
         elif tag in ("dd", "blockquote"):
             e.prefix = True
             out.prefixes.append("    " if tag == "dd" else "> ")
@@ -331,6 +349,9 @@ class Renderer:
         if e.none:
             return
         tag = e.tag
+        if tag == "text" and e.foreign or tag in ("svg", "math"):
+            self.out[-1].space = True if tag == "text" else self.out[-1].space
+            return
         if tag in ("td", "th", "caption") and e.prefix:
             lines, spans = self.out.pop().text(), self.cells.pop()
             table = self.tables[-1]
@@ -376,28 +397,39 @@ class Renderer:
 
     def text(self, text: str, raw: str) -> None:
         over = self.open[-1]
-        if raw == "style":
-            for selectors, body in RULE.findall(re.sub(r"/\*.*?\*/", "", text, flags=re.S)):
-                gone = GONE.search(body) or ((m := VISIBILITY.search(body)) and m[1].lower() in ("hidden", "collapse"))
-                if gone:
-                    self.rules |= {s.strip(): True for s in selectors.split(",") if re.fullmatch(r"[.#]?[\w-]+", s.strip())}
         if over.tag == "head" and text.strip(" \t\n\f\r"):
             self._close_to(len(self.open) - 1)
             over = self.open[-1]
-        hidden = over.none or not over.shown or over.tag == "details" and over.number == 0
+        hidden = over.none or not over.shown or not over.drawn or over.tag == "details" and over.number == 0
         if hidden or over.tag in ("table", "tr", "tbody", "thead", "tfoot") and not text.strip(" \t\n\f\r"):
             return
         self.out[-1].write(html.unescape(text), bool(self.kept))
 
 
+def styles_of(found: list[tuple[str, str, str]]) -> Styles:
+    """The rules of all style sheets of a page that a screen meets, without those in templates and noscript."""
+    out, unseen, met = Styles(), 0, True
+    for kind, name, more in found:
+        if kind == "text":
+            if more == "style" and met and not unseen:
+                out.read(name)
+        elif name in ("template", "noscript"):
+            unseen = max(0, unseen + (1 if kind == "start" else -1))
+        elif name == "style" and kind == "start":
+            given = attributes(more) if more.strip() else {}
+            met = screen_meets(given.get("media", "")) and given.get("type", "").lower() in ("", "text/css")
+    return out
+
+
 def render(page: str | None) -> str:
     """All visible text of a page.
 
     Blocks stand apart as in a browser (paragraphs, headings, lists and tables with a blank line), list items
     carry a dash or their number and are indented, quotations have "> ", the columns of tables are aligned
     (two blanks between them), preformatted text keeps its white space. Not visible: the head, scripts, styles,
-    templates, fallback content, elements that are hidden by attribute, by inline style or by a plain
-    tag, class or id rule of the page, and closed details but for their summary.
+    templates, fallback content, elements that are hidden by attribute, by inline style or by a rule of the page
+    (tags, classes and ids on one element; see ``Styles``) that a desktop screen meets, and closed details but for their
+    summary. Of svg and math the text that they draw is visible.
 
     Cases: a null or empty page gives an empty text; end tags that are missing or stray and tags that are
     cut off do not fail; elements deeper than ``DEEPEST`` are treated as siblings; indentation ends at ``INDENTS`` levels and columns
@@ -405,8 +437,9 @@ def render(page: str | None) -> str:
     """
     if not page:
         return ""
-    r = Renderer()
-    for kind, name, more in tokens(page):
+    found = list(tokens(page))
+    r = Renderer(styles_of(found))
+    for kind, name, more in found:
         if kind == "text":
             r.text(name, more)
         elif kind == "start":

@@ -292,6 +292,31 @@ def test_rendering(page, text):
     assert render(page) == text
 
 
+@pytest.mark.parametrize(
+    "page, text",
+    [
+        ("<style>@media print {.nav{display:none}} @media (max-width:600px){.nav{display:none}}</style><p class=nav>yes", "yes"),
+        ("<style>@supports not (display:grid){.n{display:none}} @charset 'x'; @media screen and (min-width:40em){.m{display:none}}</style><p class=n>yes<p class=m>no", "yes"),
+        ("<style>@media (400px <= width <= 700px), print{p{display:none}} @font-face{x:y}</style><p>yes", "yes"),
+        ("<style media=print>p{display:none}</style><noscript><style>p{display:none}</style></noscript><p>yes", "yes"),
+        ("<style>.m{display:none}.m{display:block}</style><p class=m>yes", "yes"),
+        ("<p class=m>yes</p><style>.m{display:none}</style><style>.m{display:block}</style>", "yes"),
+        ("<style>.m{display:none}</style><p class=m style='display:block'>yes<p class=m>no", "yes"),
+        ("<style>.m{display:none!important}#i{display:block}.m{display:block}</style><p class=m id=i style='display:block'>no<p>yes", "yes"),
+        ("<style>#i{display:none}p{display:block}p.a.b{display:none}</style><p id=i>no<p class='b a'>no<p class=a>yes", "yes"),
+        ("<style>.h{visibility:hidden}.v{visibility:visible}</style><div class=h>no<b class=v>yes</b>no</div>", "yes"),
+        ("<style>.s{display:block}</style><p hidden class=s>yes<p hidden>no", "yes"),
+        ("a<svg><title>no</title><rect/><desc>no</desc>no<g><text x=1>one</text><text>two<tspan>!</tspan></text></g></svg> b", "a one two! b"),
+        ("f <math><mi>x</mi> <mo>=</mo><mfrac><mn>1</mn><mn>2</mn></mfrac><annotation>no</annotation></math>.", "f x= 1 2."),
+        ("<svg><path d='M0'><p>yes", "yes"),
+    ],
+)
+def test_rendering_of_styles_and_drawings(page, text):
+    from sheetwise.llm.render import render
+
+    assert render(page) == text
+
+
 def test_rendering_of_deep_and_broken_pages():
     from sheetwise.llm.render import render
 
