@@ -125,7 +125,7 @@ def scores(network: Network, projections: np.ndarray, texts: Sequence[str | None
             before = ids
         add(owner, before if before is not None else np.zeros(0, np.int64), True)
     flush()
-    return network.logits(pooled).astype(np.float64)
+    return np.round(network.logits(pooled.astype(np.float64)), 6)  # alike in whatever batch a text comes
 
 
 def train(
@@ -273,7 +273,8 @@ def fit(docs: DataFrame, known: DataFrame, most: int, max_words: int, seed: int,
 
     picked = F.broadcast(docs.sparkSession.createDataFrame(chosen))
     rows = docs.select(id_.cast("long").alias("id"), text.alias("text")).join(picked, "id").select("id", "toxic", hashed("text").alias("words"))
-    rows = rows.filter(F.col("words").isNotNull()).groupBy("id", "toxic").agg(F.min("words").alias("words"))  # one text an id
+    # one text an id; the filter comes after the grouping, because before it Spark would hash all texts to judge it
+    rows = rows.groupBy("id", "toxic").agg(F.min("words").alias("words")).filter(F.col("words").isNotNull())
     rows = rows.toArrow().sort_by("id")
     free = ~drawn if chosen.num_rows < most else ~drawn | (_order(F.col("id"), seed) > _last(chosen, docs.sparkSession, seed))
     if len(set(labels := rows.column("toxic").to_pylist())) < 2:
