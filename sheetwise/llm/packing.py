@@ -25,7 +25,7 @@ OUT_TOKENS = 1_000_000
 FREQUENT = 12
 #: places of the word vectors by which documents are dealt, most cells, and documents the cells are learnt from (a cell)
 PLACES, CELLS, LEARNT = 2_048, 512, 16
-CODED = "id long, key long, size long, cell long, narrow boolean, tokens binary"
+CODED = "id long, key long, deal long, size long, cell long, narrow boolean, tokens binary"
 PIECE = "doc_id long, start long, length long, doc_tokens long, sequence_id long, offset long, ids binary"
 
 
@@ -34,10 +34,10 @@ class Bm25:
 
     def __init__(self, docs: list[np.ndarray], k1: float = 1.2, b: float = 0.75):
         self.n = len(docs)
-        found = [np.unique(d, return_counts=True) for d in docs]
+        found = [(t, c.astype(np.float32)) for t, c in (np.unique(d, return_counts=True) for d in docs)]
         sizes = [len(t) for t, _ in found]
         terms = np.concatenate([t for t, _ in found]) if found else np.empty(0, np.uint32)
-        counts = np.concatenate([c.astype(np.float32) for _, c in found]) if found else np.empty(0, np.float32)
+        counts = np.concatenate([c for _, c in found]) if found else np.empty(0, np.float32)
         del found
         doc = np.repeat(np.arange(self.n, dtype=np.int32), sizes)
         length = np.array([len(d) for d in docs], float)
@@ -48,7 +48,7 @@ class Bm25:
         held = np.diff(np.append(first, len(terms)))
         idf = np.log1p((self.n - held + 0.5) / (held + 0.5)).astype(np.float32)
         self.weight = counts * np.float32(k1 + 1) / (counts + norm[self.doc]) * np.repeat(idf, held)
-        self.start, self.end = first.tolist(), (first + held).tolist()
+        self.start, self.end, self.live = first, first + held, np.arange(self.n)
         # the terms of each document that another one also holds
         rank = np.empty(len(terms), np.int32)
         rank[order] = np.repeat(np.arange(len(first), dtype=np.int32), held)
@@ -60,24 +60,39 @@ class Bm25:
         self.row = np.full(len(first), -1, np.int32)
         self.row[frequent] = np.arange(len(frequent))
         self.rows = np.zeros((len(frequent), self.n), np.float32)
-        for i, t in enumerate(frequent.tolist()):
-            lo, hi = self.start[t], self.end[t]
+        for i, (lo, hi) in enumerate(zip(self.start[frequent].tolist(), self.end[frequent].tolist())):
             self.rows[i, self.doc[lo:hi]] = self.weight[lo:hi]
 
+    def forget(self, used: np.ndarray) -> None:
+        """Leave out the documents that are used, when they are a quarter of those still held."""
+        keep = ~used[self.live]
+        if keep.sum() * 4 > len(keep) * 3:
+            return
+        left = int(keep.sum())
+        for row in self.rows:  # in place: a copy of all rows would double the index
+            row[:left] = row[keep]
+        self.rows = self.rows[:, :left]
+        kept = keep[self.doc]
+        before = np.concatenate([[0], np.cumsum(kept)])
+        self.start, self.end = before[self.start], before[self.end]
+        self.doc, self.weight = (np.cumsum(keep, dtype=np.int32) - 1)[self.doc[kept]], self.weight[kept]
+        self.live = self.live[keep]
+
     def neighbours(self, seed: int, used: np.ndarray, most: int = 64) -> list[int]:
         """Unused documents by descending score (ties by position); empty if none shares a term."""
-        score = np.zeros(self.n, np.float32)
+        self.forget(used)
         terms = self.terms[self.begins[seed] : self.begins[seed + 1]]
         rows = self.row[terms]
+        rare = terms[rows < 0]
+        sizes = self.end[rare] - self.start[rare]
+        at = np.repeat(self.start[rare] - (np.cumsum(sizes) - sizes), sizes) + np.arange(sizes.sum())
+        score = np.bincount(self.doc[at], self.weight[at], len(self.live)).astype(np.float32)
         for i in rows[rows >= 0].tolist():
             score += self.rows[i]
-        for t in terms[rows < 0].tolist():
-            lo, hi = self.start[t], self.end[t]
-            score[self.doc[lo:hi]] += self.weight[lo:hi]
-        score[used] = 0
-        best = np.argpartition(-score, most)[:most] if self.n > most else np.arange(self.n)
+        score[used[self.live]] = 0
+        best = np.argpartition(-score, most)[:most] if len(score) > most else np.arange(len(score))
         best = best[score[best] > 0]
-        return best[np.lexsort((best, -score[best]))].tolist()
+        return self.live[best[np.lexsort((best, -score[best]))]].tolist()
 
 
 def chain(docs: list[np.ndarray], length: int, room: int) -> Iterator[int]:
@@ -162,8 +177,6 @@ def pack_documents(
     length: int = 1024,
     end_id: int = 0,
     shard_bytes: int = 24 << 20,
-    block_docs: int | None = None,
-    block_tokens: int | None = None,
     tokenizer_path: str | None = None,
     ranks_path: str | None = None,
     id_col: str = "doc_id",
@@ -173,11 +186,10 @@ def pack_documents(
 
     A document is the ids of its whole text and ``end_id``. Documents are dealt over shards of about
     ``shard_bytes`` of text by their words: cells of like documents, learnt from up to ``CELLS * LEARNT`` of them, go
-    to one shard whole; only a cell above ``shard_bytes`` is dealt over several, by a hash of id and text. A BM25
+    to one shard whole; only a cell above ``shard_bytes`` is dealt over several, by a hash of the row and its place. A BM25
     index of the whole shard, looked up with all terms of the document that seeds a window, returns unused
-    neighbours, and these fill it. Neighbours in another shard are not seen. ``block_docs`` and ``block_tokens``
-    cut a shard into several indexes if given. Documents are cut where a window ends, so every sequence is full
-    but the last of a shard. ``ids`` are little-endian 32-bit numbers.
+    neighbours, and these fill it. Neighbours in another shard are not seen. Documents are cut where a window ends,
+    so every sequence is full but the last of a shard. ``ids`` are little-endian 32-bit numbers.
 
     Texts are encoded once; their ids are written to the checkpoint folder and shuffled once; a task holds one
     shard. Cases: a null or empty text is the end id alone; a missing id stays missing; repeated rows are packed
@@ -186,8 +198,9 @@ def pack_documents(
     spark = docs.sparkSession
     files = (tokenizer_path or public_tokenizers.path("byte_bpe_50k.json"), ranks_path or public_tokenizers.path("byte_bpe_50k.tiktoken"), public_tokenizers.PATTERN)
     rows = docs.select(F.col(f"`{id_col}`").cast("long").alias("id"), F.coalesce(F.col(f"`{text_col}`"), F.lit("")).alias("text"))
-    rows = rows.withColumn("key", F.xxhash64("id", "text"))
-    count, total = rows.agg(F.count("*"), F.coalesce(F.sum(F.octet_length("text")), F.lit(0))).first()
+    # the place tells repeats of a row apart, when a cell of them is dealt
+    rows = rows.withColumns({"key": F.xxhash64("id", "text"), "deal": F.xxhash64("id", "text", F.monotonically_increasing_id())})
+    count, total = rows.agg(F.count("*"), F.coalesce(F.sum(F.octet_length("text") + 1), F.lit(0))).first()
 
     def encoded(texts: pa.Array) -> Iterator[tuple[int, list[np.ndarray]]]:
         """The ids of the texts in runs of about ``ENCODE_CHARS``, with the place each run begins at."""
@@ -216,13 +229,13 @@ def pack_documents(
 
     def code(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            bytes_of = pc.cast(pc.binary_length(batch.column("text")), pa.int64())
+            bytes_of = pc.add(pc.cast(pc.binary_length(batch.column("text")), pa.int64()), 1)  # an empty text counts too
             for low, found in encoded(batch.column("text")):
                 n = len(found)
                 cell = cells_of(np.stack([word_vector(d) for d in found]), *model.value) if model else np.zeros(n, np.int64)
                 narrow = [not len(d) or int(d.max()) < 1 << 16 for d in found]
                 raw = [d.astype("<u2" if small else "<u4").tobytes() for d, small in zip(found, narrow)]
-                columns = [batch.column("id").slice(low, n), batch.column("key").slice(low, n), bytes_of.slice(low, n)]
+                columns = [*(batch.column(c).slice(low, n) for c in ("id", "key", "deal")), bytes_of.slice(low, n)]
                 yield pa.RecordBatch.from_arrays([*columns, pa.array(cell), pa.array(narrow), pa.array(raw, pa.binary())], names=[c.split()[0] for c in CODED.split(", ")])
 
     coded = stored(rows.mapInArrow(code, CODED))
@@ -230,7 +243,7 @@ def pack_documents(
     sizes = {r[0]: r[1] for r in coded.groupBy("cell").agg(F.sum("size")).collect()}
     places, shards = places_of(sizes, shard_bytes)
     dealt = spark.createDataFrame(places or [(0, 0, 1)], "cell long, first int, parts int")
-    shard = (F.col("first") + F.pmod("key", F.col("parts").cast("long"))).cast("int")
+    shard = (F.col("first") + F.pmod("deal", F.col("parts").cast("long"))).cast("int")
     placed = coded.join(F.broadcast(dealt), "cell").select("id", "key", "narrow", "tokens", shard.alias("shard"))
 
     def pack(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -259,15 +272,14 @@ def pack_documents(
             if out:
                 yield batch_of(out)
 
-        ids, tokens, held = [], [], 0
+        ids, tokens = [], []
         for batch in batches:
-            for i, small, raw in zip(*(batch.column(c).to_pylist() for c in ("id", "narrow", "tokens"))):
-                ids.append(i)
-                tokens.append(np.append(np.frombuffer(raw, "<u2" if small else "<u4").astype(np.uint32), np.uint32(end_id)))
-                held += len(tokens[-1])
-                if len(ids) >= (block_docs or math.inf) or held >= (block_tokens or math.inf):
-                    yield from packed(ids, tokens)
-                    ids, tokens, held = [], [], 0
+            ids += batch.column("id").to_pylist()
+            for small, raw in zip(batch.column("narrow").to_pylist(), batch.column("tokens")):
+                kind = "<u2" if small else "<u4"
+                tokens.append(np.append(np.frombuffer(raw.as_buffer(), kind), np.array([end_id], kind)))  # a copy
+        del batches
+        pa.default_memory_pool().release_unused()
         if ids:
             yield from packed(ids, tokens)
 

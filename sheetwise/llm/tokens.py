@@ -18,6 +18,14 @@ UNEVEN = r"[\s\x0b\x1c-\x1f\x{85}\p{Z}] | [\s\x0b\x1c-\x1f\x{85}\p{Z}]"
 SPACE = r"[\s\x0b\x1c-\x1f\x{85}\p{Z}]$"
 
 
+def _joined(strings: pa.StringArray) -> str:
+    """All strings one after another, as they already lie in their buffer."""
+    if not len(strings):
+        return ""
+    edges = np.frombuffer(strings.buffers()[1], np.int32)[strings.offset : strings.offset + len(strings) + 1]
+    return strings.buffers()[2].slice(int(edges[0]), int(edges[-1] - edges[0])).to_pybytes().decode()
+
+
 class Encoder:
     """Byte-level BPE over batches of texts.
 
@@ -45,9 +53,8 @@ class Encoder:
     def _distinct(self, pieces: pa.Array) -> tuple[np.ndarray, np.ndarray]:
         """The ids of the distinct pieces one after another, and where each begins (and the last ends)."""
         joined = pc.and_(pc.starts_with(pieces, " "), pc.invert(pc.match_substring_regex(pieces, SPACE)))
+        ids = np.array(self.fast.encode_ordinary(_joined(pieces.filter(joined))), np.uint32)
         joined = joined.to_numpy(zero_copy_only=False)
-        whole = "".join(pieces.filter(pa.array(joined)).to_pylist())
-        ids = np.array(self.fast.encode_ordinary(whole), np.uint32)
         sizes = pc.binary_length(pieces).to_numpy(zero_copy_only=False).astype(np.int64)
         reached = np.cumsum(self.width[ids])
         ends = np.searchsorted(reached, np.cumsum(sizes[joined])) + 1

@@ -411,12 +411,12 @@ def test_ids_equal_the_tokenizers():
         assert got.tolist() == (plain.encode(t, add_special_tokens=False).ids if t else [])
 
 
-def check_pieces(spark, docs, length):
+def check_pieces(spark, docs, length, shard_bytes=24 << 20):
     import public_tokenizers as P
     from tokenizers import Tokenizer
 
     plain = Tokenizer.from_file(P.path("byte_bpe_50k.json"))
-    got = packing.pieces_with_digests(packing.pack_documents(docs, length=length, shard_bytes=100_000, block_docs=16)).collect()
+    got = packing.pieces_with_digests(packing.pack_documents(docs, length=length, shard_bytes=shard_bytes)).collect()
     wanted = Counter()
     for d, t in docs.select("doc_id", "text").collect():
         wanted[d] += len(plain.encode(t or "", add_special_tokens=False).ids) + 1
@@ -433,9 +433,10 @@ def check_pieces(spark, docs, length):
     return got, plain
 
 
-def test_packing_round_trip(spark, sf):
+@pytest.mark.parametrize("shard_bytes", [24 << 20, 100_000])
+def test_packing_round_trip(spark, sf, shard_bytes):
     docs = table(spark, sf, "documents")
-    got, plain = check_pieces(spark, docs, 1024)
+    got, plain = check_pieces(spark, docs, 1024, shard_bytes)
     for d, t in docs.select("doc_id", "text").limit(40).collect():
         ids = np.array(plain.encode(t, add_special_tokens=False).ids + [0], "<u4")
         for r in got:
@@ -463,6 +464,40 @@ def test_neighbours_by_all_terms():
     assert index.neighbours(0, np.arange(len(docs)) == 0)[0] == 1
 
 
+def brute_bm25(docs, seed, used, k1=1.2, b=0.75):
+    """Scores of all documents for the terms of one, each term and document by itself."""
+    mean = np.mean([len(d) for d in docs])
+    out = []
+    for i, d in enumerate(docs):
+        score = 0.0
+        for term in set(docs[seed].tolist()):
+            held = sum(term in x for x in docs)
+            tf = int((d == term).sum())
+            if held > 1 and tf:
+                score += np.log1p((len(docs) - held + 0.5) / (held + 0.5)) * tf * (k1 + 1) / (tf + k1 * (1 - b + b * len(d) / mean))
+        out.append(0.0 if used[i] else score)
+    return np.array(out)
+
+
+def test_neighbours_while_documents_are_used_up():
+    rng = np.random.default_rng(2)
+    docs = [rng.zipf(1.3, rng.integers(1, 60)).clip(0, 500).astype(np.uint16) for _ in range(150)]
+    index, used = packing.Bm25(docs), np.zeros(150, bool)
+    for seed in rng.permutation(150).tolist():
+        used[seed] = True
+        found, slow = index.neighbours(seed, used, most=10), brute_bm25(docs, seed, used)
+        assert len(found) == min(10, int((slow > 0).sum())) and not used[found].any()
+        assert np.allclose(slow[found], np.sort(slow)[::-1][: len(found)], rtol=1e-4)
+
+
+def test_many_empty_and_repeated_rows_are_dealt_over_shards(spark):
+    rows = [(i, None if i % 2 else "") for i in range(400)] + [(7, "one and the same row again and again")] * 400
+    got = packing.pack_documents(spark.createDataFrame(rows, "doc_id long, text string"), length=64, shard_bytes=1_500).collect()
+    assert len({(r["doc_id"], r["sequence_id"], r["offset"]) for r in got}) == len(got) and sum(r["start"] == 0 for r in got) == 800
+    shards = Counter(r["sequence_id"] >> 33 for r in got if r["doc_id"] == 7 and r["start"] == 0)
+    assert len(shards) > 5 and max(shards.values()) < 150
+
+
 def test_near_copies_meet_in_a_shard(spark):
     rng = np.random.default_rng(5)
     words = np.array(["".join(rng.choice(list("abcdefghijklmnopqrstuvwxyz"), 6)) for _ in range(4_000)])
