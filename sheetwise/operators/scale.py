@@ -88,29 +88,97 @@ def hot_keys(df: DataFrame, by: Sequence[str], limit: int = GROUP_ROWS) -> DataF
     return counts
 
 
-def row_index(df: DataFrame, order: Sequence[str], name: str = "row_index") -> DataFrame:
+#: rows one part of a numbered table is meant to hold, and the most parts and sampled keys there are
+PART_ROWS, MOST_PARTS, MOST_KEYS = 100_000, 32_768, 200_000
+#: up to so many bounds are compared by a tree of conditions, more by a search in an array
+TREE_BOUNDS = 64
+
+
+def _rising(df: DataFrame, order: Sequence[str]) -> list[Column]:
+    """What the leading columns of ``order`` are compared by: values that pass the driver as they are.
+
+    They never fall where the order rises, which is all that cutting a table into ranges needs.
+    """
+    out = []
+    for name in order:
+        kind, c = df.schema[name].dataType.simpleString(), F.col(f"`{name}`")
+        if kind == "timestamp":
+            c = F.unix_micros(c)
+        elif kind == "timestamp_ntz":
+            c = (F.unix_date(F.to_date(c)).cast("long") * 24 + F.hour(c)) * 3600 + F.minute(c) * 60 + F.second(c)
+        elif kind == "date":
+            c = F.unix_date(c)
+        elif not kind.startswith(("tinyint", "smallint", "int", "bigint", "float", "double", "decimal", "string", "boolean")):
+            break
+        out.append(c)
+    return out
+
+
+def range_part(df: DataFrame, order: Sequence[str], rows: int | None = None, part_rows: int = PART_ROWS) -> Column:
+    """The number of the range a row lies in: a fixed expression, ranges rise with ``order`` and hold like many rows.
+
+    Their bounds come from a sample of the keys, drawn once by a hash, and are literals of the plan, so
+    every evaluation places a row alike and nothing has to be written down. Missing keys are the
+    smallest. The sample decides how even the ranges are, never what a result is.
+    """
+    rows = df.count() if rows is None else rows
+    parts = min(MOST_PARTS, -(-rows // part_rows))
+    keys = _rising(df, order)
+    if parts < 2 or not keys:
+        return F.lit(0)
+    names = [f"k{i}" for i in range(len(keys))]
+    seen = df.select(*[k.alias(n) for k, n in zip(keys, names)])
+    every = max(1, rows // min(MOST_KEYS, 32 * parts))
+    wide = df.select(F.pmod(F.xxhash64(*keys), F.lit(every)).alias("h"), *[k.alias(n) for k, n in zip(keys, names)])
+    # different keys alone: a key is in one range however often it occurs
+    found = [tuple(r) for r in wide.filter("h = 0").select(*names).distinct().orderBy(*names).limit(2 * MOST_KEYS).collect()]
+    bounds = list(dict.fromkeys(found[len(found) * i // parts] for i in range(1, parts))) if found else []
+    if not bounds:
+        return F.lit(0)
+    kinds = [f.dataType for f in seen.schema.fields]
+    literal = lambda b: F.struct(*[F.lit(v).cast(t).alias(n) for v, t, n in zip(b, kinds, names)])
+    key = F.struct(*[k.alias(n) for k, n in zip(keys, names)])
+
+    def tree(low: int, high: int) -> Column:
+        if low == high:
+            return F.lit(low)
+        mid = (low + high) // 2
+        return F.when(key >= literal(bounds[mid]), tree(mid + 1, high)).otherwise(tree(low, mid))
+
+    if len(bounds) <= TREE_BOUNDS:
+        return tree(0, len(bounds))
+    known = F.array(*[literal(b) for b in bounds])
+    # halves (low, high) until one place is left
+    place = F.struct(F.lit(0).alias("low"), F.lit(len(bounds)).alias("high"))
+
+    def halve(at: Column, _: Column) -> Column:
+        mid = F.floor((at["low"] + at["high"]) / 2).cast("int")
+        over = (at["low"] < at["high"]) & (key >= F.get(known, mid))
+        low = F.when(over, mid + 1).otherwise(at["low"])
+        return F.struct(low.alias("low"), F.when(over | (at["low"] >= at["high"]), at["high"]).otherwise(mid).alias("high"))
+
+    steps = F.array(*[F.lit(0)] * (len(bounds).bit_length() + 1))
+    return F.aggregate(steps, place, halve)["low"]
+
+
+def row_index(df: DataFrame, order: Sequence[str], name: str = "row_index", part_rows: int = PART_ROWS) -> DataFrame:
     """Add the position 0..n-1 of every row in the order of ``order``.
 
-    ``order`` should identify rows uniquely. Rows are range-partitioned and
-    sorted; the position inside a partition is local and only one count per
-    partition reaches the driver. The sorted rows are settled first, since a
-    second evaluation could choose other range boundaries.
+    ``order`` should identify rows uniquely. The table is cut into ranges by a fixed expression
+    (``range_part``); rows are numbered inside their range and the ranges' counts, taken from the key columns
+    alone, are added. Whole rows move once and are never written down.
     """
-    placed = (
-        df.repartitionByRange(*order)
-        .sortWithinPartitions(*order)
-        .withColumn("__part", F.spark_partition_id())
-        # the low 33 bits of this id are the row's place inside its partition
-        .withColumn("__place", F.monotonically_increasing_id().bitwiseAND(F.lit((1 << 33) - 1)))
-    )
-    placed = settle(placed)
-    counts = sorted(tuple(r) for r in placed.groupBy("__part").count().collect())
+    spark = df.sparkSession
+    part = range_part(df, order, part_rows=part_rows)
+    counts = sorted(tuple(r) for r in df.groupBy(part.alias("part")).count().collect())  # a row per range
     starts = itertools.accumulate((n for _, n in counts), initial=0)
-    rows = [(part, start) for (part, _), start in zip(counts, starts)]
-    # one row per partition
-    offsets = F.broadcast(df.sparkSession.createDataFrame(rows, "__part int, __start long"))
-    at = (F.col("__start") + F.col("__place")).alias(name)
-    return placed.join(offsets, "__part").select(*[F.col(f"`{c}`") for c in df.columns], at)
+    place = F.row_number().over(Window.partitionBy("__part").orderBy(*order)) - 1
+    placed = df.withColumn("__part", part).withColumn("__place", place)
+    columns = [F.col(f"`{c}`") for c in df.columns]
+    if len(counts) < 2:
+        return placed.select(*columns, F.col("__place").cast("long").alias(name))
+    offsets = F.broadcast(spark.createDataFrame([(p, s) for (p, _), s in zip(counts, starts)], "__part int, __start long"))
+    return placed.join(offsets, "__part").select(*columns, (F.col("__start") + F.col("__place")).alias(name))
 
 
 def block_window(
