@@ -13,7 +13,7 @@ from pyspark.sql import functions as F
 
 from sheetwise.operators import stats
 from sheetwise.operators.ordering import bottom_k, top_k
-from sheetwise.operators.quantiles import exact_quantiles
+from sheetwise.operators.quantiles import column_quantiles
 from sheetwise.operators.scale import hash_order, present, row_index
 
 
@@ -106,30 +106,28 @@ def chart_hist(df: DataFrame, col: str, bins: int = 10) -> DataFrame:
 
 
 def chart_box(df: DataFrame, cols: Sequence[str]) -> DataFrame:
-    """Quartiles, whiskers at 1.5 box lengths and the number of outliers, per column."""
-    out = None
-    for c in cols:
-        q = exact_quantiles(df, c, [0.25, 0.5, 0.75], ["q1", "median", "q3"]).first()
-        if q["q1"] is None:
-            continue
-        reach = 1.5 * (q["q3"] - q["q1"])
+    """Quartiles, whiskers at 1.5 box lengths and the number of outliers, per column that holds a value.
+
+    Three scans, however many columns: two for all quartiles and one for all whiskers.
+    """
+    found = {c: q for c, q in column_quantiles(df, cols, [0.25, 0.5, 0.75]).items() if q is not None}
+    if not found:
+        raise ValueError("none of the columns holds a value")
+    rows = []
+    for c, (q1, middle, q3) in found.items():
+        reach = 1.5 * (q3 - q1)
         v = present(df, c)
-        inside = v.between(F.lit(q["q1"] - reach), F.lit(q["q3"] + reach))
-        row = df.agg(
-            F.min(F.when(inside, v)).cast("double").alias("whisker_low"),
-            F.max(F.when(inside, v)).cast("double").alias("whisker_high"),
-            F.count_if(~inside).alias("n_outliers"),
-        ).select(
-            F.lit(c).alias("column"),
-            *[F.lit(float(q[n])).alias(n) for n in ("q1", "median", "q3")],
-            "whisker_low",
-            "whisker_high",
-            "n_outliers",
+        inside = v.between(F.lit(q1 - reach), F.lit(q3 + reach))
+        rows.append(
+            F.struct(
+                F.lit(c).alias("column"),
+                *[F.lit(float(x)).alias(n) for n, x in (("q1", q1), ("median", middle), ("q3", q3))],
+                F.min(F.when(inside, v)).cast("double").alias("whisker_low"),
+                F.max(F.when(inside, v)).cast("double").alias("whisker_high"),
+                F.count_if(~inside).alias("n_outliers"),
+            )
         )
-        out = row if out is None else out.unionByName(row)
-    if out is None:
-        raise ValueError("none of the columns holds a value")
-    return out
+    return df.agg(F.array(*rows).alias("rows")).select(F.inline("rows"))
 
 
 def chart_scatter(
@@ -138,15 +136,15 @@ def chart_scatter(
     """Points ``(x, y)``: all of them, or a repeatable sample of about ``share``."""
     if share < 1.0:
         df = df.filter(F.pmod(hash_order(seed, key), F.lit(1_000_000)) < int(share * 1_000_000))
-    return df.select(F.col(x).alias("x"), F.col(y).alias("y"))
+    u, v = present(df, x), present(df, y)
+    return df.select(u.alias("x"), v.alias("y"))
 
 
 def chart_trend(df: DataFrame, x: str, y: str) -> DataFrame:
-    """Points with the value of the least-squares line: ``(x, y, fitted)``."""
-    line = df.agg(F.struct(F.regr_slope(y, x).alias("slope"), F.regr_intercept(y, x).alias("intercept"))).scalar()
-    return df.select(
-        F.col(x).alias("x"), F.col(y).alias("y"), (line["slope"] * F.col(x) + line["intercept"]).alias("fitted")
-    )
+    """Points with the value of the least-squares line: ``(x, y, fitted)``; a missing x has no fitted value."""
+    line = stats.trend_line(df, y, x).select(F.struct("slope", "intercept")).scalar()
+    u, v = present(df, x), present(df, y)
+    return df.select(u.alias("x"), v.alias("y"), (line["slope"] * u + line["intercept"]).alias("fitted"))
 
 
 def chart_scatter_matrix(df: DataFrame, cols: Sequence[str], bins: int = 10) -> DataFrame:

@@ -1,5 +1,9 @@
 """Exact quantiles that never hold a column's values in one task.
 
+Whole columns take two scans, however many columns and ranks are wanted
+(``column_quantiles``): mergeable sketches bracket every rank, then the values
+inside the brackets are counted and those below them too. Groups take another way.
+
 Spark's ``percentile`` keeps every distinct value of a group in memory. That
 is fine while groups are small, and wrong for a group of a billion distinct
 amounts. Groups above ``group_rows`` are therefore narrowed: each pass counts
@@ -24,6 +28,8 @@ from sheetwise.session import settle
 #: rows a group may have before its values are narrowed instead of held in memory
 GROUP_ROWS = 100_000
 BINS = 2048
+#: a sketch's ranks are right to one in so many; a bracket may hold so many different values before it is narrowed
+ACCURACY, INSIDE_ROWS = 10_000, 2_000_000
 
 
 def _present(df: DataFrame, col: str) -> DataFrame:
@@ -95,14 +101,14 @@ def exact_quantiles(
     Without ``by`` the result is one row. A group, or an ungrouped table,
     without a value gives nulls.
     """
+    if not by:
+        at = column_quantiles(df, [col], probs)[col] or [None] * len(probs)
+        return df.sparkSession.createDataFrame([at], ", ".join(f"`{n}` double" for n in names))
     present = _present(df, col)
     values = df.select(*by, present_value(df, col).alias(col))
     picks = [F.percentile(col, F.lit(float(p))).alias(n) for p, n in zip(probs, names)]
     sizes = present.groupBy(*by).agg(F.count("*").alias("n"), F.min(col).alias("lo"), F.max(col).alias("hi"))
     large = sizes.filter(F.col("n") > group_rows)
-    if not by:
-        whole = large.first()
-        return present.agg(*picks) if whole is None else _whole_table(present, col, probs, names, whole)
     large = settle(large)
     if not large.take(1):
         return values.groupBy(*by).agg(*picks)
@@ -115,16 +121,83 @@ def _spots(probs: Sequence[float], n: int) -> list[float]:
     return [p * (n - 1) for p in probs]
 
 
-def _whole_table(present: DataFrame, col: str, probs: Sequence[float], names: Sequence[str], ends) -> DataFrame:
-    spots = _spots(probs, ends["n"])
-    wanted = [r for s in spots for r in (math.floor(s), math.ceil(s))]
-    at = rank_values(present.select(F.col(col).alias("v")), wanted, ends["lo"], ends["hi"])
-    row = []
-    for s in spots:
-        lower, upper = float(at[math.floor(s)]), float(at[math.ceil(s)])
-        # the arithmetic of Spark's ``percentile``, so that both routes agree to the last bit
-        row.append(lower if lower == upper else (math.ceil(s) - s) * lower + (s - math.floor(s)) * upper)
-    return present.sparkSession.createDataFrame([row], ", ".join(f"`{n}` double" for n in names))
+def _between(lower: float, upper: float, s: float) -> float:
+    """The arithmetic of Spark's ``percentile``, so that all routes agree to the last bit."""
+    return lower if lower == upper else (math.ceil(s) - s) * lower + (s - math.floor(s)) * upper
+
+
+def column_quantiles(
+    df: DataFrame, cols: Sequence[str], probs: Sequence[float], accuracy: int = ACCURACY, inside_rows: int = INSIDE_ROWS
+) -> dict[str, list[float] | None]:
+    """Linear-interpolated quantiles of whole columns, None for a column without a value, by two scans of ``df``.
+
+    The first gives each column's count, ends and sketched quantiles a little below and above the wanted
+    ranks. The second counts the values inside these brackets and how many lie below. A rank is then
+    read off the counted values. Only a bracket of more than ``inside_rows`` different values is narrowed
+    further, by scans of its column.
+    """
+    numbers = df.select(*[present_value(df, c).cast("double").alias(f"c{i}") for i, c in enumerate(cols)])
+    slack = 3 / accuracy
+    edges = sorted({min(1.0, max(0.0, p + d)) for p in probs for d in (-slack, slack)})
+    sketched = []
+    for i in range(len(cols)):
+        c = F.col(f"c{i}")
+        sketched += [F.count(c), F.min(c), F.max(c), F.percentile_approx(c, F.array(*map(F.lit, edges)), accuracy)]
+    seen = numbers.agg(*[s.alias(f"s{i}") for i, s in enumerate(sketched)]).first()
+    brackets: list[tuple[int, float, float]] = []
+    ranks: dict[int, list[float]] = {}
+    for i in range(len(cols)):
+        n, low, high, at = seen[4 * i : 4 * i + 4]
+        if not n:
+            continue
+        ranks[i] = _spots(probs, n)
+        found = []
+        for p in probs:
+            # a sketch of few values is exact up to a rank or two, which the slack does not cover
+            near = n > 2 * accuracy
+            a = at[edges.index(max(0.0, p - slack))] if near and p > slack else low
+            b = at[edges.index(min(1.0, p + slack))] if near and p < 1 - slack else high
+            found.append((a, b))
+        merged: list[list[float]] = []
+        for a, b in sorted(found):
+            if merged and a <= merged[-1][1]:
+                merged[-1][1] = max(merged[-1][1], b)
+            else:
+                merged.append([a, b])
+        brackets += [(i, a, b) for a, b in merged]
+    if not brackets:
+        return dict.fromkeys(cols)
+    cells = []
+    for j, (i, a, b) in enumerate(brackets):
+        v = F.col(f"c{i}")
+        # values below the bracket count as one cell, those above are not looked at
+        cells.append(F.when(v <= F.lit(b), F.struct(F.lit(j).alias("j"), F.when(v >= F.lit(a), v).alias("v"))))
+    counted = settle(numbers.select(F.inline(F.filter(F.array(*cells), lambda s: s.isNotNull()))).groupBy("j", "v").count())
+    sizes = {r["j"]: r for r in counted.groupBy("j").agg(F.count("v").alias("n"), F.sum(F.when(F.col("v").isNull(), F.col("count"))).alias("below")).collect()}
+    wanted, wide = [], []
+    for i, spots in ranks.items():
+        for r in sorted({x for s in spots for x in (math.floor(s), math.ceil(s))}):
+            # the bracket with the largest start whose rows below do not reach the rank
+            j = max(k for k, b in enumerate(brackets) if b[0] == i and (sizes[k]["below"] or 0) <= r)
+            (wide if sizes[j]["n"] > inside_rows else wanted).append((i, j, r))
+    at = {}
+    if wanted:
+        spark = df.sparkSession
+        asked = spark.createDataFrame([(i, j, r) for i, j, r in wanted], "i int, j int, r long")
+        # one window partition holds the different values of one bracket: at most inside_rows
+        up_to = F.sum("count").over(Window.partitionBy("j").orderBy(F.col("v").asc_nulls_first()))
+        spread = counted.join(F.broadcast(asked.select("j").distinct()), "j").select("j", "v", up_to.alias("up"), "count")
+        hit = spread.join(F.broadcast(asked), "j").filter(F.col("v").isNotNull() & (F.col("r") < F.col("up")) & (F.col("r") >= F.col("up") - F.col("count")))
+        at = {(x["i"], x["r"]): x["v"] for x in hit.select("i", "r", "v").collect()}
+    wide += [(i, None, r) for i, _, r in wanted if (i, r) not in at]  # beside its bracket, which a right sketch rules out
+    for i, j, r in wide:
+        (_, a, b), below = (brackets[j], sizes[j]["below"] or 0) if j is not None else ((i, *seen[4 * i + 1 : 4 * i + 3]), 0)
+        inside = numbers.select(F.col(f"c{i}").alias("v")).filter(F.col("v").between(a, b))
+        at[i, r] = rank_values(inside, [r - below], a, b)[r - below]
+    return {
+        c: [_between(at[i, math.floor(s)], at[i, math.ceil(s)], s) for s in ranks[i]] if i in ranks else None
+        for i, c in enumerate(cols)
+    }
 
 
 def _with_keys(df: DataFrame, keys: DataFrame, by: list[str], how: str) -> DataFrame:

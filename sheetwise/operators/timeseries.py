@@ -8,12 +8,14 @@ from __future__ import annotations
 
 from collections.abc import Sequence
 
+import numpy as np
+import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from sheetwise.operators.quantiles import GROUP_ROWS as QUANTILE_ROWS
 from sheetwise.operators.quantiles import exact_quantiles
-from sheetwise.operators.scale import BLOCK_ROWS, GROUP_ROWS, block_window, framed, present
+from sheetwise.operators.scale import BLOCK_ROWS, GROUP_ROWS, block_window, framed, present, row_index
 from sheetwise.session import settle
 
 #: calendar rules: the unit whose start is a bin's label
@@ -32,11 +34,11 @@ def rolling_mean(
     group_rows: int = GROUP_ROWS,
     block_rows: int = BLOCK_ROWS,
 ) -> DataFrame:
-    """Mean of the last ``window`` values; null until that many are present."""
+    """Mean of the last ``window`` values; null until that many are present, NaN is not."""
 
     def build(part, w):
-        frame = w.rowsBetween(1 - window, 0)
-        return part.withColumn(name, F.when(F.count(col).over(frame) == window, F.avg(col).over(frame)))
+        frame, v = w.rowsBetween(1 - window, 0), present(part, col)
+        return part.withColumn(name, F.when(F.count(v).over(frame) == window, F.avg(v).over(frame)))
 
     return framed(df, order, window - 1, 0, build, by, group_rows, block_rows)
 
@@ -68,22 +70,23 @@ def pct_change(
     group_rows: int = GROUP_ROWS,
     block_rows: int = BLOCK_ROWS,
 ) -> DataFrame:
-    """Change against the previous row as a share; null after a zero."""
+    """Change against the previous row as a share; null after a zero and where a value is missing."""
 
     def build(part, w):
-        return part.withColumn(name, F.try_divide(F.col(col), F.lag(col, 1).over(w)) - 1)
+        v = present(part, col)
+        return part.withColumn(name, F.try_divide(v, F.lag(v, 1).over(w)) - 1)
 
     return framed(df, order, 1, 0, build, by, group_rows, block_rows)
 
 
 def lag_pairs(df: DataFrame, col: str, lag: int, order: Sequence[str], by: Sequence[str] = ()) -> DataFrame:
-    """Points ``(y, y_lagged)`` of each value and the one ``lag`` rows later."""
+    """Points ``(y, y_lagged)`` of each value and the one ``lag`` rows later; a missing value is null, NaN too."""
 
     def build(part, w):
-        return part.withColumn("y_lagged", F.lead(col, lag).over(w)).withColumn("__has", F.lead(F.lit(1), lag).over(w))
+        return part.withColumn("y_lagged", F.lead(present(part, col), lag).over(w)).withColumn("__has", F.lead(F.lit(1), lag).over(w))
 
     paired = framed(df.select(*by, *order, col), order, 0, lag, build, by)
-    return paired.filter(F.col("__has").isNotNull()).select(*by, *order, F.col(col).alias("y"), "y_lagged")
+    return paired.filter(F.col("__has").isNotNull()).select(*by, *order, present(paired, col).alias("y"), "y_lagged")
 
 
 def _bin(ts: str, rule: str) -> Column:
@@ -187,13 +190,51 @@ def seasonal_decompose(
     )
 
 
-def autocorrelation(df: DataFrame, col: str, max_lag: int, order: Sequence[str], block_rows: int = BLOCK_ROWS) -> DataFrame:
-    """``(lag, r)`` for lags 1..max_lag around the overall mean.
+#: from so many lags on, lagged products come from a transform of blocks and not from a column per lag
+MANY_LAGS = 32
 
-    All lags come from one windowed pass; no pairs of rows are formed.
+
+def _lagged_products(series: DataFrame, max_lag: int, order: Sequence[str], block_rows: int) -> DataFrame:
+    """``(lag, c)`` for lags 0..max_lag: sums of products of ``__y`` and the value ``lag`` rows before.
+
+    The series is cut into blocks; a block also gets the ``max_lag`` rows before it. All its lagged sums are one
+    product of Fourier transforms, so the work for a row grows with the logarithm of the lags, not with their number.
+    """
+    block_rows = max(block_rows, 4 * max_lag)
+    at = F.col("__at")
+    home, last = F.floor(at / block_rows), F.floor((at + max_lag) / block_rows)
+    spread = row_index(series.select(*order, "__y"), order, "__at").select("__at", "__y", F.explode(F.sequence(home, last)).alias("__block"))
+
+    def sums(key: tuple[pa.Scalar], rows: pa.Table) -> pa.Table:
+        start = key[0].as_py() * block_rows - max_lag
+        place = rows.column("__at").to_numpy() - start
+        all_ = np.zeros(block_rows + max_lag)
+        all_[place] = rows.column("__y").to_numpy()
+        mine = all_.copy()
+        mine[:max_lag] = 0  # the rows of the block before
+        size = 1 << (2 * len(all_) - 1).bit_length()
+        products = np.fft.irfft(np.fft.rfft(mine, size) * np.conj(np.fft.rfft(all_, size)), size)[: max_lag + 1]
+        return pa.table({"lag": pa.array(range(max_lag + 1), pa.int32()), "c": pa.array(products)})
+
+    return spread.groupBy("__block").applyInArrow(sums, "lag int, c double").groupBy("lag").agg(F.sum("c").alias("c"))
+
+
+def autocorrelation(
+    df: DataFrame, col: str, max_lag: int, order: Sequence[str], block_rows: int = BLOCK_ROWS, many: int = MANY_LAGS
+) -> DataFrame:
+    """``(lag, r)`` for lags 1..max_lag around the overall mean; missing values (NaN too) are left out.
+
+    Few lags come from one windowed pass, ``many`` and more from transforms of blocks; no pairs of rows are formed.
     """
-    series = df.select(*order, F.col(col).cast("double").alias("__y")).filter("__y is not null")
+    series = df.select(*order, present(df, col).cast("double").alias("__y")).filter("__y is not null")
     mean = F.lit(series.agg(F.avg("__y")).first()[0])
+    if max_lag >= many:
+        centred = series.withColumn("__y", F.col("__y") - mean)
+        # a row per lag
+        products = settle(_lagged_products(centred, max_lag, order, block_rows))
+        base = products.filter("lag = 0").agg(F.max("c")).scalar()
+        lags_ = df.sparkSession.range(1, max_lag + 1).select(F.col("id").cast("int").alias("lag"))
+        return lags_.join(F.broadcast(products), "lag", "left").select("lag", F.try_divide("c", F.nullif(base, F.lit(0.0))).alias("r"))
     lags = range(1, max_lag + 1)
 
     def build(part, w):

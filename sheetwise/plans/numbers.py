@@ -545,3 +545,71 @@ def _(spark, d):
 @query("chart_box_nan", _BOX.format(c="value", t=SPARSE_EVENTS))
 def _(spark, d):
     return rounded(charts.chart_box(nan_events(spark, d), ["value"]), 4, "q1", "median", "q3")
+
+
+# ---- missing numbers as NaN in windows and points; many lags ----
+
+_SPARSE_W = "OVER (PARTITION BY user_id ORDER BY ts, event_id)"
+
+
+@query(
+    "rolling_mean_nan",
+    f"""SELECT event_id, CASE WHEN count(value) OVER w = 3 THEN round(avg(value) OVER w, 6) END AS rolling_mean
+    FROM {SPARSE_EVENTS} WINDOW w AS (PARTITION BY user_id ORDER BY ts, event_id ROWS BETWEEN 2 PRECEDING AND CURRENT ROW)""",
+)
+def _(spark, d):
+    out = timeseries.rolling_mean(nan_events(spark, d), "value", 3, ["ts", "event_id"], ["user_id"])
+    return rounded(out, 6, "rolling_mean").select("event_id", "rolling_mean")
+
+
+@query("pct_change_nan", f"SELECT event_id, round(value / nullif(lag(value, 1) {_SPARSE_W}, 0) - 1, 9) AS pct_change FROM {SPARSE_EVENTS}")
+def _(spark, d):
+    out = timeseries.pct_change(nan_events(spark, d), "value", ["ts", "event_id"], ["user_id"])
+    return rounded(out, 9, "pct_change").select("event_id", "pct_change")
+
+
+@query(
+    "lag_pairs_nan",
+    f"""SELECT event_id, y, y_lagged FROM (SELECT event_id, value AS y, lead(value, 2) OVER w AS y_lagged, lead(1, 2) OVER w AS has
+    FROM {SPARSE_EVENTS} WINDOW w AS (ORDER BY ts, event_id)) WHERE has IS NOT NULL""",
+)
+def _(spark, d):
+    return timeseries.lag_pairs(nan_events(spark, d), "value", 2, ["ts", "event_id"]).select("event_id", "y", "y_lagged")
+
+
+@query(
+    "chart_trend_nan",
+    f"""WITH e AS {SPARSE_EVENTS} SELECT event_id AS x, value AS y, round(s * event_id + i, 4) AS fitted FROM e,
+    (SELECT regr_slope(value, event_id) AS s, regr_intercept(value, event_id) AS i FROM e)""",
+)
+def _(spark, d):
+    return rounded(charts.chart_trend(nan_events(spark, d), "event_id", "value"), 4, "fitted")
+
+
+@query("chart_scatter_nan", f"SELECT event_id AS x, value AS y FROM {SPARSE_EVENTS}")
+def _(spark, d):
+    return charts.chart_scatter(nan_events(spark, d), "event_id", "value")
+
+
+def _lags_sql(source: str, most: int) -> str:
+    return f"""WITH v AS (SELECT value - (SELECT avg(value) FROM {source}) AS y, row_number() OVER (ORDER BY ts, event_id) AS i FROM {source} WHERE value IS NOT NULL)
+    SELECT CAST(k AS INTEGER) AS lag, round((SELECT sum(a.y * b.y) FROM v a JOIN v b ON a.i = b.i + k) / (SELECT sum(y * y) FROM v), 6) AS r
+    FROM range(1, {most + 1}) t(k)"""
+
+
+@query("autocorrelation_nan", _lags_sql(SPARSE_EVENTS, 4))
+def _(spark, d):
+    return rounded(timeseries.autocorrelation(nan_events(spark, d), "value", 4, ["ts", "event_id"]), 6, "r")
+
+
+@query("autocorrelation_wide", _lags_sql(SPARSE_EVENTS, 500))
+def _(spark, d):
+    return rounded(timeseries.autocorrelation(nan_events(spark, d), "value", 500, ["ts", "event_id"]), 6, "r")
+
+
+_FOUR = ["l_extendedprice", "l_quantity", "l_discount", "l_tax"]
+
+
+@query("chart_box_many", " UNION ALL ".join(_BOX.format(c=c, t="lineitem") for c in _FOUR))
+def _(spark, d):
+    return rounded(charts.chart_box(table(spark, d, "lineitem"), _FOUR), 4, "q1", "median", "q3")
