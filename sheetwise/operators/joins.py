@@ -4,7 +4,7 @@ from __future__ import annotations
 
 from collections.abc import Sequence
 
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from sheetwise.operators import scale
@@ -15,18 +15,18 @@ def merge(
     right: DataFrame,
     on: Sequence[str],
     match_nulls: bool = False,
-    salts: int = 0,
+    salts: int | str = 0,
     hot_rows: int = scale.GROUP_ROWS,
 ) -> DataFrame:
     """Inner equi-join on columns of the same name.
 
     Other columns that both sides have get the suffixes ``_x`` and ``_y``.
-    ``match_nulls`` lets missing keys meet each other (give ``salts`` if many
-    keys are missing). Spark's adaptive
+    ``match_nulls`` lets missing keys meet each other. Spark's adaptive
     execution splits skewed partitions by itself; ``salts > 1`` does it in the
     plan instead: rows of a key with more than ``hot_rows`` left rows are
     spread over that many parts and only those keys of the right side are
-    repeated.
+    repeated. With ``salts="auto"`` a sketch of both sides finds the frequent keys, and
+    each is cut into as many parts on either side as ``hot_rows`` asks for.
     """
     on = list(on)
     both = [c for c in left.columns if c in right.columns and c not in on]
@@ -34,8 +34,10 @@ def merge(
     right = right.withColumnsRenamed({c: f"{c}_y" for c in both})
     columns = left.columns + [c for c in right.columns if c not in on]
 
-    hot = scale.hot_keys(left, on, hot_rows) if salts > 1 else None
     keys = list(on)
+    if salts == "auto":
+        left, right, keys = spread_hot_keys(left, right, on, hot_rows)
+    hot = scale.hot_keys(left, on, hot_rows) if salts != "auto" and salts > 1 else None
     if hot is not None:
         spread = F.pmod(F.xxhash64(*[F.col(f"`{c}`") for c in left.columns]), F.lit(salts))
         copies = F.sequence(F.lit(0).cast("long"), F.lit(salts - 1).cast("long"))
@@ -55,6 +57,57 @@ def merge(
     return left.join(renamed, condition, "inner").select(*columns)
 
 
+#: frequent keys a sketch names, and counters it keeps; a key it misses holds less than one row in so many counters
+TOP_KEYS, COUNTERS = 1_000, 20_000
+#: parts a key is cut into at most, on either side
+MOST_SALTS = 1_024
+
+
+def _key_hash(df: DataFrame, on: Sequence[str]) -> Column:
+    """One number per key, alike on both sides of a join whatever their number types; missing cells count as a value."""
+    parts = []
+    for c in on:
+        kind = dict(df.dtypes)[c]
+        number = kind in ("tinyint", "smallint", "int", "bigint", "float", "double") or kind.startswith("decimal")
+        # adding zero makes one of the two zeros
+        value = F.col(f"`{c}`").cast("double") + F.lit(0.0) if number else F.col(f"`{c}`").cast("string")
+        parts += [value.isNull(), value]
+    return F.xxhash64(*parts)
+
+
+def _frequent(df: DataFrame, on: Sequence[str], hot_rows: int) -> dict[int, int]:
+    """Hashes and estimated counts of the keys with more than ``hot_rows`` rows: one scan of the key columns."""
+    top = df.select(_key_hash(df, on).alias("h")).agg(F.expr(f"approx_top_k(h, {TOP_KEYS}, {COUNTERS})").alias("top")).first()["top"]
+    return {r["item"]: r["count"] for r in top or [] if r["count"] > hot_rows}
+
+
+def spread_hot_keys(left: DataFrame, right: DataFrame, on: Sequence[str], hot_rows: int) -> tuple[DataFrame, DataFrame, list[str]]:
+    """Both sides with two further key columns, by which their frequent keys are cut; and all key columns.
+
+    A frequent key is a grid: its left rows lie in one row of it each, its right rows in one column, and every row is
+    repeated over the cells of its row or column, so each pair meets in one cell. A side that is not
+    frequent is one row or column. Other keys are left alone. The sketches decide the cutting, not the result.
+    """
+    counts = [_frequent(side, on, hot_rows) for side in (left, right)]
+    cuts = lambda n: min(MOST_SALTS, max(1, -(-n // hot_rows)))
+    grid = [(h, *(cuts(c.get(h, 0)) for c in counts)) for h in sorted({*counts[0], *counts[1]})]
+    names = ["__salt_l", "__salt_r"]
+    if not grid:
+        return left, right, list(on)
+    # at most two sketches' keys
+    hot = F.broadcast(left.sparkSession.createDataFrame(grid, "__h long, __l int, __r int"))
+    out = []
+    for side, own, other in ((left, 0, 1), (right, 1, 0)):
+        plain = [F.col(f"`{f.name}`") for f in side.schema if not f.dataType.simpleString().startswith(("map", "variant"))]
+        marked = side.withColumn("__h", _key_hash(side, on)).join(hot, "__h", "left")
+        sizes = [F.coalesce(F.col(c), F.lit(1)) for c in ("__l", "__r")]
+        mine = F.pmod(F.xxhash64(F.lit(own), *plain), sizes[own].cast("long")).cast("int")
+        cells = F.sequence(F.lit(0), sizes[other] - 1)
+        spread = marked.withColumn(names[own], mine).withColumn(names[other], F.explode(cells))
+        out.append(spread.select(*[F.col(f"`{c}`") for c in side.columns], *names))
+    return out[0], out[1], [*on, *names]
+
+
 def _flag(df: DataFrame, hot: DataFrame, on: list[str]) -> DataFrame:
     """Mark the rows whose key is hot."""
     keys = hot.select(*[F.col(k).alias(f"__h_{k}") for k in on], F.lit(True).alias("__hot"))

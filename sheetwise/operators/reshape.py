@@ -2,7 +2,9 @@
 
 A wide result has one column per category. The categories are given by the
 caller or looked up; whoever asks for the wide form gets it. The long form
-(``pivot_long``) has the same cells as rows and suits any number of categories.
+(``pivot_long``) has the same cells as rows and suits any number of categories, and so
+does the sparse form (``pivot_sparse``): categories are numbered in a table of
+their own and a row lists the numbers it has a cell for.
 """
 
 from __future__ import annotations
@@ -12,8 +14,9 @@ from collections.abc import Mapping, Sequence
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from sheetwise.operators.scale import with_keys
+from sheetwise.operators.scale import row_index, small_side, with_keys
 from sheetwise.operators.stats import multi_agg, named_aggregate
+from sheetwise.session import settle
 
 
 def categories(df: DataFrame, col: str) -> list:
@@ -39,6 +42,31 @@ def pivot_table(
     return kept.groupBy(*index).pivot(columns, found).agg(named_aggregate(kept, aggfunc, values))
 
 
+def category_numbers(df: DataFrame, col: str, name: str = "number") -> DataFrame:
+    """``(col, n, number)``: the different values numbered 0.. by falling count, then by value; none passes the driver."""
+    counts = with_keys(df.select(col), [col]).groupBy(col).agg(F.count("*").alias("n"))
+    ranked = row_index(settle(counts.withColumn("__down", -F.col("n"))), ["__down", col], name)
+    return ranked.select(col, "n", name)
+
+
+def pivot_sparse(
+    df: DataFrame, index: Sequence[str], columns: str, values: str, aggfunc: str = "mean", width: int = 65_536
+) -> tuple[DataFrame, DataFrame]:
+    """The cells of ``pivot_table`` as sparse vectors, and the dictionary of categories.
+
+    ``(*index, chunk, numbers, cells)``: the numbers of the categories a key has and the values there, in the order
+    of the numbers. A vector is cut at multiples of ``width`` numbers, so no array grows with the
+    categories. A cell whose aggregate is missing is left out, as an absent one is.
+    """
+    known = settle(category_numbers(df, columns))
+    cells = pivot_long(df, index, columns, values, aggfunc, "__cell").filter(F.col("__cell").isNotNull())
+    placed = cells.join(small_side(known.select(columns, "number")), columns)
+    held = F.array_sort(F.collect_list(F.struct("number", "__cell")))
+    rows = placed.groupBy(*index, F.floor(F.col("number") / width).alias("chunk")).agg(held.alias("__held"))
+    taken = lambda field: F.transform("__held", lambda s: s[field])
+    return rows.select(*index, "chunk", taken("number").alias("numbers"), taken("__cell").alias("cells")), known
+
+
 def pivot_multi(df: DataFrame, index: Sequence[str], spec: Mapping[str, Sequence[str]]) -> DataFrame:
     """Several aggregates per value column, over a compound index."""
     return multi_agg(df, spec, by=index)

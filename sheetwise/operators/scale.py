@@ -12,6 +12,7 @@ from __future__ import annotations
 
 import itertools
 from collections.abc import Callable, Sequence
+from functools import reduce
 
 from pyspark.sql import Column, DataFrame, Window, WindowSpec
 from pyspark.sql import functions as F
@@ -238,6 +239,18 @@ def framed(
     return build(calm, Window.partitionBy(*by).orderBy(*order)).unionByName(in_blocks(busy))
 
 
+def rank_in_group(df: DataFrame, by: Sequence[str], order: Sequence[str], name: str, group_rows: int = GROUP_ROWS) -> DataFrame:
+    """Add the position 0.. of every row among those with its key, in the order of ``order``; a missing key is a key."""
+    hot = hot_keys(df, by, group_rows)
+    if hot is None:
+        return df.withColumn(name, F.row_number().over(Window.partitionBy(*by).orderBy(*order)).cast("long") - 1)
+    indexed = settle(row_index(df, [*by, *order], "__at"))
+    first = indexed.groupBy(*by).agg(F.min("__at").alias("__first")).withColumnsRenamed({k: f"__k_{k}" for k in by})
+    same = reduce(lambda a, b: a & b, [indexed[k].eqNullSafe(first[f"__k_{k}"]) for k in by])
+    joined = indexed.join(first, same).withColumn(name, F.col("__at") - F.col("__first"))
+    return joined.select(*[F.col(f"`{c}`") for c in df.columns], name)
+
+
 def hash_order(seed: int, key: Sequence[str | Column]) -> Column:
     """A repeatable pseudo-random order that depends on the row's key only: 60 bits of an MD5 sum."""
     text = F.concat_ws("|", F.lit(seed), *[_as_text(k) for k in key])

@@ -8,6 +8,9 @@ from functools import reduce
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from sheetwise.operators.scale import GROUP_ROWS, rank_in_group
+from sheetwise.session import settle
+
 
 def concat_rows(dfs: Sequence[DataFrame]) -> DataFrame:
     """Stack tables; a column one of them lacks is null there."""
@@ -48,20 +51,37 @@ def frame_diff(a: DataFrame, b: DataFrame, check_types: bool = True) -> DataFram
     return net.select(*names, side.alias("side"), F.abs("__d").alias("times"))
 
 
+def _unequal(a: DataFrame, b: DataFrame, key: Sequence[str], rest: Sequence[str], group_rows: int) -> tuple[DataFrame, DataFrame]:
+    """The rows one table has more often than the other, each as often as that, numbered within their key.
+
+    Rows that are equal in all cells meet first, so only what differs is paired; it is numbered in the order of the
+    cells that are no floating numbers, then of those, since these may differ a little.
+    """
+    exact = [c for c in rest if dict(b.dtypes)[c] not in ("double", "float")]
+    order = [*exact, *[c for c in rest if c not in exact]]
+    net = [frame_diff(a, b, check_types=False).filter(F.col("side") == side) for side in ("left", "right")]
+    net = [df.withColumn("__turn", F.explode(F.sequence(F.lit(1).cast("long"), "times"))).drop("side", "times") for df in net]
+    return tuple(rank_in_group(settle(df), key, [*order, "__turn"], "__rank", group_rows).drop("__turn") for df in net)
+
+
 def frame_close(
-    a: DataFrame, b: DataFrame, key: Sequence[str], rel: float = 1e-5, abs_: float = 1e-8
+    a: DataFrame, b: DataFrame, key: Sequence[str], rel: float = 1e-5, abs_: float = 1e-8, group_rows: int = GROUP_ROWS
 ) -> DataFrame:
     """Cells that differ between two tables with the same key: ``(key, column, left, right)``.
 
     Numbers may differ by ``abs_ + rel * |right|``; missing cells are equal to each
-    other. A row that only one table has differs in the column ``"__row"``.
+    other, and so are missing keys. Rows that share a key are paired one to one: equal rows with each other, the rest in
+    the order of their cells. A row that only one table has differs in the column ``"__row"``.
     """
     if sorted(a.columns) != sorted(b.columns):
         raise ValueError(f"columns differ: {a.columns} and {b.columns}")
     kinds, rest = dict(b.dtypes), [c for c in a.columns if c not in key]
-    left = a.select(*key, F.struct(F.lit(True).alias("__has"), *rest).alias("__a"))
-    right = b.select(*key, F.struct(F.lit(True).alias("__has"), *rest).alias("__b"))
-    both = left.join(right, list(key), "full_outer")
+    left, right = _unequal(a, b, key, rest, group_rows)
+    left = left.select(*[F.col(f"`{k}`").alias(f"__l_{k}") for k in key], F.col("__rank").alias("__l"), F.struct(F.lit(True).alias("__has"), *rest).alias("__a"))
+    right = right.select(*[F.col(f"`{k}`").alias(f"__r_{k}") for k in key], F.col("__rank").alias("__r"), F.struct(F.lit(True).alias("__has"), *rest).alias("__b"))
+    same_key = reduce(lambda x, y: x & y, [F.col(f"__l_{k}").eqNullSafe(F.col(f"__r_{k}")) for k in key])
+    both = left.join(right, (F.col("__l") == F.col("__r")) & same_key, "full_outer")
+    both = both.select(*[F.when(F.col("__a").isNotNull(), F.col(f"__l_{k}")).otherwise(F.col(f"__r_{k}")).alias(k) for k in key], "__a", "__b")
     cells = []
     for c in rest:
         x, y = F.col(f"__a.`{c}`"), F.col(f"__b.`{c}`")

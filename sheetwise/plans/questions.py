@@ -10,7 +10,7 @@ import pandas as pd
 from pyspark.sql import functions as F
 
 from sheetwise.functions import text
-from sheetwise.operators import corpus, evaluate, hooks, joins, profile, prompts
+from sheetwise.operators import corpus, evaluate, hooks, joins, profile, prompts, row_scores
 from sheetwise.operators.answering import ANSWER_ROWS, EMPTY_ANSWER, answer, answer_batch
 from sheetwise.plans.flagship import correlation_answer
 from sheetwise.plans.registry import query, rounded, sql, table
@@ -579,3 +579,78 @@ def _(spark, d):
     )
     write_report(metrics, path)
     return spark.read.text(path).filter(F.col("value").endswith(" questions"))
+
+
+# ---- answers scored from rows ----
+
+# by question: what changes in the answer that is given to "the customers" (columns number, balance, name) or their balances
+_GIVEN = {
+    1: ("k, bal + 0.004, name", "true"),  # all there, in another order
+    2: ("k, bal + CASE WHEN k % 500 = 7 THEN 0.5 ELSE 0 END, name", "true"),
+    3: ("NULL, bal + 0.0095, NULL", "true"),
+    4: ("NULL, bal, NULL", "k % 700 <> 5"),  # some are missing
+    5: ("k, NULL, NULL", "k % 3 = 0"),  # a list of numbers of the table
+    6: ("k, bal, CASE WHEN k = 11 THEN 'nobody' ELSE name END", "true"),
+}
+_BARE = (3, 4)  # questions whose correct answer is the balances alone
+
+
+def _answers(spark, d, given: bool):
+    rows = table(spark, d, "customer").selectExpr("c_custkey AS k", "c_acctbal AS bal", "c_name AS name")
+    parts = []
+    for q, (values, where) in _GIVEN.items():
+        kept = rows.filter(where) if given else rows
+        k, bal, name = values.split(", ", 2) if given else ("k", "bal", "name")
+        if not given and q in _BARE:
+            k, name = "NULL", "NULL"
+        parts.append(kept.selectExpr(f"{q} AS query_id", f"to_json(named_struct('k', {k}, 'bal', {bal}, 'name', {name})) AS line"))
+    if not given:
+        parts.append(rows.selectExpr("7 AS query_id", "to_json(named_struct('k', k)) AS line"))
+    out = parts[0]
+    for p in parts[1:]:
+        out = out.unionByName(p)
+    return out
+
+
+def _answers_sql(given: bool) -> str:
+    parts = []
+    for q, (values, where) in _GIVEN.items():
+        bare = not given and q in _BARE
+        k, bal, name = (values.split(", ", 2)) if given else ("NULL" if bare else "k", "bal", "NULL" if bare else "name")
+        source = f"(SELECT c_custkey AS k, c_acctbal AS bal, c_name AS name FROM customer) WHERE {where if given else 'true'}"
+        parts += [f"SELECT {q} AS q, CAST({x} AS DOUBLE) AS v, CAST(NULL AS VARCHAR) AS w FROM {source}" for x in (k, bal) if x != "NULL"]
+        if name != "NULL":
+            parts.append(f"SELECT {q}, NULL, {name} FROM {source}")
+    return " UNION ALL ".join(parts + ([] if given else ["SELECT 7, c_custkey, NULL FROM customer"]))
+
+
+# every stretch of needed numbers is compared with the numbers at hand around it
+_SCORE_ROWS = f"""
+WITH c AS ({_answers_sql(False)}), g AS ({_answers_sql(True)}),
+sides AS (SELECT 0 AS way, q, v, 1 AS need FROM g WHERE v IS NOT NULL UNION ALL SELECT 0, q, v, 0 FROM c WHERE v IS NOT NULL
+  UNION ALL SELECT 1, q, v, 1 FROM c WHERE v IS NOT NULL UNION ALL SELECT 1, q, v, 0 FROM g WHERE v IS NOT NULL),
+needed AS (SELECT way, q, v, count(*) AS n FROM sides WHERE need = 1 GROUP BY ALL),
+held AS (SELECT way, q, v, count(*) AS n FROM sides WHERE need = 0 GROUP BY ALL),
+held_up AS (SELECT way, q, v, sum(n) OVER (PARTITION BY way, q ORDER BY v) AS up FROM held),
+points AS (
+  SELECT n.way, n.q, n.v, sum(n.n) OVER (PARTITION BY n.way, n.q ORDER BY n.v) AS up, n.n,
+         coalesce(b.up, 0) AS below, coalesce(a.up, 0) AS reached
+  FROM needed n ASOF LEFT JOIN held_up b ON n.way = b.way AND n.q = b.q AND n.v - 0.010000001 > b.v
+  ASOF LEFT JOIN held_up a ON n.way = a.way AND n.q = a.q AND n.v + 0.010000001 >= a.v
+),
+short AS (
+  SELECT DISTINCT x.way, x.q FROM points x JOIN points y ON x.way = y.way AND x.q = y.q AND x.v <= y.v
+  WHERE y.up - (x.up - x.n) > y.reached - x.below
+),
+strange AS (SELECT DISTINCT q FROM (SELECT q, w, count(*) AS n FROM g WHERE w IS NOT NULL GROUP BY ALL) a
+  LEFT JOIN (SELECT q, w, count(*) AS n FROM c WHERE w IS NOT NULL GROUP BY ALL) b USING (q, w) WHERE a.n > coalesce(b.n, 0)),
+sizes AS (SELECT q, count(*) AS n_correct, bool_or(w IS NOT NULL) AS worded FROM c GROUP BY q)
+SELECT CAST(q AS INTEGER) AS query_id, n_correct, coalesce((SELECT count(*) FROM g WHERE g.q = s.q), 0) AS n_given,
+  CASE WHEN worded THEN CASE WHEN q IN (SELECT q FROM g) AND q NOT IN (SELECT q FROM strange) AND q NOT IN (SELECT q FROM short WHERE way = 0) THEN 1 ELSE 0 END
+  ELSE CASE WHEN q NOT IN (SELECT q FROM short WHERE way = 1) THEN 1 ELSE 0 END END AS score
+FROM sizes s"""
+
+
+@query("score_rows", _SCORE_ROWS)
+def _(spark, d):
+    return row_scores.score_rows(_answers(spark, d, False), _answers(spark, d, True))

@@ -497,13 +497,38 @@ def _(spark, d):
     return reshape.get_dummies(few, "l_returnflag", as_int=True)
 
 
-@query("pivot_wide", "SELECT c_nationkey, c_custkey, c_acctbal AS value FROM customer")
+# days of shipping, counted round: over a thousand, and no more in a larger table
+_SHIP_DAY = "CAST(datediff('day', TIMESTAMP '1990-01-01', CAST(l_shipdate AS TIMESTAMP)) % 1100 AS BIGINT)"
+
+
+@query("pivot_wide", f"SELECT l_returnflag, {_SHIP_DAY} AS day, max(l_extendedprice) AS value FROM lineitem GROUP BY ALL")
 def _(spark, d):
-    customers = table(spark, d, "customer")
-    wide = reshape.pivot_table(customers, ["c_nationkey"], "c_custkey", "c_acctbal", "max")
-    names = [c for c in wide.columns if c != "c_nationkey"]
-    long = reshape.melt(wide, ["c_nationkey"], names, "c_custkey", "value").filter("value is not null")
-    return long.withColumn("c_custkey", F.col("c_custkey").cast("long"))
+    day = (F.datediff(F.to_date("l_shipdate"), F.to_date(F.lit("1990-01-01"))) % 1100).cast("long")
+    items = table(spark, d, "lineitem").select("l_returnflag", "l_extendedprice", day.alias("day"))
+    wide = reshape.pivot_table(items, ["l_returnflag"], "day", "l_extendedprice", "max")
+    names = [c for c in wide.columns if c != "l_returnflag"]
+    long = reshape.melt(wide, ["l_returnflag"], names, "day", "value").filter("value is not null")
+    return long.withColumn("day", F.col("day").cast("long"))
+
+
+_NUMBERED = """(SELECT o_custkey, row_number() OVER (ORDER BY n DESC, o_custkey) - 1 AS number
+  FROM (SELECT o_custkey, count(*) AS n FROM orders GROUP BY o_custkey))"""
+
+
+@query(
+    "pivot_sparse",
+    f"""SELECT o_orderpriority, CAST(floor(number / 1000) AS BIGINT) AS chunk, list(number ORDER BY number) AS numbers,
+    list(cell ORDER BY number) AS cells FROM
+    (SELECT o_orderpriority, o_custkey, max(o_totalprice) AS cell FROM orders GROUP BY ALL) JOIN {_NUMBERED} USING (o_custkey) GROUP BY ALL""",
+)
+def _(spark, d):
+    return reshape.pivot_sparse(table(spark, d, "orders"), ["o_orderpriority"], "o_custkey", "o_totalprice", "max", width=1000)[0]
+
+
+@query("category_numbers", """SELECT o_custkey, n, row_number() OVER (ORDER BY n DESC, o_custkey) - 1 AS number
+FROM (SELECT o_custkey, count(*) AS n FROM orders GROUP BY o_custkey)""")
+def _(spark, d):
+    return reshape.category_numbers(table(spark, d, "orders"), "o_custkey")
 
 
 @query("pivot_long", "SELECT user_id, event_type, round(avg(value), 6) AS value FROM events GROUP BY user_id, event_type")
@@ -560,3 +585,42 @@ def _(spark, d):
     b = a.filter("o_orderkey % 97 <> 1 or o_orderkey % 10 = 0").withColumn("o_totalprice", moved)
     found = setops.frame_close(a, b, ["o_orderkey"])
     return found.select("o_orderkey", "column", (F.col("column") == "o_totalprice").alias("far"))
+
+
+_HOT = "CASE WHEN {0} % 3 = 0 THEN NULL ELSE {1} END"
+
+
+@query(
+    "merge_skewed",
+    f"""WITH l AS (SELECT {_HOT.format("c_custkey", "c_nationkey")} AS key, c_custkey FROM customer),
+    r AS (SELECT {_HOT.format("s_suppkey", "s_nationkey")} AS key, s_suppkey FROM supplier)
+    SELECT l.key, c_custkey, s_suppkey FROM l JOIN r ON l.key IS NOT DISTINCT FROM r.key""",
+)
+def _(spark, d):
+    left = table(spark, d, "customer").selectExpr(_HOT.format("c_custkey", "c_nationkey") + " AS key", "c_custkey")
+    right = table(spark, d, "supplier").selectExpr(_HOT.format("s_suppkey", "s_nationkey") + " AS key", "s_suppkey")
+    return joins.merge(left, right, ["key"], match_nulls=True, salts="auto", hot_rows=200)
+
+
+# every row of a user is one of a repeated key; missing users meet as well
+_REPEATED = "SELECT CASE WHEN user_id % 9 = 0 THEN NULL ELSE user_id END AS user_id, event_type, value{0} AS value FROM events{1}"
+_MOVED = " * CASE WHEN event_id % 50 = 3 THEN 1.5 ELSE 1 + 1e-9 END", " WHERE event_id % 211 <> 5"
+
+
+@query(
+    "frame_close_repeats",
+    f"""WITH a AS ({_REPEATED.format("", "")}), b AS ({_REPEATED.format(*_MOVED)}),
+    x AS (SELECT *, row_number() OVER (PARTITION BY user_id ORDER BY event_type, value) AS r FROM (SELECT * FROM a EXCEPT ALL SELECT * FROM b)),
+    y AS (SELECT *, row_number() OVER (PARTITION BY user_id ORDER BY event_type, value) AS r FROM (SELECT * FROM b EXCEPT ALL SELECT * FROM a)),
+    j AS (SELECT coalesce(x.user_id, y.user_id) AS user_id, x.r AS xr, y.r AS yr, x.event_type AS ta, y.event_type AS tb, x.value AS va, y.value AS vb
+      FROM x FULL JOIN y ON x.r = y.r AND x.user_id IS NOT DISTINCT FROM y.user_id)
+    SELECT user_id, '__row' AS "column", count(*) AS n FROM j WHERE xr IS NULL OR yr IS NULL GROUP BY ALL
+    UNION ALL SELECT user_id, 'event_type', count(*) FROM j WHERE ta <> tb GROUP BY ALL
+    UNION ALL SELECT user_id, 'value', count(*) FROM j WHERE abs(va - vb) > 1e-8 + 1e-5 * abs(vb) GROUP BY ALL""",
+)
+def _(spark, d):
+    events = table(spark, d, "events")
+    events.createOrReplaceTempView("__repeated_events")
+    a, b = (spark.sql(_REPEATED.format(*x).replace("FROM events", "FROM __repeated_events")) for x in (("", ""), _MOVED))
+    found = setops.frame_close(a, b, ["user_id"])
+    return found.groupBy("user_id", "column").agg(F.count("*").alias("n"))
