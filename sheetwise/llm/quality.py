@@ -11,6 +11,7 @@ from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from sheetwise.llm.registry import query, table
+from sheetwise.llm.stored import stored
 from sheetwise.llm.text import SPACE, row_id, rows_kept
 from sheetwise.session import settle
 
@@ -155,6 +156,7 @@ def apply_rules(
     seed: int = 42,
     id_col: str = "doc_id",
     text_col: str = "text",
+    with_text: bool = True,
 ) -> DataFrame:
     """The documents with ``stats``, ``base_failed``, ``score_step`` and ``kept``.
 
@@ -164,7 +166,8 @@ def apply_rules(
     The threshold is set on all labelled rows that pass the base rules: the score that maximises the share
     of bad rows (``quality`` 0) rejected less ``caution`` times the share of good rows rejected. A document is
     kept if it passes the base rules and scores below the threshold. Counts by score step and label are all
-    that reaches the driver besides the sample.
+    that reaches the driver besides the sample. Statistics are computed once: the rows are written with them
+    (without the text if ``with_text`` is false) and read again for the verdict.
 
     Cases: a null or empty text has no words and fails; a missing label is no label, repeated labels of a
     document count each; without labelled rows of both kinds only the base rules decide; repeated rows are
@@ -173,13 +176,18 @@ def apply_rules(
     names = [c for c in docs.columns if c.lower() not in MADE]
     text = F.col(f"`{text_col}`")
     marked = labels.filter(F.col(id_col).isNotNull() & F.col("quality").isin(0, 1)).select(F.col(id_col).cast("long").alias("id"), "quality")
-    known = docs.select(row_id(id_col).alias("id"), statistics_of(text).alias("stats")).join(marked, "id").filter(~_failed(F.col("stats")))
+    carried = [F.col(f"`{c}`") for c in names if with_text or c != text_col]
+    tagged = docs.select(*carried, row_id(id_col).alias("__id"), statistics_of(text).alias("stats"))
+    tagged = stored(tagged.withColumn("base_failed", _failed(F.col("stats"))))
+    known = tagged.select(F.col("__id").alias("id"), "stats").join(marked, "id").filter(~_failed(F.col("stats")))
     known = settle(known)
+    tagged = tagged.drop("__id")
     bound = trees * subsample
     share = min(1.0, 1.2 * bound / max(1, known.count()))
-    drawn = known.filter(F.pmod(F.xxhash64(F.lit(seed), "id"), F.lit(1 << 30)) < int(share * (1 << 30))).select("id", "stats.*").limit(2 * bound)
+    order = F.xxhash64(F.lit(seed), "id")
+    drawn = known.filter(F.pmod(order, F.lit(1 << 30)) < int(share * (1 << 30)))
+    drawn = drawn.orderBy(F.pmod(order, F.lit(1 << 30)), "id", "stats").limit(2 * bound).select("id", "stats.*")
     picked = [tuple(r)[1:] for r in sorted(drawn.collect(), key=lambda r: (xxhash.xxh64_intdigest(str(r["id"])), tuple(r)))][:bound]
-    tagged = docs.select(*[F.col(f"`{c}`") for c in names], statistics_of(text).alias("stats")).withColumn("base_failed", _failed(F.col("stats")))
     if not picked:
         return tagged.withColumns({"score_step": F.lit(None).cast("int"), "kept": ~F.col("base_failed")})
     forest = Forest.fit(features(np.array(picked, np.float64)), trees, subsample, seed)
@@ -203,5 +211,5 @@ def keep_good(docs: DataFrame, labels: DataFrame, **kw) -> DataFrame:
 
 @query("op3_quality_forest")
 def quality_forest(spark: SparkSession, sf_dir: str) -> DataFrame:
-    ruled = apply_rules(table(spark, sf_dir, "documents").select("doc_id", "text"), table(spark, sf_dir, "labels"))
+    ruled = apply_rules(table(spark, sf_dir, "documents").select("doc_id", "text"), table(spark, sf_dir, "labels"), with_text=False)
     return ruled.select("doc_id", *[f"stats.{f}" for f in BASE], "base_failed", "kept", "score_step")
