@@ -35,6 +35,36 @@ def page_heading(html: str = "html") -> Column:
     return text.clean_method_name(name, cut=True)
 
 
+# Elements without an end tag, and those whose end tag may be left out.
+VOID = ("area", "base", "br", "col", "embed", "hr", "img", "input", "link", "meta", "source", "track", "wbr")
+OPEN_ENDED = ("p", "li", "dt", "dd", "tr", "td", "th", "thead", "tbody", "tfoot", "option", "colgroup")
+
+
+def siblings_until(region: Column, stop_tags: Sequence[str]) -> Column:
+    """The part of ``region`` whose elements follow its start on the same level, up to a stop tag on that level.
+
+    The depth is folded over the tags: a stop tag inside another element does not count, the end of the
+    element that holds the region does. Elements that may go without an end tag have no depth.
+    """
+    pieces = F.split(region, r"(?=<[/a-zA-Z])")
+
+    def tag_of(p: Column) -> Column:
+        name = F.lower(F.regexp_extract(p, r"\A</?([a-zA-Z][a-zA-Z0-9]*)", 1))
+        flat = (name == "") | name.isin(*VOID, *OPEN_ENDED) | p.rlike(r"\A<[^>]*/>")
+        step = F.when(flat, 0).when(F.startswith(p, F.lit("</")), -1).otherwise(1)
+        return F.struct(step.alias("step"), ((step == 1) & name.isin(*stop_tags)).alias("stop"))
+
+    start = F.struct(F.lit(0).alias("depth"), F.lit(0).alias("kept"), F.lit(False).alias("done"))
+
+    def walk(at: Column, tag: Column) -> Column:
+        done = at["done"] | ((at["depth"] == 0) & (tag["stop"] | (tag["step"] < 0)))
+        depth = F.when(done, at["depth"]).otherwise(at["depth"] + tag["step"])
+        return F.struct(depth.alias("depth"), (at["kept"] + F.when(done, 0).otherwise(1)).alias("kept"), done.alias("done"))
+
+    kept = F.aggregate(F.transform(pieces, tag_of), start, walk)["kept"]
+    return F.array_join(F.slice(pieces, F.lit(1), kept), "")
+
+
 def doc_examples(
     pages: DataFrame,
     heading: str = "Examples",
@@ -43,11 +73,13 @@ def doc_examples(
     url_part: str = "",
     html: str = "html",
     url: str = "url",
+    nested: bool = False,
 ) -> DataFrame:
     """``(page_id, method_name, examples)`` of documentation pages.
 
     The examples are the texts of all ``block_tag`` elements between the first
-    paragraph that contains ``heading`` and the next stop tag.
+    paragraph that contains ``heading`` and the next stop tag. With ``nested`` only elements on the
+    paragraph's own level are looked at: a stop tag inside one of them does not end the examples (``siblings_until``).
     """
     # every piece but the first starts with a paragraph
     pieces = F.split(F.col(html), r"(?i)(?=<p[\s>])")
@@ -60,7 +92,10 @@ def doc_examples(
     region = F.array_join(F.slice(pieces, F.greatest(at, F.lit(1)), F.size(pieces)), "")
     # drop the heading paragraph itself, then all from the next section on
     region = F.regexp_replace(region, r"\A(?is).*?</p>", "")
-    region = F.get(F.split(region, rf"(?i)<(?:{'|'.join(stop_tags)})[\s>]"), F.lit(0))
+    if nested:
+        region = siblings_until(region, [t.lower() for t in stop_tags])
+    else:
+        region = F.get(F.split(region, rf"(?i)<(?:{'|'.join(stop_tags)})[\s>]"), F.lit(0))
     blocks = F.regexp_extract_all(region, F.lit(rf"(?is)<{block_tag}(?:\s[^>]*)?>(.*?)</{block_tag}>"), 1)
     examples = F.array_join(F.transform(blocks, text.strip_tags), "\n")
     return pages.filter(F.col(url).contains(url_part)).select(

@@ -654,3 +654,30 @@ FROM sizes s"""
 @query("score_rows", _SCORE_ROWS)
 def _(spark, d):
     return row_scores.score_rows(_answers(spark, d, False), _answers(spark, d, True))
+
+
+# ---- pages with sections inside elements ----
+
+# every paragraph is followed by a section of its own, whose heading lies inside an element
+_INNER = '</p><div class="s"><h2>inside</h2><br><p>inner <img src="x"> text</div>'
+_FLAT = "'" + "', '".join([*corpus.VOID, *corpus.OPEN_ENDED]) + "'"
+
+
+@query(
+    "doc_examples_nested",
+    rf"""WITH s AS (SELECT page_id, string_split(regexp_replace(replace(html, '</p>', '{_INNER}'), '(<[pP][\s>])', chr(1) || '\1', 'g'), chr(1)) AS parts FROM pages),
+    f AS (SELECT page_id, parts, coalesce(list_position(list_transform(parts, lambda p: regexp_matches(p, '^<[pP][\s>]')
+           AND contains({_PLAIN("string_split(p, '</p>')[1]")}, 'ion ')), true), 0) AS pos FROM s),
+    r AS (SELECT page_id, pos, regexp_replace(array_to_string(parts[greatest(pos, 1):], ''), '(?is)^.*?</p>', '') AS rest FROM f),
+    t AS (SELECT page_id, i, tags[i] AS p, lower(regexp_extract(tags[i], '^</?([a-zA-Z][a-zA-Z0-9]*)', 1)) AS name FROM
+      (SELECT page_id, string_split(regexp_replace(rest, '(<[/a-zA-Z])', chr(1) || '\1', 'g'), chr(1)) AS tags FROM r), unnest(range(1, len(tags) + 1)) u(i)),
+    k AS (SELECT *, CASE WHEN name = '' OR name IN ({_FLAT}) OR regexp_matches(p, '^<[^>]*/>') THEN 0 WHEN starts_with(p, '</') THEN -1 ELSE 1 END AS step FROM t),
+    d AS (SELECT *, coalesce(sum(step) OVER (PARTITION BY page_id ORDER BY i ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING), 0) AS depth FROM k),
+    e AS (SELECT page_id, min(i) FILTER (depth = 0 AND (step < 0 OR (step = 1 AND name IN ('footer', 'h2')))) AS stop FROM d GROUP BY page_id),
+    g AS (SELECT page_id, coalesce(string_agg(p, '' ORDER BY i), '') AS region FROM d JOIN e USING (page_id) WHERE i < coalesce(stop, i + 1) GROUP BY page_id)
+    SELECT page_id, CASE WHEN pos > 0 THEN array_to_string(list_transform(regexp_extract_all(coalesce(region, ''), '(?is)<p(?:\s[^>]*)?>(.*?)</p>', 1), lambda b: {_PLAIN("b")}), chr(10))
+      ELSE 'Examples section not found' END AS examples FROM r LEFT JOIN g USING (page_id)""",
+)
+def _(spark, d):
+    pages = table(spark, d, "pages").withColumn("html", F.replace("html", F.lit("</p>"), F.lit(_INNER)))
+    return corpus.doc_examples(pages, heading="ion ", block_tag="p", stop_tags=("footer", "h2"), nested=True).drop("method_name")

@@ -8,7 +8,7 @@ import pytest
 from conftest import rows_of
 from pyspark.sql import functions as F
 
-from sheetwise.operators import charts, joins, reshape, row_scores, scale, setops, timeseries
+from sheetwise.operators import charts, corpus, joins, reshape, row_scores, scale, setops, timeseries
 from sheetwise.operators.quantiles import column_quantiles
 
 # ---- numbering ----
@@ -214,3 +214,21 @@ def test_one_missing_number_spoils_no_window(spark):
     assert [r["pct_change"] for r in timeseries.pct_change(df, "v", ["i"]).orderBy("i").collect()][5:7] == [None, None]
     fitted = [r["fitted"] for r in charts.chart_trend(df, "i", "v").orderBy("x").collect()]
     assert fitted == pytest.approx(list(range(12)))
+
+
+# ---- nested sections ----
+
+
+def test_examples_end_at_a_heading_of_their_own_level_only(spark):
+    inner = "<div class='x'><h2>Inner</h2><pre>b</pre></div>"
+    pages = [
+        (1, f"<h1>m</h1><section><p>Examples</p><pre>a</pre>{inner}<p>open<li>item<pre>c</pre><br><img src='y'><h2>Next</h2><pre>no</pre></section>"),
+        (2, f"<h1>m</h1><section><p>Examples</p><pre>a</pre>{inner}</section><pre>outside</pre>"),
+        (3, "<h1>m</h1><p>Examples</p>"),
+        (4, "<h1>m</h1><p>nothing</p><pre>x</pre>"),
+        (5, None),
+    ]
+    df = spark.createDataFrame([(i, h, "u") for i, h in pages], "page_id long, html string, url string")
+    got = {r["page_id"]: r["examples"] for r in corpus.doc_examples(df, nested=True).collect()}
+    assert got[1] == "a\nb\nc" and got[2] == "a\nb" and got[3] == "" and "not found" in got[4]
+    assert {r["page_id"]: r["examples"] for r in corpus.doc_examples(df).collect()}[1] == "a"
