@@ -681,3 +681,46 @@ _FLAT = "'" + "', '".join([*corpus.VOID, *corpus.OPEN_ENDED]) + "'"
 def _(spark, d):
     pages = table(spark, d, "pages").withColumn("html", F.replace("html", F.lit("</p>"), F.lit(_INNER)))
     return corpus.doc_examples(pages, heading="ion ", block_tag="p", stop_tags=("footer", "h2"), nested=True).drop("method_name")
+
+
+# ---- annotations ----
+
+_DESCRIBED = "SELECT n_name AS \"column\", 'lies in region ' || CAST(n_regionkey AS VARCHAR) || ', \"code\" ' || CAST(n_nationkey AS VARCHAR) AS description FROM nation"
+
+
+def _annotations(spark, d):
+    words = F.concat(F.lit("lies in region "), F.col("n_regionkey").cast("string"), F.lit(', "code" '), F.col("n_nationkey").cast("string"))
+    return table(spark, d, "nation").select(F.col("n_name").alias("column"), words.alias("description"))
+
+
+@query("annotations_round_trip", _DESCRIBED)
+def _(spark, d):
+    path = _checkpointed(spark, "annotations")
+    profile.annotation_json(_annotations(spark, d)).write.text(path)
+    return tables.load_annotations(spark, path)
+
+
+@query(
+    "annotation_json",
+    rf"""SELECT '{{' || string_agg('"' || "column" || '":"' || replace(description, '"', '\"') || '"', ',' ORDER BY "column") || '}}' AS annotation_text
+    FROM ({_DESCRIBED})""",
+)
+def _(spark, d):
+    return profile.annotation_json(_annotations(spark, d))
+
+
+_RATED = "SELECT r_name AS c, count(*) AS n, count(*) FILTER (n_nationkey % 2 = 0) AS ok FROM region JOIN nation ON r_regionkey = n_regionkey GROUP BY r_name"
+
+
+@query(
+    "report_lines",
+    f"""SELECT c || ': ' || n || ' questions' AS value FROM ({_RATED}) UNION ALL SELECT c || ': ' || ok || ' of them ran' FROM ({_RATED})
+    UNION ALL SELECT c || ': share that ran ' || CAST(ok / n AS VARCHAR) FROM ({_RATED}) UNION ALL SELECT '----------'""",
+)
+def _(spark, d):
+    path = _checkpointed(spark, "report")
+    runs = table(spark, d, "region").join(table(spark, d, "nation"), F.col("r_regionkey") == F.col("n_regionkey"))
+    runs = runs.withColumn("successful_code_execution", F.col("n_nationkey") % 2 == 0)
+    names = [r["r_name"] for r in table(spark, d, "region").select("r_name").collect()]  # a handful of cohorts
+    write_report(evaluate.executable_rate(runs, "r_name", names), path)
+    return spark.read.text(path)
