@@ -10,17 +10,21 @@ import re
 import uuid
 from collections.abc import Iterator
 
+import numpy as np
 import pyarrow as pa
 from pyarrow import fs
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from sheetwise.llm.registry import query, table
+from sheetwise.llm.stored import stored
 from sheetwise.llm.text import NO_ID, row_id
 from sheetwise.session import checkpoint_folder
 
 MANIFEST = "file string, temporary string, records long, bytes long, sha256 string"
 RECORD = "page_id long, url string, record_type string, refers_to long, payload_digest string, payload_bytes long, payload binary"
+#: about what headers add to a payload
+HEAD_BYTES = 512
 #: record ids are derived from the page, so the same table gives the same archives
 SPACE = uuid.UUID("5d0f2d4e-6f0b-5c57-9a52-0d6d4f3f7a10")
 
@@ -70,6 +74,64 @@ def revisit_record(page: int, url: str | None, digest: str, size: int, first: in
     return record("revisit", fields, _http(size))
 
 
+def _unsigned(pages: pa.Array) -> np.ndarray:
+    """Ids as unsigned numbers in the same order, so that differences do not overflow."""
+    return pages.to_numpy(zero_copy_only=False).view(np.uint64) ^ np.uint64(1 << 63)
+
+
+def _bins(narrow: DataFrame, spans: list[tuple[int, int, int]]) -> dict[int, int]:
+    """The bytes in each bin of ``step`` ids of the ``spans`` (low, high, step), by the bin's first id."""
+    low, high, step = (np.array(x, np.uint64) for x in zip(*spans))
+
+    @F.arrow_udf("long")
+    def first_of(pages: pa.Array) -> pa.Array:
+        ids = _unsigned(pages)
+        at = np.searchsorted(low, ids, side="right") - 1
+        begin, width = low[np.maximum(at, 0)], step[np.maximum(at, 0)]
+        inside = (at >= 0) & (ids <= high[np.maximum(at, 0)])
+        first = np.where(inside, begin + (ids - begin) // width * width, np.uint64(0))
+        return pa.array((first ^ np.uint64(1 << 63)).view(np.int64), mask=~inside)
+
+    found = narrow.select(first_of("page").alias("bin"), "weight").filter("bin is not null").groupBy("bin").agg(F.sum("weight").alias("weight"))
+    return {r["bin"] + (1 << 63): r["weight"] for r in found.collect()}
+
+
+def page_parts(narrow: DataFrame, part_bytes: int, bins: int = 4096) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """Parts of about ``part_bytes`` of ``(page, weight)``: first ids (unsigned), first part numbers and parts of each range.
+
+    The bytes are counted exactly by bins of ids. A bin that holds more than a part is cut into finer bins,
+    all of them together in a pass, until it is small enough or a single id; neighbouring bins are then put
+    together. Nothing is sampled, so the same pages have the same parts. A single id above a part is a
+    range of several parts. The driver holds some thousand numbers, or ``bins`` for each part at most.
+    """
+    ends = narrow.agg(F.min("page"), F.max("page"), F.sum("weight")).first()
+    if ends[0] is None:
+        return np.zeros(1, np.uint64), np.zeros(1, np.int64), np.ones(1, np.int64)
+    low, high = ends[0] + (1 << 63), ends[1] + (1 << 63)
+    each = max(bins, 16 * math.ceil(ends[2] / part_bytes))
+    open_spans, closed = [(low, high, -(-(high - low + 1) // each))], []
+    while open_spans:
+        weights, again = _bins(narrow, open_spans), []
+        starts = np.array([s[0] for s in open_spans], np.uint64)
+        for first, weight in sorted(weights.items()):
+            _, high, step = open_spans[int(np.searchsorted(starts, np.uint64(first), side="right")) - 1]
+            last = min(high, first + step - 1)
+            if weight > part_bytes and last > first:
+                again.append((first, last, -(-(last - first + 1) // bins)))
+            else:
+                closed.append((first, weight))
+        open_spans = again
+    begin, number, count, held = [], [], [], 0
+    for first, weight in sorted(closed):
+        if not begin or held + weight > part_bytes:
+            number.append(number[-1] + count[-1] if begin else 0)
+            begin.append(first)
+            count.append(max(1, math.ceil(weight / part_bytes)))
+            held = 0
+        held += weight
+    return np.array(begin, np.uint64), np.array(number, np.int64), np.array(count, np.int64)
+
+
 def write_archives(
     pages: DataFrame,
     folder: str,
@@ -84,9 +146,11 @@ def write_archives(
     """Write a WARC record per page into ``folder``; returns the manifest (file, records, bytes, sha256).
 
     Of pages with equal payloads of at least ``min_payload`` bytes the one with the smallest id becomes a
-    ``response``, the others ``revisit`` it with headers only. Records are range-partitioned and sorted by
-    page, so a task holds one page at a time; a file is rolled once it holds ``roll_bytes`` compressed. Record
-    ids, headers and digests follow from the page alone.
+    ``response``, the others ``revisit`` it with headers only. Ranges of pages of about ``part_bytes`` are found
+    by exact counts (``page_parts``), pages of one id above that are divided by their digest. Records are sorted
+    by page inside their part, so a task holds one page at a time; a file is rolled once it holds ``roll_bytes``
+    compressed. Record ids, headers and digests follow from the page alone, files and their names from the
+    table: the same table gives the same archives, byte for byte.
 
     A task writes under temporary names of its own and reports them; Spark commits the reports of one
     attempt per task, only those files are renamed (which may be repeated), and the manifest written last makes
@@ -100,17 +164,27 @@ def write_archives(
     payload = F.coalesce(F.col(f"`{html_col}`"), F.lit("")).cast("binary")
     rows = pages.select(row_id(id_col).alias("page"), F.col(f"`{url_col}`").cast("string").alias("url"), payload.alias("payload"))
     rows = rows.withColumn("digest", F.sha1("payload"))
-    narrow = rows.select("page", "digest", F.octet_length("payload").alias("size"))
+    narrow = stored(rows.select("page", "digest", F.octet_length("payload").alias("size")))
     firsts = narrow.filter(F.col("size") >= min_payload).groupBy("digest").agg(F.min("page").alias("first"), F.max("page").alias("last"))
     firsts = firsts.filter(F.col("first") < F.col("last"))
     again = narrow.select("page", "digest").join(firsts, "digest").filter(F.col("page") > F.col("first")).select("page", "digest", "first").distinct()
-    total = narrow.agg(F.coalesce(F.sum("size"), F.lit(0))).first()[0]
-    parts = max(1, math.ceil(total / part_bytes))
-    # a page that revisits another is preceded by a row that says so: it lies in the same range
+    begin, number, count = page_parts(narrow.select("page", (F.col("size") + HEAD_BYTES).alias("weight")), part_bytes)
+    sent = spark.sparkContext.broadcast((begin, number, count))
+
+    @F.arrow_udf("int")
+    def part_of(batches: Iterator[tuple[pa.Array, pa.Array]]) -> Iterator[pa.Array]:
+        begin, number, count = sent.value
+        for pages, digests in batches:
+            at = np.searchsorted(begin, _unsigned(pages), side="right") - 1
+            prefix = np.array([int(d[:8], 16) if n > 1 else 0 for d, n in zip(digests.to_pylist(), count[at].tolist())], np.int64)
+            yield pa.array((number[at] + (prefix * count[at] >> 32)).astype(np.int32))
+
+    # a page that revisits another is preceded by a row that says so: it lies in the same part
     role = again.select("page", "digest", F.lit(0).alias("kind"), "first", F.lit(None).cast("string").alias("url"), F.lit(None).cast("binary").alias("payload"))
     page = rows.select("page", "digest", F.lit(1).alias("kind"), F.lit(None).cast("long").alias("first"), "url", "payload")
-    placed = role.unionByName(page).repartitionByRange(parts, "page", "digest").sortWithinPartitions("page", "digest", "kind", "url")
-    numbered = placed.select(F.spark_partition_id().alias("part"), "page", "digest", "kind", "first", "url", "payload")
+    placed = role.unionByName(page).withColumn("part", part_of("page", "digest"))
+    placed = placed.repartitionById(int(number[-1] + count[-1]), "part").sortWithinPartitions("part", "page", "digest", "kind", "url")
+    numbered = placed.select("part", "page", "digest", "kind", "first", "url", "payload")
 
     def write(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         system, path = store(folder)

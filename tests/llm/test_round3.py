@@ -1,5 +1,6 @@
 """Filter interactions, VA-file clusters and the toxicity classifier against brute force and odd input."""
 
+import base64
 import hashlib
 import itertools
 import os
@@ -9,6 +10,7 @@ import zlib
 
 import numpy as np
 import pytest
+from pyspark.sql import functions as F
 
 sys.path.insert(0, os.path.dirname(os.path.dirname(os.path.dirname(os.path.abspath(__file__)))))
 
@@ -254,3 +256,47 @@ def test_toxicity_of_odd_rows(spark, odd):
     assert {r["score"] for r in none} == {0.0} and not any(r["flagged"] for r in none)
     one = toxicity.score_documents(docs, labels.filter("toxic = 1")).collect()
     assert {r["score"] for r in one} == {1.0}
+
+
+# ---- archives and pseudonyms ----
+
+
+def test_archives_do_not_depend_on_the_placement_of_rows(spark, tmp_path):
+    from sheetwise.llm import archives
+
+    rows = spark.range(30_000).selectExpr("if(id % 3 = 0, 77, id * id * id) as page_id", "concat('u', id) as url", "repeat(md5(cast(id % 9000 as string)), int(id % 20)) as html")
+    rows = rows.unionByName(rows.filter("page_id < 0 or page_id % 50 = 1").selectExpr("cast(null as long) as page_id", "url", "html"))
+    seen = []
+    for n in (5, 11):
+        folder = str(tmp_path / f"warc{n}")
+        manifest = archives.write_archives(rows.repartition(n, F.rand(n)), folder, part_bytes=1 << 20, roll_bytes=1 << 18)
+        seen.append(sorted((r["file"], r["records"], r["sha256"]) for r in manifest.collect()))
+    assert seen[0] == seen[1] and len({name.split("-")[1] for name, _, _ in seen[0]}) > 10
+    assert max(n for _, n, _ in seen[0]) < 6_000  # the id of a third of all rows is divided
+    assert sum(n for _, n, _ in seen[0]) == rows.count()
+
+
+def test_parts_hold_what_they_should(spark):
+    from sheetwise.llm import archives
+
+    ids = [-(2**63), -5, 2**63 - 1] + [10**15 + i for i in range(400)] + [4] * 300
+    narrow = spark.createDataFrame([(i, 10) for i in ids], "page long, weight long")
+    begin, number, count = archives.page_parts(narrow, 100, bins=4)
+    shifted = np.array([i + 2**63 for i in ids], np.uint64)
+    ranges, sizes = np.unique(np.searchsorted(begin, shifted, side="right") - 1, return_counts=True)
+    assert len(ranges) == len(begin) and all(s * 10 <= 100 * c for s, c in zip(sizes.tolist(), count.tolist()))
+    assert number.tolist() == [0, *np.cumsum(count)[:-1].tolist()] and count.max() == 30
+
+
+def test_round_trip_of_all_pages(spark):
+    from sheetwise.llm import archives
+    from sheetwise.llm.registry import table
+
+    sf = "/root/testdata/sf0.001"
+    pages = [(r["page_id"], (r["html"] or "").encode()) for r in table(spark, sf, "pages").collect()]
+    first = {}
+    for page, payload in sorted(pages):
+        first.setdefault(payload, page)
+    digest = lambda b: base64.b32encode(hashlib.sha1(b).digest()).decode()
+    want = [(p, len(b), digest(b), "response" if first[b] == p else "revisit", None if first[b] == p else first[b]) for p, b in pages]
+    assert sorted(tuple(r) for r in archives.warc_round_trip(spark, sf).collect()) == sorted(want)
