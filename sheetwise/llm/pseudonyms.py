@@ -13,21 +13,27 @@ from sheetwise.llm.text import without
 # The forms that are looked for. Each begins and ends apart from letters and digits.
 EMAIL = r"(?<![A-Za-z0-9._%+-])[A-Za-z0-9._%+-]+@[A-Za-z0-9-]+(?:\.[A-Za-z0-9-]+)+"
 IPV4 = r"(?<![0-9A-Za-z.])\d{1,3}(?:\.\d{1,3}){3}(?![0-9A-Za-z]|\.\d)"
-DATE = r"(?<![0-9A-Za-z])(?:\d{4}-\d{2}-\d{2}|\d{4}/\d{2}/\d{2}|\d{2}/\d{2}/\d{4}|\d{2}\.\d{2}\.\d{4})(?![0-9A-Za-z])"
+DATE = r"(?<![0-9A-Za-z])(?:\d{4}-\d{2}-\d{2}|\d{4}/\d{2}/\d{2}|\d{1,2}/\d{1,2}/\d{4}|\d{1,2}-\d{1,2}-\d{4}|\d{1,2}\.\d{1,2}\.\d{4})(?![0-9A-Za-z])"
+NATIONAL = r"(?<![0-9A-Za-z])\d{3}-\d{2}-\d{4}(?![0-9A-Za-z])"
+IBAN = r"(?<![0-9A-Za-z])[A-Z]{2}\d{2}(?:[A-Z0-9]{11,30}|(?: [A-Z0-9]{4}){2,7}(?: [A-Z0-9]{1,3})?)(?![0-9A-Za-z])"
 PHONE = (
     r"(?<![0-9A-Za-z])(?:\+\d{1,3} ?\(\d{1,4}\) ?\d{3,4}[ .-]\d{3,4}|\+\d{1,3}[ .-]\d{3}[ .-]\d{3}[ .-]\d{4}|\+\d{1,3}(?:[ .-]\d{2,4}){2,4}|\+\d{7,15}"
-    r"|\(\d{3}\) ?\d{3}-\d{4}|\d{3}-\d{3}-\d{4})(?![0-9A-Za-z])"
+    r"|\(\d{3}\) ?\d{3}-\d{4}|\d{3}[-. ]\d{3}[-. ]\d{4})(?![0-9A-Za-z])"
 )
 CARD = r"(?<![0-9A-Za-z])(?:\d{13,19}|\d{4}(?:[ -]\d{4}){3}|\d{4}[ -]\d{6}[ -]\d{5})(?![0-9A-Za-z])"
 ACCESS_KEY = r"(?<![0-9A-Za-z])AKIA[0-9A-Z]{16}(?![0-9A-Za-z])"
 PASSWORD = r"(?<![0-9A-Za-z])password=[0-9A-Za-z]{6,}"
-FORMS = [EMAIL, IPV4, DATE, PHONE, CARD, ACCESS_KEY, PASSWORD]
+FORMS = [EMAIL, IPV4, DATE, NATIONAL, IBAN, PHONE, CARD, ACCESS_KEY, PASSWORD]
 ANY = "|".join(FORMS)
 #: no value is without one of these
 HINT = r"[0-9@]|password="
 
 #: days of 400 years, a whole cycle of the calendar, as 27 x 5411
 FIRST_DAY, DAYS, DAY_RADIX = "1800-01-01", 146_097, (27, 5_411)
+#: those of them after the 12th of a month, which no month-first date can be mistaken for, as 9 x 9833
+LATE_DAYS, LATE_RADIX = DAYS - 4_800 * 12, (9, 9_833)
+#: areas, groups and serial numbers of national numbers
+NATIONAL_RADIX = (898, 99, 9_999)
 
 
 def let(value: Column, use: Callable[[Column], Column]) -> Column:
@@ -123,27 +129,107 @@ def _ipv4(m: Column, key: str) -> Column:
 
 
 def _date(m: Column, key: str) -> Column:
-    """Year first, or month first between slashes, or day first between dots; what is no day of 1800 to 2199 stays."""
-    forms = [(r"^\d{4}-", "yyyy-MM-dd"), (r"^\d{4}/", "yyyy/MM/dd"), (r"^\d{2}/", "MM/dd/yyyy"), (r"^\d{2}\.", "dd.MM.yyyy")]
-    first = F.lit(FIRST_DAY).cast("date")
+    """Year first; between slashes or hyphens month first, or else day first; between dots day first.
+
+    A day first that no month can be is permuted among such days, so that both readings stay apart. What is
+    no day of 1800 to 2199 stays.
+    """
+
+    def day_of(form: str) -> Column:
+        return F.datediff(F.try_to_timestamp(m, F.lit(form)).cast("date"), F.lit(FIRST_DAY).cast("date"))
+
+    def written(day: Column, padded: str) -> Column:
+        # the widths of day and month are those found
+        wide = m.rlike(r"^(?:\d{4}|\d{2}\D\d{2}\D)")
+        return F.when(wide, F.date_format(day, padded)).otherwise(F.date_format(day, padded.replace("MM", "M").replace("dd", "d")))
+
     out = F.lit(None).cast("string")
-    for start, form in forms:
-        out = F.when(m.rlike(start), F.date_format(_moved_day(F.datediff(F.try_to_timestamp(m, F.lit(form)).cast("date"), first), key), form)).otherwise(out)
+    for sign, start in (("-", "-"), ("/", "/"), (".", r"\.")):
+        month, day = f"MM{sign}dd{sign}yyyy", f"dd{sign}MM{sign}yyyy"
+        narrow = lambda form: form.replace("MM", "M").replace("dd", "d")
+        late = written(_moved_late_day(day_of(narrow(day)), key), day)
+        dayfirst = written(_moved_day(day_of(narrow(day)), key), day)
+        monthfirst = F.coalesce(written(_moved_day(day_of(narrow(month)), key), month), late)
+        out = F.when(m.rlike(rf"^\d{{1,2}}{start}"), dayfirst if sign == "." else monthfirst).otherwise(out)
+        if sign != ".":
+            year = f"yyyy{sign}MM{sign}dd"
+            out = F.when(m.rlike(rf"^\d{{4}}{start}"), F.date_format(_moved_day(day_of(year), key), year)).otherwise(out)
     return F.coalesce(out, m)
 
 
-def _moved_day(day: Column, key: str) -> Column:
-    def date_of(v: Column) -> Column:
-        return F.date_add(F.lit(FIRST_DAY).cast("date"), F.get(v, F.lit(0)) * DAY_RADIX[1] + F.get(v, F.lit(1)))
+def _moved(day: Column, days: int, radix: tuple[int, int], key: str, kind: str, use: Callable[[Column], Column]) -> Column:
+    """``use`` of the number below ``days`` that ``day`` is permuted to; null for others."""
 
     def moved(d: Column) -> Column:
-        values = F.array(F.floor(d / DAY_RADIX[1]).cast("int"), (d % DAY_RADIX[1]).cast("int"))
-        new = let(values, lambda v: feistel(v, F.array(*map(F.lit, DAY_RADIX)), key, "date"))
-        return F.when((d >= 0) & (d < DAYS), let(new, date_of))
+        values = F.array(F.floor(d / radix[1]).cast("int"), (d % radix[1]).cast("int"))
+        new = let(values, lambda v: feistel(v, F.array(*map(F.lit, radix)), key, kind))
+        number = let(new, lambda v: F.get(v, F.lit(0)) * radix[1] + F.get(v, F.lit(1)))
+        return F.when((d >= 0) & (d < days), let(number, use))
 
     return let(day, moved)
 
 
+def _moved_day(day: Column, key: str) -> Column:
+    return _moved(day, DAYS, DAY_RADIX, key, "date", lambda n: F.date_add(F.lit(FIRST_DAY).cast("date"), n))
+
+
+def _moved_late_day(day: Column, key: str) -> Column:
+    """Days after the 12th of a month, numbered among themselves."""
+    first = F.lit(FIRST_DAY).cast("date")
+    date = F.date_add(first, day)
+    months = (F.year(date) - int(FIRST_DAY[:4])) * 12 + F.month(date) - 1
+    number = F.when(F.dayofmonth(date) > 12, day - 12 * (months + 1))
+
+    def before(month: Column) -> Column:
+        return F.datediff(F.add_months(first, month), first) - 12 * month
+
+    def date_of(n: Column) -> Column:
+        # the lengths of months add up to their mean with less than a month's difference
+        guess = F.floor(n * 4_800 / LATE_DAYS).cast("int")
+        near = F.filter(F.sequence(F.greatest(guess - 2, F.lit(0)), guess + 2), lambda k: before(k) <= n)
+        return let(F.array_max(near), lambda k: F.date_add(F.add_months(first, k), n - before(k) + 12))
+
+    return _moved(number, LATE_DAYS, LATE_RADIX, key, "late date", date_of)
+
+
+def _national(m: Column, key: str) -> Column:
+    """Areas 001 to 899 but 666, groups and serial numbers above zero; others stay."""
+
+    def changed(parts: Column) -> Column:
+        area, group, serial = (F.get(parts, F.lit(i)) for i in range(3))
+        valid = area.between(1, 899) & (area != 666) & (group > 0) & (serial > 0)
+        values = F.array(area - F.when(area > 666, 2).otherwise(1), group - 1, serial - 1)
+        new = let(values, lambda v: feistel(v, F.array(*map(F.lit, NATIONAL_RADIX)), key, "national"))
+        area_of = lambda x: x + F.when(x >= 665, 2).otherwise(1)
+        text = let(new, lambda v: F.format_string("%03d-%02d-%04d", area_of(F.get(v, F.lit(0))), F.get(v, F.lit(1)) + 1, F.get(v, F.lit(2)) + 1))
+        return F.when(valid, text).otherwise(m)
+
+    return let(F.transform(F.split(m, "-"), lambda p: p.cast("int")), changed)
+
+
+def _mod97(text: Column) -> Column:
+    """The remainder by 97 of an account number whose letters count 10 to 35."""
+
+    def joined(t: Column) -> Column:
+        codes = F.transform(F.sequence(F.lit(1), F.length(t)), lambda i: F.ascii(F.substr(t, i, F.lit(1))))
+        return F.aggregate(codes, F.lit(0), lambda a, c: F.when(c < 58, (a * 10 + c - 48) % 97).otherwise((a * 100 + c - 55) % 97).cast("int"))
+
+    return let(text, joined)
+
+
+def _iban(m: Column, key: str) -> Column:
+    """The account permuted, the check digits made valid again; country and blanks stay."""
+    country, account = F.substr(m, F.lit(1), F.lit(2)), F.substr(m, F.lit(5), F.length(m))
+    bare = lambda a: F.regexp_replace(a, " ", "")
+
+    def changed(new: Column) -> Column:
+        check = F.lit(98) - _mod97(F.concat(bare(new), country, F.lit("00")))
+        return F.concat(country, F.lpad(check.cast("string"), 2, "0"), new)
+
+    valid = _mod97(F.concat(bare(account), F.substr(m, F.lit(1), F.lit(4)))) == 1
+    return F.when(valid & F.length(bare(m)).between(15, 34), let(scrambled(account, key, "iban"), changed)).otherwise(m)
+
+
 def _behind(m: Column, fixed: str, key: str, kind: str) -> Column:
     """What follows the fixed beginning is permuted."""
     return let(F.regexp_extract(m, fixed, 0), lambda h: F.concat(h, scrambled(F.substr(m, F.length(h) + 1, F.length(m)), key, kind)))
@@ -160,6 +246,8 @@ def pseudonym(m: Column, key: str) -> Column:
         F.when(at > 0, email)
         .when(whole(IPV4), _ipv4(m, key))
         .when(whole(DATE), _date(m, key))
+        .when(whole(NATIONAL), _national(m, key))
+        .when(whole(IBAN), _iban(m, key))
         .when(whole(CARD), _card(m, key))
         .when(whole(PHONE), phone)
         .when(whole(ACCESS_KEY), _behind(m, "^AKIA", key, "access key"))
@@ -171,8 +259,9 @@ def pseudonymise(docs: DataFrame, key: str, text_col: str = "text") -> DataFrame
     """The documents with personal data replaced in ``text``, and ``n_values``, the number of values changed.
 
     Found are e-mail addresses (the local part is replaced), IPv4 addresses with parts up to 255, dates of 1800
-    to 2199, payment card numbers that pass the Luhn test, telephone numbers of 7 to 15 digits, access keys and
-    passwords. Each is permuted within its format by a Feistel network with round hashes of ``key``: digits
+    to 2199 (year first, month first or day first), payment card numbers that pass the Luhn test, account numbers
+    (IBAN) that pass theirs, national numbers of three groups, telephone numbers of 7 to 15 digits, access keys
+    and passwords. Each is permuted within its format by a Feistel network with round hashes of ``key``: digits
     stay digits, letters letters, cards valid, dates dates, and equal values get equal pseudonyms in every
     document. Everything runs in the JVM, row by row, without a shuffle; a row without a digit, "@" or
     "password=" is passed on after one scan.

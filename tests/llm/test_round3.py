@@ -300,3 +300,60 @@ def test_round_trip_of_all_pages(spark):
     digest = lambda b: base64.b32encode(hashlib.sha1(b).digest()).decode()
     want = [(p, len(b), digest(b), "response" if first[b] == p else "revisit", None if first[b] == p else first[b]) for p, b in pages]
     assert sorted(tuple(r) for r in archives.warc_round_trip(spark, sf).collect()) == sorted(want)
+
+
+@pytest.mark.parametrize(
+    "value",
+    ["25/12/2024", "25-12-2024", "1/2/2024", "12-25-2024", "5.11.2024", "DE89370400440532013000", "DE89 3704 0044 0532 0130 00", "123-45-6789", "555.123.4567", "555 123 4567", "GB82 WEST 1234 5698 7654 32"],
+)
+def test_pseudonyms_of_more_forms(spark, value):
+    from sheetwise.llm.pseudonyms import pseudonymise
+
+    docs = spark.createDataFrame([(1, f"a {value}, b"), (2, f"{value} and {value}")], "doc_id long, text string")
+    one, two = [r["text"] for r in pseudonymise(docs, "k").orderBy("doc_id").collect()]
+    new = one[2:-3]
+    assert new != value and two == f"{new} and {new}" and one == f"a {new}, b"
+    if not re.match(r"\d{1,2}[./-]", value):
+        assert re.sub("[0-9]", "9", new) == re.sub("[0-9]", "9", value) or value[0] == "G"
+    if value[0] in "DG":
+        number = "".join(str(int(c, 36)) for c in new.replace(" ", "")[4:] + new[:4])
+        assert int(number) % 97 == 1 and new[:2] == value[:2]
+
+
+def test_invalid_values_stay(spark):
+    from sheetwise.llm.pseudonyms import pseudonymise
+
+    text = "31/02/2024 32-13-2024 666-45-6789 000-12-3456 123-00-4567 DE88370400440532013000 v1.2.2024.5"
+    assert pseudonymise(spark.createDataFrame([(1, text)], "doc_id long, text string"), "k").first()["n_values"] == 0
+
+
+def test_late_days_and_national_numbers_are_permuted(spark):
+    from sheetwise.llm.pseudonyms import LATE_DAYS, LATE_RADIX, pseudonymise
+
+    days = spark.range(146_097).select(F.expr("date_add(date'1800-01-01', cast(id as int))").alias("day")).filter("day(day) > 12")
+    assert days.count() == LATE_DAYS == LATE_RADIX[0] * LATE_RADIX[1]
+    moved = pseudonymise(days.select(F.date_format("day", "dd/MM/yyyy").alias("text")), "k")
+    found = moved.agg(F.count_distinct("text"), F.count_if(F.substring("text", 1, 2).cast("int") > 12), F.count_if(F.try_to_timestamp("text", F.lit("dd/MM/yyyy")).isNull())).first()
+    assert tuple(found) == (LATE_DAYS, LATE_DAYS, 0)
+    numbers = spark.range(20_000).selectExpr("format_string('%03d-%02d-%04d', 1 + id * 7 % 665, 1 + id % 99, 1 + id * 31 % 9999) as text").distinct()
+    found = pseudonymise(numbers, "k").agg(F.count_distinct("text"), F.count("text"), F.count_if(F.col("text").rlike("^(?:000|666|9)|-00-|-0000$"))).first()
+    assert found[0] == found[1] and found[2] == 0
+
+
+def test_pseudonyms_against_a_plain_network(spark):
+    """Digits of a telephone number, moved by ten rounds written out in Python."""
+    from sheetwise.llm.pseudonyms import pseudonymise
+
+    values, radix = [0] + [int(c) for c in "5551234567"], [1] + [10] * 10  # the sign stays
+    for k in range(1, 11):
+        half = len(values) // 2
+        mine = range(half) if k % 2 == 0 else range(half, len(values))
+        other = [v for i, v in enumerate(values) if i not in mine]
+        said = f"k,phone,{k}," + ".".join(map(str, other))
+        turned = list(values)
+        for i in mine:
+            turned[i] = (values[i] + int(hashlib.sha256(f"{said}#{i}".encode()).hexdigest()[:12], 16)) % radix[i]
+        values = turned
+    new = "".join(map(str, values[1:]))
+    got = pseudonymise(spark.createDataFrame([("+5551234567",)], "text string"), "k").first()["text"]
+    assert got == "+" + new
