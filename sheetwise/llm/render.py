@@ -7,7 +7,7 @@ import re
 import unicodedata
 from collections.abc import Iterator
 
-from sheetwise.llm.styles import Styles, screen_meets
+from sheetwise.llm.styles import Styles, marks_of, screen_meets
 
 # Kinds of elements in HTML.
 VOID = set("area base br col embed hr img input link meta param source track wbr".split())
@@ -15,6 +15,8 @@ RAW = set("script style textarea title xmp iframe noembed noframes".split())
 UNSEEN = set(
     "head script style template noscript title meta link base datalist rp audio video canvas object iframe noembed noframes".split()
 )
+#: inputs that show a label, and the label without a value
+LABELS = {"submit": "Submit", "reset": "Reset", "button": ""}
 #: elements in svg and math that are not drawn, whose text is drawn, that hold HTML, and whose children stand apart
 UNDRAWN = set("desc metadata defs symbol clippath mask pattern marker annotation annotation-xml mphantom".split())
 DRAWN = set("text foreignobject mi mn mo ms mtext".split())
@@ -26,7 +28,7 @@ ENDS_FOREIGN = set(
     "span strong strike sub sup table tt u ul var".split()
 )
 #: blocks with a blank line before and after, and those that only begin a new line
-SPACED = set("p h1 h2 h3 h4 h5 h6 ul ol dl menu dir blockquote pre figure table fieldset hr xmp listing".split())
+SPACED = set("p h1 h2 h3 h4 h5 h6 ul ol dl menu dir blockquote pre figure table fieldset hr xmp listing plaintext".split())
 PLAIN = set(
     "html body div section article aside header footer nav main address center details summary dialog form hgroup search figcaption "
     "li dt dd legend option optgroup select textarea tr td th caption thead tbody tfoot".split()
@@ -106,6 +108,9 @@ def tokens(page: str) -> Iterator[tuple[str, str, str]]:
             name = m[1].lower()
             yield "start", name, m[2]
             at = m.end()
+            if name == "plaintext":  # never ends
+                yield "text", page[at:], name
+                return
             if name in RAW:
                 raw = name
         else:
@@ -227,11 +232,12 @@ class Table:
 
 
 class Element:
-    __slots__ = ("tag", "shown", "none", "number", "prefix", "foreign", "drawn")
+    __slots__ = ("tag", "shown", "none", "number", "prefix", "foreign", "drawn", "seen")
 
     def __init__(self, tag: str, shown: bool, none: bool, number: int = 0, prefix: bool = False, foreign: bool = False, drawn: bool = True):
         self.tag, self.shown, self.none, self.number, self.prefix = tag, shown, none, number, prefix
         self.foreign, self.drawn = foreign, drawn  # in svg or math; whether its own text is drawn there
+        self.seen = (tag, frozenset(), {})  # what selectors ask for
 
 
 class Renderer:
@@ -286,17 +292,19 @@ class Renderer:
         given = attributes(text) if text.strip() else {}
         above = self.open[-1]
         inside = above.foreign or tag in ("svg", "math")
-        said = self.styles.decided(tag, given) if self.styles.rules or "style" in given else {}
+        said = self.styles.decided(tag, given, [x.seen for x in self.open[1:]] if self.styles.nested else ()) if self.styles.rules or "style" in given else {}
         display = said.get("display", "revert")
         # what browsers hide by default is shown by a rule of the page
         absent = "hidden" in given or tag == "dialog" and "open" not in given
         none = above.none or tag in UNSEEN or inside and tag in UNDRAWN
         none = none or display == "none" or absent and display.startswith("revert") or said.get("opacity") == "0"
         none = none or above.tag == "details" and above.number == 0 and tag != "summary"
-        none = none or tag == "input"
+        none = none or tag == "input" and given.get("type", "").lower() not in LABELS
         visibility = said.get("visibility", "inherit")
         shown = above.shown if visibility in ("inherit", "unset") or visibility.startswith("revert") else visibility in ("visible", "initial")
         e = Element(tag, shown, none, number=int("open" in given) if tag == "details" else 0)
+        if self.styles.nested:
+            e.seen = (tag, marks_of(given), given)
         e.foreign = inside and tag not in HOLDS_HTML
         e.drawn = tag in DRAWN or above.drawn and tag not in ("svg", "math") if inside else above.drawn
         if inside and (tag == "text" or above.tag in APART):
@@ -317,7 +325,9 @@ class Renderer:
             out.line(True)
         elif tag in BLOCK:
             out.block(1 if tag in SPACED and not (tag in ("ul", "ol") and self.depth.get("li")) else 0)
-        if tag == "hr" and e.shown:
+        if tag == "input" and e.shown:
+            out.write(given.get("value", LABELS[given["type"].lower()]))
+        elif tag == "hr" and e.shown:
             out.write("---")
             out.block(1)
         elif tag == "li":
@@ -332,7 +342,7 @@ class Renderer:
         elif tag in ("dd", "blockquote"):
             e.prefix = True
             out.prefixes.append("    " if tag == "dd" else "> ")
-        elif tag in ("pre", "textarea", "xmp", "listing"):
+        elif tag in ("pre", "textarea", "xmp", "listing", "plaintext"):
             self.kept += 1
         elif tag == "table":
             self.tables.append(Table() if len([t for t in self.tables if t]) < TABLES else None)
@@ -371,7 +381,7 @@ class Renderer:
                     out.line(True)
             out.block(1)
             return
-        if tag in ("pre", "textarea", "xmp", "listing"):
+        if tag in ("pre", "textarea", "xmp", "listing", "plaintext"):
             self.kept -= 1
         if tag in BLOCK:
             out.block(1 if tag in SPACED and not (tag in ("ul", "ol") and self.depth.get("li")) else 0)
@@ -403,7 +413,7 @@ class Renderer:
         hidden = over.none or not over.shown or not over.drawn or over.tag == "details" and over.number == 0
         if hidden or over.tag in ("table", "tr", "tbody", "thead", "tfoot") and not text.strip(" \t\n\f\r"):
             return
-        self.out[-1].write(html.unescape(text), bool(self.kept))
+        self.out[-1].write(text if raw in ("plaintext", "xmp") else html.unescape(text), bool(self.kept))
 
 
 def styles_of(found: list[tuple[str, str, str]]) -> Styles:
@@ -428,7 +438,7 @@ def render(page: str | None) -> str:
     carry a dash or their number and are indented, quotations have "> ", the columns of tables are aligned
     (two blanks between them), preformatted text keeps its white space. Not visible: the head, scripts, styles,
     templates, fallback content, elements that are hidden by attribute, by inline style or by a rule of the page
-    (tags, classes and ids on one element; see ``Styles``) that a desktop screen meets, and closed details but for their
+    (tags, classes, ids and attributes of an element and of those around it; see ``Styles``) that a desktop screen meets, and closed details but for their
     summary. Of svg and math the text that they draw is visible.
 
     Cases: a null or empty page gives an empty text; end tags that are missing or stray and tags that are

@@ -3,7 +3,7 @@
 from __future__ import annotations
 
 import re
-from collections.abc import Iterator
+from collections.abc import Iterator, Sequence
 
 # The screen that pages are read on.
 WIDTH, HEIGHT, EM = 1280, 720, 16
@@ -19,7 +19,13 @@ DISPLAYS = set(
     "inherit initial unset revert revert-layer run-in math -webkit-box -webkit-flex -webkit-inline-box -ms-flexbox".split()
 )
 VISIBILITIES = set("visible hidden collapse inherit initial unset revert revert-layer".split())
-SIMPLE = re.compile(r"(\*|[a-zA-Z][\w-]*)?((?:[.#][\w-]+)*)$")
+#: the parts of a selector for one element; selectors between commas; elements and combinators of one selector
+SIMPLE = re.compile(
+    r"(?P<mark>[.#][\w-]+)|(?P<tag>\*|(?<![\w-])[a-zA-Z][\w-]*)|:not\((?P<no>(?:\[[^\]]*\]|[^()\[])*)\)"
+    r"|\[\s*(?P<name>[\w-]+)\s*(?:(?P<op>[~|^$*]?=)\s*(?P<value>\"[^\"]*\"|'[^']*'|[^\s\]]+)\s*(?P<case>[iIsS]?)\s*)?\]"
+)
+LISTED = re.compile(r"(?:\[[^\]]*\]|\((?:\[[^\]]*\]|[^()\[])*\)|[^,\[(])+")
+STEP = re.compile(r"[>+~]|(?:\[[^\]]*\]|\((?:\[[^\]]*\]|[^()\[])*\)|[^\s>+~\[(])+")
 NUMBER = re.compile(r"([+-]?(?:\d+\.?\d*|\.\d+))(%?)$")
 SIZE = re.compile(r"(\d*\.?\d+)(px|em|rem)?$")
 PIECE = re.compile(r"\"(?:[^\"\\\n]|\\.)*\"|'(?:[^'\\\n]|\\.)*'|[{};]", re.S)
@@ -47,6 +53,99 @@ def declarations(body: str) -> Iterator[tuple[str, str, bool]]:
                 yield name, value, important
 
 
+class Simple:
+    """A selector of one element: tag, classes and ids, attributes, and what it must not be."""
+
+    def __init__(self, tag: str, marks: frozenset[str], attributes: list[tuple[str, str, str, bool]], nots: list[Simple]):
+        self.tag, self.marks, self.attributes, self.nots = tag, marks, attributes, nots
+
+    @staticmethod
+    def read(text: str) -> Simple | None:
+        """None for what is not understood: pseudo-classes and pseudo-elements other than ``:not`` of such selectors."""
+        at, tag, marks, attributes, nots = 0, "*", set(), [], []
+        while at < len(text):
+            m = SIMPLE.match(text, at)
+            if not m or m["tag"] and at:
+                return None
+            at = m.end()
+            if m["mark"]:
+                marks.add(m["mark"])
+            elif m["tag"]:
+                tag = m["tag"].lower()
+            elif m["name"]:
+                value = m["value"] or ""
+                value = value[1:-1] if value[:1] in ("'", '"') else value
+                attributes.append((m["name"].lower(), m["op"] or "", value, (m["case"] or "").lower() == "i"))
+            else:
+                inner = [Simple.read(x.strip()) for x in LISTED.findall(m["no"])]
+                if not inner or None in inner:
+                    return None
+                nots += inner
+        return Simple(tag, frozenset(marks), attributes, nots) if text else None
+
+    def weight(self) -> tuple[int, int, int]:
+        ids = sum(x[0] == "#" for x in self.marks)
+        own = (ids, len(self.marks) - ids + len(self.attributes), int(self.tag != "*"))
+        return tuple(map(sum, zip(own, max(n.weight() for n in self.nots)))) if self.nots else own
+
+    def fits(self, tag: str, marks: frozenset[str], given: dict[str, str]) -> bool:
+        if self.tag not in ("*", tag) or not self.marks <= marks:
+            return False
+        return all(_has(given, *a) for a in self.attributes) and not any(n.fits(tag, marks, given) for n in self.nots)
+
+
+def _has(given: dict[str, str], name: str, op: str, value: str, fold: bool) -> bool:
+    if name not in given:
+        return False
+    has, value = (given[name].lower(), value.lower()) if fold else (given[name], value)
+    if op == "~=":
+        return value in has.split()
+    if op == "|=":
+        return has == value or has.startswith(f"{value}-")
+    if op in ("^=", "$=", "*="):
+        return bool(value) and {"^": has.startswith, "$": has.endswith, "*": has.__contains__}[op[0]](value)
+    return not op or has == value
+
+
+def marks_of(given: dict[str, str]) -> frozenset[str]:
+    """The classes and the id of an element as selectors name them."""
+    return frozenset([f".{c}" for c in given.get("class", "").split()] + ([f"#{given['id']}"] if given.get("id") else []))
+
+
+def chain(selector: str) -> list[tuple[bool, Simple]] | None:
+    """The elements of a selector from the last one outwards, each with whether it is the parent of the one before.
+
+    None for what is not understood, sibling combinators among it.
+    """
+    out, parent = [], False
+    for step in reversed(STEP.findall(selector)):
+        if step == ">":
+            if parent or not out:
+                return None
+            parent = True
+            continue
+        simple = None if step in "+~" else Simple.read(step)
+        if simple is None:
+            return None
+        out.append((parent, simple))
+        parent = False
+    return None if parent or not out else out
+
+
+def inside(steps: list[tuple[bool, Simple]], above: Sequence[tuple[str, frozenset[str], dict[str, str]]]) -> bool:
+    """Whether the elements ``above``, outermost first, hold the ``steps``.
+
+    Places in ``above`` that the steps so far can have reached are kept together, so no way is tried twice.
+    """
+    places = {len(above)}
+    for parent, simple in steps:
+        tried = {i - 1 for i in places if i} if parent else range(max(places))
+        places = {i for i in tried if simple.fits(*above[i])}
+        if not places:
+            return False
+    return True
+
+
 def _feature(text: str) -> bool:
     name, colon, value = (x.strip() for x in text.lower().partition(":"))
     if colon:
@@ -135,11 +234,16 @@ def own(body: str) -> str:
 
 
 class Styles:
-    """Rules by the id, class or tag that an element must have; other selectors (combinators, pseudo-classes) are left out."""
+    """Rules by the id, class or tag that an element must have.
+
+    Selectors may ask for tags, classes, ids and attributes, for ``:not`` of these, and for ancestors and parents;
+    other selectors (siblings, other pseudo-classes) are left out.
+    """
 
     def __init__(self):
-        self.rules: dict[str, list[tuple[str, frozenset[str], str, str, Weight]]] = {}
+        self.rules: dict[str, list[tuple[list[tuple[bool, Simple]], str, str, Weight]]] = {}
         self.order = 0
+        self.nested = False  # whether a rule asks for elements around
 
     def read(self, css: str) -> None:
         self._read(re.sub(r"/\*.*?(?:\*/|$)|<!--|-->", " ", css, flags=re.S), 0)
@@ -158,27 +262,27 @@ class Styles:
             if not said:
                 continue
             self.order += 1
-            for selector in head.split(","):
-                m = SIMPLE.match(selector.strip())
-                if not m or not m[0]:
+            for selector in LISTED.findall(head):
+                steps = chain(selector)
+                if not steps:
                     continue
-                tag, marks = (m[1] or "*").lower(), frozenset(re.findall(r"[.#][\w-]+", m[2]))
-                ids = sum(x[0] == "#" for x in marks)
-                key = min(marks) if marks else tag
+                self.nested = self.nested or len(steps) > 1
+                last = steps[0][1]
+                key = min(last.marks) if last.marks else last.tag
+                ids, classes, tags = map(sum, zip(*[x.weight() for _, x in steps]))
                 for name, value, important in said:
-                    weight = (important, False, ids, len(marks) - ids, int(tag != "*"), self.order)
-                    self.rules.setdefault(key, []).append((tag, marks, name, value, weight))
+                    self.rules.setdefault(key, []).append((steps, name, value, (important, False, ids, classes, tags, self.order)))
 
-    def decided(self, tag: str, given: dict[str, str]) -> dict[str, str]:
-        """The values of display, visibility and opacity that rules and inline style give an element."""
+    def decided(self, tag: str, given: dict[str, str], above: Sequence[tuple[str, frozenset[str], dict[str, str]]] = ()) -> dict[str, str]:
+        """The values of display, visibility and opacity that rules and inline style give an element below ``above``."""
         best: dict[str, tuple[Weight, str]] = {}
         if self.rules:
-            marks = {f".{c}" for c in given.get("class", "").split()}
-            if given.get("id"):
-                marks.add(f"#{given['id']}")
+            marks = marks_of(given)
             for key in (tag, "*", *marks):
-                for of, needed, name, value, weight in self.rules.get(key, ()):
-                    if of in ("*", tag) and needed <= marks and (name not in best or weight >= best[name][0]):
+                for steps, name, value, weight in self.rules.get(key, ()):
+                    if name in best and weight < best[name][0] or not steps[0][1].fits(tag, marks, given):
+                        continue
+                    if len(steps) == 1 or inside(steps[1:], above):
                         best[name] = (weight, value)
         for i, (name, value, important) in enumerate(declarations(given.get("style", ""))):
             weight = (important, True, 0, 0, 0, i)

@@ -357,3 +357,42 @@ def test_pseudonyms_against_a_plain_network(spark):
     new = "".join(map(str, values[1:]))
     got = pseudonymise(spark.createDataFrame([("+5551234567",)], "text string"), "k").first()["text"]
     assert got == "+" + new
+
+
+# ---- pages ----
+
+
+@pytest.mark.parametrize(
+    "page, text",
+    [
+        ("<style>.a .b{display:none}</style><div class=a><p><b class=b>no</b>yes</div><b class=b>too</b>", "yes\n\ntoo"),
+        ("<style>ul>li.x{display:none}</style><ul><li class=x>no<li>yes</ul><ol><li class=x>1st</ol>", "- yes\n\n1. 1st"),
+        ("<style>[aria-hidden=true]{display:none}</style><p aria-hidden=true>no<p aria-hidden=false>yes", "yes"),
+        ("<style>p:not(.k){display:none}</style><p>no<p class=k>yes", "yes"),
+        ("<style>p:not(.k, [data-x='a,b'] ) , x{display:none}</style><p>no<p class=k>yes<p data-x='a,b'>too", "yes\n\ntoo"),
+        ("<style>a[href^='/ad'],a[href$=\".gif\" i],a[rel~=no],[lang|=de]{display:none}</style><a href=/ads>no</a><a href=x.GIF>no</a><a rel='a no'>no</a><i lang=de-AT>no</i><i lang=dex>yes</i>", "yes"),
+        ("<style>div > p > b{display:none} div p b.s{display:inline}</style><div><p><b>no</b><b class=s>yes</b><i><b>too</b></i></div>", "yestoo"),
+        ("<style>p:hover, p + p, p::before{display:none} ul > > li, > li{display:none}</style><p>yes<ul><li>too</ul>", "yes\n\n- too"),
+        ("<style>#a#b{display:none}p.p{display:block}</style><p class=p>yes", "yes"),
+        ("<form><input type=submit value=Send><input type=reset><input type=text value=no><input type=SUBMIT></form>", "SendResetSubmit"),
+        ("a<plaintext><b>&amp;\n  x</plaintext>", "a\n\n<b>&amp;\n  x</plaintext>"),
+    ],
+)
+def test_rendering_of_selectors_and_labels(page, text):
+    from sheetwise.llm.render import render
+
+    assert render(page) == text
+
+
+def test_selectors_over_deep_pages():
+    from sheetwise.llm.render import render
+
+    rule = "<style>" + " ".join(["div"] * 40) + " b{display:none}</style>"
+    assert render(rule + "<div>" * 39 + "<b>yes</b>") == "yes" and render(rule + "<div>" * 60 + "<b>no</b>") == ""
+
+
+def test_layout_text_of_no_pages(spark):
+    from sheetwise.llm import extraction
+
+    none = spark.createDataFrame([], "page_id long, url string, html string, n_chars string")
+    assert extraction.extract_text(none).count() == 0
