@@ -61,6 +61,17 @@ def sliding_min(x: np.ndarray, width: int) -> np.ndarray:
     return out
 
 
+def sliding_argmin(x: np.ndarray, width: int) -> np.ndarray:
+    """The place of the first smallest number in each stretch of ``width``; two numbers a place are held."""
+    out, at, size = x, np.arange(len(x)), 1
+    while size < width:
+        step = min(size, width - size)
+        right = out[step:] < out[:-step]
+        out, at = np.where(right, out[step:], out[:-step]), np.where(right, at[step:], at[:-step])
+        size += step
+    return at
+
+
 def runs_of(hashes: np.ndarray, starts: np.ndarray, window: int, wider: int) -> tuple[np.ndarray, ...]:
     """The windows at ``starts`` (ascending), as runs of neighbours that go the same way: at, n, route, body.
 
@@ -72,7 +83,7 @@ def runs_of(hashes: np.ndarray, starts: np.ndarray, window: int, wider: int) ->
     gram = stretch(np.arange(len(hashes) - grams + 1), np.arange(grams, len(hashes) + 1))
     span = window - grams + 1
     if wider:
-        anchor = starts + np.lib.stride_tricks.sliding_window_view(gram, span)[starts].argmin(axis=1)
+        anchor = sliding_argmin(gram, span)[starts]
         wider = min(wider, window - grams)
         first = anchor - np.minimum(anchor - starts, wider)
         first = np.minimum(first, starts + window - grams - wider)
