@@ -3,16 +3,19 @@
 from __future__ import annotations
 
 import math
+import uuid
 from collections import defaultdict
 from collections.abc import Iterator
 
 import pyarrow as pa
+from pyarrow import dataset
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from sheetwise.llm.archives import store
 from sheetwise.llm.registry import query, table
 from sheetwise.llm.text import LOWER, UPPER, rows_kept
-from sheetwise.session import settle
+from sheetwise.session import checkpoint_folder, settle
 
 #: every ASCII byte that is no letter or digit ends a word; A-Z become a-z
 WORD_BYTES = bytes(
@@ -20,6 +23,8 @@ WORD_BYTES = bytes(
     for c in range(256)
 )
 MADE = ["n_words", "n_hit", "hit_spans", "items", "contaminated"]
+#: blocks of tables that a worker keeps
+KEPT = 4
 FOUND = "struct<n_words:bigint,spans:array<struct<start:bigint,end:bigint>>,items:array<string>>"
 FOUND_ARROW = pa.struct(
     [("n_words", pa.int64()), ("spans", pa.list_(pa.struct([("start", pa.int64()), ("end", pa.int64())]))), ("items", pa.list_(pa.string()))]
@@ -125,10 +130,11 @@ def find_contamination(
     merged word ranges [start, end), ``items`` the sorted ids of the items with an occurrence.
 
     Each task searches with shift tables over blocks of two words: most positions are skipped, the
-    block that ends a test string selects candidates and a direct comparison confirms them. The tables
-    are broadcast in blocks of at most ``block_windows`` test strings of ``window`` words each, so their
-    size does not grow with the benchmark; each further block is one more pass over the documents, which
-    carry what was found. Documents are never shuffled.
+    block that ends a test string selects candidates and a direct comparison confirms them. The test strings
+    are written to the checkpoint folder in blocks of about ``block_windows``, from which a task makes its tables;
+    a worker keeps up to ``KEPT`` blocks. With more of them, each batch of documents meets one block after
+    another, so memory does not grow with the benchmark and the documents are read once, never shuffled
+    and never written.
 
     Cases: a null or empty text has no words and no hits; a missing item id is named "null"; repeated rows
     and repeated items change nothing; an empty benchmark leaves every document clean. Input columns
@@ -138,21 +144,33 @@ def find_contamination(
     windows = settle(item_windows(benchmark, window, item_col, item_text_col))
     blocks = max(1, math.ceil(windows.count() / block_windows))
     windows = windows.withColumn("block", F.pmod(F.xxhash64("window", "item"), F.lit(blocks)))
+    folder = f"{checkpoint_folder(spark)}/table-{uuid.uuid4()}"
+    windows.repartition(blocks, "block").write.partitionBy("block").parquet(folder)
+    filled = sorted(r[0] for r in windows.select("block").distinct().collect())
+
+    @F.arrow_udf(FOUND)
+    def search(batches: Iterator[pa.Array]) -> Iterator[pa.Array]:
+        system, path = store(folder)
+        known: dict[int, list[ShiftTables]] = {}
+
+        def tables(block: int) -> list[ShiftTables]:
+            if block in known:
+                return known[block]
+            pairs = dataset.dataset(f"{path}/block={block}", schema=pa.schema([("window", pa.string()), ("item", pa.string())]), filesystem=system, format="parquet").to_table()
+            made = matcher(list(zip(pairs["window"].to_pylist(), pairs["item"].to_pylist())))
+            if len(filled) <= KEPT:
+                known[block] = made
+            return made
+
+        for texts in batches:
+            found = None
+            for block in filled:
+                mine = tables(block)
+                found = [find(mine, t.as_py(), found and found[i]) for i, t in enumerate(texts)]
+            yield pa.array(found if filled else [find([], t.as_py()) for t in texts], FOUND_ARROW)
+
     names = [c for c in docs.columns if c.lower() not in MADE]
-    rows = docs.select(*[F.col(f"`{c}`") for c in names], F.lit(None).cast(FOUND).alias("__found"))
-    for block in range(blocks):
-        pairs = [tuple(r) for r in windows.filter(F.col("block") == block).select("window", "item").collect()]
-        sent = spark.sparkContext.broadcast(pairs)
-
-        @F.arrow_udf(FOUND)
-        def search(batches: Iterator[tuple[pa.Array, pa.Array]]) -> Iterator[pa.Array]:
-            tables = matcher(sent.value)
-            for texts, before in batches:
-                yield pa.array((find(tables, t.as_py(), b.as_py()) for t, b in zip(texts, before)), FOUND_ARROW)
-
-        if block:
-            rows = settle(rows)
-        rows = rows.withColumn("__found", search(F.col(f"`{text_col}`"), F.col("__found")))
+    rows = docs.select(*[F.col(f"`{c}`") for c in names], search(F.col(f"`{text_col}`")).alias("__found"))
     hit = F.aggregate("__found.spans", F.lit(0).cast("long"), lambda n, s: n + s["end"] - s["start"])
     results = [F.col("__found.n_words").alias("n_words"), hit.alias("n_hit"), F.col("__found.spans").alias("hit_spans"), F.col("__found.items").alias("items")]
     return rows.select(*[F.col(f"`{c}`") for c in names], *results, (F.size("__found.spans") > 0).alias("contaminated"))

@@ -396,3 +396,44 @@ def test_layout_text_of_no_pages(spark):
 
     none = spark.createDataFrame([], "page_id long, url string, html string, n_chars string")
     assert extraction.extract_text(none).count() == 0
+
+
+# ---- passages and benchmarks ----
+
+
+def test_first_smallest_places():
+    from sheetwise.llm.passages import sliding_argmin
+
+    x = np.random.default_rng(1).integers(0, 9, 500).astype(np.uint64)
+    for width in (1, 2, 7, 41):
+        want = np.lib.stride_tricks.sliding_window_view(x, width).argmin(axis=1) + np.arange(len(x) - width + 1)
+        assert sliding_argmin(x, width).tolist() == want.tolist()
+
+
+def test_anchors_of_a_long_text_need_little_memory():
+    import tracemalloc
+
+    from sheetwise.llm.passages import runs_of
+
+    hashes = np.random.default_rng(2).integers(0, 2**63, 400_000).astype(np.uint64)
+    tracemalloc.start()
+    runs_of(hashes, np.arange(len(hashes) - 49), 50, 20)
+    assert tracemalloc.get_traced_memory()[1] < 60_000_000 and tracemalloc.stop() is None
+
+
+def test_many_blocks_of_a_benchmark(spark):
+    """More blocks than a worker keeps give what one block gives, and the documents' texts are not written."""
+    from sheetwise.llm import contamination
+    from sheetwise.llm.registry import table
+
+    sf = "/root/testdata/sf0.001"
+    docs, bench = table(spark, sf, "documents"), table(spark, sf, "benchmark")
+    # the documents themselves as a large benchmark
+    more = bench.select(F.col("item_id").cast("string"), "text").unionByName(docs.filter("doc_id % 7 = 0").select(F.concat(F.lit("d"), "doc_id").alias("item_id"), "text"))
+    windows = contamination.item_windows(more, 10, "item_id", "text").count()
+    one = contamination.find_contamination(docs, more, block_windows=10**9)
+    many = contamination.find_contamination(docs, more, block_windows=windows // 9)
+    assert "ExistingRDD" not in many._jdf.queryExecution().toString()
+    cols = ["doc_id", "n_words", "n_hit", "hit_spans", "items", "contaminated"]
+    assert sorted(map(str, one.select(cols).collect())) == sorted(map(str, many.select(cols).collect()))
+    assert one.filter("contaminated").count() > docs.count() // 7
