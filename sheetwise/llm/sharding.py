@@ -38,14 +38,22 @@ def _draw(rng: np.random.Generator, good: int, bad: int, n: int) -> int:
 
 
 def deal(rng: np.random.Generator, cells: np.ndarray, n: int) -> np.ndarray:
-    """Multivariate hypergeometric: how many of ``n`` rows drawn from ``cells`` fall into each."""
-    if cells.sum() < NUMPY_MOST:
-        return rng.multivariate_hypergeometric(cells, n, method="marginals")
-    out, left = np.zeros_like(cells), int(cells.sum())
-    for i, size in enumerate(cells.tolist()):
-        out[i] = _draw(rng, size, left - size, n)
-        n, left = n - int(out[i]), left - size
-    return out
+    """Multivariate hypergeometric: how many of ``n`` rows drawn from ``cells`` fall into each.
+
+    Beyond numpy's range the rows are dealt over the two halves of the cells first, then inside each half, so that
+    only a few draws are made one by one. Cells without rows left take no draw.
+    """
+    total = int(cells.sum())
+    if total < NUMPY_MOST:
+        out, some = np.zeros_like(cells), np.flatnonzero(cells)
+        out[some] = rng.multivariate_hypergeometric(cells[some], n, method="marginals") if len(some) else 0
+        return out
+    if len(cells) == 1:
+        return np.array([n], cells.dtype)
+    half = len(cells) // 2
+    first = int(cells[:half].sum())
+    taken = _draw(rng, first, total - first, n)
+    return np.concatenate([deal(rng, cells[:half], taken), deal(rng, cells[half:], n - taken)])
 
 
 def matrix_row(seed: int, blocks: np.ndarray, cells: np.ndarray, block: int) -> np.ndarray:
@@ -77,7 +85,7 @@ def shuffle_into_shards(df: DataFrame, shards: int = 8, seed: int = 42, cell_row
     size. A communication matrix of hypergeometric counts says how many rows of each input block go to each
     cell. The rows are permuted inside their block as they are written to the checkpoint folder; a row's cell
     follows from its place; one exchange by cell and a second permutation inside the cell give the slot. No
-    key takes part in it, so repeated rows and hot keys do not matter; no task holds more than a cell.
+    key takes part in it, so repeated rows and hot keys do not matter; a task sorts the few cells dealt to it, with spill.
 
     The driver holds one count per input partition. Cases: shards beyond the number of rows stay empty; an
     empty table gives none; nulls and repeated rows are rows like any other; input columns named ``shard`` or

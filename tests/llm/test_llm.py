@@ -107,6 +107,24 @@ def test_large_draws_agree_with_numpy(monkeypatch):
     assert abs(np.mean(mine) - theirs.mean()) < 0.3 and abs(np.var(mine) / theirs.var() - 1) < 0.15
 
 
+def test_dealing_by_halves_has_the_same_means(monkeypatch):
+    cells = np.array([4, 0, 6, 3, 0, 7, 2])
+    rng = np.random.default_rng(2)
+    for most in (3, 9, 15):
+        monkeypatch.setattr(sharding, "NUMPY_MOST", most)
+        for n in (0, 1, 11, 22):
+            got = [sharding.deal(rng, cells, n) for _ in range(1500)]
+            assert all(g.sum() == n and (g >= 0).all() and (g <= cells).all() for g in got)
+            means = np.mean(got, axis=0)
+            assert np.abs(means - n * cells / 22).max() < 0.15
+
+
+def test_shard_digests_against_the_texts(spark, sf):
+    texts = {r["doc_id"]: (r["text"] or "").encode() for r in table(spark, sf, "documents").collect()}
+    for r in sharding.hypergeometric_shards(spark, sf).collect():
+        assert (r["size"], r["text_crc32"]) == (len(texts[r["doc_id"]]) + 1, zlib.crc32(texts[r["doc_id"]]))
+
+
 def test_shards_of_odd_rows(odd, none):
     got = sharding.shuffle_into_shards(odd, shards=3)
     assert got.count() == odd.count() and got.columns.count("shard") == 1
