@@ -3,8 +3,9 @@
 A wide result has one column per category. The categories are given by the
 caller or looked up; whoever asks for the wide form gets it. The long form
 (``pivot_long``) has the same cells as rows and suits any number of categories, and so
-does the sparse form (``pivot_sparse``): categories are numbered in a table of
-their own and a row lists the numbers it has a cell for.
+do the wide form in blocks of columns (``pivot_blocks``) and the sparse form (``pivot_sparse``):
+categories are numbered in a table of their own; a block has a column for each of
+its numbers, a sparse row lists the numbers it has a cell for.
 """
 
 from __future__ import annotations
@@ -67,6 +68,33 @@ def pivot_sparse(
     return rows.select(*index, "chunk", taken("number").alias("numbers"), taken("__cell").alias("cells")), known
 
 
+def pivot_blocks(
+    df: DataFrame, index: Sequence[str], columns: str, values: str, aggfunc: str = "mean", width: int = 250
+) -> tuple[DataFrame, DataFrame]:
+    """The table of ``pivot_table`` cut into blocks of ``width`` columns, and the dictionary of categories.
+
+    ``(*index, chunk, 0 .. width - 1)``: column ``p`` of a block is the category numbered ``chunk * width + p``. A row
+    and a plan never have more than ``width`` cells, whatever the number of categories, and none of these
+    passes the driver. A key has no row for a block it has no cell in; the last block ends in nulls.
+    """
+    known = settle(category_numbers(df, columns))
+    places = known.select(
+        columns, F.floor(F.col("number") / width).alias("chunk"), F.pmod("number", F.lit(width)).cast("int").alias("__place")
+    )
+    placed = with_keys(df, [*index, columns]).join(small_side(places), columns)
+    return pivot_table(placed, [*index, "chunk"], "__place", values, aggfunc, range(width)), known
+
+
+def melt_blocks(
+    wide: DataFrame, known: DataFrame, id_vars: Sequence[str], columns: str, value_name: str = "value"
+) -> DataFrame:
+    """Wide to long for both results of ``pivot_blocks``: a row per cell that has a value, with its category."""
+    places = [c for c in wide.columns if c not in (*id_vars, "chunk")]
+    cells = melt(wide, [*id_vars, "chunk"], places, "__place", value_name).filter(F.col(f"`{value_name}`").isNotNull())
+    cells = cells.withColumn("number", F.col("chunk") * len(places) + F.col("__place").cast("long"))
+    return cells.join(small_side(known.select(columns, "number")), "number").select(*id_vars, columns, value_name)
+
+
 def pivot_multi(df: DataFrame, index: Sequence[str], spec: Mapping[str, Sequence[str]]) -> DataFrame:
     """Several aggregates per value column, over a compound index."""
     return multi_agg(df, spec, by=index)

@@ -497,13 +497,18 @@ def _(spark, d):
     return reshape.get_dummies(few, "l_returnflag", as_int=True)
 
 
-# days of shipping, counted round: over a thousand, and no more in a larger table
-_SHIP_DAY = "CAST(datediff('day', TIMESTAMP '1990-01-01', CAST(l_shipdate AS TIMESTAMP)) % 1100 AS BIGINT)"
+@query("pivot_wide", "SELECT c_nationkey, c_custkey, c_acctbal AS value FROM customer")
+def _(spark, d):
+    wide, customers = reshape.pivot_blocks(table(spark, d, "customer"), ["c_nationkey"], "c_custkey", "c_acctbal", "max")
+    return reshape.melt_blocks(wide, customers, ["c_nationkey"], "c_custkey")
+
+
+_SHIP_DAY = "CAST(datediff('day', TIMESTAMP '1990-01-01', CAST(l_shipdate AS TIMESTAMP)) AS BIGINT)"
 
 
-@query("pivot_wide", f"SELECT l_returnflag, {_SHIP_DAY} AS day, max(l_extendedprice) AS value FROM lineitem GROUP BY ALL")
+@query("pivot_days", f"SELECT l_returnflag, {_SHIP_DAY} AS day, max(l_extendedprice) AS value FROM lineitem GROUP BY ALL")
 def _(spark, d):
-    day = (F.datediff(F.to_date("l_shipdate"), F.to_date(F.lit("1990-01-01"))) % 1100).cast("long")
+    day = F.datediff(F.to_date("l_shipdate"), F.to_date(F.lit("1990-01-01"))).cast("long")
     items = table(spark, d, "lineitem").select("l_returnflag", "l_extendedprice", day.alias("day"))
     wide = reshape.pivot_table(items, ["l_returnflag"], "day", "l_extendedprice", "max")
     names = [c for c in wide.columns if c != "l_returnflag"]

@@ -8,6 +8,7 @@ import pytest
 from conftest import rows_of
 from pyspark.sql import functions as F
 
+from __spark_entry__ import queries
 from sheetwise.operators import charts, corpus, joins, reshape, row_scores, scale, setops, timeseries
 from sheetwise.operators.quantiles import column_quantiles
 
@@ -194,6 +195,25 @@ def test_sparse_rows_have_the_cells_of_the_long_form(spark):
     assert all(n // 8 == r["chunk"] for r in rows.collect() for n in r["numbers"])
 
 
+def test_wide_form_in_blocks_has_all_cells(spark):
+    rows = [(i % 3, f"c{i % 41}" if i % 13 else None, float(i) if i % 7 else None) for i in range(300)]
+    df = spark.createDataFrame(rows, "i long, c string, v double")
+    wide, known = reshape.pivot_blocks(df, ["i"], "c", "v", "sum", width=8)
+    assert wide.columns == ["i", "chunk", *map(str, range(8))] and known.count() == 41
+    cells = reshape.melt_blocks(wide, known, ["i"], "c")
+    assert rows_of(cells) == rows_of(reshape.pivot_long(df, ["i"], "c", "v", "sum").filter("value is not null"))
+    none, known = reshape.pivot_blocks(df.limit(0), ["i"], "c", "v")
+    assert reshape.melt_blocks(none, known, ["i"], "c").count() == 0
+
+
+def test_pivot_wide_has_every_customer(spark, tmp_path):
+    rows = [(k, k % 25, k / 4) for k in range(1, 1301)] + [(7, 7, 99.0), (7, 8, None), (None, 3, 1.0), (5000, None, 1.0), (6000, 2, None)]
+    spark.createDataFrame(rows, "c_custkey long, c_nationkey int, c_acctbal double").write.parquet(f"{tmp_path}/customer.parquet")
+    got = queries()["pivot_wide"](spark, str(tmp_path))
+    wanted = {(k % 25, k, k / 4) for k in range(1, 1301) if k != 7} | {(7, 7, 99.0)}
+    assert got.columns == ["c_nationkey", "c_custkey", "value"] and sorted(map(tuple, got.collect())) == sorted(wanted)
+
+
 @pytest.mark.parametrize("block_rows", [40, 100_000])
 def test_many_lags_agree_with_few(spark, block_rows):
     rng = np.random.default_rng(3)
