@@ -169,6 +169,20 @@ def test_merge_finds_frequent_keys_of_both_sides(spark):
     assert rows_of(inner, "x", "y") == rows_of(joins.merge(left, right, ["k", "z"]), "x", "y")
 
 
+def test_repeats_of_frequent_keys_grow_like_the_tables(spark):
+    sizes = []
+    for n in (1, 3):
+        left = spark.range(20_000 * n).selectExpr("if(id % 2 = 0, null, id % 5) AS k", "id AS x")
+        right = spark.range(2_000 * n).selectExpr("if(id % 2 = 0, null, id % 5) AS k", "id AS y")
+        a, b, keys = joins.spread_hot_keys(left, right, ["k"], 10)
+        sizes.append([a.count(), b.count()])
+    assert all(later < 4 * first for first, later in zip(*sizes)), sizes
+    small = [spark.range(m).selectExpr("if(id % 2 = 0, null, id % 5) AS k", f"id AS {c}") for m, c in ((3_000, "x"), (400, "y"))]
+    assert joins._grid(1_500, 200, 1)[0] * joins._grid(1_500, 200, 1)[1] <= joins.MOST_CELLS
+    plain, auto = (joins.merge(*small, ["k"], match_nulls=True, **more) for more in ({}, {"salts": "auto", "hot_rows": 1}))
+    assert auto.exceptAll(plain).isEmpty() and plain.exceptAll(auto).isEmpty()
+
+
 # ---- repeated keys ----
 
 
