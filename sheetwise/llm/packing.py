@@ -18,9 +18,11 @@ from sheetwise.llm.stored import stored
 from sheetwise.llm.tokens import encoder_of_process
 
 #: characters encoded at once
-ENCODE_CHARS = 1_000_000
+ENCODE_CHARS = 4_000_000
 #: tokens in a batch of pieces that is handed on
 OUT_TOKENS = 1_000_000
+#: tokens whose distinct ones are counted at once, and postings a term has on average for them to be joined term by term
+COUNTED, JOINED = 500_000, 32
 #: terms in more than one of so many documents of an index are kept as rows
 FREQUENT = 12
 #: places of the word vectors by which documents are dealt, most cells, and documents the cells are learnt from (a cell)
@@ -29,15 +31,35 @@ CODED = "id long, key long, deal long, size long, cell long, narrow boolean, tok
 PIECE = "doc_id long, start long, length long, doc_tokens long, sequence_id long, offset long, ids binary"
 
 
+def _counted(docs: list[np.ndarray]) -> Iterator[tuple[np.ndarray, np.ndarray, np.ndarray]]:
+    """The distinct tokens of each document in rising order and their counts, many documents at once; and how many each has."""
+    lengths = np.array([len(d) for d in docs], np.int64)
+    reached, low = np.cumsum(lengths), 0
+    while low < len(docs):
+        high = max(low + 1, int(np.searchsorted(reached, (reached[low - 1] if low else 0) + COUNTED, side="right")))
+        if high == low + 1:
+            found = np.unique(docs[low], return_counts=True)
+            yield *found, np.array([len(found[0])])
+        else:
+            keys = np.repeat(np.arange(high - low, dtype=np.uint64) << np.uint64(32), lengths[low:high])
+            keys |= np.concatenate(docs[low:high])
+            keys.sort()
+            first = np.flatnonzero(np.concatenate([np.ones(min(1, len(keys)), bool), keys[1:] != keys[:-1]]))
+            counts, keys = np.diff(np.append(first, len(keys))), keys[first]
+            terms = keys.astype(np.uint32).astype(np.result_type(*{d.dtype for d in docs[low:high]}))
+            yield terms, counts, np.bincount((keys >> np.uint64(32)).astype(np.int64), minlength=high - low)
+        low = high
+
+
 class Bm25:
     """An inverted index of documents; terms are token ids, and a document is looked up by all of its own."""
 
     def __init__(self, docs: list[np.ndarray], k1: float = 1.2, b: float = 0.75):
         self.n = len(docs)
-        found = [(t, c.astype(np.float32)) for t, c in (np.unique(d, return_counts=True) for d in docs)]
-        sizes = [len(t) for t, _ in found]
-        terms = np.concatenate([t for t, _ in found]) if found else np.empty(0, np.uint32)
-        counts = np.concatenate([c for _, c in found]) if found else np.empty(0, np.float32)
+        found = [(t, c.astype(np.float32), s) for t, c, s in _counted(docs)]
+        terms = np.concatenate([t for t, _, _ in found]) if found else np.empty(0, np.uint32)
+        counts = np.concatenate([c for _, c, _ in found]) if found else np.empty(0, np.float32)
+        sizes = np.concatenate([s for _, _, s in found]) if found else np.empty(0, np.int64)
         del found
         doc = np.repeat(np.arange(self.n, dtype=np.int32), sizes)
         length = np.array([len(d) for d in docs], float)
@@ -62,34 +84,45 @@ class Bm25:
         self.rows = np.zeros((len(frequent), self.n), np.float32)
         for i, (lo, hi) in enumerate(zip(self.start[frequent].tolist(), self.end[frequent].tolist())):
             self.rows[i, self.doc[lo:hi]] = self.weight[lo:hi]
-
-    def forget(self, used: np.ndarray) -> None:
-        """Leave out the documents that are used, when they are a quarter of those still held."""
-        keep = ~used[self.live]
-        if keep.sum() * 4 > len(keep) * 3:
-            return
-        left = int(keep.sum())
+        self.views = list(self.rows)
+
+    def forget(self, used: np.ndarray) -> np.ndarray:
+        """Leave out the documents that are used, when they are a quarter of those still held; says which of the rest are used."""
+        taken = used[self.live]
+        left = len(taken) - np.count_nonzero(taken)
+        if left * 4 > len(taken) * 3:
+            return taken
+        keep = ~taken
         for row in self.rows:  # in place: a copy of all rows would double the index
             row[:left] = row[keep]
         self.rows = self.rows[:, :left]
+        self.views = list(self.rows)
         kept = keep[self.doc]
         before = np.concatenate([[0], np.cumsum(kept)])
         self.start, self.end = before[self.start], before[self.end]
         self.doc, self.weight = (np.cumsum(keep, dtype=np.int32) - 1)[self.doc[kept]], self.weight[kept]
         self.live = self.live[keep]
+        return np.zeros(left, bool)
 
     def neighbours(self, seed: int, used: np.ndarray, most: int = 64) -> list[int]:
         """Unused documents by descending score (ties by position); empty if none shares a term."""
-        self.forget(used)
+        taken = self.forget(used)
         terms = self.terms[self.begins[seed] : self.begins[seed + 1]]
         rows = self.row[terms]
         rare = terms[rows < 0]
-        sizes = self.end[rare] - self.start[rare]
-        at = np.repeat(self.start[rare] - (np.cumsum(sizes) - sizes), sizes) + np.arange(sizes.sum())
-        score = np.bincount(self.doc[at], self.weight[at], len(self.live)).astype(np.float32)
+        starts, ends = self.start[rare], self.end[rare]
+        sizes = ends - starts
+        total = int(sizes.sum())
+        if total > JOINED * len(rare):
+            parts = [slice(lo, hi) for lo, hi in zip(starts.tolist(), ends.tolist())]
+            doc, weight = (np.concatenate([held[p] for p in parts]) for held in (self.doc, self.weight))
+        else:
+            at = np.repeat(starts - (np.cumsum(sizes) - sizes), sizes) + np.arange(total)
+            doc, weight = self.doc[at], self.weight[at]
+        score = np.bincount(doc, weight, len(self.live)).astype(np.float32)
         for i in rows[rows >= 0].tolist():
-            score += self.rows[i]
-        score[used[self.live]] = 0
+            np.add(score, self.views[i], score)
+        np.putmask(score, taken, 0)
         best = np.argpartition(-score, most)[:most] if len(score) > most else np.arange(len(score))
         best = best[score[best] > 0]
         return self.live[best[np.lexsort((best, -score[best]))]].tolist()

@@ -40,7 +40,8 @@ class Encoder:
         with open(tokenizer_path, encoding="utf-8") as file:
             self.special = [t["content"] for t in json.load(file)["added_tokens"]]
         ranks = {base64.b64decode(a): int(b) for a, b in map(bytes.split, open(ranks_path, "rb"))}
-        self.fast = tiktoken.Encoding("pieces", pat_str=pattern, mergeable_ranks=ranks, special_tokens={})
+        # a special token that no piece holds: the search for none at all would look at every place
+        self.fast = tiktoken.Encoding("pieces", pat_str=pattern, mergeable_ranks=ranks, special_tokens={"\x00": max(ranks.values()) + 1})
         self.width = np.zeros(max(ranks.values()) + 1, np.int64)
         for token, i in ranks.items():
             self.width[i] = len(token)
@@ -53,7 +54,7 @@ class Encoder:
     def _distinct(self, pieces: pa.Array) -> tuple[np.ndarray, np.ndarray]:
         """The ids of the distinct pieces one after another, and where each begins (and the last ends)."""
         joined = pc.and_(pc.starts_with(pieces, " "), pc.invert(pc.match_substring_regex(pieces, SPACE)))
-        ids = np.array(self.fast.encode_ordinary(_joined(pieces.filter(joined))), np.uint32)
+        ids = self.fast.encode_to_numpy(_joined(pieces.filter(joined)), disallowed_special=())
         joined = joined.to_numpy(zero_copy_only=False)
         sizes = pc.binary_length(pieces).to_numpy(zero_copy_only=False).astype(np.int64)
         reached = np.cumsum(self.width[ids])

@@ -9,12 +9,14 @@ import sys
 import zlib
 
 import numpy as np
+import public_tokenizers
+import pyarrow as pa
 import pytest
 from pyspark.sql import functions as F
 
 sys.path.insert(0, os.path.dirname(os.path.dirname(os.path.dirname(os.path.abspath(__file__)))))
 
-from sheetwise.llm import interactions, toxicity, va_file  # noqa: E402
+from sheetwise.llm import interactions, packing, tokens, toxicity, va_file  # noqa: E402
 from sheetwise.llm.registry import table  # noqa: E402
 
 WORDS = re.compile("[^\x20\x09-\x0d]+")
@@ -437,3 +439,54 @@ def test_many_blocks_of_a_benchmark(spark):
     cols = ["doc_id", "n_words", "n_hit", "hit_spans", "items", "contaminated"]
     assert sorted(map(str, one.select(cols).collect())) == sorted(map(str, many.select(cols).collect()))
     assert one.filter("contaminated").count() > docs.count() // 7
+
+
+# ---- packing ----
+
+
+def odd_documents():
+    rng = np.random.default_rng(5)
+    docs = [rng.zipf(1.3, n).clip(0, 60_000).astype("<u2") for n in rng.integers(1, 300, 200)]
+    return [*docs, np.array([70_000, 3, 70_000], "<u4"), np.empty(0, "<u2"), docs[4].copy(), np.arange(3_000, dtype="<u2")]
+
+
+@pytest.mark.parametrize("counted", [50, 2_000, 500_000])
+def test_tokens_of_many_documents_are_counted_at_once(monkeypatch, counted):
+    monkeypatch.setattr(packing, "COUNTED", counted)
+    docs = odd_documents()
+    found = list(packing._counted(docs))
+    assert len(found) < len(docs) or counted == 50
+    terms, counts, sizes = (np.concatenate(x) for x in zip(*found))
+    wanted = [np.unique(d, return_counts=True) for d in docs]
+    assert terms.tolist() == np.concatenate([t for t, _ in wanted]).tolist()
+    assert counts.tolist() == np.concatenate([c for _, c in wanted]).tolist() and sizes.tolist() == [len(t) for t, _ in wanted]
+
+
+def test_lookups_do_not_depend_on_how_postings_are_gathered(monkeypatch):
+    docs, orders = odd_documents(), []
+    for joined in (0, 32, 10**9):
+        monkeypatch.setattr(packing, "JOINED", joined)
+        orders.append(list(packing.chain(docs, 256, 256)))
+    assert orders[0] == orders[1] == orders[2] and sorted(orders[0]) == list(range(len(docs)))
+    index, used = packing.Bm25(docs), np.zeros(len(docs), bool)
+    used[::3] = True
+    near = index.neighbours(4, used.copy(), most=len(docs))
+    lengths, sets = np.array([len(d) for d in docs], float), [dict(zip(*(x.tolist() for x in np.unique(d, return_counts=True)))) for d in docs]
+    held = {}
+    for s in sets:
+        for t in s:
+            held[t] = held.get(t, 0) + 1
+    idf = {t: np.log1p((len(docs) - n + 0.5) / (n + 0.5)) for t, n in held.items()}
+    norm = 1.2 * (0.25 + 0.75 * lengths / lengths.mean())
+    score = np.array([sum(idf[t] * s[t] * 2.2 / (s[t] + norm[i]) for t in sets[4] if t in s and held[t] > 1) for i, s in enumerate(sets)])
+    assert set(near) == {i for i in range(len(docs)) if score[i] > 0 and not used[i]}
+    assert np.allclose(score[near], np.sort(score[near])[::-1], rtol=1e-4)
+
+
+def test_distinct_pieces_are_encoded_to_numbers_at_once():
+    files = (public_tokenizers.path("byte_bpe_50k.json"), public_tokenizers.path("byte_bpe_50k.tiktoken"), public_tokenizers.PATTERN)
+    encoder = tokens.Encoder(*files)
+    encoder.fast.encode_ordinary = lambda piece: pytest.fail(piece) if piece else []
+    texts = [" a first word", " <|endoftext|", " Größe 中文 x9", " a first word word"]
+    got = encoder.encode(pa.array(texts))
+    assert [g.tolist() for g in got] == [encoder.tokenizer.encode(t, add_special_tokens=False).ids for t in texts]
