@@ -1,5 +1,6 @@
 """Numbering by ranges, two-scan quantiles, scoring from rows, frequent keys, repeated keys and many lags."""
 
+import itertools
 import json
 import random
 
@@ -183,6 +184,39 @@ def test_repeats_of_frequent_keys_grow_like_the_tables(spark):
     assert auto.exceptAll(plain).isEmpty() and plain.exceptAll(auto).isEmpty()
 
 
+def test_all_frequent_keys_share_the_cells(spark):
+    left = spark.range(20_000).selectExpr("id % 20 AS k", "id AS x")
+    right = spark.range(4_000).selectExpr("id % 20 AS k", "id AS y")
+    a, b, _ = joins.spread_hot_keys(left, right, ["k"], 5)
+    assert a.count() + b.count() < 2.5 * (20 * 1_000 * 200 * joins.MOST_CELLS) ** 0.5
+
+
+def test_frequent_keys_are_put_out_by_tiles(spark, monkeypatch):
+    monkeypatch.setattr(joins, "TILE_ROWS", 8, raising=False)
+    size = spark.conf.get("spark.sql.autoBroadcastJoinThreshold")
+    spark.conf.set("spark.sql.autoBroadcastJoinThreshold", "-1")
+    left = spark.range(60).selectExpr("CAST(NULL AS int) AS k", "id AS x")
+    right = spark.range(200).selectExpr("CAST(NULL AS int) AS k", "id AS y")
+    rows = [(r["x"], r["y"]) for r in joins.merge(left, right, ["k"], match_nulls=True, salts="auto", hot_rows=50).collect()]
+    spark.conf.set("spark.sql.autoBroadcastJoinThreshold", size)
+    assert sorted(rows) == [(x, y) for x in range(60) for y in range(200)]
+    # the same few rows of the right side with one row of the left side after another
+    assert max(len(list(run)) for _, run in itertools.groupby(x for x, _ in rows)) <= 16
+
+
+@pytest.mark.parametrize("match_nulls", [True, False])
+def test_tiles_keep_repeated_rows_and_odd_columns(spark, match_nulls):
+    left = spark.range(900).selectExpr("IF(id % 3 = 0, NULL, IF(id % 2 = 0, -0.0D, 0.0D)) AS k", "IF(id < 800, 7, id) AS x", "map('a', id % 2) AS m", "IF(id % 5 = 0, NULL, 'v') AS v")
+    right = spark.range(600).selectExpr("IF(id % 4 = 0, NULL, CAST(id % 2 AS float)) AS k")
+    more = right.selectExpr("k", "CAST(NULL AS string) AS v", "IF(k IS NULL, NULL, 1) AS y")
+    for other in (right, more):
+        names = ["k", "x", "m['a']", *(["v_x", "v_y", "y"] if other is more else ["v"])]
+        merged = [joins.merge(left, other, ["k"], match_nulls, **with_salts) for with_salts in ({}, {"salts": "auto", "hot_rows": 40})]
+        assert merged[0].dtypes == merged[1].dtypes
+        plain, auto = (m.groupBy(*[F.expr(c).cast("string").alias(f"c{i}") for i, c in enumerate(names)]).count() for m in merged)
+        assert rows_of(auto) == rows_of(plain) and auto.count() > 0
+
+
 # ---- repeated keys ----
 
 
